@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality_knn, sharding, simhash
+from . import decontam, lm, mixing, quality_knn, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_mixing, op5_quality, op10_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_mixing, op4_lm_scores, op5_quality, op10_decontamination)
 }
 ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL, "op3_mixing": mixing.SQL}
