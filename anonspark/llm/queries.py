@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, lm, mixing, quality_gbt, quality_knn, secrets, sharding, simhash
+from . import decontam, html_extract, lm, mixing, pii, quality_gbt, quality_knn, secrets, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +47,15 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_mixing, op4_lm_scores, op5_quality, op6_quality_rules, op7_secrets, op8_html_text, op10_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_mixing, op4_lm_scores, op5_quality, op6_quality_rules, op7_secrets, op8_html_text, op9_pii, op10_decontamination)
 }
 ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL, "op3_mixing": mixing.SQL}
