@@ -24,9 +24,10 @@ def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     at = np.arange(n, dtype=_U) * _U(width)
     word, bit = (at >> _U(6)).astype(np.int64), at & _U(63)
     kept = values & _U((1 << width) - 1)
-    np.bitwise_or.at(out, word, kept << bit)
-    spill = bit + _U(width) > _U(64)
-    np.bitwise_or.at(out, word[spill] + 1, kept[spill] >> (_U(64) - bit[spill]))
+    first = np.flatnonzero(np.diff(word, prepend=-1))  # values that begin in one word lie together
+    out[word[first]] = np.bitwise_or.reduceat(kept << bit, first)
+    spill = np.flatnonzero(bit + _U(width) > _U(64))  # at most one for each word
+    out[word[spill] + 1] |= kept[spill] >> (_U(64) - bit[spill])
     return out
 
 

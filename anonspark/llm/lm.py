@@ -31,8 +31,11 @@ from .eliasfano import Trie, restore
 #: Weight of the unigram distribution in each context, in tokens.
 PRIOR = 4.0
 #: Tokens of a block, and bytes of text per shard: they bound a task's memory.
-BLOCK_TOKENS = 2_000_000
-SHARD_TEXT = 24 << 20
+BLOCK_TOKENS = 1_500_000
+SHARD_TEXT = 16 << 20
+#: Bits of the hash by which a shard tells the successors of one context apart. Two
+#: successors of a context that agree in 48 bits would share their bigram count.
+_WORD_BITS = 48
 #: Documents (per shard, and at least) from which the shards' limits are drawn.
 SAMPLE_DOCS, LEAST_SAMPLE, SAMPLE_PAIRS = 40, 1000, 100
 _END = xxhash.xxh64_intdigest(b"\n")  # no word has a newline
@@ -52,7 +55,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a, kind)
         head += [a.size, a.itemsize]
         body.append(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, np.int64).tobytes() + b"".join(body))
+    return zstandard.ZstdCompressor(level=3).compress(np.array(head, np.int64).tobytes() + b"".join(body))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -67,6 +70,10 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> _U(64 - _WORD_BITS)
+
+
 def _deltas(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
 
@@ -132,7 +139,7 @@ def _encoder(limits: Limits):
                 u, v = (keys[a:b] >> 31) - lo, keys[a:b] & 0x7FFFFFFF
                 vs = np.unique(v)
                 rows.append((block, s, None, _pack(
-                    _deltas(hashes[lo:hi]), counts[lo:hi], np.bincount(u, minlength=hi - lo), _deltas(hashes[vs]),
+                    _deltas(hashes[lo:hi]), counts[lo:hi], np.bincount(u, minlength=hi - lo), _deltas(_short(hashes[vs])),
                     np.searchsorted(vs, v), seen[a:b], np.array([lo, a]))))
         yield pd.DataFrame(rows, columns=["block", "shard", "ids", "data"])
 
@@ -198,7 +205,7 @@ class Message:
     def __init__(self, data: bytes):
         du, self.counts, per, dv, self.v, self.seen, at = _unpack(data)
         self.contexts, self.words = np.cumsum(du.astype(_U), dtype=_U), np.cumsum(dv.astype(_U), dtype=_U)
-        self.u = np.repeat(np.arange(len(per)), per)
+        self.u = np.repeat(np.arange(len(per), dtype=np.int32), per)
         self.low, self.first = at.tolist()
 
 
@@ -217,6 +224,7 @@ def build(messages: list[Message]) -> Trie:
     keys, seen = np.concatenate(keys), np.concatenate(seen)
     order = np.argsort(keys, kind="stable")
     keys, seen = keys[order], seen[order]
+    del order
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     total = np.add.reduceat(seen, new) if len(new) else seen
     keys = keys[new]
