@@ -363,17 +363,18 @@ def review_triage(spark, sf_dir):
 
 # ---------------------------------------------------------------- gate, log, statistics
 _LOG = ["event_id % 3 AS tokens_minted", "user_id % 2 AS tokens_reused", "CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS blocked"]
-_DAYS = f"SELECT CAST(ts AS DATE) AS day, count(*) AS events, CAST(sum(tokens_minted) AS BIGINT) AS minted, CAST(sum(tokens_reused) AS BIGINT) AS reused, CAST(sum(blocked) AS BIGINT) AS blocked FROM (SELECT ts, {', '.join(_LOG)} FROM events) GROUP BY 1"
+_DAYS = f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS events, CAST(sum(tokens_minted) AS BIGINT) AS minted, CAST(sum(tokens_reused) AS BIGINT) AS reused, CAST(sum(blocked) AS BIGINT) AS blocked FROM (SELECT ts, {', '.join(_LOG)} FROM events) GROUP BY 1"
 
 
 @query("daily_stats", _DAYS)
 def daily_stats(spark, sf_dir):
-    return gate.daily_stats(table(spark, sf_dir, "events").selectExpr("unix_millis(CAST(ts AS TIMESTAMP)) AS timestamp", *_LOG))
+    rows = table(spark, sf_dir, "events").selectExpr("unix_millis(CAST(ts AS TIMESTAMP)) AS timestamp", *_LOG)
+    return gate.daily_stats(rows).withColumn("day", F.col("day").cast("string"))
 
 
 @query("daily_counts_windowed", _DAYS)
 def daily_counts_windowed(spark, sf_dir):
-    return daily_counts(table(spark, sf_dir, "events").selectExpr("ts", *_LOG))
+    return daily_counts(table(spark, sf_dir, "events").selectExpr("ts", *_LOG)).withColumn("day", F.col("day").cast("string"))
 
 
 _SAID = "concat(text, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN ' password=hunter22' ELSE '' END)"
