@@ -70,3 +70,11 @@ def fresh(columns: Sequence[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def one_text(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """ids (doc_id and more; at most `rows` of them, one row each) with text: the least text
+    of the documents of that id. Ids without a text go."""
+    rest = [c for c in ids.columns if c != "doc_id"]
+    found = docs.filter("text IS NOT NULL").select("doc_id", "text").join(small(ids, rows), "doc_id")
+    return found.groupBy("doc_id", *rest).agg(F.min("text").alias("text"))

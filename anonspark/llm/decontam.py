@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import fresh, saved, small
 
 ERROR_RATE = 0.1
 #: Items of one pass hold at most this many bytes of text (what a task keeps of them).
@@ -222,5 +222,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """docs without the rows that hold an item."""
-    ids = saved(matches(docs, benchmark, rate).select(F.col("doc_id").alias("_leak_id")).distinct(), "leaking")
-    return docs.join(small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("_leak_id")), "left_anti")
+    leak, = fresh(docs.columns, "_leak_id")
+    ids = saved(matches(docs, benchmark, rate).select(F.col("doc_id").alias(leak)).distinct(), "leaking")
+    return docs.join(small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")

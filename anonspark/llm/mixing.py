@@ -117,9 +117,10 @@ def mixed(docs: DataFrame, source: str = "source", target_entropy: float = TARGE
     s, n, b = fresh(docs.columns, "_s", "_n", "_b")
     rows = docs.join(mix.select(F.col("source").alias(s), F.col("n_blocks").alias(n)), F.col(source).eqNullSafe(F.col(s))).drop(s)
     rows = rows.withColumn(b, id_hash() % F.col(n)).drop(n)
-    s, = fresh(rows.columns, "_s")
-    taken = rows.join(blocks.withColumnsRenamed({"source": s, "block": "_block"}), F.col(source).eqNullSafe(F.col(s)) & (F.col(b) == F.col("_block"))).drop(s, b)
-    return taken.withColumnRenamed("_block", "block") if marks else taken.select(*docs.columns)
+    s, block, epoch, position = fresh(rows.columns, "_s", "block", "epoch", "position")
+    named = blocks.withColumnsRenamed({"source": s, "block": block, "epoch": epoch, "position": position})
+    taken = rows.join(named, F.col(source).eqNullSafe(F.col(s)) & (F.col(b) == F.col(block))).drop(s, b)
+    return taken if marks else taken.select(*docs.columns)
 
 
 def mixture(docs: DataFrame) -> DataFrame:

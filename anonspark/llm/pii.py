@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, small
+from .common import fresh, one_text, saved
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents, and windows of them, that the network learns from at most.
@@ -349,7 +349,7 @@ def fit(docs: DataFrame, windows_most: int = SAMPLE_WINDOWS) -> Tagger | None:
             if rows:
                 yield pd.DataFrame(rows, columns=["piece", "tags"])
 
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(small(ids, SAMPLE_DOCS), "doc_id").select("text").limit(2 * SAMPLE_DOCS)
+    rows = one_text(docs, ids, SAMPLE_DOCS).select("text")
     got = rows.mapInPandas(run, "piece string, tags binary").toPandas()
     if not len(got):
         return None

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, saved, small
+from .common import fresh, held_out, one_text, saved
 
 #: Labelled documents of each class that are used at most.
 PER_CLASS = 5000
@@ -216,8 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fores
     good = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out("doc_id", 4, 2)).select("doc_id", "quality").distinct()
     parts = [good.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     picked = saved(parts[0].unionByName(parts[1]), "labelled")  # at most 2 * per_class rows
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(small(picked, 2 * per_class), "doc_id")
-    rows = rows.select(F.col("quality").cast("int").alias("label"), "text").limit(4 * per_class)
+    rows = one_text(docs, picked, 2 * per_class).select(F.col("quality").cast("int").alias("label"), "text")
     got = rows.mapInPandas(_sample_batches, "label int, x array<double>").toPandas()
     if not len(got):
         return Forest(bias=1.0).flat()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, saved, small
+from .common import fresh, held_out, one_text, saved
 
 #: Labelled documents of each class that are used at most. This bounds what is broadcast
 #: (4,000 vectors of 64 floats) and what the driver gathers (their term counts).
@@ -121,14 +121,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         part = good.filter(F.col("quality") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     picked = saved(picked, "labelled")  # at most 2 * per_class rows
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(small(picked, 2 * per_class), "doc_id")
-    return rows.select(F.col("quality").cast("int").alias("label"), "text")
+    return one_text(docs, picked, 2 * per_class).select(F.col("quality").cast("int").alias("label"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensions: int = DIMENSIONS) -> Model:
-    """The model of a bounded labelled sample. Repeated rows of one id can make it larger
-    than 2 * per_class rows; then the first of them count."""
-    rows = training_rows(docs, labels, per_class).limit(4 * per_class)
+    """The model of a bounded labelled sample."""
+    rows = training_rows(docs, labels, per_class)
     got = rows.mapInPandas(_count_batches, "label int, terms binary").toPandas()
     if not len(got):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))

@@ -49,7 +49,7 @@ def build_directory(sizes: DataFrame, byte_limit: int) -> tuple[DataFrame, int]:
 
 
 def assign_shards(docs: DataFrame, byte_limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the columns shard (bits of the directory entry, then ".k" for the k-th
+    """docs with the columns (under a longer name if docs has one of that name) shard (bits of the directory entry, then ".k" for the k-th
     part of an entry that no bit can split), shard_depth and n_bytes.
 
     Every shard holds at most `byte_limit` bytes of text, but for a single row that is
@@ -61,36 +61,36 @@ def assign_shards(docs: DataFrame, byte_limit: int = SHARD_BYTES, key: str = "do
     """
     if byte_limit < 1:
         raise ValueError("byte_limit must be positive")
-    h, size, slot = fresh(docs.columns, "_h", "n_bytes", "_slot")
+    h, size, slot, shard, part_depth, over = fresh(docs.columns, "_h", "n_bytes", "_slot", "shard", "shard_depth", "_over")
     rows = docs.withColumns({h: id_hash(key), size: text_bytes(text)})
     leaves, depth = build_directory(rows.select(F.col(h).alias("h"), F.col(size).alias("n_bytes")), byte_limit)
     bits = F.when(F.col("depth") > 0, F.expr("lpad(bin(prefix), depth, '0')")).otherwise("")
     first = F.expr(f"shiftleft(prefix, {depth} - depth)")
     last = F.expr(f"shiftleft(prefix + 1, {depth} - depth) - 1")
-    slots = leaves.select(F.explode(F.sequence(first, last)).alias(slot), bits.alias("shard"), F.col("depth").alias("shard_depth"), F.col("over").alias("_over"))
+    slots = leaves.select(F.explode(F.sequence(first, last)).alias(slot), bits.alias(shard), F.col("depth").alias(part_depth), F.col("over").alias(over))
     slots = small(slots, 1 << depth, DIRECTORY_SLOTS)
     placed = rows.withColumn(slot, F.shiftright(h, HASH_BITS - depth)).join(slots, slot).drop(slot)
     if leaves.filter("over").isEmpty():
-        return placed.drop(h, "_over")
-    return placed.filter(~F.col("_over")).drop(h, "_over").unionByName(_cut(placed.filter("_over").drop("_over"), h, size, byte_limit))
+        return placed.drop(h, over)
+    return placed.filter(~F.col(over)).drop(h, over).unionByName(_cut(placed.filter(F.col(over)).drop(over), h, size, shard, byte_limit))
 
 
-def _cut(rows: DataFrame, h: str, size: str, byte_limit: int) -> DataFrame:
+def _cut(rows: DataFrame, h: str, size: str, shard: str, byte_limit: int) -> DataFrame:
     """Rows of entries that no bit can split, cut by running sums. A row of over half
     the limit is a part of its own; the others fill parts of half the limit and at most
     one row more."""
     half = max(1, byte_limit // 2)
-    task, seq, start, before, own = fresh(rows.columns, "_task", "_seq", "_start", "_before", "_own")
+    task, seq, start, before, own, sum_ = fresh(rows.columns, "_task", "_seq", "_start", "_before", "_own", "_sum")
     rows = saved(rows.withColumns({task: F.spark_partition_id(), seq: F.monotonically_increasing_id(), own: F.col(size) > half}), "oversized")
-    in_task = Window.partitionBy("shard", own, task).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    in_task = Window.partitionBy(shard, own, task).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     weight = F.when(F.col(own), F.lit(half)).otherwise(F.col(size))
-    totals = rows.groupBy("shard", own, task).agg(F.sum(weight).alias("_t"))
-    across = Window.partitionBy("shard", own).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("shard", own, task, F.coalesce(F.sum("_t").over(across), F.lit(0)).alias(before))
-    rows = rows.withColumn(start, F.coalesce(F.sum(weight).over(in_task), F.lit(0))).join(totals, ["shard", own, task])
+    totals = rows.groupBy(shard, own, task).agg(F.sum(weight).alias(sum_))
+    across = Window.partitionBy(shard, own).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(shard, own, task, F.coalesce(F.sum(sum_).over(across), F.lit(0)).alias(before))
+    rows = rows.withColumn(start, F.coalesce(F.sum(weight).over(in_task), F.lit(0))).join(totals, [shard, own, task])
     part = F.floor((F.col(start) + F.col(before)) / half)
-    label = F.concat("shard", F.lit("."), F.when(F.col(own), F.lit("x")).otherwise(""), part.cast("string"))
-    return rows.withColumn("shard", label).drop(h, task, seq, start, before, own)
+    label = F.concat(shard, F.lit("."), F.when(F.col(own), F.lit("x")).otherwise(""), part.cast("string"))
+    return rows.withColumn(shard, label).drop(h, task, seq, start, before, own)
 
 
 def shard_report(docs: DataFrame, byte_limit: int = SHARD_BYTES) -> DataFrame:
