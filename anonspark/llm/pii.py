@@ -23,7 +23,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents, and windows of them, that the network learns from at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOWS_PER_DOC = 1200, 1600, 4
 LENGTH, STRIDE, REACH = 48, 24, 16
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 8, 32, 0.02
+EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 16, 32, 0.02
 _TAGS = 1 + 2 * len(KINDS)  # outside, then the first and the next characters of each kind
 _DECODE = 512
 
