@@ -15,22 +15,37 @@ import numpy as np
 _U = np.uint64
 
 
+#: Values that are packed at a time; a multiple of 64, so that each part begins with a word.
+_PART = 1 << 16
+
+
 def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     """The low `width` bits of each value, one after another, in words."""
     n = len(values)
     if not width or not n:
         return np.zeros(1, _U)
     out = np.zeros(n * width // 64 + 2, _U)
-    at = np.arange(n, dtype=_U) * _U(width)
-    word, bit = (at >> _U(6)).astype(np.int64), at & _U(63)
-    kept = values & _U((1 << width) - 1)
-    first = np.flatnonzero(np.diff(word, prepend=-1))  # values that begin in one word lie together
-    out[word[first]] = np.bitwise_or.reduceat(kept << bit, first)
-    spill = np.flatnonzero(bit + _U(width) > _U(64))  # at most one for each word
-    out[word[spill] + 1] |= kept[spill] >> (_U(64) - bit[spill])
+    for start in range(0, n, _PART):
+        part = values[start : start + _PART] & _U((1 << width) - 1)
+        at = np.arange(start, start + len(part), dtype=_U) * _U(width)
+        word, bit = (at >> _U(6)).astype(np.int64), at & _U(63)
+        first = np.flatnonzero(np.diff(word, prepend=-1))  # values that begin in one word lie together
+        out[word[first]] |= np.bitwise_or.reduceat(part << bit, first)
+        spill = np.flatnonzero(bit + _U(width) > _U(64))  # at most one for each word
+        out[word[spill] + 1] |= part[spill] >> (_U(64) - bit[spill])
     return out
 
 
+def _unary(values: np.ndarray, width: int, n: int) -> np.ndarray:
+    """A set bit at (value >> width) + i for each value, and zeros up to past the last."""
+    top = int(values[-1]) >> width if n else 0
+    bits = np.zeros(-(-(n + top + 2) // 64) * 64, bool)
+    for start in range(0, n, _PART):
+        part = values[start : start + _PART]
+        bits[(part >> _U(width)).astype(np.int64) + np.arange(start, start + len(part))] = True
+    return np.packbits(bits, bitorder="little").view(_U)
+
+
 def _get_bits(words: np.ndarray, width: int, index: np.ndarray) -> np.ndarray:
     if not width:
         return np.zeros(len(index), _U)
@@ -57,11 +72,7 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         width = max(0, ((top + 1) // max(1, n)).bit_length() - 1)
-        ups = values >> _U(width)
-        size = n + int(ups[-1] if n else 0) + 2
-        bits = np.zeros(-(-size // 64) * 64, np.uint8)
-        bits[(ups + np.arange(n, dtype=_U)).astype(np.int64)] = 1
-        high = np.packbits(bits, bitorder="little").view(_U)
+        high = _unary(values, width, n)
         return cls(n, width, _pack_bits(values, width), high, cls._zeros(high))
 
     @staticmethod

@@ -1,7 +1,7 @@
 """Scoring documents by a smoothed bigram model in Elias-Fano tries.
 
 Neither the vocabulary nor the bigrams have a size bound, so no task and no broadcast
-holds the model. Documents are encoded in blocks of a few million tokens. A block sends
+holds the model. Documents are encoded in blocks of a million tokens or two. A block sends
 to each shard of the model its distinct bigrams there, sorted, with their counts in the
 training documents; the shards are ranges of (hash of the context, hash of the word), cut
 by a sample so that a frequent context spans several. A shard sums the counts, builds its
@@ -14,11 +14,13 @@ p(w | u) = c(u w) / (c(u) + G) + G / (c(u) + G) * p(w), p(w) = (c(w) + 1) / (N +
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -32,7 +34,10 @@ from .eliasfano import Trie, restore
 PRIOR = 4.0
 #: Tokens of a block, and bytes of text per shard: they bound a task's memory.
 BLOCK_TOKENS = 1_500_000
-SHARD_TEXT = 16 << 20
+SHARD_TEXT = 12 << 20
+#: A table of a few shards is cut finer, down to this much text, to occupy all tasks.
+LEAST_SHARD_TEXT = 1 << 20
+_SLICE = 500
 #: Bits of the hash by which a shard tells the successors of one context apart. Two
 #: successors of a context that agree in 48 bits would share their bigram count.
 _WORD_BITS = 48
@@ -42,6 +47,14 @@ _END = xxhash.xxh64_intdigest(b"\n")  # no word has a newline
 _U = np.uint64
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: a worker lives on and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -116,23 +129,27 @@ def pair_keys(sequence: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (before.astype(np.int64) << 31) | sequence
 
 
+_ENCODED = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.string())), ("data", pa.binary())])
+
+
 def _encoder(limits: Limits):
-    def emit(block: int, ids: list, held: list[bool], sizes: list[int], local: list[np.ndarray], words: dict[bytes, int]) -> Iterator[pd.DataFrame]:
+    def emit(block: int, ids: list, held: list[bool], sizes: list[int], local: list[np.ndarray], words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), _U, len(words))
         order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         hashes = hashes[order]
         sequence = rank[np.concatenate(local)]
         ends = np.cumsum(sizes)
         train = np.repeat(~np.array(held), sizes)
         counts = np.bincount(sequence[train], minlength=len(hashes))
-        keys = np.sort((pair_keys(sequence, ends) << 1) | train)
+        keys = (pair_keys(sequence, ends) << 1) | train
+        keys.sort()
         new = np.flatnonzero(np.concatenate([[True], (keys[1:] >> 1) != (keys[:-1] >> 1)]))
         seen = np.add.reduceat(keys & 1, new)
         keys = keys[new] >> 1
         first, low, high = limits.cuts(hashes, keys)
-        rows = [(block, -1, ids, _pack(sequence, np.array(sizes), np.array(held, int), np.array([len(hashes)])))]
+        rows = [(block, -1 - block, ids, _pack(sequence, np.array(sizes), np.array(held, int), np.array([len(hashes), checksum(keys)])))]
         for s in range(len(low)):
             a, b, lo, hi = int(first[s]), int(first[s + 1]), int(low[s]), int(high[s])
             if hi > lo:
@@ -140,29 +157,36 @@ def _encoder(limits: Limits):
                 vs = np.unique(v)
                 rows.append((block, s, None, _pack(
                     _deltas(hashes[lo:hi]), counts[lo:hi], np.bincount(u, minlength=hi - lo), _deltas(_short(hashes[vs])),
-                    np.searchsorted(vs, v), seen[a:b], np.array([lo, a]))))
-        yield pd.DataFrame(rows, columns=["block", "shard", "ids", "data"])
+                    np.searchsorted(vs, v), seen[a:b], np.array([lo, a, checksum(keys)]))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENCODED)], schema=_ENCODED)
+        _release()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId() << 24, 0
         ids, held, sizes, local, words, n = [], [], [], [], {b"\n": 0}, 0
-        for pdf in batches:
-            for key, out, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], pdf.iloc[:, 2]):
-                w = tokens(text)
-                w.append(b"\n")
-                local.append(np.fromiter((words.setdefault(x, len(words)) for x in w), np.int32, len(w)))
-                ids.append(key)
-                held.append(bool(out))
-                sizes.append(len(w))
-                n += len(w)
-                if n >= BLOCK_TOKENS:
-                    yield from emit(task + serial, ids, held, sizes, local, words)
-                    ids, held, sizes, local, words, n, serial = [], [], [], [], {b"\n": 0}, 0, serial + 1
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                for key, out, text in zip(*(c.to_pylist() for c in batch.slice(at, _SLICE).columns)):
+                    w = tokens(text)
+                    w.append(b"\n")
+                    local.append(np.fromiter((words.setdefault(x, len(words)) for x in w), np.int32, len(w)))
+                    ids.append(key)
+                    held.append(bool(out))
+                    sizes.append(len(w))
+                    n += len(w)
+                    if n >= BLOCK_TOKENS:
+                        yield from emit(task + serial, ids, held, sizes, local, words)
+                        ids, held, sizes, local, words, n, serial = [], [], [], [], {b"\n": 0}, 0, serial + 1
         if ids:
             yield from emit(task + serial, ids, held, sizes, local, words)
     return run
 
 
+def checksum(keys: np.ndarray) -> int:
+    """Of a block's bigrams: an answer must meet the block that asked."""
+    return xxhash.xxh32_intdigest(np.ascontiguousarray(keys).tobytes())
+
+
 def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for text in pdf.iloc[:, 0]:
@@ -177,7 +201,8 @@ def draw_limits(docs: DataFrame, shard_text: int = SHARD_TEXT) -> Limits:
     """Limits of ceil(bytes of text / shard_text) shards from the bigrams of a sample of
     documents, as in a range sort. They decide where a bigram is counted, not whether."""
     row = docs.agg(F.coalesce(F.sum(text_bytes()), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    shards = max(1, math.ceil(row["b"] / shard_text))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, math.ceil(row["b"] / shard_text), min(tasks, row["b"] // LEAST_SHARD_TEXT))
     none = np.zeros(0, _U)
     if shards == 1:
         return Limits(none, none)
@@ -194,10 +219,11 @@ def draw_limits(docs: DataFrame, shard_text: int = SHARD_TEXT) -> Limits:
 
 
 def encode(docs: DataFrame, limits: Limits) -> DataFrame:
-    """Blocks of documents, in the shared folder: (block, shard, ids, data), where shard -1
-    has the documents' tokens and each other shard what the block sends to it."""
+    """Blocks of documents: (block, part, ids, data). A part from 0 on is a shard, and data
+    what the block sends to it; a negative part is one of its own, with the block's tokens.
+    Blocks follow the order of the rows in a task, so docs should come from storage."""
     rows = docs.select(F.col("doc_id").cast("string"), held_out("doc_id", 7, 2), "text")
-    return saved(rows.mapInPandas(_encoder(limits), "block long, shard int, ids array<string>, data binary"), "encoded")
+    return rows.mapInArrow(_encoder(limits), "block long, part long, ids array<string>, data binary")
 
 
 # ---------------------------------------------------------------- the shards
@@ -206,7 +232,7 @@ class Message:
         du, self.counts, per, dv, self.v, self.seen, at = _unpack(data)
         self.contexts, self.words = np.cumsum(du.astype(_U), dtype=_U), np.cumsum(dv.astype(_U), dtype=_U)
         self.u = np.repeat(np.arange(len(per), dtype=np.int32), per)
-        self.low, self.first = at.tolist()
+        self.low, self.first, self.check = at.tolist()
 
 
 def build(messages: list[Message]) -> Trie:
@@ -235,14 +261,18 @@ def build(messages: list[Message]) -> Trie:
 def tries(encoded: DataFrame) -> DataFrame:
     """The model itself: (shard, trie binary), to be kept or mapped elsewhere."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "trie": [build([Message(d) for d in pdf["data"]]).pack()]})
+        return pd.DataFrame({"shard": [pdf["part"].iloc[0]], "trie": [build([Message(d) for d in pdf["data"]]).pack()]})
 
-    return encoded.filter("shard >= 0").select("shard", "data").groupBy("shard").applyInPandas(pack, "shard int, trie binary")
+    return encoded.filter("part >= 0").select("part", "data").groupBy("part").applyInPandas(pack, "shard long, trie binary")
 
 
 def _answer(limits: Limits):
+    columns = ["block", "shard", "n", "types", "ids", "data"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, blocks = int(pdf["shard"].iloc[0]), pdf["block"].tolist()
+        shard, blocks = int(pdf["part"].iloc[0]), pdf["block"].tolist()
+        if shard < 0:  # a block's documents wait with the answers
+            return pd.DataFrame([(blocks[0], -1, 0, 0, pdf["ids"].iloc[0], pdf["data"].iloc[0])], columns=columns)
         messages = [Message(d) for d in pdf["data"]]
         trie = Trie.mapped(build(messages).pack())
         known = trie.contexts.get(np.arange(trie.contexts.n))
@@ -252,29 +282,34 @@ def _answer(limits: Limits):
         for block, m in zip(blocks, messages):
             place = trie.contexts.find(m.contexts)
             codes = trie.find(place[m.u], m.words[m.v.astype(np.int64)])
-            out.append((block, shard, n, types, _pack(codes, trie.counts[place], np.array([m.low, m.first]))))
-        return pd.DataFrame(out, columns=["block", "shard", "n", "types", "data"])
+            out.append((block, shard, n, types, None, _pack(codes, trie.counts[place], np.array([m.low, m.first, m.check]))))
+        del messages, trie
+        _release()
+        return pd.DataFrame(out, columns=columns)
     return run
 
 
 def answers(encoded: DataFrame, limits: Limits) -> DataFrame:
-    """What the shards tell each block, in the shared folder: (block, shard, n, types, data)."""
-    sent = encoded.filter("shard >= 0").select("block", "shard", "data")
-    return saved(sent.groupBy("shard").applyInPandas(_answer(limits), "block long, shard int, n long, types long, data binary"), "answers")
+    """The blocks' documents (shard -1) and what the shards tell each block, in the shared
+    folder: (block, shard, n, types, ids, data)."""
+    return saved(encoded.groupBy("part").applyInPandas(_answer(limits), "block long, shard long, n long, types long, ids array<string>, data binary"), "answers")
 
 
 # ---------------------------------------------------------------- scores
 def _scorer(n: int, types: int):
-    def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        if not len(docs):
-            return pd.DataFrame(columns=columns)
+        docs, told = pdf[pdf["shard"] < 0], pdf[pdf["shard"] >= 0]
         sequence, sizes, held, words = _unpack(docs["data"].iloc[0])
-        sequence, ends = sequence.astype(np.int64), np.cumsum(sizes.astype(np.int64))
+        sequence, ends = sequence.astype(np.int32), np.cumsum(sizes.astype(np.int64))
         keys, place = np.unique(pair_keys(sequence, ends), return_inverse=True)
+        if checksum(keys) != int(words[1]):
+            raise RuntimeError("a block of documents changed between two reads")
         counts, codes = np.zeros(int(words[0])), np.zeros(len(keys), np.uint16)
         for data in told["data"]:
-            code, count, (low, first) = _unpack(data)
+            code, count, (low, first, check) = _unpack(data)
+            if int(check) != int(words[1]):
+                raise RuntimeError("an answer meets another block of documents; read docs from storage")
             codes[int(first) : int(first) + len(code)] = code
             counts[int(low) : int(low) + len(count)] = count
         base = (counts + 1) / (n + types + 1)
@@ -299,11 +334,9 @@ def score(docs: DataFrame, shard_text: int = SHARD_TEXT) -> DataFrame:
     training rows every token has the probability 1. Empty in, empty out; extra columns don't matter.
     """
     limits = draw_limits(docs, shard_text)
-    encoded = encode(docs, limits)
-    told = answers(encoded, limits)
-    row = told.groupBy("shard").agg(F.max("n").alias("n"), F.max("types").alias("t")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    kept = encoded.filter("shard = -1").select("block", "ids", "data")
-    scored = kept.groupBy("block").cogroup(told.select("block", "data").groupBy("block")).applyInPandas(
+    told = answers(encode(docs, limits), limits)
+    row = told.filter("shard >= 0").groupBy("shard").agg(F.max("n").alias("n"), F.max("types").alias("t")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    scored = told.select("block", "shard", "ids", "data").groupBy("block").applyInPandas(
         _scorer(row["n"], row["t"]), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "held_out", "n_tokens", "n_known", F.lit(row["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
