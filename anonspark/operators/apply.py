@@ -94,7 +94,11 @@ def candidate_keys(text: str | None, most: int) -> set[str]:
 def apply_by_candidates(docs: DataFrame, tokens: DataFrame, text: str = "text", out: str = "scrubbed") -> DataFrame:
     """As apply_map for vocabularies of any size: a text's stretches are joined with the
     values, and each distinct text is rewritten with its own few pairs."""
-    named = tokens.select(F.lower("real_value").alias("_key"), "real_value", "token")
+    @F.pandas_udf("string")
+    def low(part: pd.Series) -> pd.Series:  # as the stretches are, one character for each
+        return part.map(_low)
+
+    named = tokens.select(low("real_value").alias("_key"), "real_value", "token")
     size = F.size(F.regexp_extract_all("real_value", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"), F.lit(0)))
     most = named.agg(F.coalesce(F.max(size), F.lit(0)).alias("m")).first()["m"]
 

@@ -44,7 +44,7 @@ _MADE = T.StructType([T.StructField("regex", T.StringType()), T.StructField("ske
 
 
 def _escaped(text: str) -> str:
-    return re.sub(r"([.*+?^${}()|\[\]\\/-])", r"\\\1", text)
+    return re.sub(r"([.*+?^${}()|\[\]\\/])", r"\\\1", text)
 
 
 def _regex(row) -> tuple[str | None, str | None, float]:
