@@ -107,8 +107,7 @@ def induce(values: DataFrame, keys: list[str], value: str = "value") -> DataFram
     made = facts.withColumn("r", _assemble(F.struct("low_shape", "high_shape", "min_len", "max_len", "mean_len", "prefix", "suffix", F.col("p.low").alias("low"), F.col("p.high").alias("high"), F.col("p.least").alias("least"), F.col("p.most").alias("most"))))
     made = made.filter("r.regex IS NOT NULL").select(*keys, "n_examples", F.col("r.regex").alias("regex_source"), F.col("r.skeleton").alias("skeleton"), F.col("r.specificity").alias("confidence"))
     # a regex that varies by row has Spark's own dialect, so its boundary is spelled out
-    spelled = F.replace("regex_source", F.lit(r"\b"), F.lit(java(r"\b")))
-    missed = rows.join(made.withColumn("_rx", spelled), keys).filter(~F.expr("value RLIKE _rx")).select(*keys).distinct()
+    missed = rows.join(made.withColumn("_rx", _spelled("regex_source")), keys).filter(~F.expr("value RLIKE _rx")).select(*keys).distinct()
     return made.join(missed, keys, "left_anti")
 
 
@@ -141,14 +140,30 @@ def admitted(patterns: DataFrame, regex: str = "regex_source") -> DataFrame:
     return patterns.withColumn("reason", F.when(F.length(r) > MAX_PATTERN, "pattern too long").when(nested, "nested quantifier").otherwise(regex_fault(r)))
 
 
-def decide(patterns: DataFrame, decisions: DataFrame) -> DataFrame:
+def _spelled(regex: str) -> Column:
+    """A regex column with the boundary spelled out."""
+    return F.replace(regex, F.lit(r"\b"), F.lit(java(r"\b")))
+
+
+def examples_of(patterns: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, example): the values (category, value) from which a pattern can have come. A table
+    of rows, as a cluster has no bound."""
+    rx = patterns.select("id", "category", _spelled("regex_source").alias("_rx"))
+    return values.select("category", F.col("value").alias("example")).join(rx, "category").filter(F.expr("example RLIKE _rx")).select("id", "example")
+
+
+def decide(patterns: DataFrame, decisions: DataFrame, examples: DataFrame | None = None) -> DataFrame:
     """Applies decisions (id, action: activate, reject, delete or edit, regex): an edit must
-    be admitted and match all the pattern's examples, else nothing changes."""
+    be admitted and match all examples (id, example) of its pattern, else nothing changes."""
     d = admitted(decisions.select("id", F.col("action").alias("_a"), F.col("regex").alias("_r")), "_r").withColumnRenamed("reason", "_bad")
-    rows = patterns.join(d, "id", "left").filter(~F.coalesce(F.col("_a") == "delete", F.lit(False)))
-    spelled = F.replace("_r", F.lit(r"\b"), F.lit(java(r"\b")))
-    rows = rows.withColumn("_rx", F.when(F.col("_bad").isNull(), spelled))
-    fits = F.col("_a").eqNullSafe("edit") & F.col("_rx").isNotNull() & F.expr("forall(source_examples, e -> e RLIKE _rx)")
+    d = d.withColumn("_rx", F.when(F.col("_bad").isNull() & (F.col("_a") == "edit"), _spelled("_r")))
+    if examples is None:
+        each = patterns.select("id", F.explode("source_examples").alias("example"))
+    else:
+        each = examples.select("id", "example")
+    missed = each.join(d.filter("_rx IS NOT NULL").select("id", "_rx"), "id").filter(~F.expr("example RLIKE _rx")).select("id", F.lit(True).alias("_missed")).distinct()
+    rows = patterns.join(d, "id", "left").join(missed, "id", "left").filter(~F.coalesce(F.col("_a") == "delete", F.lit(False)))
+    fits = F.col("_rx").isNotNull() & F.col("_missed").isNull()
     status = F.when(F.col("_a") == "activate", "active").when(F.col("_a") == "reject", "rejected").otherwise(F.col("status"))
     return rows.withColumns({"status": status, "regex_source": F.when(fits, F.col("_r")).otherwise(F.col("regex_source"))}).select(*patterns.columns)
 

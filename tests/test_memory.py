@@ -134,6 +134,11 @@ def test_pattern_life(spark):
     assert done.first()["status"] == "active"
     assert induce.decide(table, spark.createDataFrame([(i, "delete", None)], "id long, action string, regex string")).count() == 0
     assert induce.decide(table, spark.createDataFrame([(i, "edit", "(a+)+")], "id long, action string, regex string")).first()["regex_source"] == rows[0][2]
+    examples = induce.examples_of(table, spark.createDataFrame([("t", "INC-00001"), ("t", "other"), ("v", "INC-00002")], "category string, value string"))
+    assert [tuple(r) for r in examples.collect()] == [(i, "INC-00001")]
+    for regex, want in ((r"\bINC-\d+\b", r"\bINC-\d+\b"), (r"\bINC-2\d*\b", rows[0][2])):
+        done = induce.decide(table, spark.createDataFrame([(i, "edit", regex)], "id long, action string, regex string"), examples)
+        assert done.first()["regex_source"] == want
     hits = spark.createDataFrame([(1, i), (1, i), (2, i)], "doc_id long, source long")
     assert induce.bump_hits(table, hits).first()["hit_count"] == 2
 
