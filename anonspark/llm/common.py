@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,11 @@ def one_text(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     rest = [c for c in ids.columns if c != "doc_id"]
     found = docs.filter("text IS NOT NULL").select("doc_id", "text").join(small(ids, rows), "doc_id")
     return found.groupBy("doc_id", *rest).agg(F.min("text").alias("text"))
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system: it lives on and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, small
+from .common import fresh, release, saved, small
 
 ERROR_RATE = 0.1
 #: Items of one pass hold at most this many bytes of text (what a task keeps of them).
@@ -171,6 +171,7 @@ def _scan(items: list[tuple[int, str]], rate: float):
                     if rows:
                         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits"])
                     texts, n, done = [], 0, i + 1
+            release()
     return run
 
 

@@ -14,7 +14,6 @@ p(w | u) = c(u w) / (c(u) + G) + G / (c(u) + G) * p(w), p(w) = (c(w) + 1) / (N +
 
 from __future__ import annotations
 
-import ctypes
 import math
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, saved, text_bytes
+from .common import held_out, release, saved, text_bytes
 from .eliasfano import Trie, restore
 
 #: Weight of the unigram distribution in each context, in tokens.
@@ -47,14 +46,6 @@ _END = xxhash.xxh64_intdigest(b"\n")  # no word has a newline
 _U = np.uint64
 
 
-def _release() -> None:
-    """Gives freed memory back to the system: a worker lives on and serves other stages."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -159,7 +150,7 @@ def _encoder(limits: Limits):
                     _deltas(hashes[lo:hi]), counts[lo:hi], np.bincount(u, minlength=hi - lo), _deltas(_short(hashes[vs])),
                     np.searchsorted(vs, v), seen[a:b], np.array([lo, a, checksum(keys)]))))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENCODED)], schema=_ENCODED)
-        _release()
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId() << 24, 0
@@ -284,7 +275,7 @@ def _answer(limits: Limits):
             codes = trie.find(place[m.u], m.words[m.v.astype(np.int64)])
             out.append((block, shard, n, types, None, _pack(codes, trie.counts[place], np.array([m.low, m.first, m.check]))))
         del messages, trie
-        _release()
+        release()
         return pd.DataFrame(out, columns=columns)
     return run
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, one_text, saved
+from .common import fresh, held_out, one_text, release, saved
 
 #: Labelled documents of each class that are used at most. This bounds what is broadcast
 #: (4,000 vectors of 64 floats) and what the driver gathers (their term counts).
@@ -150,6 +150,7 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
         parts = [shared.value.score(term_counts(list(text.iloc[i : i + _BLOCK]))) for i in range(0, len(text), _BLOCK)]
+        release()
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(score, of(F.col("text")))

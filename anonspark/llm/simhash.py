@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, small
+from .common import fresh, release, saved, small
 from .graph import components
 
 RADIUS = 4
@@ -80,6 +80,7 @@ def _fingerprint_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
                 fp = fingerprints(groups).view(np.int64)
                 yield pd.DataFrame({"doc_id": keys.iloc[done : i + 1], "fp": fp})
                 groups, n, done = [], 0, i + 1
+        release()
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
