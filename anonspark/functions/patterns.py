@@ -6,6 +6,7 @@ space is Unicode; Java's boundary is Unicode, hence BOUNDARY and SPACE.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -161,10 +162,16 @@ class Detector:
     confidence: float
     gate: Callable[[Column], Column]
     group: int = 0
+    #: A look-ahead that every match meets, tried before the pattern itself.
+    hint: str = ""
 
     @property
     def regex(self) -> str:
-        return java(self.pattern)
+        """The pattern in Java's dialect. Where all that can follow a leading boundary is a
+        letter or digit of ASCII, the boundary only has to look back."""
+        if self.name == "person_adjacent":
+            return java(self.pattern)
+        return java(re.sub(r"(^|\|)\\b", lambda m: m[1] + r"(?<!\w)" + self.hint, self.pattern))
 
 
 def _has(*parts: str) -> Callable[[Column], Column]:
@@ -185,6 +192,25 @@ def _any(text: Column) -> Column:
     return F.lit(True)
 
 
+def _pair(text: Column) -> Column:
+    return text.contains(":") | text.contains("-")
+
+
+#: What a credential begins with, one of them in every match.
+CREDENTIAL_STARTS = "sk-ant- sk-proj- sk_live_ sk_test_ ghp_ ghs_ gho_ ghu_ github_pat_ whsec_ -----BEGIN eyJ AKIA ASIA AIDA AROA AIPA ANPA ANVA ASCA AccountKey= SharedAccessSignature= xox Bearer".split()
+
+
+def may_have_credential(text: Column) -> Column:
+    out = text.contains(CREDENTIAL_STARTS[0])
+    for start in CREDENTIAL_STARTS[1:]:
+        out = out | text.contains(start)
+    return out
+
+
+def may_have_pair(text: Column) -> Column:
+    return text.contains("=") | text.contains(":")
+
+
 DETECTORS = (
     Detector("ipv4", 4, IPV4, "IP", "ip", 1.0, _digit),
     Detector("ipv6", 5, IPV6, "IP", "ip", 0.95, _has(":")),
@@ -194,13 +220,13 @@ DETECTORS = (
     Detector("person_sign_off", 9, PERSON_SIGN_OFF, "PERSON", "person", 0.9, _has("\n"), 1),
     Detector("unc_path", 10, UNC_PATH, "PATH", "path", 1.0, _has("\\\\")),
     Detector("domain_user", 11, DOMAIN_USER, "USER", "domain_user", 0.95, _has("\\")),
-    Detector("mac", 12, MAC, "MAC", "mac", 1.0, _any),
+    Detector("mac", 12, MAC, "MAC", "mac", 1.0, _pair),
     Detector("guid", 13, GUID, "GUID", "guid", 0.9, _has("-")),
     Detector("phone", 14, PHONE, "PHONE", "phone", 0.9, _digit),
     Detector("street", 15, STREET, "ADDR", "address", 0.85, _digit),
     Detector("card", 16, CARD, "ACCOUNT", "account_number", 0.95, _digit),
     Detector("url", 17, URL, "URL", "url", 0.9, _has("://")),
-    Detector("fqdn", 18, FQDN, "HOST", "fqdn", 0.85, _has(".")),
+    Detector("fqdn", 18, FQDN, "HOST", "fqdn", 0.85, _has("."), hint=r"(?=[a-zA-Z0-9\-]+\.[a-zA-Z0-9])"),
     Detector("corp", 19, CORP, "", "customer", 0.6, _any),
 )
 BY_NAME = {d.name: d for d in DETECTORS}

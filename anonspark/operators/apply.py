@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anonspark.functions.patterns import CREDENTIAL, SENSITIVE_KV, TOKEN_ANYWHERE, java
+from anonspark.functions.patterns import CREDENTIAL, SENSITIVE_KV, TOKEN_ANYWHERE, java, may_have_credential, may_have_pair
 
 CREDENTIAL_MARK = "[CREDENTIAL-REDACTED]"
 #: Values up to which each worker keeps the map; above, texts meet only the values they may hold.
@@ -138,23 +138,24 @@ def restore(docs: DataFrame, vocab: DataFrame, text: str = "text", out: str = "r
 
 
 def redact_credentials(text: Column) -> Column:
-    return F.regexp_replace(text, java(CREDENTIAL), CREDENTIAL_MARK)
+    return F.when(may_have_credential(text), F.regexp_replace(text, java(CREDENTIAL), CREDENTIAL_MARK)).otherwise(text)
 
 
 def redact_kv(text: Column) -> Column:
-    return F.regexp_replace(text, java(SENSITIVE_KV), "$1=[REDACTED]")
+    return F.when(may_have_pair(text), F.regexp_replace(text, java(SENSITIVE_KV), "$1=[REDACTED]")).otherwise(text)
 
 
 def credential_snippets(text: Column) -> Column:
     """The beginnings of credentials, and the keys of sensitive pairs, never the secrets."""
-    found = F.regexp_extract_all(text, F.lit(java(CREDENTIAL)), F.lit(0))
-    keys = F.regexp_extract_all(text, F.lit(java(SENSITIVE_KV)), F.lit(1))
+    none = F.array().cast("array<string>")
+    found = F.coalesce(F.when(may_have_credential(text), F.regexp_extract_all(text, F.lit(java(CREDENTIAL)), F.lit(0))), none)
+    keys = F.coalesce(F.when(may_have_pair(text), F.regexp_extract_all(text, F.lit(java(SENSITIVE_KV)), F.lit(1))), none)
     short = F.transform(found, lambda c: F.when(F.length(c) <= 6, "***").otherwise(F.concat(F.substring(c, 1, 6), F.lit("…"))))
     return F.concat(short, F.transform(keys, lambda k: F.concat(k, F.lit("=…"))))
 
 
 def has_credentials(text: Column) -> Column:
-    return text.rlike(java(CREDENTIAL)) | text.rlike(java(SENSITIVE_KV))
+    return (may_have_credential(text) & text.rlike(java(CREDENTIAL))) | (may_have_pair(text) & text.rlike(java(SENSITIVE_KV)))
 
 
 def context(text: Column, position: Column, length: Column, reach: int = 32, ellipsis: bool = True) -> Column:
