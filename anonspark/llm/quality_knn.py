@@ -69,7 +69,7 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
         w = max(1, len(words))
         same = sum(a == b for a, b in zip(words, words[1:]))
         by = np.bincount(kinds, minlength=8) / n
-        tail = by[7], by[2], by[3], same / w, 1 - len(set(words)) / w, min(1.0, n / w / 20), by[6], by[5]
+        tail = by[7], by[2], by[3], same / (w + 20), (len(words) - len(set(words))) / (w + 20), min(1.0, n / w / 20), by[6], by[5]
         out[r, _PAIRS + _SHAPES : _PAIRS + _SHAPES + 8] = 3 * np.sqrt(tail)
     return out
 
