@@ -82,6 +82,32 @@ def one_text(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     return found.groupBy("doc_id", *rest).agg(F.min("text").alias("text"))
 
 
+def text_key(column: str = "text"):
+    """MD5 of a text, in hex; a null text has an empty key."""
+    return F.coalesce(F.md5(F.col(column)), F.lit(""))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """docs with one row of each group. rows (doc_id, text_key, group): the rows that are
+    grouped; others stay. Of a group the least doc_id stays, of these the least text_key, of
+    these the least row; a null doc_id comes last."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = rows.groupBy(group).agg(F.min(order).alias("_first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    is_first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_key") == F.col("_first.text_key"))
+    ranked = rows.join(first, group).groupBy("doc_id", "text_key").agg(F.max(is_first).alias("first"), F.count("*").alias("n"))
+    ranked = saved(ranked.filter("n > 1 OR NOT first"), "ranked")
+    own, id_, key, once = fresh(docs.columns, "_own_key", "_doc_id", "_text_key", "_first")
+    ranked = ranked.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("first").alias(once))
+    n = ranked.count()
+    if not n:
+        return docs
+    keyed = docs.withColumn(own, text_key())
+    marked = keyed.join(small(ranked, n), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
+    stay = marked.filter(F.col(once).isNull()).select(*docs.columns)
+    again = marked.filter(F.col(once)).groupBy("doc_id", own).agg(F.min(F.struct(*docs.columns)).alias(once))
+    return stay.unionByName(again.select(f"{once}.*").select(*docs.columns))
+
+
 def release() -> None:
     """Gives a worker's freed memory back to the system: it lives on and serves other stages."""
     pa.default_memory_pool().release_unused()
