@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, saved, small
+from .common import fresh, release, saved, small, text_key
 
 ERROR_RATE = 0.1
 #: Items of one pass hold at most this many bytes of text (what a task keeps of them).
@@ -158,18 +158,18 @@ def _scan(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(items, rate)
         for pdf in batches:
-            ids, texts, n = pdf.iloc[:, 0], [], 0
+            ids, keys, texts, n = pdf.iloc[:, 0], pdf.iloc[:, 1], [], 0
             done = 0
-            for i, text in enumerate(pdf.iloc[:, 1]):
+            for i, text in enumerate(pdf.iloc[:, 2]):
                 texts.append(normalised(text))
                 n += len(texts[-1])
                 if n > 4 << 20 or i + 1 == len(pdf):
                     rows = [
-                        (ids.iloc[done + d], matcher.items[m][0], edits)
+                        (ids.iloc[done + d], keys.iloc[done + d], matcher.items[m][0], edits)
                         for d, found in enumerate(matcher.search(texts)) for m, edits in found.items()
                     ]
                     if rows:
-                        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits"])
+                        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "item_id", "edits"])
                     texts, n, done = [], 0, i + 1
             release()
     return run
@@ -190,28 +190,30 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, edits): every item that occurs anywhere in a document's text with
-    at most its budget of edits. Rows that repeat a doc_id report together."""
+    """(doc_id, text_key, item_id, edits): every item that occurs anywhere in a document's
+    text with at most its budget of edits, once for rows of the same doc_id and text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    rows = docs.filter("text IS NOT NULL").select("doc_id", text_key().alias("text_key"), "text")
+    schema = f"doc_id {kind}, text_key string, item_id {item_kind}, edits int"
     found = None
     for block in item_blocks(benchmark, block_bytes):
-        part = rows.mapInPandas(_scan(block, rate), f"doc_id {kind}, item_id {item_kind}, edits int")
+        part = rows.mapInPandas(_scan(block, rate), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, edits int")
-    return saved(found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits")), "leaks")
+        found = docs.sparkSession.createDataFrame([], schema)
+    return saved(found.groupBy("doc_id", "text_key", "item_id").agg(F.min("edits").alias("edits")), "leaks")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """Per row of docs: doc_id, contaminated, n_items, item_ids (sorted, comma-joined),
-    least_edits (null if clean). A null or empty text is clean; rows that repeat a doc_id,
-    or have none, share the items found in any of them. Empty in, empty out."""
+    least_edits (null if clean). A null or empty text is clean; a row's own
+    text decides, also where rows repeat a doc_id or have none. Empty in, empty out."""
     found = matches(docs, benchmark, rate)
-    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("ids"), F.min("edits").alias("least_edits"))
-    per = per.withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id").join(small(per, per.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    per = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item_id")).alias("ids"), F.min("edits").alias("least_edits"))
+    per = per.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own_key") == F.col("_key"))
+    rows = docs.select("doc_id", text_key().alias("own_key")).join(small(per, per.count()), same, "left")
     return rows.select(
         "doc_id",
         F.col("ids").isNotNull().alias("contaminated"),
@@ -223,6 +225,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """docs without the rows that hold an item."""
-    leak, = fresh(docs.columns, "_leak_id")
-    ids = saved(matches(docs, benchmark, rate).select(F.col("doc_id").alias(leak)).distinct(), "leaking")
-    return docs.join(small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")
+    leak, key = fresh(docs.columns, "_leak_id", "_leak_key")
+    leaks = matches(docs, benchmark, rate).select(F.col("doc_id").alias(leak), F.col("text_key").alias(key)).distinct()
+    leaks = saved(leaks, "leaking")
+    same = F.col("doc_id").eqNullSafe(F.col(leak)) & (text_key() == F.col(key))
+    return docs.join(small(leaks, leaks.count()), same, "left_anti")

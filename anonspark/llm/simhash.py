@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, saved, small
+from .common import keep_first, release, saved, small, text_key
 from .graph import components
 
 RADIUS = 4
@@ -291,17 +291,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the row whose doc_id is its
-    component_id stays, one row of those that repeat it. Rows without a doc_id stay."""
-    found = saved(classes(docs, radius), "classes")
-    ids = found.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    ids = saved(ids, "dropped")
-    kept = docs.join(small(ids, ids.count()), "doc_id", "left_anti")
-    again = saved(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    n = again.count()
-    if not n:
-        return kept
-    mark, = fresh(docs.columns, "_repeated")
-    marked = kept.join(small(again.withColumn(mark, F.lit(True)), n), "doc_id", "left")
-    once = marked.filter(F.col(mark)).groupBy("doc_id").agg(*[F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_r")]).select("_r.*")
-    return marked.filter(F.col(mark).isNull()).select(*docs.columns).unionByName(once.select(*docs.columns))
+    """docs without near-duplicates: of each component the row of the least doc_id stays,
+    one row of those that repeat it. Rows without a doc_id stay. Components are found by
+    text, so rows that repeat a doc_id with another text are told apart."""
+    found = classes(docs.select(text_key().alias("doc_id"), "text"), radius)
+    named = saved(found.select(F.col("doc_id").alias("text_key"), "component_id").distinct(), "classes")
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", text_key().alias("text_key"))
+    return keep_first(docs, saved(rows.join(small(named, named.count()), "text_key"), "named"), "component_id")

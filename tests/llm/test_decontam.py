@@ -76,3 +76,13 @@ def test_odd_rows(odd, none, spark, clashing):
     assert decontam.contamination(odd, bench.limit(0)).filter("contaminated").count() == 0
     kept = decontam.decontaminated(clashing, bench)
     assert kept.columns == clashing.columns and kept.count() == odd.count() - 3
+
+
+def test_rows_of_one_id_are_decided_by_their_own_text(spark):
+    bench = spark.createDataFrame([(1, "quick brown fox jumps over the dog")], "item_id long, text string")
+    leak, clean = "see the quick brown fox jumps over the dog run", "nothing of the kind is here"
+    docs = spark.createDataFrame([(None, leak), (None, clean), (5, leak), (5, clean), (6, None)], "doc_id long, text string")
+    kept = decontam.decontaminated(docs, bench).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("5", clean), ("6", None), ("None", clean)]
+    rows = decontam.contamination(docs, bench).collect()
+    assert sorted((str(r["doc_id"]), r["n_items"]) for r in rows) == [("5", 0), ("5", 1), ("6", 0), ("None", 0), ("None", 1)]

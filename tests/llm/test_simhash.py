@@ -92,3 +92,11 @@ def test_odd_rows(odd, none, clashing):
     assert kept.columns == clashing.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7] and ids.count(None) == 3
+
+
+def test_rows_that_repeat_an_id_with_another_text_stay(spark):
+    rng = random.Random(9)
+    copy, x, y = (" ".join(_doc(rng, 60)) for _ in range(3))
+    docs = spark.createDataFrame([(1, copy), (5, x), (5, copy), (6, x), (7, y), (7, copy + " z"), (8, y), (7, y)], "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect() if r["text"] in (copy, x, y))
+    assert kept == sorted([(1, copy), (5, x), (7, y)])
