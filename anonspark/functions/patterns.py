@@ -107,6 +107,14 @@ def java(pattern: str) -> str:
     return out
 
 
+def java_column(pattern: Column) -> Column:
+    """`java` of a column of patterns."""
+    steps = ((r"\\", "\x00"), (r"[^\s", NOT_SPACE[:-1]), (r"[\s", SPACE[:-1]), (r"\b", BOUNDARY), (r"\s", SPACE), ("\x00", r"\\"))
+    for old, new in steps:
+        pattern = F.replace(pattern, F.lit(old), F.lit(new))
+    return pattern
+
+
 # ---------------------------------------------------------------- filters
 def fqdn_allowed(host: Column, extra: Sequence[str] = ()) -> Column:
     """Whether a host is vendor infrastructure, by suffix, or a host that is never replaced."""

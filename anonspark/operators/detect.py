@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from anonspark.config import ScrubConfig
 from anonspark.functions.patterns import (
-    BY_RANK, DETECTORS, Detector, fqdn_allowed, java, looks_like_date, looks_like_identifier, url_host, valid_person,
+    BY_RANK, DETECTORS, Detector, fqdn_allowed, java, java_column, looks_like_date, looks_like_identifier, url_host, valid_person,
 )
+from anonspark.plans.storage import small
 
 HIT = "struct<rank:int,match_idx:int,value:string,type:string,category:string,confidence:double,source:bigint>"
 _PERSON = (7, 8, 9)
@@ -80,21 +81,13 @@ def premint(spark, config: ScrubConfig) -> DataFrame:
 
 def drop_allowlisted(rows: DataFrame, allow: DataFrame, value: str = "value") -> DataFrame:
     """Rows whose value no allowlist entry (pattern, is_regex) covers: literals by equality
-    without case, regexes by a search without case. Regexes are few and meet distinct values only."""
+    without case, regexes by a search without case. Every regex meets every distinct value."""
     literal = allow.filter("NOT is_regex").select(F.lower("pattern").alias("_k")).distinct()
     out = rows.join(literal, F.lower(F.col(value)) == F.col("_k"), "left_anti")
-    regexes = [r["pattern"] for r in allow.filter("is_regex").select("pattern").distinct().limit(1000).collect()]
-    if regexes:
-        covered = out.select(F.col(value).alias("_k")).distinct().filter(_search(regexes))
-        out = out.join(covered, F.col(value) == F.col("_k"), "left_anti")
-    return out
-
-
-def _search(regexes: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for r in regexes:
-        hit = hit | F.col("_k").rlike("(?i)" + java(r))
-    return hit
+    regexes = allow.filter("is_regex").select(F.concat(F.lit("(?i)"), java_column(F.col("pattern"))).alias("_p")).distinct()
+    values = out.select(F.col(value).alias("_k")).distinct()
+    covered = values.join(small(regexes), F.rlike("_k", F.col("_p"))).select("_k").distinct()
+    return out.join(covered, F.col(value) == F.col("_k"), "left_anti")
 
 
 def counts(hits: DataFrame) -> DataFrame:

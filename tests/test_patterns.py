@@ -69,3 +69,17 @@ def test_allowlist(spark):
 def test_counts_and_nulls(spark):
     docs = spark.createDataFrame([(1, "10.0.0.1 10.0.0.1"), (2, None), (3, "")], "doc_id long, text string")
     assert [tuple(r) for r in counts(detect(docs)).collect()] == [("ipv4", 2, 1)]
+
+
+def test_every_allowlist_regex_counts(spark):
+    rows = spark.createDataFrame([(f"host{i}x",) for i in range(1500)] + [("a b",), ("keep",), (None,)], "value string")
+    allow = spark.createDataFrame([(f"^HOST{i}x$", True) for i in range(1500)] + [(r"\ba\sB", True)], "pattern string, is_regex boolean")
+    assert [r[0] for r in drop_allowlisted(rows, allow).collect() if r[0]] == ["keep"]
+
+
+def test_java_column_equals_java(spark):
+    from anonspark.functions.patterns import java, java_column
+
+    cases = [r"\bA\s+[\s,][^\s]\\b\\s", "plain", ""]
+    got = spark.createDataFrame([(c,) for c in cases], "p string").select(java_column(F.col("p"))).collect()
+    assert [r[0] for r in got] == [java(c) for c in cases]
