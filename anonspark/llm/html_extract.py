@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 
 from dataclasses import dataclass
 
@@ -24,7 +24,9 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe object svg math textarea title head canvas audio video".split())
-_BOILER = frozenset("nav footer aside form menu button select dialog fieldset option".split())
+#: Those whose text runs to the end of the page if they have no end tag.
+_TO_END = frozenset("script style title textarea".split())
+_BOILER = frozenset("nav footer aside menu button select dialog fieldset option".split())
 #: What an opening tag closes, if it is open: an item closes an item, a block closes a paragraph.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("ul ol dl table article section div body html nav aside footer main header select td th".split())
@@ -57,12 +59,13 @@ class Block:
     text: str
     parent: int
     score: float
+    form: int = 0
 
 
 class _Open:
     """An open element: its number, and the evidence that it and those around it give."""
 
-    __slots__ = ("bad", "good", "inside", "link", "name", "number")
+    __slots__ = ("bad", "form", "good", "inside", "link", "name", "number")
 
     def __init__(self, name: str, attributes: str, number: int, outer: _Open | None):
         self.name, self.number = name, number
@@ -70,8 +73,11 @@ class _Open:
         good = outer.good if outer else False
         inside = outer.inside if outer else False
         self.link = name == "a" or (outer.link if outer else False)
+        self.form = outer.form if outer else 0
         if name in ("article", "main"):
-            inside = True
+            inside, self.form = True, 0
+        elif name == "form":
+            self.form = self.form or number
         elif name in _BOILER or name == "header" and not inside:
             bad = True
         if attributes:
@@ -86,6 +92,25 @@ class _Open:
         self.bad, self.good, self.inside = bad, good, inside
 
 
+def _media_end(page: str, at: int, name: str, around: set[str]) -> int:
+    """Where an element opened before `at` ends; `at` itself if an element around it ends
+    first or the page does: then it has no end tag, and what follows is text of the page."""
+    if not re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at):
+        return at
+    depth = Counter({name: 1})
+    names = "|".join(map(re.escape, sorted(around | {name}, key=len, reverse=True)))
+    for tag in re.compile(rf"<!--.*?-->|<(/?)({names})(?=[\s/>])[^>]*?(/?)>", re.I | re.S).finditer(page, at):
+        if tag[2] is None or tag[3]:
+            continue
+        inner = tag[2].lower()
+        depth[inner] += -1 if tag[1] else 1
+        if inner == name and not depth[name]:
+            return tag.end()
+        if depth[inner] < 0:
+            return at
+    return at
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page with their scores. Broken markup is read as it comes: an end
     tag without a start is skipped, open elements end with the page."""
@@ -95,6 +120,7 @@ def blocks(page: str | None) -> list[Block]:
     numbers, at, main = 1, 0, False
     parts: list[str] = []
     linked, heading, owner = 0, False, stack[0]
+    sizes: Counter[int] = Counter()  # unmarked text by outermost form
 
     def end_block() -> None:
         nonlocal linked, heading
@@ -104,7 +130,8 @@ def blocks(page: str | None) -> list[Block]:
                 size = len(text)
                 score = BIAS + INSIDE_MAIN * owner.inside + MARKED * owner.bad + NAMED_GOOD * owner.good + HEADING * heading
                 score += LINKS * min(1.0, linked / size) + LENGTH * min(1.0, size / 200)
-                out.append(Block(text, owner.number, score))
+                out.append(Block(text, owner.number, score, 0 if owner.bad else owner.form))
+                sizes[out[-1].form] += 0 if owner.bad else size
             parts.clear()
         linked, heading = 0, False
 
@@ -154,7 +181,9 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         if name in _RAW:
-            if not found[4]:
+            if not found[4] and name not in _TO_END and name != "head":
+                at = _media_end(page, at, name, {e.name for e in stack[1:]})
+            elif not found[4]:
                 done = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if done:
                     at = done.end()
@@ -181,6 +210,9 @@ def blocks(page: str | None) -> list[Block]:
             main |= name in ("article", "main")
             numbers += 1
     end_block()
+    for b in out:  # a form is boilerplate, unless it wraps most of the page's text
+        if b.form and 2 * sizes[b.form] <= sizes.total():
+            b.score += MARKED
     if not main:
         for b in out:
             b.score += BIAS_ALONE - BIAS

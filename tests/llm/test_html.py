@@ -3,6 +3,8 @@ import random
 import re
 from itertools import product
 
+import pytest
+
 from anonspark.llm import html_extract as H
 
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1><a href=/>home</a></header>
@@ -62,3 +64,21 @@ def test_table(spark, sf):
     for r in rows:
         assert r["text"] == want.get(r["page_id"], "") and r["n_chars"] == len(r["text"])
     assert H.extract(pages.limit(0)).count() == 0
+
+
+TEXT = "A long paragraph of the article that tells what happened on the day in the town. " * 4
+
+
+@pytest.mark.parametrize("name", ["video", "object", "svg", "iframe", "canvas", "audio", "math"])
+def test_an_unclosed_media_element_takes_no_text(name):
+    want = " ".join(TEXT.split())
+    assert H.main_text(f"<body><article><{name} src=x><p>{TEXT}</p></article></body>") == want
+    assert H.main_text(f"<body><article><div><{name}></div><p>{TEXT}</p><{name}>no</{name}></article></body>") == want
+    assert H.main_text(f"<body><article><{name}><div><{name}>in</{name}></div>no</{name}><p>{TEXT}</p></article></body>") == want
+
+
+def test_a_form_around_the_page():
+    want = " ".join(TEXT.split())
+    assert H.main_text(f"<body><form><nav>menu</nav><main><p>{TEXT}</p></main></form></body>") == want
+    assert H.main_text(f"<body><form><nav>menu</nav><div><p>{TEXT}</p></div></form></body>") == want
+    assert H.main_text(f"<body><article><p>{TEXT}</p><form><label>mail address</label></form></article></body>") == want
