@@ -1,9 +1,13 @@
 """Main text of web pages by a minimum cut.
 
-A page becomes blocks of text in page order. A linear classifier over a block's place in
-the document, its links and its length gives its cost of being content or boilerplate:
-the capacities to the two terminals. Neighbours in page order and blocks under one parent
-are joined by smoothness edges. The minimum cut is the labelling of least total cost.
+A page becomes blocks of text in page order and marks: the elements that say something
+about what they hold (an article, a menu, a class name). A linear classifier over a
+block's length, its links and its form gives its cost of being content or boilerplate, a
+mark has a cost of its own; these are the capacities to the two terminals. Smoothness
+edges join neighbours in page order, blocks under one parent, and each block with the
+nearest mark around it. The minimum cut is the labelling of least total cost: short or
+doubtful blocks go the way of what is around them, and long prose may outweigh a mark
+that only hints at boilerplate.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, deque
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,156 +27,279 @@ _BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math textarea title head canvas audio video".split())
-#: Those whose text runs to the end of the page if they have no end tag.
-_TO_END = frozenset("script style title textarea".split())
+#: Elements whose content is no markup; it runs to the end of the page if they have no end tag.
+_RAW = frozenset("script style title textarea".split())
+#: Elements whose content is shown only in their stead; without an end tag they hold nothing.
+_MEDIA = frozenset("noscript template iframe object svg math canvas audio video head".split())
 _BOILER = frozenset("nav footer aside menu button select dialog fieldset option".split())
 #: What an opening tag closes, if it is open: an item closes an item, a block closes a paragraph.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("ul ol dl table article section div body html nav aside footer main header select td th".split())
 _NO_P = _BLOCK - frozenset("body html button option select".split())
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-#: Words in a class, id or role that mark boilerplate, and those that mark content.
-_BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner sidebar side widget nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments reply replies respond discussion disqus cookie cookies consent gdpr notice "
-    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager "
-    "copyright legal disclaimer search form contentinfo complementary skip".split())
-_BAD_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+# Words of class names, ids and roles.
+#: Boilerplate wherever it stands.
+_ALWAYS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion comment comments commentlist commentform disqus replies "
+    "cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay breadcrumb breadcrumbs pagination pager".split())
+#: Boilerplate by themselves, also in an article, but not around one.
+_LAYOUT = frozenset("sidebar widget nav navbar navigation menu footer masthead topbar toolbar complementary contentinfo".split())
+#: Boilerplate outside of an article; in one, only a hint.
+_HINTS = frozenset(
+    "side foot banner notice alert signup login share sharing social search form legal copyright disclaimer related recommended recommendations "
+    "reply respond discussion skip".split())
+_HEADER = frozenset("header head".split())  # of a page, unless in an article
+#: Words that say nothing about the content when they stand beside others.
+_NEUTRAL = frozenset(
+    "a an and area article articles bar block body bottom box btn button buttons center col column container content div entry footer global google group header "
+    "holder icon icons inner item items left link links list main message module msg nav outer page panel post posts primary right row secondary section site slot "
+    "small stories story sub text the thread title tools top ul unit us wrap wrapper".split())
 _GOOD_WORDS = frozenset("article content main story post entry body text".split())
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 #: Fixed weights of the classifier (evidence for content, negative for boilerplate).
-INSIDE_MAIN, MARKED, NAMED_GOOD, LINKS, LENGTH, HEADING, BIAS = 6.0, -12.0, 2.0, -4.0, 2.0, 0.5, -1.5
-#: The bias on a page that has no article or main element to tell the content by.
-BIAS_ALONE = 1.0
-#: Smoothness between neighbours in page order, and more under the same parent.
+BIAS, LENGTH, SENTENCE, HEADING, LINKS, NAMED_GOOD = -1.0, 2.5, 0.5, 0.5, -2.0, 1.0
+FULL_LENGTH = 150
+#: Costs of the marks; the first is more than all edges of a page.
+SURE, HINT = 1e6, -2.0
+#: Edges: neighbours in page order, more under one parent, and to the mark around a block.
 ADJACENT, SIBLING = 0.5, 0.75
+TO_BOILER, TO_ARTICLE, TO_MAIN, TO_HINT, TO_OUTSIDE, TO_PAGE, HINT_TO_OUTER = 6.0, 4.0, 2.5, 3.0, 4.0, 1.5, 1.0
 _UNIT = 1000
 
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)\s*(=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
+
+
+@dataclass(eq=False)
+class Mark:
+    """Evidence that an element gives for all that it holds."""
+
+    kind: str  # page, outside, article, main, boiler, form, hint
+    outer: Mark | None = None
+    yields: bool = False  # no mark if an article or main element is in it
+    wraps: bool = False  # there is one in it
+
+    def gain(self) -> float:
+        return HINT if self.kind == "hint" else -SURE if self.kind in ("boiler", "form", "outside") else SURE
+
 
 @dataclass
 class Block:
     text: str
     parent: int
     score: float
-    form: int = 0
+    mark: Mark
+    good: bool = False  # a container's name speaks for it
 
 
 class _Open:
-    """An open element: its number, and the evidence that it and those around it give."""
-
-    __slots__ = ("bad", "form", "good", "inside", "link", "name", "number")
-
-    def __init__(self, name: str, attributes: str, number: int, outer: _Open | None):
-        self.name, self.number = name, number
-        bad = outer.bad if outer else False
-        good = outer.good if outer else False
-        inside = outer.inside if outer else False
-        self.link = name == "a" or (outer.link if outer else False)
-        self.form = outer.form if outer else 0
-        if name in ("article", "main"):
-            inside, self.form = True, 0
-        elif name == "form":
-            self.form = self.form or number
-        elif name in _BOILER or name == "header" and not inside:
-            bad = True
-        if attributes:
-            if _HIDDEN.search(attributes):
-                bad = True
-            for groups in _NAMES.findall(attributes):
-                words = {w.lower() for w in _SPLIT.split("".join(groups)) if w}
-                if words & (_BAD_ARTICLE if name == "article" else _BAD_WORDS) and name not in ("html", "body", "main"):
-                    bad = True
-                elif words & _GOOD_WORDS:
-                    good = True
-        self.bad, self.good, self.inside = bad, good, inside
-
-
-def _media_end(page: str, at: int, name: str, around: set[str]) -> int:
-    """Where an element opened before `at` ends; `at` itself if an element around it ends
-    first or the page does: then it has no end tag, and what follows is text of the page."""
-    if not re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at):
-        return at
-    depth = Counter({name: 1})
-    names = "|".join(map(re.escape, sorted(around | {name}, key=len, reverse=True)))
-    for tag in re.compile(rf"<!--.*?-->|<(/?)({names})(?=[\s/>])[^>]*?(/?)>", re.I | re.S).finditer(page, at):
-        if tag[2] is None or tag[3]:
+    """An open element: its number, the nearest mark, and the nearest block element."""
+
+    __slots__ = ("good", "link", "mark", "media", "name", "number", "owner")
+
+    def __init__(self, name: str, number: int, outer: _Open | None, mark: Mark, good: bool = False):
+        self.name, self.number, self.mark, self.good = name, number, mark, good
+        self.link = name == "a" or bool(outer and outer.link)
+        self.media = outer.media if outer else 0
+        self.owner = self if outer is None or name in _BLOCK else outer.owner
+
+
+# ---------------------------------------------------------------- tokens
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, bool, dict[str, str]]]:
+    """(start, end, name, closes, empty, attributes) of the tags of a page and, with an empty
+    name, of its comments and declarations; what lies between them is text. Attributes are
+    read as browsers do. A quoted value without an end is taken to end before the next '>'. The
+    content of elements without markup goes with their start tag. Time is linear in the page."""
+    at, n, gone = 0, len(page), set()  # gone: quotes and end tags of which there is no more
+
+    def find(what: str, start: int) -> int:
+        place = -1 if what in gone else page.find(what, start)
+        if place < 0:
+            gone.add(what)
+        return place
+
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            short = page.startswith((">", "->"), start + 4)
+            end = page.find(">", start + 4) + 1 if short else (found + 3 if (found := page.find("-->", start + 4)) >= 0 else n)
+            yield start, end, "", False, False, {}
+            at = end
             continue
-        inner = tag[2].lower()
-        depth[inner] += -1 if tag[1] else 1
-        if inner == name and not depth[name]:
-            return tag.end()
-        if depth[inner] < 0:
-            return at
-    return at
-
-
+        closes = page.startswith("/", start + 1)
+        name = _NAME.match(page, start + 1 + closes)
+        if not name:
+            if closes or page.startswith(("!", "?"), start + 1):
+                end = (found + 1 if (found := page.find(">", start)) >= 0 else n)
+                yield start, end, "", False, False, {}
+                at = end
+            else:
+                at = start + 1
+            continue
+        place, attributes = name.end(), {}
+        while True:
+            found = _ATTRIBUTE.match(page, place)
+            if not found:
+                break
+            place, value = found.end(), ""
+            if found[2]:
+                quote = page[place : place + 1]
+                if quote in ("'", '"') and quote:
+                    end = find(quote, place + 1)
+                    if end < 0:
+                        end = found_end if (found_end := page.find(">", place)) >= 0 else n
+                        value, place = page[place + 1 : end], end
+                    else:
+                        value, place = page[place + 1 : end], end + 1
+                else:
+                    value = _UNQUOTED.match(page, place)[0]
+                    place += len(value)
+            attributes.setdefault(found[1].lower(), value)
+        end = (found_end if (found_end := page.find(">", place)) >= 0 else n)
+        empty = page.startswith("/", end - 1) and end > place
+        end, low = min(n, end + 1), name[0].lower()
+        if low in _RAW and not closes:
+            end = _raw_end(page, end, low, gone)
+        yield start, end, low, closes, empty, attributes
+        at = end
+
+
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
+
+
+def _raw_end(page: str, at: int, name: str, gone: set[str]) -> int:
+    done = None if "</" + name in gone else _RAW_ENDS[name].search(page, at)
+    if done is None:
+        gone.add("</" + name)
+    return done.end() if done else len(page)
+
+
+# ---------------------------------------------------------------- marks
+def _words(token: str) -> list[str]:
+    return [w.lower() for w in _SPLIT.split(token) if w]
+
+
+def named(attributes: dict[str, str], inside: bool) -> str:
+    """What class, id and role say: boiler, layout (boilerplate, unless an article is in it),
+    hint, or nothing."""
+    best = ""
+    for token in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split():
+        words = set(_words(token))
+        bad = words & (_ALWAYS | _LAYOUT | _HINTS | (frozenset() if inside else _HEADER))
+        if not bad:
+            continue
+        if words - bad - _NEUTRAL:  # it has a subject of its own, as in related-work
+            best = best or "hint"
+        elif bad & _ALWAYS:
+            return "boiler"
+        elif bad & _LAYOUT or not inside:
+            best = "related" if bad & {"related", "recommended", "recommendations"} and not bad & _LAYOUT else "layout"
+        else:
+            best = best or "hint"
+    return "boiler" if best == "related" else best
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    style = "".join(attributes.get("style", "").lower().split())
+    return "hidden" in attributes or "display:none" in style or "visibility:hidden" in style or attributes.get("aria-hidden", "").lower() == "true"
+
+
+def mark_of(name: str, attributes: dict[str, str], outer: Mark) -> Mark:
+    """The mark of an element that stands in `outer`; outer itself if it says nothing."""
+    inside = outer.kind in ("article", "main")
+    sure = outer.kind == "boiler"
+    if name in ("html", "body"):
+        return outer
+    if attributes and _hidden(attributes) or name in _BOILER:
+        return Mark("boiler", outer)
+    says = named(attributes, inside or outer.kind == "hint") if attributes else ""
+    if says == "boiler":
+        return Mark("boiler", outer)
+    if name in ("article", "main") and not (sure and not outer.yields):
+        mark, around = Mark(name, outer), outer
+        while around is not None and not around.wraps:
+            around.wraps, around = True, around.outer
+        return mark
+    if sure:
+        return outer
+    if says == "layout" or name == "header" and not inside and outer.kind != "hint":
+        return Mark("boiler", outer, yields=True)
+    if name == "form":
+        return outer if outer.kind == "form" else Mark("form", outer, yields=True)
+    return Mark("hint", outer) if says == "hint" else outer
+
+
+# ---------------------------------------------------------------- blocks
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page with their scores. Broken markup is read as it comes: an end
     tag without a start is skipped, open elements end with the page."""
     page = page or ""
     out: list[Block] = []
-    stack = [_Open("", "", 0, None)]
-    numbers, at, main = 1, 0, False
+    whole = Mark("page")
+    stack = [_Open("", 0, None, whole)]
+    where: dict[str, list[int]] = {}  # places of the open elements by name
+    scopes = [0]
+    within: dict[int, int] = {}  # media elements and those around them
+    ended: set[int] = set()
+    media: list[int] = []  # of each block
+    numbers, at = 1, 0
     parts: list[str] = []
-    linked, heading, owner = 0, False, stack[0]
-    sizes: Counter[int] = Counter()  # unmarked text by outermost form
+    linked, owner, good = 0, stack[0], False
 
     def end_block() -> None:
-        nonlocal linked, heading
+        nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 size = len(text)
-                score = BIAS + INSIDE_MAIN * owner.inside + MARKED * owner.bad + NAMED_GOOD * owner.good + HEADING * heading
-                score += LINKS * min(1.0, linked / size) + LENGTH * min(1.0, size / 200)
-                out.append(Block(text, owner.number, score, 0 if owner.bad else owner.form))
-                sizes[out[-1].form] += 0 if owner.bad else size
+                score = BIAS + LENGTH * min(1.0, size / FULL_LENGTH) + LINKS * min(1.0, linked / size)
+                score += HEADING * (owner.name in _HEADINGS) + SENTENCE * (text[-1] in ".!?…\"'»”’:;")
+                out.append(Block(text, owner.number, score + NAMED_GOOD * good, owner.mark, good))
+                media.append(owner.media)
             parts.clear()
-        linked, heading = 0, False
+        linked = 0
 
     def add(piece: str) -> None:
-        nonlocal linked, owner, heading
+        nonlocal linked, owner, good
         if piece:
             piece = html.unescape(piece) if "&" in piece else piece
-            if not parts:
-                owner = next((e for e in reversed(stack) if e.name in _BLOCK), stack[0])
             top = stack[-1]
-            if top.bad and not owner.bad and piece.strip():  # an inline element that is marked stands by itself
+            alone = top is not top.owner and (top.mark is not top.owner.mark or top.media != top.owner.media)
+            if alone and piece.strip():  # an inline element that is marked stands by itself
                 end_block()
-                owner = top
+                owner, good = top, top.good
                 parts.append(piece)
+                linked += len(piece) * top.link
                 end_block()
                 return
+            if not parts:
+                owner, good = top.owner, top.good
             parts.append(piece)
-            if top.link:
-                linked += len(piece)
-            heading |= owner.name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            linked += len(piece) * top.link
 
     def close(index: int) -> None:
         if any(e.name in _BLOCK for e in stack[index:]):
             end_block()
-        del stack[index:]
-
-    while True:
-        found = _TAG.search(page, at)
-        if not found:
-            add(page[at:])
-            break
-        add(page[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if name is None:
+        while len(stack) > index:
+            name = stack.pop().name
+            where[name].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
+
+    for start, end, name, closes, empty, attributes in tags(page):
+        add(page[at:start])
+        at = end
+        if not name or name in _RAW:
             continue
-        name = name.lower()
-        if found[1]:
-            index = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if index:
-                close(index)
+        if closes:
+            found = where.get(name)
+            if found and (name in _BLOCK and name != "p" or name in _MEDIA or found[-1] > scopes[-1]):
+                if name in _MEDIA:
+                    end_block()
+                    ended.add(stack[found[-1]].number)
+                close(found[-1])
             elif name == "p":
                 end_block()
             continue
@@ -180,56 +307,108 @@ def blocks(page: str | None) -> list[Block]:
             if parts:
                 parts.append(" ")
             continue
-        if name in _RAW:
-            if not found[4] and name not in _TO_END and name != "head":
-                at = _media_end(page, at, name, {e.name for e in stack[1:]})
-            elif not found[4]:
-                done = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if done:
-                    at = done.end()
-                elif name != "head":
-                    at = len(page)
-            continue
         if name in _VOID:
             if name in _BLOCK:
                 end_block()
             continue
         if name in _BLOCK:
             end_block()
-            closed = _CLOSES.get(name, ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in closed or name in _NO_P and stack[i].name == "p":
-                    close(i)
-                    if name in _CLOSES:
-                        continue
-                    break
-                if stack[i].name in _SCOPES:
-                    break
-        if not found[4]:
-            stack.append(_Open(name, found[3], numbers, stack[-1]))
-            main |= name in ("article", "main")
-            numbers += 1
+            closed = _CLOSES.get(name, ()) + (("p",) if name in _NO_P else ())
+            while (last := max((where[c][-1] for c in closed if where.get(c)), default=0)) and last >= scopes[-1]:
+                close(last)
+        if empty and name not in _BLOCK:
+            continue
+        outer = stack[-1]
+        mark = mark_of(name, attributes, outer.mark)
+        if name not in _BLOCK and mark.kind == "hint":
+            mark = outer.mark
+        element = _Open(name, numbers, outer, mark, outer.good or bool(attributes and name not in ("html", "body") and _GOOD_WORDS & set(_words(attributes.get("class", "") + " " + attributes.get("id", "")))))
+        if name in _MEDIA:
+            end_block()
+            element.media = numbers
+            within[numbers] = outer.media
+        where.setdefault(name, []).append(len(stack))
+        if name in _SCOPES:
+            scopes.append(len(stack))
+        stack.append(element)
+        numbers += 1
+    add(page[at:])
     end_block()
-    for b in out:  # a form is boilerplate, unless it wraps most of the page's text
-        if b.form and 2 * sizes[b.form] <= sizes.total():
-            b.score += MARKED
-    if not main:
-        for b in out:
-            b.score += BIAS_ALONE - BIAS
-    return out
-
-
-def edges(page: list[Block]) -> list[tuple[int, int, int]]:
-    """(i, j, capacity) between neighbours in page order and successive blocks of a parent."""
+    gone = {0: False}
+    for m, around in within.items():  # in page order, so what is around comes first
+        gone[m] = m in ended or gone[around]
+    return _resolved([b for b, m in zip(out, media) if not gone[m]])
+
+
+def _resolved(page: list[Block]) -> list[Block]:
+    """The blocks with marks that hold: one around an article gives way to what is around
+    it, as does a form around most of the text; text outside is boilerplate where articles
+    hold a good part of the text."""
+    sizes: Counter[Mark] = Counter()
+    for b in page:
+        sizes[b.mark] += len(b.text)
+    free = sum(n for m, n in sizes.items() if m.kind != "boiler" or m.yields and m.wraps)
+    names: dict[Mark, Mark] = {}
+
+    def holds(mark: Mark) -> Mark:
+        chain = []
+        while mark not in names and mark.outer is not None:
+            chain.append(mark)
+            mark = mark.outer
+        last = names.setdefault(mark, mark)
+        for m in reversed(chain):
+            wide = m.kind == "form" and 2 * sizes[m] > free
+            if m.yields and (m.wraps or wide):
+                names[m] = last
+            else:
+                m.outer = last
+                names[m] = m
+            last = names[m]
+        return last
+
+    own = 0
+    for b in page:
+        b.mark = holds(b.mark)
+        inner = b.mark.outer if b.mark.kind == "hint" else b.mark
+        own += len(b.text) * (inner.kind in ("article", "main"))
+    if page and 4 * own >= free:
+        root = page[0].mark
+        while root.outer is not None:
+            root = root.outer
+        root.kind = "outside"
+    if own:  # names of containers tell the content only where no element does
+        for b in page:
+            b.score -= NAMED_GOOD * b.good
+    return page
+
+
+# ---------------------------------------------------------------- the cut
+def graph(page: list[Block]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(gains, edges): the blocks' gains and then those of the marks, and edges (i, j,
+    capacity) between neighbours in page order, successive blocks of a parent, and blocks and
+    marks with the marks around them."""
+    gains = [round(b.score * _UNIT) for b in page]
     last: dict[int, int] = {}
+    places: dict[Mark, int] = {}
     out = []
+
+    def place(mark: Mark) -> int:
+        if mark not in places:
+            places[mark] = len(gains)
+            gains.append(round(mark.gain() * _UNIT))
+            if mark.kind == "hint":
+                out.append((places[mark], place(mark.outer), int(HINT_TO_OUTER * _UNIT)))
+        return places[mark]
+
+    to = {"boiler": TO_BOILER, "form": TO_BOILER, "article": TO_ARTICLE, "main": TO_MAIN, "hint": TO_HINT, "outside": TO_OUTSIDE, "page": TO_PAGE}
     for i, b in enumerate(page):
         near = {i - 1: ADJACENT} if i else {}
         if b.parent in last:
             near[last[b.parent]] = near.get(last[b.parent], 0.0) + SIBLING
         out += [(j, i, int(c * _UNIT)) for j, c in near.items()]
         last[b.parent] = i
-    return out
+        out.append((i, place(b.mark), int(to[b.mark.kind] * _UNIT)))
+    return gains, out
 
 
 def min_cut(gain: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
@@ -299,13 +478,14 @@ def _source_side(nodes: list[int], gain: list[int], near: list[dict[int, int]])
 def main_text(page: str | None) -> str:
     """The text of the blocks that the cut leaves with the content."""
     found = blocks(page)
-    labels = min_cut([round(b.score * _UNIT) for b in found], edges(found))
+    labels = min_cut(*graph(found))
     return " ".join(b.text for b, keep in zip(found, labels) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per row of pages: page_id, url, text, n_chars. A null or empty page has empty text;
-    repeated rows repeat; empty in, empty out; extra columns don't matter."""
+    """Per row of pages: page_id, url, text, n_chars. A null or empty page has empty text, a
+    very long one is read whole in linear time; ties of the cut go to boilerplate; repeated
+    rows repeat; empty in, empty out; extra columns, of whatever name, don't matter."""
     @F.pandas_udf("string")
     def of(page: pd.Series) -> pd.Series:
         return page.map(main_text, na_action=None)

@@ -1,8 +1,10 @@
 import html
 import random
 import re
+import time
 from itertools import product
 
+import pyarrow.parquet as pq
 import pytest
 
 from anonspark.llm import html_extract as H
@@ -54,6 +56,66 @@ def _article(page):
     return " ".join(x for x in (" ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", b))).split()) for b in blocks) if x)
 
 
+PROSE = "Some prose, with no links whatsoever, that goes on for quite a while, so that it counts as a paragraph of the text."
+
+
+@pytest.mark.parametrize("name", "legal notice share side search related form header social banner alert reply related-work legal-notice-period header-of-the-letter".split())
+def test_a_hint_in_an_article_does_not_outweigh_prose(name):
+    for tag in ("section", "div"):
+        page = f"<body><nav><a href=x>x</a></nav><article><h1>Title</h1><p>{PROSE}</p><{tag} class='{name}'><p>{PROSE}</p></{tag}><p>Short.</p></article></body>"
+        assert H.main_text(page) == f"Title {PROSE} {PROSE} Short."
+
+
+def test_hints_marks_and_outside_text():
+    share = "<div class='share'><a href=x>Tweet</a> <a href=y>Mail</a></div>"
+    comments = f"<section class='comments'><article><p>{PROSE}</p></article></section>"
+    advert = f"<div class='google-ad'><p>{PROSE} {PROSE}</p></div>"
+    page = f"<body class='has-sidebar'><div class='page-header'>Site</div><div class='sidebar-layout'><article><p>{PROSE}</p>{share}{advert}<p>End.</p></article>{comments}</div><div>{PROSE}</div></body>"
+    assert H.main_text(page) == f"{PROSE} End."
+    assert H.main_text(f"<body><div class='related-posts'><article><p>{PROSE}</p></article></div><main><p>{PROSE}!</p></main></body>") == f"{PROSE}!"
+    assert H.main_text("<body><p>Hello world</p></body>") == "Hello world"
+    links = "<ul>" + "<li><a href=x>some page</a></li>" * 9 + "</ul>"
+    assert H.main_text(f"<body><div>{links}</div><div><p>{PROSE}</p></div></body>") == PROSE
+    assert H.main_text(f"<article><p>{PROSE}</p><p><a href=x>a source</a></p><p>{PROSE}</p></article>") == f"{PROSE} a source {PROSE}"
+    assert H.main_text(f"<article><p>{PROSE} <span class='ad'>Buy</span> more</p><p hidden>no</p><p style='display: none'>no</p></article>") == f"{PROSE} more"
+
+
+def test_attributes_are_read_as_browsers_do():
+    assert H.main_text("<article><p title=it's>One</p><p>we don't know</p></article>") == "One we don't know"
+    assert H.main_text('<p title="abc>Hello there</p><p>More</p>') == "Hello there More"
+    assert H.main_text('<p title="a > b" class = ad>no</p><p data-x=\'"\'>yes</p>') == "yes"
+    assert [t[2:] for t in H.tags("<A HREF=x/y Class='b' c/><!-- > --></a ><br/>")] == [
+        ("a", False, True, {"href": "x/y", "class": "b", "c": ""}), ("", False, False, {}), ("a", True, False, {}), ("br", False, True, {})]
+
+
+def test_time_is_linear_in_odd_pages():
+    for odd in ('<p title="x>abc', "<b>", "<video>", "<a href='", "<article>", "<form>", "<b><h1>", "<i></b>", "<p><table><td>", "<div><p>x</p>", "<script>", "<svg><p>x"):
+        began = time.perf_counter()
+        H.main_text(odd * 8000)
+        assert time.perf_counter() - began < 3, odd
+
+
+def test_the_cut_decides_blocks(sf):
+    changed = total = 0
+    for page in pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist()[:100]:
+        found = H.blocks(page)
+        gains, edges = H.graph(found)
+        labels = H.min_cut(gains, edges)
+        changed += sum(keep != (gain > 0) for keep, gain in zip(labels[: len(found)], gains))
+        total += len(found)
+    assert changed > total / 20
+
+
+def test_articles_without_their_element(sf):
+    for page in pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist():
+        assert H.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == _article(page)
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>Hello world</p>", "x", 3), (1, "u", "<p>Hello world</p>", "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in H.extract(rows).collect()] == [(1, "u", "Hello world", 11)] * 2
+
+
 def test_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     odd = spark.createDataFrame([(900, None, None), (None, "u", "")], "page_id long, url string, html string")
