@@ -1,15 +1,18 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of n characters may occur with up to k = floor(rate * n) edits. Cut into
-k + 2 pieces, at least two of them survive any k edits unchanged, on diagonals that
-differ by k at most. Pieces are found by their first bytes in a bitmap over all positions
-of a batch of texts at once, confirmed in full, and each cluster of hits is verified with
-Myers' bit-parallel edit distance, one machine integer as long as the item.
+k + 1 pieces, at least one of them survives any k edits unchanged. Pieces are found by
+their first bytes in a bitmap over all positions of a batch of texts at once and confirmed
+in full. Hits are verified with Myers' bit-parallel edit distance, one integer as long as
+the pattern. A hit that stands alone first meets ever longer runs of pieces around it: of a
+run of m pieces that occurs with m - 1 edits, one half does so with one edit less than it has
+pieces, so a hit whose runs all occur leads to every match and the others end early.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +24,10 @@ from .common import fresh, release, saved, small, text_key
 ERROR_RATE = 0.1
 #: Items of one pass hold at most this many bytes of text (what a task keeps of them).
 BLOCK_BYTES = 8 << 20
-_KEY = 8  # bytes of a piece that the bitmap looks at
+#: Bytes of a piece that the bitmap looks at; pieces have five characters at least, but of items under ten.
+_KEY, _SHORT = 8, 5
+#: Patterns whose bit masks a task keeps.
+_MASKS = 20_000
 
 
 def normalised(text: str | None) -> str:
@@ -31,30 +37,38 @@ def normalised(text: str | None) -> str:
 
 
 def budget(chars: int, rate: float = ERROR_RATE) -> int:
-    """Edits allowed for an item; pieces are kept to eight bytes or more, so a very short item gets fewer."""
-    return max(0, min(int(rate * chars), chars // _KEY - 2))
-
-
-def cut(item: str, k: int) -> list[tuple[int, bytes]]:
-    """k + 2 pieces of nearly the same length, with their byte offsets; the item as one
-    piece if it is too short for that."""
-    parts = k + 2 if len(item) >= _KEY * (k + 2) else 1
-    edges = [len(item) * i // parts for i in range(parts + 1)]
-    out, at = [], 0
-    for a, b in zip(edges, edges[1:]):
-        piece = item[a:b].encode()
-        out.append((at, piece))
-        at += len(piece)
+    """Edits allowed for an item."""
+    return int(rate * chars)
+
+
+def cut(item: str, k: int) -> list[int]:
+    """Where k + 1 pieces of nearly the same length begin, and the end."""
+    return [len(item) * i // (k + 1) for i in range(k + 2)]
+
+
+def runs_around(piece: int, pieces: int) -> list[tuple[int, int]]:
+    """The halves, quarters and so on of the pieces that hold one of them, the shortest
+    first, without the piece itself and the whole."""
+    lo, hi, out = 0, pieces, []
+    while hi - lo > 1:
+        out.append((lo, hi))
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if piece < mid else (mid, hi)
+    return out[:0:-1]
+
+
+def masks(pattern: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
     return out
 
 
-def edit_distance(pattern: str, text: str, most: int) -> int:
+def edit_distance(pattern: str, text: str, most: int, peq: dict[str, int] | None = None) -> int:
     """The least edit distance between the pattern and any substring of text, or most + 1
     if it is larger (Myers 1999, with a Python integer as the bit vector)."""
     m = len(pattern)
-    peq: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        peq[c] = peq.get(c, 0) | 1 << i
+    peq = masks(pattern) if peq is None else peq
     mask, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best = mask, 0, m, m
     for c in text:
@@ -79,18 +93,35 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         self.items = [(i, t) for i, t in ((i, normalised(t)) for i, t in items) if t]
-        self.budgets = [budget(len(t), rate) for _, t in self.items]
-        pieces = [(n, off, p) for n, (_, t) in enumerate(self.items) for off, p in cut(t, self.budgets[n])]
-        self.need = np.array([1 if len(t) < _KEY * (k + 2) else 2 for (_, t), k in zip(self.items, self.budgets)], np.int64)
-        self.tiny = [(n, p) for n, _, p in pieces if len(p) < _KEY]  # items under eight bytes: searched directly
-        pieces = sorted((p[:_KEY], n, off, p) for n, off, p in pieces if len(p) >= _KEY)
-        self.pieces = pieces
-        keys = np.array([int.from_bytes(p[0], "little") for p in pieces], np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.order, self.keys = order, keys[order]
-        self.bitmap = np.zeros(1 << 20, bool)
-        if len(keys):
-            self.bitmap[self._slot(keys)] = True
+        self.budgets = np.array([budget(len(t), rate) for _, t in self.items], np.int64)
+        self.edges = [cut(t, k) for (_, t), k in zip(self.items, self.budgets.tolist())]
+        pieces = []  # key, item, piece, byte offset, bytes
+        self.tiny = []  # items under five bytes: searched directly
+        for n, ((_, t), edges) in enumerate(zip(self.items, self.edges)):
+            offset = 0
+            for j, (a, b) in enumerate(zip(edges, edges[1:])):
+                raw = t[a:b].encode()
+                if len(raw) < _SHORT:
+                    self.tiny.append((n, raw))
+                else:
+                    pieces.append((raw[:_KEY] if len(raw) >= _KEY else raw[:_SHORT], n, j, offset, raw))
+                offset += len(raw)
+        pieces.sort(key=lambda p: p[:3])
+        self.piece_bytes = [p[4] for p in pieces]
+        self.item_of, self.piece_of, self.offset_of = (np.array([p[i] for p in pieces], np.int64) for i in (1, 2, 3))
+        keys, width = np.array([int.from_bytes(p[0], "little") for p in pieces], np.uint64), np.array([len(p[0]) for p in pieces], int)
+        self.tables = []  # (mask, sorted keys, their pieces, bitmap) by length of key
+        for w in (_KEY, _SHORT):
+            own = np.flatnonzero(width == w)
+            if own.size:
+                order = own[np.argsort(keys[own], kind="stable")]
+                bitmap = np.zeros(1 << 20, bool)
+                bitmap[self._slot(keys[own])] = True
+                self.tables.append((np.uint64((1 << 8 * w) - 1), keys[order], order, bitmap))
+        self.masks = lru_cache(_MASKS)(lambda n, lo, hi: masks(self._run(n, lo, hi)))
+
+    def _run(self, n: int, lo: int, hi: int) -> str:
+        return self.items[n][1][self.edges[n][lo] : self.edges[n][hi]]
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -98,24 +129,35 @@ class Matcher:
 
     def hits(self, raw: bytes) -> np.ndarray:
         """Rows (position, piece) of every exact piece hit in raw."""
-        if len(raw) < _KEY or not self.pieces:
-            return np.zeros((0, 2), np.int64)
         found = []
-        n = len(raw) - _KEY + 1
-        data = raw + b"\0" * 8
-        for shift in range(_KEY):  # every eighth position at once
-            keys = np.frombuffer(data, np.uint64, (len(data) - shift) // 8, shift)
-            at = np.flatnonzero(self.bitmap[self._slot(keys)])
-            at = at[at * 8 + shift < n]
-            lo = np.searchsorted(self.keys, keys[at], "left")
-            hi = np.searchsorted(self.keys, keys[at], "right")
-            for a, x, y in zip(*(v[hi > lo].tolist() for v in (at, lo, hi))):
-                pos = a * 8 + shift
-                for r in self.order[x:y].tolist():
-                    if raw.startswith(self.pieces[r][3], pos):
-                        found.append((pos, r))
+        data = raw + b"\0" * 16
+        for shift in range(8):  # every eighth position at once
+            words = np.frombuffer(data, np.uint64, (len(data) - shift) // 8, shift)
+            for mask, known, order, bitmap in self.tables:
+                keys = words & mask
+                at = np.flatnonzero(bitmap[self._slot(keys)])
+                lo = np.searchsorted(known, keys[at], "left")
+                hi = np.searchsorted(known, keys[at], "right")
+                for a, x, y in zip(*(v[hi > lo].tolist() for v in (at, lo, hi))):
+                    pos = a * 8 + shift
+                    for r in order[x:y].tolist():
+                        if raw.startswith(self.piece_bytes[r], pos):
+                            found.append((pos, r))
         return np.array(found, np.int64).reshape(-1, 2)
 
+    def leads(self, text: bytes, at: int, piece: int) -> bool:
+        """Whether the runs of pieces around a hit at a place of a text all occur there."""
+        n, j = int(self.item_of[piece]), int(self.piece_of[piece])
+        edges, item = self.edges[n], self.items[n][1]
+        for lo, hi in runs_around(j, len(edges) - 1):
+            e = hi - lo - 1
+            before = len(item[edges[lo] : edges[j]].encode()) + 4 * e  # an edit moves at most four bytes
+            after = len(item[edges[j] : edges[hi]].encode()) + 4 * e
+            window = text[max(0, at - before) : at + after].decode(errors="replace")
+            if edit_distance(self._run(n, lo, hi), window, e, self.masks(n, lo, hi)) > e:
+                return False
+        return True
+
     def search(self, texts: list[str]) -> list[dict[int, int]]:
         """For each normalised text: item index -> least edits, within its budget."""
         out: list[dict[int, int]] = [{} for _ in texts]
@@ -129,26 +171,29 @@ class Matcher:
         hits = self.hits(whole)
         if not len(hits):
             return out
-        item = np.array([p[1] for p in self.pieces], np.int64)[hits[:, 1]]
-        offset = np.array([p[2] for p in self.pieces], np.int64)[hits[:, 1]]
-        doc = np.searchsorted(starts, hits[:, 0], "right") - 1
-        diagonal = hits[:, 0] - offset
+        place, piece = hits[:, 0], hits[:, 1]
+        item, offset = self.item_of[piece], self.offset_of[piece]
+        doc = np.searchsorted(starts, place, "right") - 1
+        diagonal = place - offset
         order = np.lexsort((diagonal, item, doc))
-        doc, item, diagonal, offset = doc[order], item[order], diagonal[order], offset[order]
-        reach = 4 * np.array(self.budgets, np.int64)[item]  # an edit moves at most four bytes
+        doc, item, diagonal, piece, place = doc[order], item[order], diagonal[order], piece[order], place[order]
+        reach = 4 * self.budgets[item]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > reach[1:])])
         at = np.flatnonzero(new)
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(doc)]):
             n, d = int(item[a]), int(doc[a])
-            if len(np.unique(offset[a:b])) < self.need[n] or out[d].get(n) == 0:
+            if out[d].get(n) == 0:
+                continue
+            base = int(starts[d])
+            if (piece[a:b] == piece[a]).all() and not any(self.leads(raws[d], int(p) - base, int(piece[a])) for p in place[a:b]):
                 continue
             name, pattern = self.items[n]
-            k, base = self.budgets[n], int(starts[d])
-            size = len(pattern.encode())
+            k = int(self.budgets[n])
+            exact = pattern.encode()
             lo = max(0, int(diagonal[a]) - base - 4 * k)
-            hi = min(len(raws[d]), int(diagonal[b - 1]) - base + size + 4 * k)
+            hi = min(len(raws[d]), int(diagonal[b - 1]) - base + len(exact) + 4 * k)
             window = raws[d][lo:hi]
-            edits = 0 if pattern.encode() in window else edit_distance(pattern, window.decode(errors="replace"), k)
+            edits = 0 if exact in window else edit_distance(pattern, window.decode(errors="replace"), k, self.masks(n, 0, k + 1))
             if edits <= k:
                 out[d][n] = min(edits, out[d].get(n, edits))
         return out
@@ -196,19 +241,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, blo
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = docs.filter("text IS NOT NULL").select("doc_id", text_key().alias("text_key"), "text")
     schema = f"doc_id {kind}, text_key string, item_id {item_kind}, edits int"
-    found = None
-    for block in item_blocks(benchmark, block_bytes):
-        part = rows.mapInPandas(_scan(block, rate), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], schema)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for block in item_blocks(benchmark, block_bytes):  # one block at a time is held; what it finds is stored
+        found = found.unionByName(saved(rows.mapInPandas(_scan(block, rate), schema), "found"))
     return saved(found.groupBy("doc_id", "text_key", "item_id").agg(F.min("edits").alias("edits")), "leaks")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """Per row of docs: doc_id, contaminated, n_items, item_ids (sorted, comma-joined),
-    least_edits (null if clean). A null or empty text is clean; a row's own
-    text decides, also where rows repeat a doc_id or have none. Empty in, empty out."""
+    least_edits (null if clean). A null or empty text is clean, a very long one is searched
+    whole; a row's own text decides, also where rows repeat a doc_id or have none. An item that
+    occurs several times counts once, with its least edits. Empty in, empty out; extra columns,
+    of whatever name, don't matter."""
     found = matches(docs, benchmark, rate)
     per = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item_id")).alias("ids"), F.min("edits").alias("least_edits"))
     per = per.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
@@ -224,7 +268,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """docs without the rows that hold an item."""
+    """docs without the rows that hold an item, with the columns of docs, whatever their names.
+    Rows without a text stay; rows that repeat one another stay or go together."""
     leak, key = fresh(docs.columns, "_leak_id", "_leak_key")
     leaks = matches(docs, benchmark, rate).select(F.col("doc_id").alias(leak), F.col("text_key").alias(key)).distinct()
     leaks = saved(leaks, "leaking")

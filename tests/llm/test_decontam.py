@@ -63,7 +63,40 @@ def test_matches_equal_all_distances(spark):
 @pytest.mark.parametrize("k", [0, 1, 5, 30])
 def test_pieces_cover_the_item(k):
     item = "é" * 7 + "abc " * 100
-    assert b"".join(p for _, p in decontam.cut(item, k)) == item.encode() and len(decontam.cut(item, k)) == k + 2
+    edges = decontam.cut(item, k)
+    assert len(edges) == k + 2 and edges[0] == 0 and edges[-1] == len(item) and max(b - a for a, b in zip(edges, edges[1:])) - min(b - a for a, b in zip(edges, edges[1:])) <= 1
+
+
+def test_runs_are_the_halves_around_a_piece():
+    for pieces in range(1, 40):
+        for j in range(pieces):
+            runs = decontam.runs_around(j, pieces)
+            assert all(lo <= j < hi and hi - lo < pieces for lo, hi in runs)
+            sizes = [1, *[hi - lo for lo, hi in runs], pieces]
+            assert all(b <= 2 * a + 1 for a, b in zip(sizes, sizes[1:]))
+
+
+@pytest.mark.parametrize("size", [3, 5, 9, 10, 16, 20, 23, 30, 47, 80, 200])
+def test_every_size_has_its_whole_budget(size):
+    rng = random.Random(size)
+    item = "".join(rng.choice("abcdefgh") for _ in range(size))
+    k = size // 10
+    assert decontam.budget(size) == k
+    matcher = decontam.Matcher([(1, item)])
+    for _ in range(60):
+        near = _edit(rng, item, k) if k else item
+        text = "".join(rng.choice("abcdefgh") for _ in range(30)) + near + "".join(rng.choice("abcdefgh") for _ in range(30))
+        assert matcher.search([text]) == [{0: slow_distance(item, text)}]
+
+
+def test_long_texts_ties_and_repeats(spark):
+    item = "a passage of the benchmark that is hidden in a long text"
+    near = item.replace("hidden", "hiden")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item.upper())], "item_id long, text string")
+    far = "word " * 200_000
+    docs = spark.createDataFrame([(1, far + near + " " + far + item), (2, far), (3, near + " " + near)], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["item_ids"], r["least_edits"]) for r in decontam.contamination(docs, bench).collect()}
+    assert rows == {1: ("1,2", 0), 2: ("", None), 3: ("1,2", 1)}
 
 
 def test_odd_rows(odd, none, spark, clashing):
