@@ -118,8 +118,14 @@ class Matcher:
                 bitmap = np.zeros(1 << 20, bool)
                 bitmap[self._slot(keys[own])] = True
                 self.tables.append((np.uint64((1 << 8 * w) - 1), keys[order], order, bitmap))
+        self.halves = lru_cache(_MASKS)(self._halves)
         self.masks = lru_cache(_MASKS)(lambda n, lo, hi: masks(self._run(n, lo, hi)))
 
+    def _halves(self, n: int, lo: int, piece: int, hi: int) -> list[bytes]:
+        item, edges = self.items[n][1], self.edges[n]
+        cuts = [(a, (a + b) // 2, b) for i, (a, b) in enumerate(zip(edges[lo:hi], edges[lo + 1 : hi + 1]), lo) if i != piece]
+        return [item[x:y].encode() for a, m, b in cuts for x, y in ((a, m), (m, b))]
+
     def _run(self, n: int, lo: int, hi: int) -> str:
         return self.items[n][1][self.edges[n][lo] : self.edges[n][hi]]
 
@@ -153,7 +159,10 @@ class Matcher:
             e = hi - lo - 1
             before = len(item[edges[lo] : edges[j]].encode()) + 4 * e  # an edit moves at most four bytes
             after = len(item[edges[j] : edges[hi]].encode()) + 4 * e
-            window = text[max(0, at - before) : at + after].decode(errors="replace")
+            near = text[max(0, at - before) : at + after]
+            if not any(half in near for half in self.halves(n, lo, j, hi)):
+                return False  # m - 1 edits can't change all 2 (m - 1) halves of the other pieces
+            window = near.decode(errors="replace")
             if edit_distance(self._run(n, lo, hi), window, e, self.masks(n, lo, hi)) > e:
                 return False
         return True
@@ -185,8 +194,9 @@ class Matcher:
             if out[d].get(n) == 0:
                 continue
             base = int(starts[d])
-            if (piece[a:b] == piece[a]).all() and not any(self.leads(raws[d], int(p) - base, int(piece[a])) for p in place[a:b]):
-                continue
+            if b - a == 1 or (piece[a:b] == piece[a]).all():
+                if not any(self.leads(raws[d], p - base, int(piece[a])) for p in place[a:b].tolist()):
+                    continue
             name, pattern = self.items[n]
             k = int(self.budgets[n])
             exact = pattern.encode()
