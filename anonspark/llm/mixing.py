@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, id_hash, saved
 
-#: Share of the largest possible entropy that the mixture should reach.
-TARGET_ENTROPY = 0.9
+#: Share of the largest possible entropy that the mixture should reach: nearly even sources,
+#: as far as the limit on repeats allows.
+TARGET_ENTROPY = 0.9999
 MAX_REPEATS = 4.0
 BLOCK_TOKENS = 16384
 SEED = "mix"

@@ -12,7 +12,7 @@ def brute(rows, limit):
     out, todo = {}, [("", rows)]
     while todo:
         bits, part = todo.pop()
-        if sum(len((t or "").encode()) for _, t in part) <= limit:
+        if sum(len((t or "").encode()) for _, t in part) <= limit or len({k for k, _ in part}) == 1:
             out[bits] = sorted((str(k), t) for k, t in part)
             continue
         for b in "01":
@@ -31,6 +31,29 @@ def test_equals_bitwise_splitting(spark):
     assert {k: sorted(v) for k, v in got.items()} == brute(rows, 1500)
 
 
+def _h(key):
+    return format(int(hashlib.md5(str(key).encode()).hexdigest()[:15], 16), "060b")
+
+
+def test_rows_that_share_many_bits_are_split_on_the_next(spark):
+    by = {}
+    pair = next((by[b], k) for k in range(20_000) if (b := _h(k)[:18]) in by or by.setdefault(b, k) is None)
+    rows = [(k, "x" * 90) for k in pair] + [(100_000 + i, "y") for i in range(50)]
+    done = {r["doc_id"]: r for r in sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 100).collect()}
+    a, b = (done[k]["shard"] for k in pair)
+    assert a != b and a[:-1] == b[:-1] and len(a) > 18 and "." not in a + b
+    big = spark.createDataFrame([(39, "x" * 90), (40, "x" * 90), (41, "x" * 500)], "doc_id long, text string")
+    got = {r["shard"]: r["doc_id"] for r in sharding.assign_shards(big, 100).collect()}
+    assert len(got) == 3 and all("." not in s for s in got) and got == {k: int(v[0][0]) for k, v in brute([(r["doc_id"], r["text"]) for r in big.collect()], 100).items()}
+
+
+def test_few_rows_are_dealt_to_many_readers(spark):
+    df = spark.createDataFrame([(i, "x" * 10) for i in range(2000)], "doc_id long, text string")
+    done = sharding.shard_report(df)
+    assert done.select("shard").distinct().count() >= 64
+    assert max(r["b"] for r in done.groupBy("shard").agg({"n_bytes": "sum"}).withColumnRenamed("sum(n_bytes)", "b").collect()) <= 20_000 // 64
+
+
 def test_hot_key_is_cut_by_running_sums(spark):
     rows = [(7, "x" * 10)] * 500 + [(7, "y" * 300)] + [(i, "z" * 10) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
