@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="anonspark-")
         sc.setCheckpointDir(path)
     return path
@@ -90,11 +92,12 @@ def text_key(column: str = "text"):
 def keep_first(docs: DataFrame, rows: DataFrame, group: str) -> DataFrame:
     """docs with one row of each group. rows (doc_id, text_key, group): the rows that are
     grouped; others stay. Of a group the least doc_id stays, of these the least text_key, of
-    these the least row; a null doc_id comes last."""
+    these the one whose JSON is least, so columns of any type will do; a null doc_id comes last."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = rows.groupBy(group).agg(F.min(order).alias("_first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = saved(first, "first")  # a stored side lets the join split a large group
     is_first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_key") == F.col("_first.text_key"))
-    ranked = rows.join(first, group).groupBy("doc_id", "text_key").agg(F.max(is_first).alias("first"), F.count("*").alias("n"))
+    ranked = rows.join(small(first, first.count()), group).groupBy("doc_id", "text_key").agg(F.max(is_first).alias("first"), F.count("*").alias("n"))
     ranked = saved(ranked.filter("n > 1 OR NOT first"), "ranked")
     own, id_, key, once = fresh(docs.columns, "_own_key", "_doc_id", "_text_key", "_first")
     ranked = ranked.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("first").alias(once))
@@ -104,7 +107,7 @@ def keep_first(docs: DataFrame, rows: DataFrame, group: str) -> DataFrame:
     keyed = docs.withColumn(own, text_key())
     marked = keyed.join(small(ranked, n), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
     stay = marked.filter(F.col(once).isNull()).select(*docs.columns)
-    again = marked.filter(F.col(once)).groupBy("doc_id", own).agg(F.min(F.struct(*docs.columns)).alias(once))
+    again = marked.filter(F.col(once)).groupBy("doc_id", own).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias(once))
     return stay.unionByName(again.select(f"{once}.*").select(*docs.columns))
 
 

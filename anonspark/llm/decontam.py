@@ -231,17 +231,18 @@ def _scan(items: list[tuple[int, str]], rate: float):
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items, streamed to the driver in blocks of bounded size. An item without an
-    id or without a word can't be matched."""
-    block, held = [], 0
-    for row in benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator():
-        block.append((row["item_id"], row["text"]))
+    """The items, streamed to the driver in blocks of bounded size, as they are stored. An item
+    without an id or without a word can't be matched; one that is repeated in another block is
+    found twice, which its matches' least edits make good."""
+    block, held = {}, 0
+    for row in benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator():
+        block[row["item_id"], row["text"]] = None
         held += len(row["text"].encode())
         if held >= block_bytes:
-            yield block
-            block, held = [], 0
+            yield list(block)
+            block, held = {}, 0
     if block:
-        yield block
+        yield list(block)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

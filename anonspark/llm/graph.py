@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): the least neighbour of each node. It is stored, so that a join with it may be
+    broadcast or split: the center of a star has as many edges as the star has nodes."""
+    least = saved(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    return small(least, least.count())
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large star, then one small star, of edges (a, b) with a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    large = large.filter("a <> b")
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    hung = large.join(least, "a")
+    large = both.join(_least(both), "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+    large = saved(large, "edges")
     pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
-    return hung.select(pairs.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+    return large.join(_least(large), "a").select(pairs.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) but the roots themselves; the root is
-    the smallest node of the component. Each round is written to the shared folder."""
+    the smallest node of the component. Edges with a null end, of a node with itself and
+    repeated ones don't matter. Each round is written to the shared folder."""
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = saved(now, "edges"), None
     while True:

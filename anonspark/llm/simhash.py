@@ -28,6 +28,8 @@ SEED = 42
 #: A bucket of more fingerprints is dealt out as pairs of chunks of this size.
 CHUNK = 4096
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Planes after which blocks are looked at: 64 random lanes are mostly beyond four bits after 24.
+_LOOKS = frozenset((15, 19, 23, 27, 31, 39, 47, 55))
 _BYTE_LOW = np.uint64(0x0101010101010101)
 #: Largest group that is compared by shifting all lanes of a batch at once.
 _SHIFTED = 24
@@ -100,21 +102,30 @@ def planes(fp: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(differing, shape, radius: int, out: np.ndarray) -> np.ndarray:
-    """Lanes whose distance is at most `radius`. differing(b): the plane of differing
-    bits b; out: lanes that don't count. Counters are carry-save: ones, twos, fours, and
-    a sticky bit for eight or more."""
-    ones, twos, fours = (np.zeros(shape, np.uint64) for _ in range(3))
-    over = out.copy()
+def within(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, out: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose distance is at most `radius`. left, right: 64 planes, 64 lanes to a word;
+    word i[k] of left meets word j[k] of right in block k; out: lanes of the blocks that don't
+    count. Counters are carry-save: ones, twos, fours, and a sticky bit for eight or more.
+    Every few planes the blocks whose lanes all exceed the radius are given up, and only the
+    others go on."""
+    result = np.zeros(out.shape, np.uint64)
+    live = np.flatnonzero(out != _ONES)
+    i, j, over = i[live], j[live], out[live]
+    ones, twos, fours = (np.zeros(live.size, np.uint64) for _ in range(3))
     for b in range(64):
-        carry = differing(b)
+        carry = left[b][i] ^ right[b][j]
         carry, ones = ones & carry, ones ^ carry
         carry, twos = twos & carry, twos ^ carry
         carry, fours = fours & carry, fours ^ carry
         over |= carry
-        if b % 8 == 7 and (over | _more(ones, twos, fours, radius)).min() == _ONES:
-            return np.zeros(shape, np.uint64)
-    return ~(over | _more(ones, twos, fours, radius))
+        if b in _LOOKS:
+            stay = np.flatnonzero((over | _more(ones, twos, fours, radius)) != _ONES)
+            if 4 * stay.size < 3 * live.size:
+                live, i, j, over, ones, twos, fours = (x[stay] for x in (live, i, j, over, ones, twos, fours))
+                if not stay.size:
+                    break
+    result[live] = ~(over | _more(ones, twos, fours, radius))
+    return result
 
 
 def _more(ones, twos, fours, radius: int) -> np.ndarray:
@@ -174,12 +185,8 @@ def link_groups(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.n
         p, size, place = planes(fp[rows]), np.repeat(sizes, sizes)[rows], (np.arange(n) - np.repeat(starts, sizes))[rows]
         for s in range(1, int(sizes[sizes <= _SHIFTED].max())):
             inside = place + s < size  # the row s further on is of the same group
-            live = np.flatnonzero(_pack(inside))
-            moved = _shift(p, s)[:, live]
-            here, out = p[:, live], ~_pack(inside)[live]
-            near = within(lambda b: here[b] ^ moved[b], live.shape, radius, out)  # noqa: B023
-            lane = np.zeros(p.shape[1], np.uint64)
-            lane[live] = near
+            word = np.arange(p.shape[1])
+            lane = within(p, word, _shift(p, s), word, ~_pack(inside), radius)
             i = np.flatnonzero(_lanes(lane, rows.size))
             _merge(root, rows[i], rows[np.minimum(i + s, rows.size - 1)])
     for g in np.flatnonzero(sizes > _SHIFTED):
@@ -189,18 +196,20 @@ def link_groups(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.n
 
 
 def _link_large(fp: np.ndarray, root: np.ndarray, base: int, radius: int) -> None:
-    """As link_groups for one large group: 64 queries at a time against all planes.
-    root: a view whose entries count from base."""
+    """As link_groups for one large group: 64 fingerprints at a time against all planes from
+    their own block of lanes on. root: a view whose entries count from base."""
     n, p = len(fp), planes(fp)
     local = root - base
-    out = np.broadcast_to(~_pack(np.ones(n, bool)), (64, p.shape[1]))
-    for at in range(0, n, 64):
-        q = fp[at : at + 64]
-        bits = np.zeros((64, 64), np.uint64)  # bit b of query i, as a whole word
-        bits[:, : len(q)] = np.where((q[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), _ONES, np.uint64(0))
-        near = within(lambda b: p[b][None, :] ^ bits[b][:, None], out.shape, radius, out)  # noqa: B023
-        i, j = np.nonzero(_lanes(near, n)[: len(q)])
-        _merge(local, i + at, j)
+    out = ~_pack(np.ones(n, bool))
+    for first in range(p.shape[1]):
+        q = fp[64 * first : 64 * first + 64]
+        bits = np.where((q[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), _ONES, np.uint64(0))  # bit b of each, as a whole word
+        width = p.shape[1] - first
+        word, query = np.tile(np.arange(first, p.shape[1]), len(q)), np.repeat(np.arange(len(q)), width)
+        near = within(p, word, bits, query, np.tile(out[first:], len(q)), radius)
+        hit = np.flatnonzero(near)
+        lane, bit = np.nonzero(_lanes(near[hit, None], 64))
+        _merge(local, query[hit[lane]] + 64 * first, word[hit[lane]] * 64 + bit)
     root[:] = local + base
 
 
@@ -273,9 +282,9 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = components(links(distinct, distinct.count(), radius))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = saved(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    named = saved(rooted.join(small(least, least.count()), "root").select("fp", "component_id"), "components")
+    return prints.join(small(named, named.count()), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

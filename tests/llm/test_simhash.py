@@ -100,3 +100,19 @@ def test_rows_that_repeat_an_id_with_another_text_stay(spark):
     docs = spark.createDataFrame([(1, copy), (5, x), (5, copy), (6, x), (7, y), (7, copy + " z"), (8, y), (7, y)], "doc_id long, text string")
     kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect() if r["text"] in (copy, x, y))
     assert kept == sorted([(1, copy), (5, x), (7, y)])
+
+
+def test_blocks_beyond_the_radius_are_given_up(monkeypatch):
+    r = np.random.default_rng(2)
+    fp = r.integers(0, 2**63, 4096).astype(np.uint64)
+    fp[:100] = fp[100:200] ^ np.uint64(7)
+    seen, more = [], simhash._more
+    monkeypatch.setattr(simhash, "_more", lambda ones, *rest: seen.append(ones.size) or more(ones, *rest))
+    root = simhash.link_groups(fp, np.zeros(4096, int))
+    assert (root[100:200] == np.arange(100)).all() and (root != np.arange(4096)).sum() == 100
+    assert sum(seen) < 4 * (64 * 64 * 65 // 2)  # nine looks at each of so many blocks, if none were given up
+
+
+def test_columns_that_cannot_be_sorted(spark):
+    df = spark.createDataFrame([(1, "a b c", {"k": 1}), (1, "a b c", {"k": 2}), (2, "a b c", None), (3, None, None)], "doc_id long, text string, extra map<string,int>")
+    assert sorted((r["doc_id"], r["extra"]) for r in simhash.keep_one(df).collect()) == [(1, {"k": 1}), (3, None)]
