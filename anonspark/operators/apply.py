@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anonspark.functions.patterns import CREDENTIAL, SENSITIVE_KV, TOKEN_ANYWHERE, java, may_have_credential, may_have_pair
+from anonspark.plans.storage import saved, small
 
 CREDENTIAL_MARK = "[CREDENTIAL-REDACTED]"
-#: Values up to which each worker keeps the map; above, texts meet only the values they may hold.
-MAP_KEYS = 1_000_000
+#: A map of at most so many values, and bytes of them and their tokens, travels to the workers;
+#: beyond, texts meet only the values they may hold.
+MAP_KEYS, MAP_BYTES = 200_000, 16 << 20
 _PIECE = re.compile(r"\w+|\W")
 
 
@@ -28,51 +30,111 @@ def _wordy(c: str) -> bool:
 
 
 class Substitution:
-    """Leftmost, longest, without case, and never next to a letter, digit or underscore."""
+    """Leftmost, longest, without case, and never next to a letter, digit or underscore.
+
+    Values are looked up whole, by the lengths that values of the same first piece have, so
+    a text costs the same for any number of values.
+    """
 
     def __init__(self, pairs):
-        self.by_head: dict[str, list[tuple[str, str]]] = {}
+        self.tokens: dict[str, str] = {}
+        sizes: dict[str, set[int]] = {}
         for value, token in pairs:
             low = _low(value)
             if low:
-                self.by_head.setdefault(_PIECE.match(low)[0], []).append((low, token))
-        for found in self.by_head.values():
-            found.sort(key=lambda p: -len(p[0]))
+                self.tokens.setdefault(low, token)
+                sizes.setdefault(_PIECE.match(low)[0], set()).add(len(low))
+        self.sizes = {head: sorted(n, reverse=True) for head, n in sizes.items()}
+
+    def whole(self, cell: str | None) -> str | None:
+        """The token of a cell that is a value, else the cell."""
+        return None if cell is None else self.tokens.get(_low(cell), cell)
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or not self.by_head:
+        if not text or not self.tokens:
+            return text
+        low = _low(text)
+        heads = self.sizes.keys() & set(_PIECE.findall(low))
+        if not heads:
             return text
-        low, out, done = _low(text), [], 0
-        for m in _PIECE.finditer(low):
-            at = m.start()
-            found = self.by_head.get(m[0])
-            if not found or at < done or at and _wordy(low[at - 1]):
+        out, done = [], 0
+        for at, head in sorted(found for h in heads for found in _places(low, h)):
+            if at < done:
                 continue
-            for value, token in found:
-                end = at + len(value)
-                if low.startswith(value, at) and (end == len(low) or not _wordy(low[end])):
+            for size in self.sizes[head]:
+                end = at + size
+                token = self.tokens.get(low[at:end]) if end <= len(low) else None
+                if token is not None and (end == len(low) or not _wordy(low[end])):
                     out += [text[done:at], token]
                     done = end
                     break
         return "".join([*out, text[done:]]) if done else text
 
 
+def _places(low: str, head: str) -> Iterator[tuple[int, str]]:
+    """Where a piece stands in a text with no word character before it."""
+    at = low.find(head)
+    while at >= 0:
+        end = at + len(head)
+        if not (at and _wordy(low[at - 1])) and not (_wordy(head[-1]) and end < len(low) and _wordy(low[end])):
+            yield at, head
+        at = low.find(head, end)
+
+
+def worker_map(tokens: DataFrame, most_keys: int = MAP_KEYS, most_bytes: int = MAP_BYTES) -> list[tuple[str, str]] | None:
+    """The pairs of tokens (real_value, token), if they are few enough to travel; else None."""
+    size = F.coalesce(F.sum(F.octet_length("real_value") + F.octet_length("token")), F.lit(0))
+    row = tokens.agg(F.count("*").alias("n"), size.alias("b")).first()
+    if row["n"] > most_keys or row["b"] > most_bytes:
+        return None
+    pairs = tokens.select("real_value", "token").toPandas()
+    return list(zip(pairs["real_value"], pairs["token"]))
+
+
 def apply_map(docs: DataFrame, tokens: DataFrame, text: str = "text", out: str = "scrubbed", most_keys: int = MAP_KEYS) -> DataFrame:
     """docs with `out`, the text with the real_values of tokens (real_value, token) replaced.
-    Up to most_keys values travel to the workers as one map; see apply_by_candidates for more."""
-    pairs = tokens.select("real_value", "token").limit(most_keys + 1).toPandas()
-    if len(pairs) > most_keys:
+    Few values travel to the workers as one map; see apply_by_candidates for more."""
+    pairs = worker_map(tokens, most_keys)
+    if pairs is None:
         return apply_by_candidates(docs, tokens, text, out)
-    shared = docs.sparkSession.sparkContext.broadcast(list(zip(pairs["real_value"], pairs["token"])))
+    return _apply_pairs(docs, pairs, [(text, out, False)])
+
+
+def _apply_pairs(docs: DataFrame, pairs: list[tuple[str, str]], columns: list[tuple[str, str, bool]]) -> DataFrame:
+    """docs with new columns from one map in one pass. columns: (from, to, whether a cell is a
+    value as a whole)."""
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)
     made: list[Substitution] = []
+    use = [whole for _, _, whole in columns]
+    kind = "struct<" + ", ".join(f"c{i}: string" for i in range(len(columns))) + ">"
 
-    @F.pandas_udf("string")
-    def of(part: pd.Series) -> pd.Series:
+    @F.pandas_udf(kind)
+    def of(cells: pd.DataFrame) -> pd.DataFrame:
         if not made:
             made.append(Substitution(shared.value))
-        return part.map(made[0])
-
-    return docs.withColumn(out, of(F.col(text)))
+        one = made[0]
+        return pd.DataFrame({f"c{i}": cells.iloc[:, i].map(one.whole if whole else one, na_action="ignore").astype(object) for i, whole in enumerate(use)})
+
+    done = docs.withColumn("_cells", of(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, (c, _, _) in enumerate(columns)])))
+    return done.withColumns({to: F.col(f"_cells.c{i}") for i, (_, to, _) in enumerate(columns)}).drop("_cells")
+
+
+def apply_columns(df: DataFrame, tokens: DataFrame, columns: list[tuple[str, str, bool]]) -> DataFrame:
+    """df with new columns, all from one map. columns: (from, to, whether a cell is a value as
+    a whole). A map that is too large is joined column by column."""
+    pairs = worker_map(tokens)
+    quoted = [(f"`{c}`", to, whole) for c, to, whole in columns]
+    if pairs is not None:
+        return _apply_pairs(df, pairs, quoted) if columns else df
+    keys = tokens.groupBy(F.lower("real_value").alias("_k")).agg(F.min("token").alias("_t"))
+    for c, to, whole in quoted:
+        if whole:
+            cell = F.col(c).cast("string")
+            named = df.withColumn("_low", F.lower(cell)).join(keys, F.col("_low") == F.col("_k"), "left")
+            df = named.withColumn(to, F.coalesce("_t", cell)).drop("_low", "_k", "_t")
+        else:
+            df = apply_by_candidates(df.withColumn("_in", F.col(c).cast("string")), tokens, "_in", to).drop("_in")
+    return df
 
 
 def candidate_keys(text: str | None, most: int) -> set[str]:
@@ -93,7 +155,8 @@ def candidate_keys(text: str | None, most: int) -> set[str]:
 
 def apply_by_candidates(docs: DataFrame, tokens: DataFrame, text: str = "text", out: str = "scrubbed") -> DataFrame:
     """As apply_map for vocabularies of any size: a text's stretches are joined with the
-    values, and each distinct text is rewritten with its own few pairs."""
+    values, and each text is rewritten with its own few pairs. Texts are known by a hash: two
+    of one hash would share their pairs, which are right for both."""
     @F.pandas_udf("string")
     def low(part: pd.Series) -> pd.Series:  # as the stretches are, one character for each
         return part.map(_low)
@@ -104,37 +167,36 @@ def apply_by_candidates(docs: DataFrame, tokens: DataFrame, text: str = "text",
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf["_text"]:
+            for h, t in zip(pdf["_h"], pdf["_text"]):
                 keys = sorted(candidate_keys(t, most))
                 if keys:
-                    yield pd.DataFrame({"_text": t, "_key": keys})
+                    yield pd.DataFrame({"_h": h, "_key": keys})
 
-    texts = docs.select(F.col(text).alias("_text")).distinct()
-    hashed = texts.mapInPandas(spread, "_text string, _key string").select(F.xxhash64("_text").alias("_a"), F.sha2("_text", 256).alias("_b"), "_key")
-    pairs = hashed.join(named, "_key").groupBy("_a", "_b").agg(F.collect_list(F.struct("real_value", "token")).alias("_pairs"))
+    texts = docs.select(F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    held = texts.mapInPandas(spread, "_h long, _key string").join(named, "_key")
+    pairs = saved(held.groupBy("_h").agg(F.collect_set(F.struct("real_value", "token")).alias("_pairs")), "pairs")
 
     @F.pandas_udf("string")
     def of(part: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([t if p is None else Substitution([(x["real_value"], x["token"]) for x in p])(t) for t, p in zip(part, own)], dtype=object)
+        return pd.Series([t if p is None else Substitution(sorted((x["real_value"], x["token"]) for x in p))(t) for t, p in zip(part, own)], dtype=object)
 
-    keyed = docs.withColumns({"_a": F.xxhash64(text), "_b": F.sha2(text, 256)})
-    return keyed.join(pairs, ["_a", "_b"], "left").withColumn(out, of(F.col(text), F.col("_pairs"))).drop("_a", "_b", "_pairs")
+    rows = docs.withColumn("_h", F.xxhash64(text)).join(small(pairs), "_h", "left")
+    return rows.withColumn(out, of(F.col(text), F.col("_pairs"))).drop("_h", "_pairs")
 
 
 def restore(docs: DataFrame, vocab: DataFrame, text: str = "text", out: str = "restored") -> DataFrame:
     """docs with `out`, the text with the tokens of vocab (token, real_value) replaced in one
-    pass. The tokens of each text are looked up, not the vocabulary's in each text; texts
-    that are the same are looked up once."""
+    pass. The tokens of each text are looked up, not the vocabulary's in each text. Texts are
+    known by a hash: two of one hash would share their tokens, which are right for both."""
     found = F.regexp_extract_all(text, F.lit(TOKEN_ANYWHERE), F.lit(0))
-    texts = docs.select(F.col(text).alias("_text")).distinct().withColumn("_id", F.sha2("_text", 256))
-    wanted = texts.select("_id", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(TOKEN_ANYWHERE), F.lit(0)))).alias("token"))
+    wanted = docs.select(F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(found)).alias("token")).distinct()
     one = vocab.groupBy("token").agg(F.min("real_value").alias("real_value"))
-    maps = wanted.join(one, "token").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "real_value"))).alias("_map"))
+    maps = wanted.join(one, "token").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("token", "real_value"))).alias("_map"))
     tokens = F.transform(found, lambda t: F.coalesce(F.col("_map")[t], t))
     gaps = F.split(text, TOKEN_ANYWHERE, -1)
     spliced = F.array_join(F.flatten(F.zip_with(gaps, F.concat(tokens, F.array(F.lit(""))), lambda g, t: F.array(g, t))), "")
-    rows = docs.withColumn("_id", F.sha2(text, 256)).join(maps, "_id", "left")
-    return rows.withColumn(out, F.when(F.col("_map").isNull(), F.col(text)).otherwise(spliced)).drop("_id", "_map")
+    rows = docs.withColumn("_h", F.xxhash64(text)).join(small(saved(maps, "maps")), "_h", "left")
+    return rows.withColumn(out, F.when(F.col("_map").isNull(), F.col(text)).otherwise(spliced)).drop("_h", "_map")
 
 
 def redact_credentials(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,12 @@ from anonspark.config import ScrubConfig
 from anonspark.functions.patterns import (
     BY_RANK, DETECTORS, Detector, fqdn_allowed, java, java_column, looks_like_date, looks_like_identifier, url_host, valid_person,
 )
-from anonspark.plans.storage import small
+from anonspark.plans.storage import saved, small
 
 HIT = "struct<rank:int,match_idx:int,value:string,type:string,category:string,confidence:double,source:bigint>"
 _PERSON = (7, 8, 9)
+#: Distinct values that one task holds against the regexes of an allowlist.
+GROUP = 20_000
 
 
 def label(category: Column | str) -> Column:
@@ -81,13 +84,22 @@ def premint(spark, config: ScrubConfig) -> DataFrame:
 
 def drop_allowlisted(rows: DataFrame, allow: DataFrame, value: str = "value") -> DataFrame:
     """Rows whose value no allowlist entry (pattern, is_regex) covers: literals by equality
-    without case, regexes by a search without case. Every regex meets every distinct value."""
+    without case, regexes by a search without case. Every regex meets every distinct value:
+    values are dealt out to groups of bounded size, and each group takes one regex after the
+    other, so a regex is compiled once for each group."""
     literal = allow.filter("NOT is_regex").select(F.lower("pattern").alias("_k")).distinct()
     out = rows.join(literal, F.lower(F.col(value)) == F.col("_k"), "left_anti")
     regexes = allow.filter("is_regex").select(F.concat(F.lit("(?i)"), java_column(F.col("pattern"))).alias("_p")).distinct()
-    values = out.select(F.col(value).alias("_k")).distinct()
-    covered = values.join(small(regexes), F.rlike("_k", F.col("_p"))).select("_k").distinct()
-    return out.join(covered, F.col(value) == F.col("_k"), "left_anti")
+    regexes = saved(regexes, "regexes")
+    if regexes.isEmpty():
+        return out
+    values = saved(out.select(F.col(value).alias("_k")).distinct(), "values")
+    n = values.count()
+    groups = max(1, math.ceil(n / GROUP), min(values.sparkSession.sparkContext.defaultParallelism, n // 200))
+    dealt = values.withColumn("_g", F.pmod(F.xxhash64("_k"), F.lit(groups)))
+    every = regexes.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    covered = every.hint("merge").join(dealt, "_g").filter(F.rlike("_k", F.col("_p"))).select("_k").distinct()
+    return out.join(small(saved(covered, "covered")), F.col(value) == F.col("_k"), "left_anti")
 
 
 def counts(hits: DataFrame) -> DataFrame:

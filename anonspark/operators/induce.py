@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anonspark.functions.patterns import java
+from anonspark.operators.mint import number_by_type
 from anonspark.operators.vocab import categories_above, regex_fault
 
 MIN_EXAMPLES, MIN_SPECIFICITY, MAX_PATTERN = 3, 0.3, 200
@@ -123,13 +124,22 @@ def suggest_by_category(vocab: DataFrame) -> DataFrame:
     return induce(vocab.select("category", F.col("real_value").alias("value")), ["category"])
 
 
-def persist(patterns: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+#: Examples that are stored with a pattern; examples_of has them all.
+MOST_EXAMPLES = 20
+
+
+def persist(patterns: DataFrame, found: DataFrame, now: Column, values: DataFrame) -> DataFrame:
     """patterns and the found ones as pending, but for those whose category and skeleton are
-    there and not rejected."""
+    there and not rejected, each with the least of the values (category, value) that it
+    comes from as examples."""
     known = patterns.filter("status <> 'rejected'").select("category", "skeleton")
     new = found.join(known, ["category", "skeleton"], "left_anti")
     base = patterns.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = new.select((F.monotonically_increasing_id() + 1 + base).alias("id"), "category", "regex_source", "skeleton", F.array().cast("array<string>").alias("source_examples"), F.lit("pending").alias("status"), "confidence", now.alias("created_at"), F.lit(0).cast("long").alias("hit_count"))
+    new = number_by_type(new.withColumn("type", F.lit("")), ["category", "skeleton", "regex_source"]).withColumn("id", F.col("n") + 1 + base)
+    least = F.row_number().over(Window.partitionBy("id").orderBy("example"))
+    some = examples_of(new, values).distinct().withColumn("_n", least).filter(F.col("_n") <= MOST_EXAMPLES)
+    some = some.groupBy("id").agg(F.array_sort(F.collect_list("example")).alias("source_examples"))
+    rows = new.join(some, "id", "left").select("id", "category", "regex_source", "skeleton", F.coalesce("source_examples", F.array().cast("array<string>")).alias("source_examples"), F.lit("pending").alias("status"), "confidence", now.alias("created_at"), F.lit(0).cast("long").alias("hit_count"))
     return patterns.unionByName(rows)
 
 
@@ -154,7 +164,9 @@ def examples_of(patterns: DataFrame, values: DataFrame) -> DataFrame:
 
 def decide(patterns: DataFrame, decisions: DataFrame, examples: DataFrame | None = None) -> DataFrame:
     """Applies decisions (id, action: activate, reject, delete or edit, regex): an edit must
-    be admitted and match all examples (id, example) of its pattern, else nothing changes."""
+    be admitted and match all examples of its pattern, of which there must be one, else nothing
+    changes. examples: (id, example), the stored ones if not given. Rejected patterns can't be
+    edited."""
     d = admitted(decisions.select("id", F.col("action").alias("_a"), F.col("regex").alias("_r")), "_r").withColumnRenamed("reason", "_bad")
     d = d.withColumn("_rx", F.when(F.col("_bad").isNull() & (F.col("_a") == "edit"), _spelled("_r")))
     if examples is None:
@@ -162,8 +174,9 @@ def decide(patterns: DataFrame, decisions: DataFrame, examples: DataFrame | None
     else:
         each = examples.select("id", "example")
     missed = each.join(d.filter("_rx IS NOT NULL").select("id", "_rx"), "id").filter(~F.expr("example RLIKE _rx")).select("id", F.lit(True).alias("_missed")).distinct()
-    rows = patterns.join(d, "id", "left").join(missed, "id", "left").filter(~F.coalesce(F.col("_a") == "delete", F.lit(False)))
-    fits = F.col("_rx").isNotNull() & F.col("_missed").isNull()
+    shown = each.select("id", F.lit(True).alias("_shown")).distinct()
+    rows = patterns.join(d, "id", "left").join(missed, "id", "left").join(shown, "id", "left").filter(~F.coalesce(F.col("_a") == "delete", F.lit(False)))
+    fits = F.col("_rx").isNotNull() & F.col("_missed").isNull() & F.col("_shown").isNotNull() & (F.col("status") != "rejected")
     status = F.when(F.col("_a") == "activate", "active").when(F.col("_a") == "reject", "rejected").otherwise(F.col("status"))
     return rows.withColumns({"status": status, "regex_source": F.when(fits, F.col("_r")).otherwise(F.col("regex_source"))}).select(*patterns.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,9 @@ from anonspark.operators.mint import key_of
 LEAST, CHUNK, OVERLAP, SPAN_TEXT, SPAN_REASON = 24, 1800, 150, 200, 280
 #: The model's categories and the review queue's.
 CATEGORIES = {"person": "person", "org": "customer", "address": "address", "credential": "credential", "hostname": "fqdn", "url": "url", "other": "unsure"}
+# The lines around a chunk, as the model was tuned to read them.
+PROMPT_HEAD = ("Return AT MOST {most} suspicious spans. If you find none, return an empty array.", "", "--- BEGIN SCRUBBED TEXT ---")
+PROMPT_TAIL = ("--- END SCRUBBED TEXT ---",)
 _TOKEN = r"\{[A-Z][A-Z0-9]*(?:_\d+)?\}"
 
 
@@ -21,25 +26,30 @@ def masked(docs: DataFrame, text: str = "scrubbed", out: str = "masked") -> Data
     return docs.filter(F.length(text) >= LEAST).withColumn(out, F.regexp_replace(text, _TOKEN, "[*]"))
 
 
+#: Where a chunk may end: the last break of the first kind that comes late enough, a share of
+#: the chunk; of the last kind any that leaves something after the overlap.
+_BREAKS = (("\n\n", 0.4), ("\n", 0.4), (" ", 0.0))
+_SPACE = re.compile(r"\s*")
+
+
+def chunk_ends(text: str, size: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the chunks of a text without space at its end."""
+    start = 0
+    while len(text) - start > size:
+        breaks = ((text.rfind(mark, start, start + size + len(mark)) - start, share) for mark, share in _BREAKS)
+        length = next((n for n, share in breaks if n >= max(share * size, OVERLAP + 1)), size)
+        yield start, start + length
+        start = _SPACE.match(text, start + length - OVERLAP).end()
+    yield start, len(text)
+
+
 def chunk_text(text: str, size: int = CHUNK) -> list[str]:
     """Chunks of at most `size` characters that break at a blank line, a line or a space, with
-    an overlap. A break so early that the overlap would eat it up is a hard cut instead."""
+    an overlap; a last one of under 24 characters goes. A text that fits is one chunk as it is."""
     if len(text) <= size:
         return [text]
-    out, rest = [], text
-    while len(rest) > size:
-        cut = -1
-        for mark in ("\n\n", "\n", " "):
-            cut = rest.rfind(mark, 0, size + len(mark))
-            if cut >= size * 0.4:
-                break
-        if cut <= OVERLAP:
-            cut = size
-        out.append(rest[:cut].strip())
-        rest = rest[max(0, cut - OVERLAP) :].strip()
-    if len(rest) >= LEAST:
-        out.append(rest)
-    return out
+    *chunks, last = [text[a:b].strip() for a, b in chunk_ends(text.rstrip(), size)]
+    return chunks + [last] * (len(last) >= LEAST)
 
 
 def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "masked") -> DataFrame:
@@ -53,8 +63,8 @@ def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "masked") -> DataFr
 
 def prompts(rows: DataFrame, most: int = 16) -> DataFrame:
     """rows with prompt, what the model is asked about a chunk."""
-    head = f"Return AT MOST {most} suspicious spans. If you find none, return an empty array."
-    return rows.withColumn("prompt", F.concat_ws("\n", F.lit(head), F.lit(""), F.lit("--- BEGIN SCRUBBED TEXT ---"), F.col("chunk"), F.lit("--- END SCRUBBED TEXT ---")))
+    head, tail = ("\n".join(lines).format(most=most) for lines in (PROMPT_HEAD, PROMPT_TAIL))
+    return rows.withColumn("prompt", F.concat_ws("\n", F.lit(head), F.col("chunk"), F.lit(tail)))
 
 
 def parsed(responses: DataFrame) -> DataFrame:

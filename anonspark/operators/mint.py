@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anonspark.functions.patterns import TOKEN_PARTS, TOKEN_SHAPE
-from anonspark.plans.storage import saved
+from anonspark.plans.storage import saved, small
 
 VOCAB = (
     "real_value string, token string, category string, confidence double, first_seen long, last_seen long, "
@@ -56,8 +56,8 @@ def number_by_type(new: DataFrame, order: list[str]) -> DataFrame:
     task = F.shiftright("_m", 33)
     runs = placed.groupBy("type", task.alias("_task")).agg(F.min("_m").alias("_first"), F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy("type").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select(F.col("type").alias("_type"), "_task", "_first", before.alias("_before"))
-    joined = placed.join(F.broadcast(runs), (F.col("type") == F.col("_type")) & (task == F.col("_task")))  # types x tasks
+    runs = saved(runs.select(F.col("type").alias("_type"), "_task", "_first", before.alias("_before")), "runs")  # types x tasks
+    joined = placed.join(small(runs), (F.col("type") == F.col("_type")) & (task == F.col("_task")))
     return joined.withColumn("n", F.col("_m") - F.col("_first") + F.col("_before")).drop("_m", "_type", "_task", "_first", "_before")
 
 
@@ -73,7 +73,7 @@ def assign_tokens(firsts: DataFrame, vocab: DataFrame | None, order: list[str])
         fresh = firsts.join(old, "key", "left_anti")
     numbered = number_by_type(fresh, order)
     if vocab is not None:
-        numbered = numbered.join(F.broadcast(counters(vocab)), "type", "left").withColumn("n", F.col("n") + F.coalesce("next_n", F.lit(0))).drop("next_n")
+        numbered = numbered.join(small(saved(counters(vocab), "counters")), "type", "left").withColumn("n", F.col("n") + F.coalesce("next_n", F.lit(0))).drop("next_n")
     minted = numbered.withColumns({"token": token_text(F.col("type"), F.col("n")), "real_value": F.col("value"), "is_new": F.lit(True)}).drop("n")
     return minted if known is None else minted.unionByName(known)
 
@@ -83,7 +83,7 @@ def minted_tokens(hits: DataFrame, tokens: DataFrame, doc: str = "doc_id") -> Da
     first document that has it."""
     order = ["rank", "match_idx"]
     seen = mintable(hits).withColumn("key", key_of("value")).groupBy(doc, "key").agg(F.min(F.struct(*order)).alias("_at"), F.min_by(F.struct("category", "confidence"), F.struct(*order)).alias("_c"))
-    named = seen.join(tokens.select("key", "token", "real_value", "type", "is_new", F.col(doc).alias("_first")), "key")
+    named = seen.join(small(tokens.select("key", "token", "real_value", "type", "is_new", F.col(doc).alias("_first"))), "key")
     one = F.struct("_at", F.struct(
         F.col("type"), F.col("real_value"), F.col("token"), (F.col("is_new") & F.col("_first").eqNullSafe(F.col(doc))).alias("is_new"), F.col("_c.category").alias("category"), F.col("_c.confidence").alias("confidence")).alias("m"))
     return named.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["m"]).alias("minted"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from anonspark.config import ColumnRule, ScrubConfig
 from anonspark.functions.patterns import BY_NAME
-from anonspark.operators.apply import apply_map, redact_credentials, redact_kv
+from anonspark.operators.apply import apply_columns, redact_credentials, redact_kv
 from anonspark.operators.detect import detect
 from anonspark.operators.mint import assign_tokens, first_by_key
 from anonspark.plans.storage import saved
@@ -27,25 +27,22 @@ HEURISTICS = (
 )
 
 
+def _compiled(regex: str) -> re.Pattern | None:
+    try:
+        return re.compile(regex, re.I)
+    except re.error:
+        return None
+
+
 def resolve_column(header: str, rules: tuple[ColumnRule, ...] = (), auto: bool = True) -> tuple[str | None, str]:
-    """(pattern, source) of a header: the first rule that names or matches it, else a
-    heuristic, else unresolved. A rule whose regex doesn't compile is skipped."""
+    """(pattern, source) of a header: what the first of the rules, and then of the heuristics,
+    that matches it says. A rule's text matches as a whole, without case; a regex that doesn't
+    compile and a blank header match nothing."""
+    tests = [(r.match if r.is_regex else rf"\A{re.escape(r.match)}\Z", r.pattern, "rule") for r in rules]
+    tests += [(regex, pattern, "heuristic") for regex, pattern in HEURISTICS] if auto else []
     name = header.strip()
-    if not name:
-        return None, "unresolved"
-    for rule in rules:
-        if not rule.is_regex and rule.match.lower() == name.lower():
-            return rule.pattern, "rule"
-        if rule.is_regex:
-            try:
-                if re.search(rule.match, name, re.I):
-                    return rule.pattern, "rule"
-            except re.error:
-                continue
-    for rx, pattern in HEURISTICS if auto else ():
-        if re.search(rx, name, re.I):
-            return pattern, "heuristic"
-    return None, "unresolved"
+    says = ((pattern, source) for regex, pattern, source in tests if name and (rx := _compiled(regex)) and rx.search(name))
+    return next(says, (None, "unresolved"))
 
 
 def normalize_custom_label(raw: str) -> str | None:
@@ -159,18 +156,14 @@ def scrub_tables(tables: dict[str, tuple[DataFrame, str]], config: ScrubConfig |
 
 
 def _apply_table(df: DataFrame, row: str, name: str, plan: dict, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every column that is not skipped takes the shared map; one worker-side map serves all columns."""
+    """Every column that is not skipped takes the shared map, all of them in one pass."""
     kinds = dict(df.dtypes)
     touched = [c for c in plan if plan[c][0] in ("pattern", "custom") or plan[c][0] == "regex" and kinds[c] == "string"]
-    done = df
+    whole = lambda c: plan[c][0] == "custom" or plan[c][0] == "pattern" and PATTERNS[plan[c][1]][1] is None
+    done = apply_columns(df, tokens, [(c, f"_new{i}", whole(c)) for i, c in enumerate(touched)])
     for i, c in enumerate(touched):
-        text = F.col(f"`{c}`").cast("string")
-        whole = plan[c][0] == "custom" or plan[c][0] == "pattern" and PATTERNS[plan[c][1]][1] is None
-        if whole:  # the cell is one value: an equality join with the map
-            key = tokens.select(F.lower("real_value").alias("_k"), F.col("token").alias("_t"))
-            done = done.withColumn("_low", F.lower(text)).join(key, F.col("_low") == F.col("_k"), "left").withColumn(f"_new{i}", F.coalesce("_t", text)).drop("_low", "_k", "_t")
-        else:
-            done = apply_map(done, tokens, c, f"_map{i}").withColumn(f"_new{i}", redact_kv(redact_credentials(F.col(f"_map{i}"))) if plan[c][0] == "regex" else F.col(f"_map{i}")).drop(f"_map{i}")
+        if plan[c][0] == "regex":
+            done = done.withColumn(f"_new{i}", redact_kv(redact_credentials(F.col(f"_new{i}"))))
     changed = F.lit(0)
     for i, c in enumerate(touched):
         changed = changed + F.when(F.col(f"_new{i}") != F.col(f"`{c}`").cast("string"), 1).otherwise(0)

@@ -12,7 +12,7 @@ from anonspark.functions.patterns import BY_NAME, TOKEN_ANYWHERE
 from anonspark.operators.apply import apply_map, context, credential_snippets, has_credentials, redact_credentials, redact_kv, Substitution
 from anonspark.operators.detect import detect, drop_allowlisted, premint
 from anonspark.operators.mint import assign_tokens, first_by_key, key_of, minted_tokens, mintable, token_text
-from anonspark.plans.storage import saved
+from anonspark.plans.storage import saved, small
 
 ORDER = ["doc_order", "rank", "match_idx"]
 UNSURE = "array<struct<span:string,surrounding:string,suggested_category:string,confidence:double>>"
@@ -55,8 +55,14 @@ def scrub_corpus(docs: DataFrame, doc: str = "doc_id", text: str = "text", confi
     base = apply_map(docs, named, text, "_applied")
     per = minted_tokens(hits.filter("rank <> 19"), tokens, doc)
     doubt = unsure_spans(docs, hits, tokens, doc, text)
-    joined = base.join(per, doc, "left").join(doubt, doc, "left")
-    return ScrubResult(_finish(joined, text), tokens, hits)
+    return ScrubResult(_finish(_with_lists(base, per, doubt, doc), text), tokens, hits)
+
+
+def _with_lists(docs: DataFrame, per: DataFrame, doubt: DataFrame, doc: str) -> DataFrame:
+    """docs with their minted and unsure lists. The lists are stored, so that texts stay where
+    they are if few documents have any, and move once if many have."""
+    lists = saved(per.join(doubt, doc, "full_outer"), "lists")
+    return docs.join(small(lists), doc, "left")
 
 
 def _finish(rows: DataFrame, text: str) -> DataFrame:
@@ -76,7 +82,7 @@ def unsure_spans(docs: DataFrame, hits: DataFrame, tokens: DataFrame, doc: str,
     """Per document its suspected companies that no token names, with their surroundings."""
     left = hits.filter("rank = 19").join(tokens.select("key"), key_of("value") == F.col("key"), "left_anti")
     spans = left.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("match_idx", "value"))).alias("_spans"))
-    rows = docs.select(doc, text).join(spans, doc)
+    rows = docs.select(doc, text).join(small(saved(spans, "spans")), doc)
     return rows.select(doc, F.transform("_spans", lambda s: F.struct(
         s["value"].alias("span"), context_of(F.col(text), BY_NAME["corp"].regex, s["match_idx"], s["value"]).alias("surrounding"),
         F.lit("customer").alias("suggested_category"), F.lit(0.6).alias("confidence"))).alias("unsure"))
@@ -112,7 +118,7 @@ def scrub_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", co
 
         return pd.Series([t if m is None else Substitution([(x["real_value"], x["token"]) for x in m])(t) for t, m in zip(part, own)], dtype=object)
 
-    joined = docs.join(per, doc, "left").join(spans, doc, "left")
+    joined = _with_lists(docs, per, spans, doc)
     return _finish(joined.withColumn("_applied", of(F.col(text), F.col("minted"))), text)
 
 
@@ -122,11 +128,12 @@ def review_rows(result: ScrubResult, doc: str = "doc_id", source: str = "scrub")
     return rows.select(doc, F.col("u.span").alias("span"), F.col("u.surrounding").alias("surrounding"), F.col("u.suggested_category").alias("suggested_cat"), F.col("u.confidence").alias("confidence"), F.lit(source).alias("source_event"))
 
 
-def merge_fields(results: DataFrame, key: str) -> DataFrame:
-    """The results of one record's fields as one: flags by any, lists end to end."""
+def merge_fields(results: DataFrame, key: str, order: str) -> DataFrame:
+    """The results of one record's fields as one: flags by any, lists end to end in the order
+    of the fields."""
+    end_to_end = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(c).alias("v")))), lambda x: x["v"])).alias(c)
     return results.groupBy(key).agg(
-        F.bool_or("has_credentials").alias("has_credentials"), F.bool_or("modified").alias("modified"),
-        F.flatten(F.collect_list("credential_snippets")).alias("credential_snippets"), F.flatten(F.collect_list("minted")).alias("minted"), F.flatten(F.collect_list("unsure")).alias("unsure"))
+        F.bool_or("has_credentials").alias("has_credentials"), F.bool_or("modified").alias("modified"), *map(end_to_end, ("credential_snippets", "minted", "unsure")))
 
 
 #: The category of a token's type where no stored category is known.

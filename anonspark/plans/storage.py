@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: list[list] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What saved() writes inside goes at the end, and not only with the session."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for fs, path in _scratch.pop():
+            fs.delete(path, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read back, so that its lineage ends there."""
     spark = df.sparkSession
@@ -30,7 +46,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if _scratch:
+        _scratch[-1].append((fs, target))
+    else:
+        fs.deleteOnExit(target)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     error = F.when(F.col("length") > MAX_FILE, "file too large").when(~kind.isin(TEXT_EXTENSIONS), "unsupported file type")
-    error = F.coalesce(error, F.when(F.instr(F.hex(F.substring("content", 1, 8192)), "00") % 2 == 1, "binary file"))
+    error = F.coalesce(error, F.when(F.hex(F.substring("content", 1, 8192)).rlike("^(?:..)*?00"), "binary file"))
     text = F.when(error.isNull(), F.try_validate_utf8(F.col("content").cast("string")))
     rows = files.select(name.alias("name"), F.col("length").alias("size"), text.alias("text"), error.alias("error"))
     return rows.withColumn("error", F.when(F.col("error").isNull() & F.col("text").isNull(), "not UTF-8").otherwise(F.col("error")))

@@ -1,5 +1,6 @@
 import random
 import re
+import timeit
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,16 @@ def test_substitution_equals_an_alternation():
             assert sub(text) == regex_oracle(pairs, text), (pairs, text)
 
 
+def test_time_does_not_grow_with_the_vocabulary():
+    texts = [f"ping 10.1.{i % 250}.{i} and Acme Customer {i} Incorporated, user {i}@mail.local or server-host-{i}-prod" for i in range(200)]
+    took = {}
+    for n in (5_000, 100_000):
+        values = [f"10.{i // 65536}.{i // 256 % 256}.{i % 256}" for i in range(n)] + [f"Acme Customer {i} Incorporated" for i in range(n)]
+        sub = A.Substitution([(v, "{T}") for v in values])
+        took[n] = min(timeit.repeat(lambda: [sub(t) for t in texts], number=1, repeat=5))  # noqa: B023
+    assert took[5_000] < 0.02 and took[100_000] < 4 * took[5_000] + 0.005
+
+
 @pytest.mark.parametrize(("text", "want"), [("Acme Corporation", "Acme Corporation"), ("xAcme", "xAcme"), ("ACME corp!", "{A}!"), ("Zoëzz zoë", "Zoëzz {Z}")])
 def test_boundaries(text, want):
     assert A.Substitution([("Acme Corp", "{A}"), ("zoë", "{Z}")])(text) == want

@@ -65,6 +65,29 @@ def test_envelope(spark, words):
             vocab.import_map(spark.createDataFrame([(bad,)], "payload string")).collect()
 
 
+def test_store_after_a_dead_writer(spark, words, tmp_path):
+    store = VocabStore(spark, f"file://{tmp_path}")
+    store.write("vocab", words)
+    n = words.count()
+    (tmp_path / "vocab" / "v=2").mkdir()  # a writer that died left no _SUCCESS
+    (tmp_path / "vocab" / "v=2" / "part-0.parquet").write_bytes(b"half")
+    for _ in range(3):
+        store.append("vocab", words)
+    assert store.read("vocab").count() == 4 * n
+    assert len(list((tmp_path / "vocab").iterdir())) == 2
+
+
+def test_an_allowlist_of_thousands_of_regexes(spark):
+    from anonspark.operators.detect import drop_allowlisted
+
+    entries = [(f"^host-{i}\\.(?:corp|lan)$", True) for i in range(5000)] + [(f"Value{i}", False) for i in range(500)]
+    allow = spark.createDataFrame(entries, "pattern string, is_regex boolean")
+    values = [f"HOST-{i}.lan" for i in range(4990, 5010)] + ["value7", "other", "x host-1.lan"]
+    rows = spark.createDataFrame([(v,) for v in values], "value string")
+    left = sorted(r["value"] for r in drop_allowlisted(rows, allow).collect())
+    assert left == sorted([f"HOST-{i}.lan" for i in range(5000, 5010)] + ["other", "x host-1.lan"])
+
+
 def test_store(spark, words, tmp_path):
     store = VocabStore(spark, f"file://{tmp_path}")
     assert store.read("vocab").count() == 0
@@ -124,11 +147,18 @@ def test_induction(spark, examples, want):
 
 
 def test_pattern_life(spark):
-    found = induce.suggest(spark.createDataFrame([("t", f"INC-{i:05d}") for i in range(5)] + [("u", "x")], "category string, real_value string"))
-    table = induce.persist(spark.createDataFrame([], SCHEMAS["induced_patterns"]), found, now())
+    known = spark.createDataFrame([("t", f"INC-{i:05d}") for i in range(5)] + [("u", "x")], "category string, real_value string")
+    values = known.withColumnRenamed("real_value", "value")
+    found = induce.suggest(known)
+    table = induce.persist(spark.createDataFrame([], SCHEMAS["induced_patterns"]), found, now(), values)
     rows = [tuple(r) for r in table.collect()]
     table = spark.createDataFrame(rows, SCHEMAS["induced_patterns"])
-    assert table.count() == 1 and induce.persist(table, found, now()).count() == 1
+    assert table.count() == 1 and induce.persist(table, found, now(), values).count() == 1
+    assert rows[0][4] == [f"INC-{i:05d}" for i in range(5)]
+    for regex, want in (("zzz", rows[0][2]), (r"\bINC-\d+\b", r"\bINC-\d+\b")):  # the stored examples decide
+        assert induce.decide(table, spark.createDataFrame([(rows[0][0], "edit", regex)], "id long, action string, regex string")).first()["regex_source"] == want
+    bare = table.withColumn("source_examples", F.array().cast("array<string>"))
+    assert induce.decide(bare, spark.createDataFrame([(rows[0][0], "edit", "zzz")], "id long, action string, regex string")).first()["regex_source"] == rows[0][2]
     i = rows[0][0]
     done = induce.decide(table, spark.createDataFrame([(i, "activate", None)], "id long, action string, regex string"))
     assert done.first()["status"] == "active"
@@ -143,6 +173,18 @@ def test_pattern_life(spark):
     assert induce.bump_hits(table, hits).first()["hit_count"] == 2
 
 
+def test_chunks_cover_the_text():
+    rng = random.Random(4)
+    for _ in range(50):
+        text = "".join(rng.choice(["word", " ", "\n", "\n\n", "x" * 40]) for _ in range(rng.randint(0, 900)))
+        at = 0
+        for chunk in judge.chunk_text(text, 400):
+            found = text.find(chunk, max(0, at - 700))
+            assert found >= 0 and len(chunk) <= max(400, len(text) if len(text) <= 400 else 0) and not text[at:found].strip()[: max(0, found - at)]
+            at = max(at, found + len(chunk))
+        assert len(text[at:].strip()) < judge.LEAST + judge.OVERLAP
+
+
 def test_second_opinion(spark, words):
     long = "\n\n".join("paragraph %d with some words" % i + " filler" * 30 for i in range(40))
     cut = judge.chunk_text(long)

@@ -133,5 +133,17 @@ def test_nested_records(spark):
     assert json.loads(got[4]["updated"]) == {"command": "ping {IP}"} and not got[4]["has_credentials"]
 
 
+def test_nested_records_are_numbered_in_their_order(spark):
+    import json
+
+    rows = [(i, json.dumps({"b": f"at 10.0.0.{i}", "a": [f"10.1.0.{i}"]}), "Bash") for i in range(1, 13)]
+    rows.append((13, "[" * 200_000, "Bash"))
+    rows.append((14, '{"x": ' + "[" * 5_000 + "]" * 5_000 + "}", "Bash"))
+    got = {r["id"]: r["updated"] for r in scrub_json(spark.createDataFrame(rows, "id long, rec string, tool string"), "id", "rec", "tool").collect()}
+    name = lambda n: "{IP}" if n == 0 else f"{{IP_{n}}}"
+    assert all(json.loads(got[i]) == {"b": f"at {name(2 * i - 2)}", "a": [name(2 * i - 1)]} for i in range(1, 13))
+    assert got[13] == rows[12][1] and got[14] == rows[13][1]
+
+
 def test_patterns_read_in_both_dialects():
     assert P.java(r"a\\b") == r"a\\b" and P.java(r"\bx") == P.BOUNDARY + "x" and P.java(r"[^\s@]").startswith("[^\\t")
