@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, for numpy.
+"""Elias-Fano sequences and a three-level n-gram trie over them, for numpy.
 
 A trie is one flat buffer of 8-byte aligned sections, so it can be mapped from a file;
 all look-ups take whole arrays of queries.
@@ -156,40 +156,60 @@ def restore(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) / (CODES - 1) * LOWEST - LOWEST), 0.0)
 
 
+_HALF = _U(32)
+
+
 @dataclass
 class Trie:
-    """Level one: contexts (hashes, counts, monotone pointers). Level two: the successors
-    of each context, made monotone over the level by adding context * (words), and their
-    quantised probabilities."""
+    """Level one: contexts v. Level two: the words w that follow each of them, with the
+    quantised smoothed probability of w after v. Level three: the words u before each pair v w,
+    with that of w after u v. Words are 32-bit hashes. A level's entries lie by their parents,
+    which point to them by a monotone sequence; adding parent << 32 makes the level monotone,
+    and the successor of parent << 32 | word is looked up in it."""
 
     contexts: EliasFano
-    counts: np.ndarray
-    pointers: EliasFano
+    pointers2: EliasFano
     words: EliasFano
-    successors: EliasFano
-    codes: np.ndarray
+    codes2: np.ndarray
+    pointers3: EliasFano
+    before: EliasFano
+    codes3: np.ndarray
 
     @classmethod
-    def of(cls, contexts: np.ndarray, counts: np.ndarray, words: np.ndarray, first: np.ndarray, second: np.ndarray, p: np.ndarray) -> Trie:
-        """contexts, words: sorted hashes; first, second: the pairs' places in them, sorted; p: of each pair."""
-        ends = np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(contexts)))]).astype(_U)
-        level = first.astype(_U) * _U(max(1, len(words))) + second.astype(_U)
-        return cls(EliasFano.of(contexts), counts.astype(_U), EliasFano.of(ends), EliasFano.of(words), EliasFano.of(level), quantise(p))
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of pairs (place of a context, hash of a word); 0 if the pair is unknown."""
-        place = self.words.find(word)
-        key = np.maximum(context, 0).astype(_U) * _U(max(1, self.words.n)) + np.maximum(place, 0).astype(_U)
-        at = self.successors.successor(key)
-        c = np.maximum(context, 0)
-        inside = (context >= 0) & (place >= 0) & (at >= self.pointers.get(c).astype(np.int64)) & (at < self.pointers.get(c + 1).astype(np.int64))
-        at = np.minimum(at, max(0, self.successors.n - 1))
-        hit = inside & (self.successors.get(at) == key) if self.successors.n else np.zeros(len(key), bool)
-        return np.where(hit, self.codes[at] if len(self.codes) else 0, 0).astype(np.uint16)
+    def of(cls, pairs: np.ndarray, codes2: np.ndarray, parent: np.ndarray, before: np.ndarray, codes3: np.ndarray) -> Trie:
+        """pairs: sorted v << 32 | w; parent, before: the place in pairs and the hash of u of
+        each triple, sorted by both."""
+        contexts, first = np.unique(pairs >> _HALF, return_inverse=True)
+        ends = lambda places, n: np.concatenate([[0], np.cumsum(np.bincount(places, minlength=n))]).astype(_U)
+        level = lambda places, low: (places.astype(_U) << _HALF) | low
+        return cls(
+            EliasFano.of(contexts), EliasFano.of(ends(first, len(contexts))), EliasFano.of(level(first, pairs & _U(0xFFFFFFFF))), codes2.astype(np.uint16),
+            EliasFano.of(ends(parent, len(pairs))), EliasFano.of(level(parent, before.astype(_U))), codes3.astype(np.uint16))
+
+    @staticmethod
+    def _child(parents: np.ndarray, low: np.ndarray, pointers: EliasFano, level: EliasFano) -> np.ndarray:
+        """The place of each parent's child with the given hash; -1 if there is none."""
+        if not level.n:
+            return np.full(len(parents), -1)
+        known = np.maximum(parents, 0)
+        key = (known.astype(_U) << _HALF) | low
+        at = level.successor(key)
+        inside = (parents >= 0) & (at >= pointers.get(known).astype(np.int64)) & (at < pointers.get(known + 1).astype(np.int64))
+        at = np.minimum(at, level.n - 1)
+        return np.where(inside & (level.get(at) == key), at, -1)
+
+    def find_pairs(self, pairs: np.ndarray) -> np.ndarray:
+        """The place of v << 32 | w in level two, or -1."""
+        return self._child(self.contexts.find(pairs >> _HALF), pairs & _U(0xFFFFFFFF), self.pointers2, self.words)
+
+    def find(self, places: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Codes of the triples of pairs (places in level two) with the words before them; 0 for unknown ones."""
+        at = self._child(places, before.astype(_U), self.pointers3, self.before)
+        return np.where(at >= 0, self.codes3[np.maximum(at, 0)] if len(self.codes3) else 0, 0).astype(np.uint16)
 
     def pack(self) -> bytes:
-        parts = [s for e in (self.contexts, self.pointers, self.words, self.successors) for s in e.sections()]
-        parts += [self.counts, self.codes]
+        parts = [s for e in (self.contexts, self.pointers2, self.words, self.pointers3, self.before) for s in e.sections()]
+        parts += [self.codes2, self.codes3]
         raw = [np.ascontiguousarray(p).tobytes() for p in parts]
         sizes = np.array([len(raw), *map(len, raw)], _U).tobytes()
         return sizes + b"".join(r + b"\0" * (-len(r) % 8) for r in raw)
@@ -200,15 +220,16 @@ class Trie:
         sizes = np.frombuffer(buffer, _U, n, 8).astype(int).tolist()
         at, parts = 8 + 8 * n, []
         for i, size in enumerate(sizes):
-            kind = np.uint16 if i == n - 1 else _U
+            kind = np.uint16 if i >= n - 2 else _U
             parts.append(np.frombuffer(buffer, kind, size // np.dtype(kind).itemsize, at))
             at += size + -size % 8
-        contexts, pointers, words, successors = (EliasFano.mapped(*parts[i : i + 3]) for i in (0, 3, 6, 9))
-        return cls(contexts, parts[12], pointers, words, successors, parts[13])
+        contexts, pointers2, words, pointers3, before = (EliasFano.mapped(*parts[i : i + 3]) for i in range(0, 15, 3))
+        return cls(contexts, pointers2, words, parts[15], pointers3, before, parts[16])
 
     @classmethod
     def mapped(cls, packed: bytes) -> Trie:
-        """The trie in a file that is mapped and has no name, so it goes with the process."""
+        """The trie in a file that is mapped and has no name, so it goes with the process. It
+        lies in the task's own temporary folder, as no other task reads it."""
         with tempfile.TemporaryFile() as f:
             f.write(packed)
             f.flush()

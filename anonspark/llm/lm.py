@@ -1,15 +1,23 @@
-"""Scoring documents by a smoothed bigram model in Elias-Fano tries.
-
-Neither the vocabulary nor the bigrams have a size bound, so no task and no broadcast
-holds the model. Documents are encoded in blocks of a million tokens or two. A block sends
-to each shard of the model its distinct bigrams there, sorted, with their counts in the
-training documents; the shards are ranges of (hash of the context, hash of the word), cut
-by a sample so that a frequent context spans several. A shard sums the counts, builds its
-trie and answers each block with the quantised probabilities of that block's bigrams, in
-order. The block then scores its documents. What moves are distinct bigrams of blocks,
-not tokens, and all memory is bounded by the block and the shard.
-
-p(w | u) = c(u w) / (c(u) + G) + G / (c(u) + G) * p(w), p(w) = (c(w) + 1) / (N + V + 1).
+"""Scoring documents by a smoothed trigram model in Elias-Fano tries.
+
+Neither the vocabulary nor the n-grams have a size bound, so no task and no broadcast holds
+the model. Documents are encoded in blocks of a million tokens or two, and n-grams belong to
+shards by a hash, so that shards are even whatever is frequent. Two exchanges lie between the
+blocks and the shards:
+
+1. A block sends each shard its distinct words and pairs there with their counts in the
+   training documents, and is told the totals. From these it knows the smoothed probability
+   of every pair in it.
+2. Of a pair that occurs in other blocks as well, a block sends the probability and the
+   counts of its triples. The shard sums them, builds its trie of smoothed, quantised
+   probabilities, looks the triples up in it and answers. Pairs of one block alone, most of
+   all, have their triples there too, and make up that block's own trie.
+
+What moves are distinct n-grams of blocks, not tokens; all memory is bounded by the block and
+the shard, and the driver learns two numbers: the training tokens and their distinct words.
+
+p(w | u v) = (c(u v w) + G p(w | v)) / (c(u v) + G), p(w | v) = (c(v w) + G p(w)) / (c(v) + G),
+p(w) = (c(w) + 1) / (N + V + 1). Before a document stand two end tokens.
 """
 
 from __future__ import annotations
@@ -27,23 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, release, saved, text_bytes
-from .eliasfano import Trie, restore
+from .eliasfano import Trie, quantise, restore
 
-#: Weight of the unigram distribution in each context, in tokens.
+#: Weight of the next lower order in each context, in tokens.
 PRIOR = 4.0
 #: Tokens of a block, and bytes of text per shard: they bound a task's memory.
 BLOCK_TOKENS = 1_500_000
 SHARD_TEXT = 12 << 20
-#: A table of a few shards is cut finer, down to this much text, to occupy all tasks.
-LEAST_SHARD_TEXT = 1 << 20
 _SLICE = 500
-#: Bits of the hash by which a shard tells the successors of one context apart. Two
-#: successors of a context that agree in 48 bits would share their bigram count.
+#: Bits of the words' hashes from which pairs are told apart: the shard by all of them, and in
+#: a shard each word by 32. Words by themselves have 64.
 _WORD_BITS = 48
-#: Documents (per shard, and at least) from which the shards' limits are drawn.
-SAMPLE_DOCS, LEAST_SAMPLE, SAMPLE_PAIRS = 40, 1000, 100
-_END = xxhash.xxh64_intdigest(b"\n")  # no word has a newline
 _U = np.uint64
+_RANK = 0x7FFFFFFF
+_LOW = _U(0xFFFFFFFF)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -74,87 +79,133 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> _U(64 - _WORD_BITS)
-
-
 def _deltas(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
 
 
-# ---------------------------------------------------------------- encoding
-class Limits:
-    """The shards' lower limits but the first's, as (hash of context, hash of word)."""
-
-    def __init__(self, u: np.ndarray, w: np.ndarray):
-        self.u, self.w = u, w
-
-    def cuts(self, hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each shard: its first key, its first context and the end of its contexts, in a
-        block whose distinct words have the sorted hashes and whose bigrams have the sorted keys."""
-        at = np.searchsorted(hashes, self.u, "left")
-        same = (at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == self.u)
-        word = np.where(same, np.searchsorted(hashes, self.w, "left"), 0)
-        first = np.searchsorted(keys, (at.astype(np.int64) << 31) | word)
-        low = np.concatenate([[0], at])
-        high = np.concatenate([np.searchsorted(hashes, self.u, "right"), [len(hashes)]])
-        return np.concatenate([[0], first, [len(keys)]]), low, high
-
-    def owners(self, hashes: np.ndarray) -> np.ndarray:
-        """The shard that counts each word."""
-        return np.searchsorted(self.u, hashes, "left") if len(self.u) == 0 else self._owners(hashes)
-
-    def _owners(self, hashes: np.ndarray) -> np.ndarray:
-        after = np.searchsorted(self.u, hashes, "left")  # limits below (hash, 0)
-        exact = np.searchsorted(self.u, hashes, "right") > after
-        zero = exact & (self.w[np.minimum(after, len(self.w) - 1)] == 0)
-        return after + zero
-
-
-def pair_keys(sequence: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """context << 31 | word for each token; the context of a document's first token is the end token."""
-    before = np.empty_like(sequence)
-    before[1:] = sequence[:-1]
-    before[0] = sequence[ends[0] - 1]
-    before[ends[:-1]] = sequence[ends[:-1] - 1]
-    return (before.astype(np.int64) << 31) | sequence
+# ---------------------------------------------------------------- blocks
+def pair_parts(hashes: np.ndarray, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, v << 32 | w in hashes) of pairs of words, given as v << 31 | w in ranks."""
+    v, w = hashes[keys >> 31], hashes[keys & _RANK]
+    x = (v * _U(0x9E3779B97F4A7C15)) ^ (w * _U(0xC2B2AE3D27D4EB4F) + _U(0x165667B19E3779F9))
+    x = (x ^ (x >> _U(31))) * _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    part = (x * _U(0xA0761D6478BD642F)) >> _U(64 - bits) if bits else np.zeros(len(x), _U)
+    return part.astype(np.int64), ((v & _LOW) << _U(32)) | (w & _LOW)
+
+
+class Block:
+    """The tokens of some documents as ranks of their distinct words, and what follows from them."""
+
+    def __init__(self, sequence: np.ndarray, sizes: np.ndarray, held: np.ndarray, hashes: np.ndarray, end: int, bits: int):
+        self.sequence, self.sizes, self.held, self.hashes, self.end = sequence.astype(np.int64), sizes.astype(np.int64), held.astype(bool), hashes, end
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.train = np.repeat(~self.held, self.sizes)
+        before = self.back(self.sequence)
+        pairs = (before << 31) | self.sequence
+        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
+        self.seen = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.int64)
+        self.part, self.key = pair_parts(hashes, self.pairs, bits)
+        self.order = np.lexsort((self.key, self.part))
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """The value of the token before; the end token's rank for the first of a document."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts] = self.end
+        return out
+
+    def state(self) -> bytes:
+        return _pack(self.sequence, self.sizes, self.held.astype(np.int64), _deltas(self.hashes), np.array([self.end]))
+
+    @classmethod
+    def of(cls, data: bytes, bits: int) -> Block:
+        sequence, sizes, held, deltas, end = _unpack(data)
+        return cls(sequence, sizes, held, np.cumsum(deltas.astype(_U), dtype=_U), int(end[0]), bits)
+
+    def check(self) -> int:
+        """Of the block's pairs: an answer must meet the block that asked."""
+        return xxhash.xxh32_intdigest(self.pairs.tobytes())
+
+    def counted(self, told: list[tuple[int, bytes]], n: int, types: int) -> None:
+        """Takes the shards' totals (part, data), in any order."""
+        words, pairs = zip(*(self._checked(d) for _, d in sorted(told)))
+        self.count = np.concatenate(words).astype(np.int64)
+        marked = np.empty(len(self.pairs), np.int64)
+        marked[self.order] = np.concatenate(pairs)
+        self.total, self.elsewhere = marked >> 1, (marked & 1).astype(bool)
+        self.base = (self.count + 1) / (n + types + 1)
+        self.p2 = (self.total + PRIOR * self.base[self.pairs & _RANK]) / (self.count[self.pairs >> 31] + PRIOR)
+        # triples: the place of their pair and the rank of the word before it
+        older = self.back(self.back(self.sequence))
+        older[self.starts] = self.end
+        self.triples, first, self.triple = np.unique((self.pair << 31) | older, return_index=True, return_inverse=True)
+        self.seen3 = np.bincount(self.triple, self.train, len(self.triples)).astype(np.int64)
+        self.parent = self.triples >> 31
+        opens = np.isin(first, self.starts)
+        self.context = np.where(opens, self.count[self.end], self.total[self.pair[np.maximum(first - 1, 0)]])
+        self.older = (self.hashes[self.triples & _RANK] & _LOW).astype(_U)
+
+    def _checked(self, data: bytes) -> list[np.ndarray]:
+        *out, check = _unpack(data)
+        if int(check[0]) != self.check():
+            raise RuntimeError("an answer meets another block of documents; read docs from storage")
+        return out
+
+    def chosen(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, triples, the place among those pairs of each triple) of the chosen pairs, by
+        shard and key, and of a pair by the word before."""
+        pairs = self.order[which[self.order]]
+        place = np.empty(len(self.pairs), np.int64)
+        place[pairs] = np.arange(len(pairs))
+        triples = np.flatnonzero(which[self.parent])
+        triples = triples[np.lexsort((self.older[triples], place[self.parent[triples]]))]
+        return pairs, triples, place[self.parent[triples]]
+
+    def shared(self) -> np.ndarray:
+        """Pairs of the training text that other blocks have as well."""
+        return (self.total > 0) & self.elsewhere
+
+    def own_trie(self) -> tuple[Trie, np.ndarray, np.ndarray]:
+        """The trie of the pairs that no other block has, and its queries: keys of pairs, triples."""
+        pairs = np.flatnonzero((self.total > 0) & ~self.shared())
+        pairs = pairs[np.argsort(self.key[pairs], kind="stable")]
+        place = np.full(len(self.pairs), -1)
+        place[pairs] = np.arange(len(pairs))
+        asked = np.flatnonzero(place[self.parent] >= 0)
+        known = asked[self.seen3[asked] > 0]
+        known = known[np.lexsort((self.older[known], place[self.parent[known]]))]
+        p3 = (self.seen3[known] + PRIOR * self.p2[self.parent[known]]) / (self.context[known] + PRIOR)
+        return Trie.of(self.key[pairs], quantise(self.p2[pairs]), place[self.parent[known]], self.older[known], quantise(p3)), self.key, asked
 
 
 _ENCODED = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.string())), ("data", pa.binary())])
 
 
-def _encoder(limits: Limits):
-    def emit(block: int, ids: list, held: list[bool], sizes: list[int], local: list[np.ndarray], words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+def _encoder(bits: int):
+    def emit(number: int, ids: list, held: list[bool], sizes: list[int], local: list[np.ndarray], words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), _U, len(words))
         order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         hashes = hashes[order]
-        sequence = rank[np.concatenate(local)]
-        ends = np.cumsum(sizes)
-        train = np.repeat(~np.array(held), sizes)
-        counts = np.bincount(sequence[train], minlength=len(hashes))
-        keys = (pair_keys(sequence, ends) << 1) | train
-        keys.sort()
-        new = np.flatnonzero(np.concatenate([[True], (keys[1:] >> 1) != (keys[:-1] >> 1)]))
-        seen = np.add.reduceat(keys & 1, new)
-        keys = keys[new] >> 1
-        first, low, high = limits.cuts(hashes, keys)
-        rows = [(block, -1 - block, ids, _pack(sequence, np.array(sizes), np.array(held, int), np.array([len(hashes), checksum(keys)])))]
-        for s in range(len(low)):
-            a, b, lo, hi = int(first[s]), int(first[s + 1]), int(low[s]), int(high[s])
-            if hi > lo:
-                u, v = (keys[a:b] >> 31) - lo, keys[a:b] & 0x7FFFFFFF
-                vs = np.unique(v)
-                rows.append((block, s, None, _pack(
-                    _deltas(hashes[lo:hi]), counts[lo:hi], np.bincount(u, minlength=hi - lo), _deltas(_short(hashes[vs])),
-                    np.searchsorted(vs, v), seen[a:b], np.array([lo, a, checksum(keys)]))))
+        block = Block(rank[np.concatenate(local)], np.array(sizes), np.array(held), hashes >> _U(64 - _WORD_BITS), int(rank[0]), bits)
+        counts = np.bincount(block.sequence[block.train], minlength=len(hashes))
+        check = np.array([block.check()])
+        word_cuts = np.searchsorted(hashes >> _U(64 - bits) if bits else np.zeros(len(hashes), _U), np.arange((1 << bits) + 1, dtype=_U))
+        cuts = np.searchsorted(block.part[block.order], np.arange((1 << bits) + 1))
+        rows = [(number, -1 - number, ids, block.state())]
+        for part in range(1 << bits):
+            lo, hi, a, b = int(word_cuts[part]), int(word_cuts[part + 1]), int(cuts[part]), int(cuts[part + 1])
+            if hi > lo or b > a:
+                own = block.order[a:b]
+                rows.append((number, part, None, _pack(_deltas(hashes[lo:hi]), counts[lo:hi], _deltas(block.key[own]), block.seen[own], check)))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENCODED)], schema=_ENCODED)
         release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId() << 24, 0
-        ids, held, sizes, local, words, n = [], [], [], [], {b"\n": 0}, 0
+        ids, held, sizes, local, words, n = [], [], [], [], {b"\n": 0}, 0  # no word has a newline: the end token
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 for key, out, text in zip(*(c.to_pylist() for c in batch.slice(at, _SLICE).columns)):
@@ -173,146 +224,155 @@ def _encoder(limits: Limits):
     return run
 
 
-def checksum(keys: np.ndarray) -> int:
-    """Of a block's bigrams: an answer must meet the block that asked."""
-    return xxhash.xxh32_intdigest(np.ascontiguousarray(keys).tobytes())
-
-
-def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for text in pdf.iloc[:, 0]:
-            w = [b"\n", *tokens(text), b"\n"]
-            step = max(1, len(w) // SAMPLE_PAIRS)
-            at = range(0, len(w) - 1, step)
-            u, v = (np.array([xxhash.xxh64_intdigest(w[i + d]) for i in at], _U).view(np.int64) for d in (0, 1))
-            yield pd.DataFrame({"u": u, "w": v})
-
-
-def draw_limits(docs: DataFrame, shard_text: int = SHARD_TEXT) -> Limits:
-    """Limits of ceil(bytes of text / shard_text) shards from the bigrams of a sample of
-    documents, as in a range sort. They decide where a bigram is counted, not whether."""
-    row = docs.agg(F.coalesce(F.sum(text_bytes()), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, math.ceil(row["b"] / shard_text), min(tasks, row["b"] // LEAST_SHARD_TEXT))
-    none = np.zeros(0, _U)
-    if shards == 1:
-        return Limits(none, none)
-    share = max(SAMPLE_DOCS * shards, LEAST_SAMPLE) / row["n"]
-    sampled = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    got = sampled.select("text").mapInPandas(_sample, "u long, w long").toPandas()
-    if not len(got):
-        return Limits(none, none)
-    u, w = got["u"].to_numpy().view(_U), got["w"].to_numpy().view(_U)
-    order = np.lexsort((w, u))
-    at = order[np.unique(np.arange(1, shards) * len(order) // shards)]
-    pairs = np.unique(np.stack([u[at], w[at]], axis=1), axis=0)
-    return Limits(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
-
-
-def encode(docs: DataFrame, limits: Limits) -> DataFrame:
+def shard_bits(docs: DataFrame, shard_text: int = SHARD_TEXT) -> int:
+    """The number of shards is 2 to this power: the least at which each has at most shard_text
+    bytes of text on average."""
+    total = docs.agg(F.coalesce(F.sum(text_bytes()), F.lit(0)).alias("b")).first()["b"]
+    return max(0, math.ceil(math.log2(max(1.0, total / shard_text))))
+
+
+def encode(docs: DataFrame, bits: int) -> DataFrame:
     """Blocks of documents: (block, part, ids, data). A part from 0 on is a shard, and data
     what the block sends to it; a negative part is one of its own, with the block's tokens.
     Blocks follow the order of the rows in a task, so docs should come from storage."""
     rows = docs.select(F.col("doc_id").cast("string"), held_out("doc_id", 7, 2), "text")
-    return rows.mapInArrow(_encoder(limits), "block long, part long, ids array<string>, data binary")
-
-
-# ---------------------------------------------------------------- the shards
-class Message:
-    def __init__(self, data: bytes):
-        du, self.counts, per, dv, self.v, self.seen, at = _unpack(data)
-        self.contexts, self.words = np.cumsum(du.astype(_U), dtype=_U), np.cumsum(dv.astype(_U), dtype=_U)
-        self.u = np.repeat(np.arange(len(per), dtype=np.int32), per)
-        self.low, self.first, self.check = at.tolist()
-
-
-def build(messages: list[Message]) -> Trie:
-    """The trie of one shard from all blocks' messages."""
-    contexts = np.unique(np.concatenate([m.contexts for m in messages]))
-    words = np.unique(np.concatenate([m.words for m in messages]))
-    counts = np.zeros(len(contexts), np.int64)
-    keys, seen = [], []
-    for m in messages:
-        place = np.searchsorted(contexts, m.contexts)
-        counts[place] += m.counts.astype(np.int64)
-        hit = np.flatnonzero(m.seen)
-        keys.append((place[m.u[hit]] << 32) | np.searchsorted(words, m.words)[m.v[hit].astype(np.int64)])
-        seen.append(m.seen[hit].astype(np.int64))
-    keys, seen = np.concatenate(keys), np.concatenate(seen)
-    order = np.argsort(keys, kind="stable")
-    keys, seen = keys[order], seen[order]
-    del order
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    total = np.add.reduceat(seen, new) if len(new) else seen
-    keys = keys[new]
-    first = keys >> 32
-    return Trie.of(contexts, counts, words, first, keys & 0xFFFFFFFF, total / (counts[first] + PRIOR))
-
-
-def tries(encoded: DataFrame) -> DataFrame:
-    """The model itself: (shard, trie binary), to be kept or mapped elsewhere."""
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [pdf["part"].iloc[0]], "trie": [build([Message(d) for d in pdf["data"]]).pack()]})
-
-    return encoded.filter("part >= 0").select("part", "data").groupBy("part").applyInPandas(pack, "shard long, trie binary")
-
-
-def _answer(limits: Limits):
-    columns = ["block", "shard", "n", "types", "ids", "data"]
+    return rows.mapInArrow(_encoder(bits), "block long, part long, ids array<string>, data binary")
+
+
+# ---------------------------------------------------------------- the shards: counts
+def totals(keys: list[np.ndarray], counts: list[np.ndarray], marked: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each list of distinct keys the totals of their counts over all lists, and those of
+    all distinct keys. marked: twice the total, and one more if the key is in several lists."""
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate(counts), len(every)).astype(np.int64)
+    if marked:
+        total = 2 * total + (np.bincount(inverse, minlength=len(every)) > 1)
+    return np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1]), total
+
+
+_COUNTED = "block long, part long, n long, types long, ids array<string>, data binary"
+
+
+def _count(pdf: pd.DataFrame) -> pd.DataFrame:
+    part, columns = int(pdf["part"].iloc[0]), ["block", "part", "n", "types", "ids", "data"]
+    if part < 0:  # a block's documents wait with the answers
+        return pd.DataFrame([(pdf["block"].iloc[0], -1, 0, 0, pdf["ids"].iloc[0], pdf["data"].iloc[0])], columns=columns)
+    words, counts, pairs, seen, checks = zip(*map(_unpack, pdf["data"]))
+    whole = lambda deltas: [np.cumsum(d.astype(_U), dtype=_U) for d in deltas]
+    told, each = totals(whole(words), counts)
+    told2, _ = totals(whole(pairs), seen, marked=True)
+    n, types = int(each.sum()), int((each > 0).sum())
+    out = [(block, part, n, types, None, _pack(a, b, c)) for block, a, b, c in zip(pdf["block"], told, told2, checks)]
+    release()
+    return pd.DataFrame(out, columns=columns)
+
 
+def counted(encoded: DataFrame) -> DataFrame:
+    """The blocks' documents (part -1) and the totals that the shards tell each block, in the
+    shared folder: (block, part, n, types, ids, data)."""
+    return saved(encoded.groupBy("part").applyInPandas(_count, _COUNTED), "counted")
+
+
+# ---------------------------------------------------------------- the shards: probabilities
+def _met(pdf: pd.DataFrame, n: int, types: int, bits: int) -> Block:
+    """A block from its documents and the totals."""
+    block = Block.of(pdf.loc[pdf["part"] == -1, "data"].iloc[0], bits)
+    block.counted([(p, d) for p, d, a in zip(pdf["part"], pdf["data"], pdf["answer"]) if p >= 0 and not a], n, types)
+    return block
+
+
+def _ask(n: int, types: int, bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, blocks = int(pdf["part"].iloc[0]), pdf["block"].tolist()
-        if shard < 0:  # a block's documents wait with the answers
-            return pd.DataFrame([(blocks[0], -1, 0, 0, pdf["ids"].iloc[0], pdf["data"].iloc[0])], columns=columns)
-        messages = [Message(d) for d in pdf["data"]]
-        trie = Trie.mapped(build(messages).pack())
-        known = trie.contexts.get(np.arange(trie.contexts.n))
-        own = (limits.owners(known) == shard) & (trie.counts > 0)
-        n, types = int(trie.counts[own].sum()), int(own.sum())
-        out = []
-        for block, m in zip(blocks, messages):
-            place = trie.contexts.find(m.contexts)
-            codes = trie.find(place[m.u], m.words[m.v.astype(np.int64)])
-            out.append((block, shard, n, types, None, _pack(codes, trie.counts[place], np.array([m.low, m.first, m.check]))))
-        del messages, trie
+        block = _met(pdf, n, types, bits)
+        pairs, triples, parents = block.chosen(block.shared())
+        number, check, rows = int(pdf["block"].iloc[0]), np.array([block.check()]), []
+        cuts = np.searchsorted(block.part[pairs], np.arange((1 << bits) + 1))
+        cuts3 = np.searchsorted(parents, cuts)
+        for part in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            p, t = pairs[cuts[part] : cuts[part + 1]], triples[cuts3[part] : cuts3[part + 1]]
+            per = np.bincount(parents[cuts3[part] : cuts3[part + 1]] - cuts[part], minlength=len(p))
+            rows.append((number, part, _pack(_deltas(block.key[p]), quantise(block.p2[p]), per, block.older[t], block.seen3[t], block.context[t], check)))
         release()
-        return pd.DataFrame(out, columns=columns)
+        return pd.DataFrame(rows, columns=["block", "part", "data"])
     return run
 
 
-def answers(encoded: DataFrame, limits: Limits) -> DataFrame:
-    """The blocks' documents (shard -1) and what the shards tell each block, in the shared
-    folder: (block, shard, n, types, ids, data)."""
-    return saved(encoded.groupBy("part").applyInPandas(_answer(limits), "block long, shard long, n long, types long, ids array<string>, data binary"), "answers")
+def build(messages: list[list[np.ndarray]]) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray]:
+    """The trie of one shard from all blocks' messages; its distinct pairs and triples (place of
+    the pair << 32 | hash of the word before), and for each triple sent its place among these."""
+    keys = [np.cumsum(m[0].astype(_U), dtype=_U) for m in messages]
+    pairs, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    codes = np.concatenate([m[1] for m in messages])[first]
+    parent = np.repeat(inverse, np.concatenate([m[2] for m in messages]).astype(np.int64))
+    sent = (parent.astype(_U) << _U(32)) | np.concatenate([m[3] for m in messages]).astype(_U)
+    triples, first, place = np.unique(sent, return_index=True, return_inverse=True)
+    seen = np.bincount(place, np.concatenate([m[4] for m in messages]), len(triples))
+    context = np.concatenate([m[5] for m in messages])[first].astype(float)
+    known = seen > 0
+    above = (triples >> _U(32)).astype(np.int64)
+    p3 = (seen + PRIOR * restore(codes[above])) / (context + PRIOR)
+    return Trie.of(pairs, codes, above[known], triples[known] & _LOW, quantise(p3[known])), pairs, triples, place
+
+
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    messages = [_unpack(d) for d in pdf["data"]]
+    trie, pairs, triples, place = build(messages)
+    trie = Trie.mapped(trie.pack())
+    at = trie.find_pairs(pairs)
+    codes = np.split(trie.find(at[(triples >> _U(32)).astype(np.int64)], triples & _LOW)[place], np.cumsum([len(m[3]) for m in messages])[:-1])
+    out = pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "data": [_pack(c, m[6]) for c, m in zip(codes, messages)]})
+    del messages, trie
+    release()
+    return out
+
+
+def answers(told: DataFrame, n: int, types: int, bits: int) -> DataFrame:
+    """What the shards' tries tell each block about its triples, in the shared folder: (block, part, data)."""
+    return saved(asked(told, n, types, bits).groupBy("part").applyInPandas(_answer, "block long, part long, data binary"), "answers")
+
+
+def asked(told: DataFrame, n: int, types: int, bits: int) -> DataFrame:
+    rows = told.select("block", "part", "data", F.lit(False).alias("answer"))
+    return rows.groupBy("block").applyInPandas(_ask(n, types, bits), "block long, part long, data binary")
+
+
+def tries(told: DataFrame, n: int, types: int, bits: int) -> DataFrame:
+    """The model itself: (shard, block, trie binary), to be kept or mapped elsewhere. The tries of
+    the shards have no block, those of the blocks' own pairs no shard."""
+    def of_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [pdf["part"].iloc[0]], "trie": [build([_unpack(d) for d in pdf["data"]])[0].pack()]})
+
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "trie": [_met(pdf, n, types, bits).own_trie()[0].pack()]})
+
+    shards = asked(told, n, types, bits).groupBy("part").applyInPandas(of_shard, "shard long, trie binary")
+    rows = told.select("block", "part", "data", F.lit(False).alias("answer"))
+    return shards.unionByName(rows.groupBy("block").applyInPandas(of_block, "block long, trie binary"), allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- scores
-def _scorer(n: int, types: int):
+def _scorer(n: int, types: int, bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        docs, told = pdf[pdf["shard"] < 0], pdf[pdf["shard"] >= 0]
-        sequence, sizes, held, words = _unpack(docs["data"].iloc[0])
-        sequence, ends = sequence.astype(np.int32), np.cumsum(sizes.astype(np.int64))
-        keys, place = np.unique(pair_keys(sequence, ends), return_inverse=True)
-        if checksum(keys) != int(words[1]):
-            raise RuntimeError("a block of documents changed between two reads")
-        counts, codes = np.zeros(int(words[0])), np.zeros(len(keys), np.uint16)
-        for data in told["data"]:
-            code, count, (low, first, check) = _unpack(data)
-            if int(check) != int(words[1]):
-                raise RuntimeError("an answer meets another block of documents; read docs from storage")
-            codes[int(first) : int(first) + len(code)] = code
-            counts[int(low) : int(low) + len(count)] = count
-        base = (counts + 1) / (n + types + 1)
-        context = counts[keys >> 31]
-        p = restore(codes) + PRIOR / (context + PRIOR) * base[keys & 0x7FFFFFFF]
-        starts = np.concatenate([[0], ends[:-1]])
-        return pd.DataFrame({
-            "doc_id": list(docs["ids"].iloc[0]), "held_out": held.astype(bool), "n_tokens": sizes.astype(np.int64),
-            "n_known": np.add.reduceat((counts > 0)[sequence].astype(np.int64), starts),
-            "base_score": np.add.reduceat(np.log10(base)[sequence], starts),
-            "score": np.add.reduceat(np.log10(np.minimum(p, 1.0))[place], starts),
-        }, columns=columns)
+        block = _met(pdf, n, types, bits)
+        codes = np.zeros(len(block.triples), np.uint16)
+        told = [block._checked(d)[0] for p, d in sorted(zip(pdf["part"][pdf["answer"]], pdf["data"][pdf["answer"]]))]
+        if told:
+            codes[block.chosen(block.shared())[1]] = np.concatenate(told)
+        trie, keys, own = block.own_trie()
+        trie = Trie.mapped(trie.pack())
+        codes[own] = trie.find(trie.find_pairs(keys)[block.parent[own]], block.older[own])
+        less = PRIOR / (block.context + PRIOR) * block.p2[block.parent]  # of a triple that training has not
+        p = np.where(codes > 0, restore(codes), np.minimum(less, 1.0))
+        ids = pdf.loc[pdf["part"] == -1, "ids"].iloc[0]
+        out = pd.DataFrame({
+            "doc_id": list(ids), "held_out": block.held, "n_tokens": block.sizes,
+            "n_known": np.add.reduceat((block.count > 0)[block.sequence].astype(np.int64), block.starts),
+            "base_score": np.add.reduceat(np.log10(block.base)[block.sequence], block.starts),
+            "score": np.add.reduceat(np.log10(p)[block.triple], block.starts),
+        })
+        del block, trie
+        release()
+        return out
     return run
 
 
@@ -320,15 +380,17 @@ def score(docs: DataFrame, shard_text: int = SHARD_TEXT) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model is learned from the rows whose crc32 of doc_id mod 7 is not 2 (a null doc_id
-    counts as empty text and is trained on) and scores all rows. A null text counts as empty: its only token
-    is the end. Repeated rows are trained on and returned as often as they occur. Without
-    training rows every token has the probability 1. Empty in, empty out; extra columns don't matter.
+    counts as empty text and is trained on) and scores all rows. A null text counts as empty:
+    its only token is the end. A very long text is in one block. Repeated rows are trained on
+    and returned as often as they occur. Without training rows every token has the
+    probability 1. Empty in, empty out; extra columns, of whatever name, don't matter.
     """
-    limits = draw_limits(docs, shard_text)
-    told = answers(encode(docs, limits), limits)
-    row = told.filter("shard >= 0").groupBy("shard").agg(F.max("n").alias("n"), F.max("types").alias("t")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    scored = told.select("block", "shard", "ids", "data").groupBy("block").applyInPandas(
-        _scorer(row["n"], row["t"]), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "held_out", "n_tokens", "n_known", F.lit(row["n"]).cast("long").alias("train_tokens"), "base_score", "score")
-
-
+    bits = shard_bits(docs, shard_text)
+    told = counted(encode(docs, bits))
+    row = told.filter("part >= 0").groupBy("part").agg(F.max("n").alias("n"), F.max("types").alias("t")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    n, types = row["n"], row["t"]
+    rows = told.select("block", "part", "ids", "data", F.lit(False).alias("answer"))
+    more = answers(told, n, types, bits).select("block", "part", F.lit(None).cast("array<string>").alias("ids"), "data", F.lit(True).alias("answer"))
+    scored = rows.unionByName(more).groupBy("block").applyInPandas(
+        _scorer(n, types, bits), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -22,34 +22,41 @@ def test_elias_fano(n, top):
 
 def test_trie_round_trip():
     r = np.random.default_rng(5)
-    contexts = np.unique(r.integers(0, 2**62, 300).astype(np.uint64))
-    words = np.unique(r.integers(0, 2**48, 200).astype(np.uint64))
-    pairs = np.unique(r.integers(0, len(contexts) * len(words), 2000))
-    first, second = pairs // len(words), pairs % len(words)
-    p = r.random(len(pairs))
-    trie = Trie.mapped(Trie.of(contexts, np.arange(len(contexts)), words, first, second, p).pack())
-    assert (trie.contexts.find(contexts) == np.arange(len(contexts))).all() and (trie.counts == np.arange(len(contexts))).all()
-    a, b = np.divmod(np.arange(len(contexts) * len(words)), len(words))
-    want = np.zeros(len(a), np.uint16)
-    want[pairs] = quantise(p)
-    assert (trie.find(a, words[b]) == want).all()
-    assert (trie.find(np.array([0, -1]), np.array([2**60, words[0]], np.uint64)) == 0).all()
-    assert np.allclose(restore(quantise(p)), p, rtol=3e-4)
+    v, w = r.integers(0, 2**32, 300).astype(np.uint64), r.integers(0, 2**32, 200).astype(np.uint64)
+    pairs = np.unique((r.choice(v, 2000) << np.uint64(32)) | r.choice(w, 2000))
+    triples = np.unique((r.integers(0, len(pairs), 5000).astype(np.uint64) << np.uint64(32)) | r.choice(w, 5000))
+    parent, before, p2, p3 = (triples >> np.uint64(32)).astype(int), triples & np.uint64(2**32 - 1), r.random(len(pairs)), r.random(len(triples))
+    trie = Trie.mapped(Trie.of(pairs, quantise(p2), parent, before, quantise(p3)).pack())
+    every = np.unique(np.concatenate([pairs, (np.repeat(v, 20) << np.uint64(32)) | np.tile(w[:20], 300), np.array([0, 2**64 - 1], np.uint64)]))
+    at = trie.find_pairs(every)
+    assert (at == np.where(np.isin(every, pairs), np.searchsorted(pairs, every), -1)).all() and (trie.codes2 == quantise(p2)).all()
+    places, words = np.repeat(np.arange(len(pairs)), 30), np.tile(w[:30], len(pairs))
+    key = (places.astype(np.uint64) << np.uint64(32)) | words
+    want = np.where(np.isin(key, triples), quantise(p3)[np.minimum(np.searchsorted(triples, key), len(triples) - 1)], 0)
+    assert (trie.find(places, words) == want).all() and (trie.find(np.full(5, -1), w[:5]) == 0).all()
+    none = Trie.of(*(np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, np.uint16)))
+    none = Trie.mapped(none.pack())
+    assert (none.find(none.find_pairs(pairs), np.zeros(len(pairs), np.uint64)) == 0).all()
+    assert np.allclose(restore(quantise(p3)), p3, rtol=3e-4)
 
 
 def brute(rows):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     words = [(i, [*(t or "").encode().lower().split(), b"\n"]) for i, t in rows]
-    uni, bi = Counter(), Counter()
+    uni, bi, tri, contexts = Counter(), Counter(), Counter(), Counter()
+    grams = lambda w: zip([b"\n", b"\n", *w[:-2]][: len(w)], [b"\n", *w[:-1]], w)
     for i, w in words:
         if not held(i):
             uni.update(w)
-            bi.update(zip([b"\n", *w[:-1]], w))
+            tri.update(grams(w))
+            bi.update((v, x) for _, v, x in grams(w))
+            contexts.update((u, v) for u, v, _ in grams(w))
     n, v = sum(uni.values()), len(uni)
-    out = []
+    g, out = lm.PRIOR, []
     for i, w in words:
         base = {x: (uni[x] + 1) / (n + v + 1) for x in w}
-        score = sum(math.log10((bi[u, x] + lm.PRIOR * base[x]) / (uni[u] + lm.PRIOR)) for u, x in zip([b"\n", *w[:-1]], w))
+        p2 = lambda v, x: (bi[v, x] + g * base[x]) / (uni[v] + g)  # noqa: E731, B023
+        score = sum(math.log10((tri[u, v, x] + g * p2(v, x)) / (contexts[u, v] + g)) for u, v, x in grams(w))
         out.append((i, held(i), len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(base[x]) for x in w), score))
     return out
 
@@ -72,11 +79,23 @@ def test_scores_equal_counting(spark, sf, monkeypatch):
 
 
 def test_probabilities_sum_to_one():
-    uni = Counter({b"a": 5, b"b": 3, b"\n": 2})
-    n, v = 10, 3
-    bi = Counter({(b"a", b"b"): 2, (b"a", b"a"): 3})
-    total = sum((bi[b"a", w] + lm.PRIOR * (uni[w] + 1) / (n + v + 1)) / (uni[b"a"] + lm.PRIOR) for w in [*uni, b"unknown"])
-    assert total == pytest.approx(1.0)
+    text = b"a b a c a b b a".split()
+    uni, bi, tri = Counter(text), Counter(zip(text, text[1:])), Counter(zip(text, text[1:], text[2:]))
+    n, v, g = len(text), len(uni), lm.PRIOR
+    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
+    p2 = lambda v, w: (bi[v, w] + g * p1(w)) / (sum(c for (x, _), c in bi.items() if x == v) + g)
+    p3 = lambda u, v, w: (tri[u, v, w] + g * p2(v, w)) / (sum(c for (x, y, _), c in tri.items() if (x, y) == (u, v)) + g)
+    assert sum(p3(b"a", b"b", w) for w in [*uni, b"unknown"]) == pytest.approx(1.0)
+
+
+def test_repeated_documents_stand_apart(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 5000) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:30]])]
+    mean = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r["held_out"]}
+    once = sorted(m for i, m in mean.items() if 30 <= i < 300)
+    twice = [m for i, m in mean.items() if (i < 30 or i >= 300) and (i + 300 if i < 30 else i - 300) in mean]
+    assert sum(m > once[int(0.9 * len(once))] for m in twice) > 0.9 * len(twice)
 
 
 def test_odd_rows(odd, none, clashing):
@@ -85,8 +104,11 @@ def test_odd_rows(odd, none, clashing):
     assert lm.score(clashing).count() == clashing.count()
 
 
-def test_model_table(spark, sf):
+def test_model_table(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 20_000)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    limits = lm.draw_limits(docs, 100_000)
-    model = lm.tries(lm.encode(docs, limits)).collect()
-    assert len(model) > 1 and sum(int(Trie.unpack(r["trie"]).successors.n) for r in model) > 1000
+    bits = lm.shard_bits(docs, 100_000)
+    told = lm.counted(lm.encode(docs, bits))
+    model = lm.tries(told, 1000, 100, bits).collect()
+    assert bits > 1 and sum(r["shard"] is not None for r in model) > 1 and sum(r["block"] is not None for r in model) > 1
+    assert sum(Trie.unpack(r["trie"]).before.n for r in model) > 1000
