@@ -118,28 +118,56 @@ class EliasFano:
         up = (word * 64 + bit - index).astype(_U)
         return (up << _U(self.width)) | _get_bits(self.low, self.width, index)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The index of the first value that is at least x; n if there is none."""
+    def all(self) -> np.ndarray:
+        """The whole sequence."""
+        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
+        up = (ones - np.arange(self.n)).astype(_U)
+        return (up << _U(self.width)) | _get_bits(self.low, self.width, np.arange(self.n))
+
+    def locate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(successor, whether it is x) for each x: the index of the first value that is at
+        least x, n if there is none. Sorted queries are the fastest."""
         x = np.ascontiguousarray(x, _U)
-        if not self.n:
-            return np.zeros(len(x), np.int64)
+        at, hit = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        for start in range(0, len(x) if self.n else 0, _PART):
+            at[start : start + _PART], hit[start : start + _PART] = self._locate(x[start : start + _PART])
+        return at, hit
+
+    def _locate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = x >> _U(self.width)
-        lo, hi = self._before(part), self._before(part + _U(1))
-        hi = np.where(part + _U(1) == 0, self.n, hi)
-        want = x & _U((1 << self.width) - 1)
-        while (lo < hi).any():
-            mid = (lo + hi) // 2
-            less = (lo < hi) & (_get_bits(self.low, self.width, np.minimum(mid, self.n - 1)) < want)
-            hi = np.where(lo < hi, np.where(less, hi, mid), hi)
-            lo = np.where(less, mid + 1, lo)
-        return lo
+        lo = self._before(part)
+        # the values of one high part are a run of ones, from bit lo + part on
+        bit = np.minimum(lo + np.minimum(part, self.zeros[-1]).astype(np.int64), 64 * len(self.high) - 1)
+        word, shift = bit >> 6, (bit & 63).astype(_U)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)] * (word + 1 < len(self.high)).astype(_U)
+        window = (self.high[word] >> shift) | np.where(shift > 0, after << ((_U(64) - shift) & _U(63)), _U(0))
+        full = window == ~_U(0)
+        hi = lo + np.where(full, 0, np.bitwise_count(window ^ (window + _U(1))).astype(np.int64) - 1)
+        if full.any():
+            hi[full] = np.where(part[full] + _U(1) == 0, self.n, self._before(part[full] + _U(1)))
+        hi = np.clip(hi, lo, self.n)
+        want, last = x & _U((1 << self.width) - 1), hi
+        open_ = np.flatnonzero(lo < hi)
+        while open_.size:
+            mid = (lo[open_] + hi[open_]) // 2
+            less = _get_bits(self.low, self.width, mid) < want[open_]
+            if last is hi:
+                hi, last = hi.copy(), hi
+            hi[open_[~less]] = mid[~less]
+            lo[open_[less]] = mid[less] + 1
+            open_ = open_[lo[open_] < hi[open_]]
+        hit = np.zeros(len(x), bool)
+        inside = np.flatnonzero(lo < last)
+        hit[inside] = _get_bits(self.low, self.width, lo[inside]) == want[inside]
+        return lo, hit
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The index of the first value that is at least x; n if there is none."""
+        return self.locate(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The index of x, or -1."""
-        at = self.successor(x)
-        if not self.n:
-            return np.full(len(at), -1)
-        hit = (at < self.n) & (self.get(np.minimum(at, self.n - 1)) == np.ascontiguousarray(x, _U))
+        at, hit = self.locate(x)
         return np.where(hit, at, -1)
 
 
@@ -192,11 +220,9 @@ class Trie:
         if not level.n:
             return np.full(len(parents), -1)
         known = np.maximum(parents, 0)
-        key = (known.astype(_U) << _HALF) | low
-        at = level.successor(key)
-        inside = (parents >= 0) & (at >= pointers.get(known).astype(np.int64)) & (at < pointers.get(known + 1).astype(np.int64))
-        at = np.minimum(at, level.n - 1)
-        return np.where(inside & (level.get(at) == key), at, -1)
+        at, hit = level.locate((known.astype(_U) << _HALF) | low)
+        ends = pointers.all().astype(np.int64)
+        return np.where(hit & (parents >= 0) & (at >= ends[known]) & (at < ends[known + 1]), at, -1)
 
     def find_pairs(self, pairs: np.ndarray) -> np.ndarray:
         """The place of v << 32 | w in level two, or -1."""

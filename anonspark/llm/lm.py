@@ -40,7 +40,7 @@ from .eliasfano import Trie, quantise, restore
 #: Weight of the next lower order in each context, in tokens.
 PRIOR = 4.0
 #: Tokens of a block, and bytes of text per shard: they bound a task's memory.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 750_000
 SHARD_TEXT = 12 << 20
 _SLICE = 500
 #: Bits of the words' hashes from which pairs are told apart: the shard by all of them, and in
@@ -166,17 +166,19 @@ class Block:
         """Pairs of the training text that other blocks have as well."""
         return (self.total > 0) & self.elsewhere
 
-    def own_trie(self) -> tuple[Trie, np.ndarray, np.ndarray]:
-        """The trie of the pairs that no other block has, and its queries: keys of pairs, triples."""
-        pairs = np.flatnonzero((self.total > 0) & ~self.shared())
+    def own_trie(self) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray]:
+        """The trie of the pairs that no other block has, and what to look up in it: the keys
+        of the pairs, the triples, and the place among those keys of each triple."""
+        pairs = np.flatnonzero((self.total > 0) & ~self.elsewhere)
         pairs = pairs[np.argsort(self.key[pairs], kind="stable")]
         place = np.full(len(self.pairs), -1)
         place[pairs] = np.arange(len(pairs))
         asked = np.flatnonzero(place[self.parent] >= 0)
+        asked = asked[np.lexsort((self.older[asked], place[self.parent[asked]]))]
         known = asked[self.seen3[asked] > 0]
-        known = known[np.lexsort((self.older[known], place[self.parent[known]]))]
         p3 = (self.seen3[known] + PRIOR * self.p2[self.parent[known]]) / (self.context[known] + PRIOR)
-        return Trie.of(self.key[pairs], quantise(self.p2[pairs]), place[self.parent[known]], self.older[known], quantise(p3)), self.key, asked
+        trie = Trie.of(self.key[pairs], quantise(self.p2[pairs]), place[self.parent[known]], self.older[known], quantise(p3))
+        return trie, self.key[pairs], asked, place[self.parent[asked]]
 
 
 _ENCODED = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.string())), ("data", pa.binary())])
@@ -358,9 +360,9 @@ def _scorer(n: int, types: int, bits: int):
         told = [block._checked(d)[0] for p, d in sorted(zip(pdf["part"][pdf["answer"]], pdf["data"][pdf["answer"]]))]
         if told:
             codes[block.chosen(block.shared())[1]] = np.concatenate(told)
-        trie, keys, own = block.own_trie()
+        trie, keys, own, place = block.own_trie()
         trie = Trie.mapped(trie.pack())
-        codes[own] = trie.find(trie.find_pairs(keys)[block.parent[own]], block.older[own])
+        codes[own] = trie.find(trie.find_pairs(keys)[place], block.older[own])
         less = PRIOR / (block.context + PRIOR) * block.p2[block.parent]  # of a triple that training has not
         p = np.where(codes > 0, restore(codes), np.minimum(less, 1.0))
         ids = pdf.loc[pdf["part"] == -1, "ids"].iloc[0]
