@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anonspark.config import ScrubConfig
+from anonspark.config import ColumnRule, ScrubConfig
 from anonspark.functions import patterns as P
 from anonspark.operators import gate, induce, judge, review, tables, vocab
 from anonspark.operators.apply import apply_by_candidates, apply_map, credential_snippets, has_credentials, redact_credentials, redact_kv, restore
@@ -20,6 +20,7 @@ from anonspark.operators.mint import assign_tokens, first_by_key
 from anonspark.operators.nested import scrub_json
 from anonspark.plans import scrub
 from anonspark.plans.storage import saved
+from anonspark.plans.store import SCHEMAS
 from anonspark.streaming.jobs import daily_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +87,10 @@ def quoted(text: str) -> str:
 
 
 #: Patterns as the SQL engine reads them: ASCII boundaries, no look-around.
-_SQL_PATTERN = {"phone": P.PHONE.replace(r"(?<!\d)", "").replace(r"(?!\d)", ""), "person_header": "(?m)" + P.PERSON_HEADER}
+_SQL_PATTERN = {
+    "phone": P.PHONE.replace(r"(?<!\d)", "").replace(r"(?!\d)", ""), "person_header": "(?m)" + P.PERSON_HEADER,
+    "person_adjacent": P.PERSON_ADJACENT.replace("(?=", "").removesuffix(")"),  # what follows the name is read with it
+}
 
 
 def hits_sql(source: str, name: str) -> str:
@@ -123,7 +127,7 @@ for _name, _source in (
     ("person_header", "mails"), ("person_sign_off", "mails"),
 ):
     _detector(_name, _source)
-_detector("person_adjacent", "mails", False)
+_detector("person_adjacent", "mails")
 
 # ---------------------------------------------------------------- credentials
 KV_SQL = quoted(P.SENSITIVE_KV)
@@ -145,17 +149,57 @@ def credential_flags(spark, sf_dir):
 
 # ---------------------------------------------------------------- minting and substitution
 MINTED_KINDS = ["ipv4", "email", "phone", "card", "fqdn"]
-_union = " UNION ALL ".join(f"SELECT * FROM ({hits_sql('documents', n)}) WHERE {FILTERS.get(n, 'true')}" for n in MINTED_KINDS)
 _types = "CASE rank " + " ".join(f"WHEN {d.rank} THEN '{d.type}'" for d in P.DETECTORS) + " END"
 _categories = "CASE rank " + " ".join(f"WHEN {d.rank} THEN '{d.category}'" for d in P.DETECTORS) + " END"
-MINT_CTE = f"""hits AS ({_union}),
-firsts AS (SELECT * FROM (SELECT *, lower(value) AS key, row_number() OVER (PARTITION BY lower(value) ORDER BY doc_id, rank, match_idx) AS k FROM hits) WHERE k = 1),
+
+
+def mint_cte(source: str, kinds: list[str], alone: bool = False) -> str:
+    """hits, firsts and minted of a source; alone: of each document by itself."""
+    union = " UNION ALL ".join(f"SELECT * FROM ({hits_sql(source, n)}) WHERE {FILTERS.get(n, 'true')}" for n in kinds)
+    own = "doc_id, " if alone else ""
+    return f"""hits AS ({union}),
+firsts AS (SELECT * FROM (SELECT *, lower(value) AS key, row_number() OVER (PARTITION BY {own}lower(value) ORDER BY doc_id, rank, match_idx) AS k FROM hits) WHERE k = 1),
 minted AS (SELECT value AS real_value, type, category, doc_id,
   concat('{{', type, CASE WHEN n > 0 THEN concat('_', n) ELSE '' END, '}}') AS token
-  FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY doc_id, rank, match_idx) - 1 AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY {own}type ORDER BY doc_id, rank, match_idx) - 1 AS n
         FROM (SELECT *, {_types} AS type, {_categories} AS category FROM firsts)))"""
 
 
+def apply_cte(source: str, alone: bool = False) -> str:
+    """applied (doc_id, text, scrubbed): the minted values of the source's texts replaced, from
+    left to right, the longest first, where no word character is next to them."""
+    own = "AND d.doc_id = p.doc_id" if alone else ""
+    return f"""d AS (SELECT doc_id, text, lower(text) AS low FROM ({SOURCE[source][1]})),
+cut AS (SELECT d.doc_id, p.token, len(p.real_value) AS n, list_transform(string_split(d.low, lower(p.real_value)), lambda x: len(x)) AS gaps
+  FROM d JOIN minted p ON contains(d.low, lower(p.real_value)) {own}),
+occ AS (SELECT doc_id, token, n, unnest(list_transform(range(1, len(gaps)), lambda i: list_sum(gaps[1:i]) + (i - 1) * n + 1))::BIGINT AS at FROM cut),
+fit AS (SELECT o.* FROM occ o JOIN d USING (doc_id) WHERE NOT regexp_matches(CASE WHEN o.at > 1 THEN d.low[o.at - 1] ELSE '' END, '[\\pL\\pN_]')
+  AND NOT regexp_matches(d.low[o.at + o.n], '[\\pL\\pN_]')),
+walk AS (SELECT doc_id, 0 AS step, 1::BIGINT AS begun, 1::BIGINT AS at, 1::BIGINT AS done, '' AS token FROM d
+  UNION ALL
+  SELECT w.doc_id, w.step + 1, w.done, f.at, f.at + f.n, f.token FROM walk w JOIN fit f ON f.doc_id = w.doc_id AND f.at >= w.done
+  QUALIFY row_number() OVER (PARTITION BY w.doc_id ORDER BY f.at, f.n DESC) = 1),
+applied AS (SELECT d.doc_id, any_value(d.text) AS text,
+  concat(string_agg(concat(substr(d.text, w.begun, w.at - w.begun), w.token), '' ORDER BY w.step), substr(any_value(d.text), max(w.done))) AS scrubbed
+  FROM d JOIN walk w USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id)"""
+
+
+MINT_CTE = mint_cte("documents", MINTED_KINDS)
+SCRUBBED_KINDS = [*MINTED_KINDS, "person_adjacent"]  # what a scrub of the documents finds
+NOTED_KINDS = ["ipv4", "ipv6", "unc_path", "domain_user", "mac", "guid", "street", "url", "fqdn"]
+REDACTED = "regexp_replace(regexp_replace(a.scrubbed, {c}, '[CREDENTIAL-REDACTED]', 'g'), {k}, '\\1=[REDACTED]', 'g')".format(c=CRED_SQL, k=KV_SQL)
+
+
+def scrub_sql(alone: bool = False) -> str:
+    """A scrub of the documents, with one vocabulary or with one for each."""
+    return f"""WITH RECURSIVE {mint_cte('documents', SCRUBBED_KINDS, alone)}, {apply_cte('documents', alone)},
+per AS (SELECT doc_id, count(DISTINCT lower(value)) AS n FROM hits GROUP BY 1)
+SELECT a.doc_id, {REDACTED} AS scrubbed, COALESCE(per.n, 0) AS n_minted,
+  regexp_matches(a.text, {CRED_SQL}) OR regexp_matches(a.text, {KV_SQL}) AS has_credentials,
+  {REDACTED} <> a.text OR regexp_matches(a.text, {CRED_SQL}) OR regexp_matches(a.text, {KV_SQL}) OR a.doc_id IN (SELECT doc_id FROM minted) AS modified
+FROM applied a LEFT JOIN per USING (doc_id)"""
+
+
 def minted(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     hits = detect(docs(spark, sf_dir) if rows is None else rows, names=MINTED_KINDS).withColumn("doc_order", F.col("doc_id"))
     return saved(assign_tokens(first_by_key(hits, scrub.ORDER), known, scrub.ORDER), "minted")
@@ -181,38 +225,58 @@ def mint_continues(spark, sf_dir):
     return minted(spark, sf_dir, known=known).select("real_value", "token")
 
 
-@query("restore_roundtrip", "SELECT doc_id, text FROM documents")
+@query("premint_names", """WITH n AS (SELECT 0 AS rank, s_suppkey AS match_idx, s_name AS value, 'CUSTOMER' AS type FROM supplier WHERE s_suppkey <= 20
+  UNION ALL SELECT 1, s_suppkey, concat('Person ', row_number() OVER (ORDER BY s_suppkey)), 'PERSON' FROM supplier WHERE s_suppkey <= 20)
+SELECT value AS real_value, concat('{', type, CASE WHEN n > 0 THEN concat('_', n) ELSE '' END, '}') AS token
+FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rank, match_idx) - 1 AS n FROM n)""")
+def premint_names(spark, sf_dir):
+    """The configured names come before all hits; names shaped like tokens and blank ones are refused."""
+    names = [r["s_name"] for r in table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").orderBy("s_suppkey").select("s_name").collect()]
+    config = ScrubConfig(customer_names=(*names, "{CUSTOMER_3}", " "), person_names=tuple(f"Person {i}" for i in range(1, len(names) + 1)))
+    hits = detect(docs(spark, sf_dir), names=["ipv4"]).withColumn("doc_order", F.col("doc_id"))
+    return scrub.corpus_tokens(hits, "doc_id", config, None).filter("type <> 'IP'").select("real_value", "token")
+
+
+@query("mint_reused", f"""WITH {MINT_CTE} SELECT CASE WHEN old THEN upper(real_value) ELSE real_value END AS real_value, CASE WHEN old THEN concat('{{OLD_', doc_id, '_', length(real_value), '}}') ELSE token2 END AS token, NOT old AS is_new
+FROM (SELECT *, doc_id % 2 = 0 AS old, concat('{{', type, CASE WHEN row_number() OVER (PARTITION BY type, doc_id % 2 = 0 ORDER BY doc_id, rank, match_idx) > 1 THEN concat('_', row_number() OVER (PARTITION BY type, doc_id % 2 = 0 ORDER BY doc_id, rank, match_idx) - 1) ELSE '' END, '}}') AS token2
+  FROM (SELECT f.*, value AS real_value, {_types} AS type FROM firsts f))""")
+def mint_reused(spark, sf_dir):
+    """Values that the vocabulary has in other letters keep their tokens, whatever their type."""
+    known = minted(spark, sf_dir).filter("doc_id % 2 = 0").select(F.upper("real_value").alias("real_value"), F.concat(F.lit("{OLD_"), "doc_id", F.lit("_"), F.length("real_value"), F.lit("}")).alias("token"))
+    return minted(spark, sf_dir, known=known).select("real_value", "token", "is_new")
+
+
+@query("restore_roundtrip", f"WITH RECURSIVE {MINT_CTE}, {apply_cte('documents')} SELECT doc_id, scrubbed, text FROM applied")
 def restore_roundtrip(spark, sf_dir):
     tokens = minted(spark, sf_dir)
     applied = apply_map(docs(spark, sf_dir), tokens)
-    return restore(applied, tokens, "scrubbed").select("doc_id", F.col("restored").alias("text"))
+    return restore(applied, tokens, "scrubbed").select("doc_id", "scrubbed", F.col("restored").alias("text"))
 
 
-@query("apply_large_vocabulary", "SELECT doc_id, true AS same FROM documents")
+@query("apply_large_vocabulary", f"WITH RECURSIVE {MINT_CTE}, {apply_cte('documents')} SELECT doc_id, scrubbed FROM applied")
 def apply_large_vocabulary(spark, sf_dir):
-    """Both ways of applying a map give the same text."""
-    tokens = minted(spark, sf_dir)
-    both = apply_by_candidates(apply_map(docs(spark, sf_dir), tokens, out="a"), tokens, out="b")
-    return both.select("doc_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+    """The way of applying a map that no worker could hold."""
+    return apply_by_candidates(docs(spark, sf_dir), minted(spark, sf_dir), out="scrubbed").select("doc_id", "scrubbed")
 
 
-@query("scrub_corpus")
+@query("scrub_corpus", scrub_sql())
 def scrub_corpus(spark, sf_dir):
     rows = scrub.scrub_corpus(docs(spark, sf_dir)).documents
     return rows.select("doc_id", "scrubbed", F.size("minted").cast("long").alias("n_minted"), "has_credentials", "modified")
 
 
-@query("scrub_documents")
+@query("scrub_documents", scrub_sql(alone=True))
 def scrub_documents(spark, sf_dir):
     rows = scrub.scrub_documents(docs(spark, sf_dir))
     return rows.select("doc_id", "scrubbed", F.size("minted").cast("long").alias("n_minted"), "has_credentials", "modified")
 
 
-@query("audit_residual", "SELECT doc_id, value FROM (SELECT 0::BIGINT AS doc_id, '' AS value) WHERE false")
+@query("audit_residual", f"WITH {mint_cte('documents', SCRUBBED_KINDS)} SELECT doc_id, value FROM hits WHERE doc_id % 2 = 0")
 def audit_residual(spark, sf_dir):
-    """Nothing is left to detect in what a scrub returns."""
+    """What is left to detect if every other document stays as it was: nothing in the others."""
     rows = scrub.scrub_corpus(docs(spark, sf_dir)).documents
-    return scrub.audit_residual(rows).select("doc_id", "value")
+    half = rows.withColumn("scrubbed", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("scrubbed")))
+    return scrub.audit_residual(half).select("doc_id", "value")
 
 
 @query("findings_preview", f"""WITH {MINT_CTE}, seen AS (SELECT h.doc_id, upper(min_by(CASE h.rank WHEN 4 THEN 'ip' WHEN 6 THEN 'email' WHEN 14 THEN 'phone' WHEN 16 THEN 'account_number' WHEN 18 THEN 'fqdn' END, h.rank * 100000 + h.match_idx)) AS cat, lower(h.value) AS k FROM hits h GROUP BY h.doc_id, lower(h.value)),
@@ -226,7 +290,11 @@ def findings_preview(spark, sf_dir):
     return scrub.findings_preview(docs(spark, sf_dir).join(per, "doc_id", "left"))
 
 
-@query("token_runs")
+@query("token_runs", f"""WITH RECURSIVE {MINT_CTE}, {apply_cte('documents')},
+r AS (SELECT doc_id, string_split_regex(scrubbed, '\\{{[A-Z][A-Z0-9_]*\\}}') AS g, regexp_extract_all(scrubbed, '\\{{[A-Z][A-Z0-9_]*\\}}') AS t FROM applied),
+x AS (SELECT doc_id, list_filter(flatten(list_transform(range(1, len(g) + 1), lambda i: [{{'kind': 'text', 'value': g[i]}}, {{'kind': 'token', 'value': t[i]}}])), lambda v: v.value IS NOT NULL AND v.value <> '') AS v FROM r),
+y AS (SELECT doc_id, generate_subscripts(v, 1)::INT - 1 AS idx, unnest(v) AS r FROM x)
+SELECT y.doc_id, y.idx, y.r.kind AS kind, y.r.value AS value, CASE WHEN y.r.kind = 'token' THEN m.category END AS category FROM y LEFT JOIN (SELECT DISTINCT token, category FROM minted) m ON m.token = y.r.value""")
 def token_runs(spark, sf_dir):
     v = vocabulary(spark, sf_dir)
     return scrub.token_runs(apply_map(docs(spark, sf_dir), v), v, text="scrubbed")
@@ -252,7 +320,12 @@ def build_payload(spark, sf_dir):
     return scrub.build_payload(rows, "conv_id")
 
 
-@query("scrub_nested")
+_quoted_sql = lambda c: f"concat('\"', replace({c}, chr(92), concat(chr(92), chr(92))), '\"')"
+
+
+@query("scrub_nested", f"""WITH RECURSIVE {mint_cte('notes', NOTED_KINDS)}, {apply_cte('notes')}
+SELECT doc_id, concat('{{"new_string": ', {_quoted_sql('text')}, ', "old_string": ', {_quoted_sql('text')}, ', "meta": {{"lines": [', {_quoted_sql(REDACTED)}, ']}}}}') AS updated,
+  true AS has_credentials, true AS modified FROM applied a""")
 def scrub_nested(spark, sf_dir):
     record = F.to_json(F.struct(F.col("text").alias("new_string"), F.col("text").alias("old_string"), F.struct(F.array("text").alias("lines")).alias("meta")))
     rows = notes(spark, sf_dir).select("doc_id", record.alias("record"), F.lit("Edit").alias("tool"))
@@ -323,6 +396,42 @@ def validate_entries(spark, sf_dir):
     return vocab.validated(rows).select("c_custkey", "reason")
 
 
+@query("vocab_confirmed", f"WITH {MINT_CTE} SELECT real_value, token FROM minted WHERE doc_id % 3 <> 0")
+def vocab_confirmed(spark, sf_dir):
+    """Rows without a confirmation, and values shaped like tokens, are not applied."""
+    open_ = minted(spark, sf_dir).filter("doc_id % 3 = 0").select("real_value").distinct()
+    v = vocabulary(spark, sf_dir)
+    v = v.join(open_.withColumn("_o", F.lit(True)), "real_value", "left").withColumn("confirmed_by", F.when(F.col("_o").isNull(), F.col("confirmed_by"))).drop("_o")
+    shaped = v.limit(1).withColumns({"real_value": F.lit("{IP_3}"), "confirmed_by": F.lit("auto")}).select(v.columns)
+    return vocab.confirmed_map(v.unionByName(shaped)).select("real_value", "token")
+
+
+@query("vocab_lookup", f"WITH {MINT_CTE} SELECT token, real_value, category FROM minted WHERE type = 'IP'")
+def vocab_lookup(spark, sf_dir):
+    wanted = minted(spark, sf_dir).filter("type = 'IP'").select("token").unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("{NONE_"), "r_regionkey", F.lit("}")).alias("token")))
+    return vocab.look_up_tokens(wanted, vocabulary(spark, sf_dir)).select("token", "real_value", "category")
+
+
+@query("vocab_clear", f"WITH {MINT_CTE} SELECT count(*) AS deleted, 0::BIGINT AS remaining FROM minted")
+def vocab_clear(spark, sf_dir):
+    return vocab.clear(vocabulary(spark, sf_dir))[1]
+
+
+@query("vocab_merge_last", f"WITH {MINT_CTE} SELECT token, CASE WHEN category = 'email' THEN concat('later ', real_value) ELSE real_value END AS real_value FROM minted")
+def vocab_merge_last(spark, sf_dir):
+    v = vocabulary(spark, sf_dir).select("token", "real_value")
+    later = v.filter("token LIKE '{EMAIL%'").withColumn("real_value", F.concat(F.lit("later "), "real_value"))
+    return vocab.merge_last([v, later]).select("token", "real_value")
+
+
+@query("allowlist_upsert", "SELECT s_name AS pattern, s_suppkey % 2 = 0 AS is_regex FROM supplier")
+def allowlist_upsert(spark, sf_dir):
+    """The last entry of a pattern wins."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("pattern"), (F.col("s_suppkey") % 2 == 0).alias("is_regex"), F.lit("user").alias("added_by"), F.lit(1).cast("long").alias("added_at"), F.lit("r").alias("reason"))
+    before = rows.withColumns({"is_regex": ~F.col("is_regex"), "added_at": F.lit(2).cast("long")})
+    return vocab.allow_upsert(before, rows).select("pattern", "is_regex")
+
+
 # ---------------------------------------------------------------- review
 VENDOR = "concat('Vendor', chr(97 + CAST(s_suppkey % 26 AS INT)), chr(97 + CAST(s_nationkey AS INT)), ' Holdings')"
 _text = f"concat('Please talk to {{V}} today or not')".replace("{V}", f"', {VENDOR}, '")
@@ -361,6 +470,14 @@ def review_triage(spark, sf_dir):
     return states.groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query("review_origin", f"SELECT span, CASE WHEN s % 3 = 0 THEN 'judge' ELSE 'scrub' END AS origin FROM (SELECT {VENDOR} AS span, s_suppkey AS s FROM supplier)")
+def review_origin(spark, sf_dir):
+    source = F.when(F.col("s_suppkey") % 3 == 0, "judge:LLM").otherwise("scrub")
+    queue = table(spark, sf_dir, "supplier").select(F.expr(VENDOR).alias("span"), source.alias("source_event"))
+    both = [review.by_origin(queue, judged).select("span", F.lit(name).alias("origin")) for judged, name in ((True, "judge"), (False, "scrub"))]
+    return both[0].unionByName(both[1])
+
+
 # ---------------------------------------------------------------- gate, log, statistics
 _LOG = ["event_id % 3 AS tokens_minted", "user_id % 2 AS tokens_reused", "CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS blocked"]
 _DAYS = f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS events, CAST(sum(tokens_minted) AS BIGINT) AS minted, CAST(sum(tokens_reused) AS BIGINT) AS reused, CAST(sum(blocked) AS BIGINT) AS blocked FROM (SELECT ts, {', '.join(_LOG)} FROM events) GROUP BY 1"
@@ -399,15 +516,36 @@ def event_gate(spark, sf_dir):
     return gate.decide(rows).select("event_id", "decision", "blocked")
 
 
+@query("log_rows", """SELECT event_id AS session_id, CASE WHEN c AND k > 0 THEN 0 ELSE p END AS tokens_minted, 0 AS tokens_reused, CASE WHEN k = 0 OR c THEN 1 ELSE 0 END AS blocked
+FROM (SELECT CAST(event_id AS VARCHAR) AS event_id, event_id % 3 AS k, event_id % 10 = 0 AS c, CASE WHEN user_id % 4 = 0 THEN 1 ELSE 0 END AS p FROM events)
+WHERE c OR p = 1 AND k < 2""")
+def log_rows(spark, sf_dir):
+    """What the log keeps of the decisions on all events."""
+    kind = F.element_at(F.array(F.lit("UserPromptSubmit"), F.lit("PreToolUse"), F.lit("PostToolUse")), (F.col("event_id") % 3 + 1).cast("int"))
+    pii = F.col("user_id") % 4 == 0
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("session_id"), kind.alias("kind"), kind.alias("event"), F.lit(100).alias("size"), F.lit(100).alias("payload_size"),
+        (F.col("event_id") % 10 == 0).alias("has_credentials"), pii.alias("modified"), F.when(pii, 1).otherwise(0).alias("n_minted"), F.lit(0).alias("n_reused"))
+    return gate.log_rows(gate.decide(rows), F.lit(0).cast("long")).select("session_id", "tokens_minted", "tokens_reused", "blocked")
+
+
 @query("auto_approve", "SELECT doc_id, toxic = 0 AND quality = 1 AS approved FROM labels UNION ALL SELECT doc_id, false FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def auto_approve(spark, sf_dir):
     judged = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("long").alias("suspicious_count"), (F.col("quality") == 0).alias("failed"))
     return gate.auto_approve(docs(spark, sf_dir).select("doc_id", F.lit(False).alias("modified")), judged, True)
 
 
-@query("rate_limit")
+@query("rate_limit", """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i
+  FROM (SELECT user_id % 20 AS user_id, epoch_ns(ts) // 1000000 // 10000 AS ms, event_id FROM events)),
+r AS (SELECT user_id, ms, event_id, i, true AS accepted, [ms] AS kept FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, ms, event_id, i, len(k) < 10, CASE WHEN len(k) < 10 THEN list_append(k, ms) ELSE k END FROM (
+    SELECT e.user_id, e.ms, e.event_id, e.i, list_filter(list_transform(r.kept, lambda x: {'t': x, 'now': e.ms}), lambda y: y.t > y.now - 10000) AS l,
+      list_transform(l, lambda y: y.t) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, ms, event_id, accepted FROM r""")
 def rate_limit(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").selectExpr("user_id", "unix_millis(CAST(ts AS TIMESTAMP)) AS ms", "event_id")
+    """Twenty users whose events come ten thousand times as fast, so that many are refused."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id % 20 AS user_id", "unix_millis(CAST(ts AS TIMESTAMP)) DIV 10000 AS ms", "event_id")
     return gate.rate_limit(rows, "user_id", "ms", "event_id")
 
 
@@ -446,6 +584,20 @@ def scrub_table(spark, sf_dir):
     return tables.scrub_table(contacts(spark, sf_dir), "contacts", "c_custkey")[0]
 
 
+@query("scrub_tables_shared", f"""WITH c AS ({_CONTACTS_SQL}), x AS (SELECT s_suppkey, s_name, concat('user', s_suppkey, '@mail', s_nationkey, '.example.com') AS mail, c_email FROM supplier LEFT JOIN (SELECT c_custkey, Email AS c_email FROM c) ON c_custkey = s_suppkey)
+SELECT s_suppkey, concat('{{VENDOR', CASE WHEN n > 0 THEN concat('_', n) ELSE '' END, '}}') AS Vendor, mail AS Kept, mail_token AS Mail
+FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM x)
+JOIN (SELECT v, concat('{{EMAIL', CASE WHEN row_number() OVER (ORDER BY r) > 1 THEN concat('_', row_number() OVER (ORDER BY r) - 1) ELSE '' END, '}}') AS mail_token
+  FROM (SELECT v, min(r) AS r FROM (SELECT Email AS v, c_custkey AS r FROM c UNION ALL SELECT mail, 1000000000 + s_suppkey FROM x) GROUP BY 1)) m ON m.v = mail""")
+def scrub_tables_shared(spark, sf_dir):
+    """Two tables with one map: a custom column, a skipped one, and one that a rule finds."""
+    mail = F.expr("concat('user', s_suppkey, '@mail', s_nationkey, '.example.com')")
+    vendors = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("Vendor"), mail.alias("Kept"), mail.alias("Mail"))
+    config = ScrubConfig(column_rules=(ColumnRule("^ma?il$", "Email", True),))
+    both = {"contacts": (contacts(spark, sf_dir), "c_custkey"), "vendors": (vendors, "s_suppkey")}
+    return tables.scrub_tables(both, config, {"vendors": {"Vendor": {"kind": "custom", "label": "vendor"}, "Kept": {"kind": "skip"}}})[0]["vendors"]
+
+
 @query("scrub_summary", "SELECT 'contacts' AS table_name, count(*) AS rows, 4 * count(*) AS cells_scrubbed FROM customer")
 def scrub_summary(spark, sf_dir):
     return tables.scrub_table(contacts(spark, sf_dir), "contacts", "c_custkey")[2].select("table_name", "rows", "cells_scrubbed")
@@ -460,6 +612,42 @@ def induce_patterns(spark, sf_dir):
     return induce.suggest(names).select("category", "n_examples", "regex_source")
 
 
+def _patterns(spark, sf_dir):
+    """Patterns learned from the customers' and suppliers' names, as stored."""
+    names = table(spark, sf_dir, "customer").select(F.lit("customer").alias("category"), F.col("c_name").alias("real_value"))
+    names = names.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("category"), F.col("s_name").alias("real_value")))
+    none = spark.createDataFrame([], SCHEMAS["induced_patterns"])
+    return induce.persist(none, induce.suggest(names), F.lit(0).cast("long"), names.withColumnRenamed("real_value", "value"))
+
+
+@query("pattern_store", r"""SELECT 1::BIGINT AS id, 'customer' AS category, '\bCustomer#\d{9}\b' AS regex_source, 'pending' AS status, (SELECT string_agg(c_name, ',' ORDER BY c_name) FROM (SELECT DISTINCT c_name FROM customer ORDER BY 1 LIMIT 20)) AS examples
+UNION ALL SELECT 2, 'supplier', '\bSupplier#\d{9}\b', 'pending', (SELECT string_agg(s_name, ',' ORDER BY s_name) FROM (SELECT DISTINCT s_name FROM supplier ORDER BY 1 LIMIT 20))""")
+def pattern_store(spark, sf_dir):
+    return _patterns(spark, sf_dir).select("id", "category", "regex_source", "status", F.array_join("source_examples", ",").alias("examples"))
+
+
+@query("pattern_decisions", r"""SELECT 'customer' AS category, '\bCustomer#\d+\b' AS regex_source, 'pending' AS status FROM (SELECT count(*) AS n FROM customer) WHERE n > 0
+UNION ALL SELECT 'supplier', '\bSupplier#\d{9}\b', 'pending' FROM (SELECT count(*) AS n FROM supplier) WHERE n > 0""")
+def pattern_decisions(spark, sf_dir):
+    """An edit that matches all examples holds, one that doesn't changes nothing."""
+    p = saved(_patterns(spark, sf_dir), "patterns")
+    regex = F.when(F.col("category") == "customer", r"\bCustomer#\d+\b").otherwise(r"\bSupplier#1\d+\b")
+    values = table(spark, sf_dir, "customer").select(F.lit("customer").alias("category"), F.col("c_name").alias("value"))
+    values = values.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("category"), F.col("s_name").alias("value")))
+    done = induce.decide(p, p.select("id", F.lit("edit").alias("action"), regex.alias("regex")), induce.examples_of(p, values))
+    return done.select("category", "regex_source", "status")
+
+
+@query("pattern_hits", "SELECT 1::BIGINT AS id, count(*) FILTER (WHERE c_custkey % 3 > 0) AS hit_count FROM customer UNION ALL SELECT 2, 0")
+def pattern_hits(spark, sf_dir):
+    """A pattern's hits count once for each text."""
+    text = F.when(F.col("c_custkey") % 3 > 0, F.concat("c_name", F.lit(" or "), "c_name")).otherwise("nobody")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    p = saved(_patterns(spark, sf_dir), "patterns")
+    hits = detect(rows, patterns=[(r["id"], r["category"], r["regex_source"], r["confidence"]) for r in p.collect()])  # two patterns
+    return induce.bump_hits(p, hits).select("id", "hit_count")
+
+
 @query("active_patterns", r"SELECT c_custkey AS doc_id, c_name AS value, 9::BIGINT AS source FROM customer")
 def active_patterns(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("ask "), "c_name", F.lit(" now")).alias("text"))
@@ -482,7 +670,19 @@ def judge_mask(spark, sf_dir):
     return judge.masked(rows).select("doc_id", "masked")
 
 
-@query("judge_chunks")
+_last = lambda mark: f"CASE WHEN instr(reverse(substr(t, start + 1, 1800 + {len(mark)})), '{mark}') > 0 THEN len(substr(t, start + 1, 1800 + {len(mark)})) - instr(reverse(substr(t, start + 1, 1800 + {len(mark)})), '{mark}') - {len(mark)} + 1 ELSE -1 END"
+_length = f"CASE WHEN {_last(chr(10) * 2)} >= 720 THEN {_last(chr(10) * 2)} WHEN {_last(chr(10))} >= 720 THEN {_last(chr(10))} WHEN {_last(' ')} >= 151 THEN {_last(' ')} ELSE 1800 END"
+
+
+@query("judge_chunks", f"""WITH RECURSIVE long AS (SELECT doc_id, regexp_replace(text, '\\s+$', '') AS t FROM documents WHERE len(text) > 1800),
+walk AS (SELECT doc_id, t, 0 AS idx, 0::BIGINT AS start, NULL::BIGINT AS a, NULL::BIGINT AS n FROM long
+  UNION ALL
+  SELECT doc_id, t, idx + 1, start + n - 150 + len(regexp_extract(substr(t, start + n - 149), '^\\s*')), start, n
+  FROM (SELECT doc_id, t, idx, start, {_length} AS n FROM walk WHERE len(t) - start > 1800)),
+pieces AS (SELECT doc_id, 0 AS chunk_idx, text AS chunk FROM documents WHERE len(text) <= 1800
+  UNION ALL SELECT doc_id, idx - 1, regexp_replace(substr(t, a + 1, n), '^\\s+|\\s+$', '', 'g') FROM walk WHERE n IS NOT NULL
+  UNION ALL SELECT doc_id, idx, substr(t, start + 1) FROM walk WHERE len(t) - start <= 1800 AND len(t) - start >= 24)
+SELECT doc_id, chunk_idx, chunk, concat({quoted(chr(10).join(judge.PROMPT_HEAD).format(most=16))}, chr(10), chunk, chr(10), {quoted(chr(10).join(judge.PROMPT_TAIL))}) AS prompt FROM pieces""")
 def judge_chunks(spark, sf_dir):
     return judge.prompts(judge.chunks(docs(spark, sf_dir).select("doc_id", F.col("text").alias("masked"))))
 
@@ -497,6 +697,17 @@ def judge_spans(spark, sf_dir):
     return judge.capped(spans).select("doc_id", "chunk_idx", "text", "category")
 
 
+@query("judge_review", """SELECT event_id AS doc_id, concat('Jane', event_id % 40, ' Doe') AS span, substr(t, greatest(1, pos - 40), pos + len(s) + 40 - greatest(1, pos - 40)) AS surrounding, 'judge:post' AS source_event
+FROM (SELECT event_id, concat('Jane', event_id % 40, ' Doe') AS s, concat(repeat('x', (event_id % 60)::INT), ' so ', s, ' said ', repeat('y', 60)) AS t, (event_id % 60 + 5)::INT AS pos FROM events WHERE event_id % 5 >= 1)""")
+def judge_review(spark, sf_dir):
+    """Spans with their surroundings, as they are queued."""
+    events = table(spark, sf_dir, "events")
+    rows = events.selectExpr("event_id AS doc_id", "0 AS chunk_idx", f"{_ANSWER} AS response", "CAST(NULL AS STRING) AS error")
+    texts = events.selectExpr("event_id AS doc_id", "concat(repeat('x', CAST(event_id % 60 AS INT)), ' so ', 'Jane', event_id % 40, ' Doe said ', repeat('y', 60)) AS scrubbed")
+    spans = judge.capped(judge.valid_spans(judge.parsed(rows), vocabulary(spark, sf_dir)))
+    return judge.review_rows(spans, texts, "post").select("doc_id", "span", "surrounding", "source_event")
+
+
 @query("judge_verdicts", """SELECT user_id AS doc_id, CAST(count(*) FILTER (WHERE event_id % 11 <> 0) AS BIGINT) AS suspicious_count, bool_or(event_id % 11 = 0) AS failed FROM events GROUP BY 1""")
 def judge_verdicts(spark, sf_dir):
     answer = """CASE WHEN event_id % 11 = 0 THEN 'no json' ELSE '[{"text":"Jane Doe","category":"person","confidence":0.9,"reason":"name"}]' END AS response"""
