@@ -1,10 +1,12 @@
 """Personal data by a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained in numpy from the spans that the base patterns label in a bounded
-sample of documents. A tagged span must hold a digit or an at sign, so only text around
-such characters can hold one: it is cut into overlapping windows, each is decoded by
-Viterbi, and each character takes its tag from the window in which it lies most centrally.
-Base spans stay; tagged spans that meet none of them and have the form of their kind are added.
+sample of documents, and from the same values in forms that the patterns don't read: numbers
+without a country code or with other separators, addresses with [at] or [.]. A tagged span
+must hold a digit, an at sign or an [at], so only text around such characters can hold one: it
+is cut into overlapping windows, each is decoded by Viterbi, and each character takes its tag
+from the window in which it lies most centrally. Base spans stay; tagged spans that meet none
+of them and have the form of their kind are added.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents, and windows of them, that the network learns from at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOWS_PER_DOC = 1200, 1600, 4
 LENGTH, STRIDE, REACH = 48, 24, 16
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 16, 32, 0.02
+EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 10, 32, 0.02
 _TAGS = 1 + 2 * len(KINDS)  # outside, then the first and the next characters of each kind
 _DECODE = 512
 
-_ANCHOR = re.compile(r"[0-9@]")
+_ANCHOR = re.compile(r"[0-9@]|[\[(]at[\])]", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
@@ -113,15 +115,40 @@ def labelled(text: str) -> list[tuple[str, bytes]]:
     return [(text[a:b], tags[a:b].tobytes()) for a, b, _ in windows(text)]
 
 
-def without_prefix(piece: str, tags: bytes) -> tuple[str, bytes] | None:
-    """A training window whose phone number lacks its country code: '+1 (555) …' as '(555) …'."""
-    m = re.search(r"\+[0-9]{1,3} ", piece)
-    first = 1 + 2 * KINDS.index("phone")
-    if not m or tags[m.start()] != first or m.end() >= len(piece):
-        return None
-    rest = bytearray(tags[m.end() :])
-    rest[0] = first
-    return piece[: m.start()] + piece[m.end() :], tags[: m.start()] + bytes(rest)
+def forms(kind: int, value: str) -> list[str]:
+    """Other ways to write a value, which the base patterns don't read."""
+    digits = _digits(value)
+    if kind == 0:
+        local, _, domain = value.partition("@")
+        return [f"{local} [at] {domain}", f"{local}(at){domain}", f"{local}[at]{domain}"]
+    if kind == 1:
+        a, b, c, d = value.split(".")
+        return [f"{a}[.]{b}[.]{c}[.]{d}", f"{a}.{b}.{c}[.]{d}", f"{a}(.){b}(.){c}(.){d}"]
+    if kind == 2:
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [mark.join(groups) for mark in (".", "/", " - ", "  ")]
+    n = digits[-10:]
+    if len(n) < 10:
+        return []
+    a, b, c = n[:3], n[3:6], n[6:]
+    return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{digits[: -10] or '1'} {a} {b} {c}"]
+
+
+def rewritten(piece: str, tags: bytes) -> list[tuple[str, bytes]]:
+    """Training windows with each span that lies inside this one in its other forms."""
+    out, i = [], 0
+    while i < len(tags):
+        kind, j = (tags[i] - 1) // 2, i + 1
+        while tags[i] and j < len(tags) and tags[j] == 2 + 2 * kind:
+            j += 1
+        if tags[i] % 2 and j < len(tags):
+            for new in forms(kind, piece[i:j]):
+                mark = bytes([1 + 2 * kind]) + bytes([2 + 2 * kind]) * (len(new) - 1)
+                text, own = piece[:i] + new + piece[j:], tags[:i] + mark + tags[j:]
+                cut = max(0, min(len(text) - LENGTH, i - (LENGTH - len(new)) // 2))
+                out.append((text[cut : cut + LENGTH], own[cut : cut + LENGTH]))
+        i = j
+    return [(t, m) for t, m in out if any(m)]
 
 
 # ---------------------------------------------------------------- network
@@ -272,12 +299,14 @@ def well_formed(kind: int, piece: str, before: str, after: str) -> bool:
         return False
     digits = _digits(piece)
     if kind == 0:
-        return re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]*\w", piece) is not None
+        return re.fullmatch(r"[^\s@]+(?:@|\x20?[\[(]at[\])]\x20?)[^\s@]+\.[^\s@]*\w", piece, re.I) is not None
     if kind == 1:
-        parts = piece.split(".")
+        parts = re.sub(r"\[\.\]|\(\.\)", ".", piece).split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return re.fullmatch(r"[0-9]+(?:[\x20.-]?[0-9]+)*", piece) is not None and 13 <= len(digits) <= 19 and luhn(digits)
+        return re.fullmatch(r"[0-9]+(?:[\x20./-]{0,3}[0-9]+)*", piece) is not None and 13 <= len(digits) <= 19 and luhn(digits)
+    if re.fullmatch(r"[0-9]{3}\.[0-9]{3}\.[0-9]{4}", piece):
+        return True
     return re.fullmatch(r"[+(]?[0-9][0-9\x20().-]*[0-9]", piece) is not None and 7 <= len(digits) <= 15 and re.search(r"[()\x20-]", piece) is not None
 
 
@@ -340,7 +369,7 @@ def all_spans(texts: list[str | None], tagger: Tagger | None) -> tuple[list[list
 def fit(docs: DataFrame, windows_most: int = SAMPLE_WINDOWS) -> Tagger | None:
     """A tagger from windows of at most SAMPLE_DOCS documents with a digit or an at sign, in
     the order of a hash of the id; None if there is no window."""
-    some = docs.filter("doc_id IS NOT NULL").filter(F.col("text").rlike("[0-9@]"))
+    some = docs.filter("doc_id IS NOT NULL").filter(F.col("text").rlike(r"[0-9@]|[\[(][aA][tT][\])]"))
     ids = saved(some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS), "sample")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,7 +388,9 @@ def fit(docs: DataFrame, windows_most: int = SAMPLE_WINDOWS) -> Tagger | None:
     half = got[got["hit"]].head(windows_most // 2)
     got = pd.concat([half, got[~got["hit"]].head(windows_most - len(half))])
     pairs = list(zip(got["piece"], map(bytes, got["tags"])))
-    pairs += [x for p in pairs if (x := without_prefix(*p))]
+    more = [x for p in pairs for x in rewritten(*p)]
+    more = [more[i] for i in np.random.default_rng(5).permutation(len(more))[:windows_most]]
+    pairs += more
     y = np.zeros((len(pairs), LENGTH), np.int64)
     for i, (_, t) in enumerate(pairs):
         y[i, : len(t)] = np.frombuffer(t, np.uint8)
@@ -395,7 +426,9 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. A null or
-    empty text has no span; repeated rows repeat; empty in, empty out; extra columns don't matter."""
+    empty text has no span, a very long one is read whole; where two tags are as likely the lower
+    one is taken; repeated rows repeat; empty in, empty out; extra columns, of whatever name, don't
+    matter."""
     rows = find(docs.select("doc_id", "text"), fit(docs))
     name = F.array(*map(F.lit, KINDS))
 

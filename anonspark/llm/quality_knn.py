@@ -4,7 +4,8 @@ A text becomes counts of hashed byte pairs and of word forms, and of a few featu
 its layout; these are damped, weighted by inverse document frequency and projected on the
 leading singular vectors of a labelled sample. The sample's vectors are broadcast; every
 document takes exact cosine products with all of them, in blocks, and the labels of the
-nearest ones vote in proportion to their similarity.
+nearest ones vote in proportion to a power of their similarity and to how many labelled
+documents of their class each stands for. Of neighbours at the same distance all vote.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ DIMENSIONS = 64
 NEIGHBOURS = 25
 THRESHOLD = 0.7
 _PAIRS, _SHAPES = 768, 64
-TERMS = _PAIRS + _SHAPES + 16
+TERMS = _PAIRS + _SHAPES + 8
 _BLOCK = 512
 
 #: Class of each byte: letters, upper case, digits, spaces, and signs of their own.
@@ -80,7 +81,7 @@ class Model:
     axes: np.ndarray  # terms x dimensions
     vectors: np.ndarray  # unit vectors of the sample
     labels: np.ndarray  # 0 or 1
-    weights: np.ndarray  # of each sample row, so that the classes count as in the labelled data
+    weights: np.ndarray  # of each sample row: the labelled documents of its class that it stands for
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         v = (counts * self.idf) @ self.axes
@@ -97,10 +98,13 @@ class Model:
         for at in range(0, len(counts), _BLOCK):
             v = self.embed(counts[at : at + _BLOCK])
             cos = v @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < cos.shape[1] else np.tile(np.arange(k), (len(v), 1))
-            vote = np.maximum(np.take_along_axis(cos, near, axis=1), 0.0).astype(np.float64) ** 8 * self.weights[near]
-            total = vote.sum(axis=1)
-            good = (vote * self.labels[near]).sum(axis=1)
+            least = np.partition(cos, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+            vote = np.where(cos >= np.maximum(least, 0.0), cos, 0.0)
+            vote = vote * vote
+            vote = vote * vote
+            vote = vote * vote  # the eighth power
+            total = vote @ self.weights
+            good = vote @ (self.weights * self.labels)
             out[at : at + _BLOCK] = np.divide(good, total, out=np.zeros(len(v)), where=total > 0)
         return np.clip(out, 0.0, 1.0)
 
@@ -111,11 +115,16 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": pdf.iloc[:, 0].astype("int32"), "terms": [t.tobytes() for t in terms]})
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labels that may be learned from, each once."""
+    return labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out("doc_id", 4, 2)).select("doc_id", "quality").distinct()
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Up to per_class labelled rows of each class whose crc32 of doc_id mod 4 is not 2, in
     the order of a hash of the id: (label, text). Rows without an id, a label of 0 or 1 or a
     text are left out."""
-    good = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out("doc_id", 4, 2)).select("doc_id", "quality")
+    good = usable(labels)
     picked = None
     for label in (0, 1):
         part = good.filter(F.col("quality") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -131,13 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensio
     if not len(got):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
     got = got.sort_values(["label", "terms"], ignore_index=True)  # the same order for any number of tasks
+    all_ = {r["quality"]: r["count"] for r in usable(labels).groupBy("quality").count().collect()}  # two rows
     terms = np.frombuffer(b"".join(got["terms"]), np.float32).reshape(-1, TERMS)
     y = got["label"].to_numpy(float)
     idf = (1 + np.log((1 + len(terms)) / (1 + (terms > 0).sum(axis=0)))).astype(np.float32)
     x = terms * idf
     values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
     axes = np.ascontiguousarray(axes[:, ::-1][:, :dimensions]).astype(np.float32)
-    model = Model(idf, axes, np.zeros((0, axes.shape[1]), np.float32), y, np.ones(len(y)))
+    weights = np.where(y > 0, all_.get(1, 0) / max(1, (y > 0).sum()), all_.get(0, 0) / max(1, (y == 0).sum()))
+    model = Model(idf, axes, np.zeros((0, axes.shape[1]), np.float32), y, weights / weights.mean())
     model.vectors = model.embed(terms)
     return model
 
@@ -159,7 +170,9 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted. A null text counts as empty; an
     empty text has no direction, so nothing votes for it: score 0, rejected. A null doc_id
-    counts as empty text in held_out. Without a usable label all scores are 0. Empty in, empty out."""
+    counts as empty text in held_out. Without a usable label all scores are 0. Very long texts
+    count whole; neighbours that tie for the last place all vote; repeated rows repeat. Empty in,
+    empty out; extra columns, of whatever name, don't matter."""
     rows = score_rows(docs.select("doc_id", "text"), fit(docs, labels))
     return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 

@@ -93,6 +93,37 @@ def test_tagger_finds_what_no_pattern_names(tagger):
     assert pii.all_spans(["the year 2024 and 12 items of 4.0.1"], tagger)[1][0] == []
 
 
+def test_other_forms_in_held_out_documents(spark, tagger):
+    """Values that no pattern reads: the recall of what the tagger adds, and its silence elsewhere."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 10 = 1 AND text IS NOT NULL").select("text").collect()]
+    found = asked = 0
+    for t in texts:
+        for kind, a, b in pii.base_spans(t)[:1]:
+            for form in pii.forms(kind, t[a:b]):
+                asked += 1
+                found += (kind, a, a + len(form)) in pii.all_spans([t[:a] + form + t[b:]], tagger)[1][0]
+    assert asked > 100 and found / asked >= 0.9, (found, asked)
+    clean = [t for t in texts if not pii.base_spans(t)]
+    added = sum(bool(e) for e in pii.all_spans(clean, tagger)[1])
+    assert len(clean) > 500 and added <= 0.005 * len(clean), (added, len(clean))
+
+
+def test_windows_in_other_forms():
+    piece = "mail a.b@c.example.org or +1 (222) 555-0199 now"
+    (text, tags), = pii.labelled(piece)[:1]
+    more = pii.rewritten(text, tags)
+    assert any("[at]" in t for t, _ in more) and any("222-555-0199" in t for t, _ in more)
+    for t, m in more:
+        assert len(t) == len(m) <= pii.LENGTH and any(m)
+
+
+def test_long_texts_and_clashing_columns(spark, tagger):
+    rows = spark.createDataFrame([(1, "x" * 200_000 + " mail a@b.org " + "y " * 50_000, "z", "z")], "doc_id long, text string, base_spans string, pii_spans string")
+    done = pii.find(rows, tagger)
+    assert len(set(done.columns)) == len(done.columns) == 6
+    assert [(s["kind"], s["start"]) for s in done.first()["base_spans_"]] == [(0, 200_006)]
+
+
 def test_odd_rows(odd, none, spark):
     rows = odd.unionByName(spark.createDataFrame([(9, "mail a.b@c.org, +1 (222) 555-0199; 10.0.0.1 é", None, None, None)], odd.schema))
     got = pii.report(rows).collect()

@@ -35,6 +35,51 @@ def test_blocked_products_equal_plain_voting():
         assert abs(got[i] - (vote * model.labels[near]).sum() / vote.sum()) < 1e-4
 
 
+def test_terms_and_embedding_equal_plain_counting():
+    """The terms of a text, counted pair by pair."""
+    def slow(text):
+        raw, out = text.encode(), np.zeros(quality_knn.TERMS)
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+        for a, b in zip(low, low[1:]):
+            out[((a << 8 | b) * 40503 & 0xFFFF) % 768] += 1
+        kind = lambda b: int(quality_knn._CLASS[b])
+        for a, b in zip(raw, raw[1:]):
+            out[768 + 8 * kind(a) + kind(b)] += 1
+        out[:768] = np.sqrt(out[:768] / len(raw))
+        out[768:832] = 2 * np.sqrt(out[768:832] / len(raw))
+        w = text.split()
+        by = [sum(kind(b) == k for b in raw) / len(raw) for k in range(8)]
+        same, again = sum(a == b for a, b in zip(w, w[1:])), len(w) - len(set(w))
+        tail = by[7], by[2], by[3], same / (len(w) + 20), again / (len(w) + 20), min(1.0, len(raw) / max(1, len(w)) / 20), by[6], by[5]
+        out[832:] = 3 * np.sqrt(tail)
+        return out
+
+    texts = ["One two two three, FOUR!\nfive # 6", "a", "é ä ö 12 12 12"]
+    got = quality_knn.term_counts([*texts, "", None])
+    assert np.allclose(got[:3], [slow(t) for t in texts], atol=1e-6) and not got[3:].any()
+
+
+def test_ties_and_class_weights():
+    vectors = np.array([[1, 0]] * 30 + [[0, 1]] * 3, np.float32)
+    labels = np.array([1.0] * 20 + [0.0] * 10 + [0.0] * 3)
+    weights = np.where(labels > 0, 2.0, 0.5)
+    counts = np.zeros((1, quality_knn.TERMS), np.float32)
+    counts[0, 0] = 1
+    axes = np.zeros((quality_knn.TERMS, 2), np.float32)
+    axes[0, 0] = 1
+    model = quality_knn.Model(np.ones(quality_knn.TERMS, np.float32), axes, vectors, labels, weights)
+    assert model.score(counts)[0] == 40 / 45  # all thirty that tie vote, not 25 of them
+
+
+def test_weights_are_those_of_the_labelled_classes(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "ab " * (i % 7)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id long, quality int")
+    model = quality_knn.fit(docs, labels, per_class=30)
+    n = {q: labels.filter(~quality_knn.held_out("doc_id", 4, 2)).filter(f"quality = {q}").count() for q in (0, 1)}
+    assert len(model.labels) == 60
+    assert np.isclose(model.weights[model.labels == 1].sum() / model.weights[model.labels == 0].sum(), n[1] / n[0])
+
+
 def slow_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -67,6 +112,24 @@ def test_trees_fit_and_stay_monotone():
     assert (np.diff(forest.probability(grid).reshape(50, 40), axis=1) <= 1e-12).all()
 
 
+def test_node_arrays_equal_a_walk_down_each_tree():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, 3))
+    forest = quality_gbt.train(x, (x[:, 0] * x[:, 1] > 0).astype(float), [0, 0, 0])
+
+    def walk(row):
+        margin = forest.bias
+        for root in forest.roots:
+            at = root
+            while forest.left[at] != at:
+                at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+            margin += forest.value[at]
+        return 1 / (1 + np.exp(-margin))
+
+    some = np.concatenate([x[:60], np.array([[forest.threshold[0]] * 3])])
+    assert np.allclose(forest.probability(some), [walk(row) for row in some])
+
+
 def test_rules_on_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

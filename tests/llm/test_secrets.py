@@ -38,6 +38,27 @@ def test_equals_plain_scan(spark):
     assert Counter(map(tuple, secrets.report(df).collect())) == Counter(_row(*r) for r in rows)
 
 
+def _by_contract(text):
+    """The base spans, read off the contract and not off the module's rules."""
+    name = "".join
+    any_case = lambda w: name(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    keys = "|".join([any_case(w) for w in ("password", "passwd", "secret", "token", "api")][:4] + [any_case("api") + "_?" + any_case("key")])
+    assign = re.compile(f"({keys})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_rules_are_those_of_the_contract(spark):
+    rng = random.Random(8)
+    parts = ["PassWord", "passWD", "Token", "secret", "api_key", "ApiKey", "=", ":", " ", "'", '"', "AKIA", "B" * 16, "f" * 24, "0a1", "x1y2z3", "+/_.=-", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(500)]
+    got = secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert r["base_sha256"] == hashlib.sha256(_by_contract(texts[r["doc_id"]]).encode()).hexdigest(), texts[r["doc_id"]]
+
+
 def test_main_path_has_no_python(odd):
     plan = secrets.report(odd.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
