@@ -192,12 +192,9 @@ def _has(*parts: str) -> Callable[[Column], Column]:
     return gate
 
 
-def _digit(text: Column) -> Column:
-    return text.rlike("[0-9]")
-
-
-def _any(text: Column) -> Column:
-    return F.lit(True)
+def _like(regex: str) -> Callable[[Column], Column]:
+    """A short pattern that every match holds, and that begins with what is rare in prose."""
+    return lambda text: text.rlike(java(regex))
 
 
 def _pair(text: Column) -> Column:
@@ -220,7 +217,7 @@ def may_have_pair(text: Column) -> Column:
 
 
 DETECTORS = (
-    Detector("ipv4", 4, IPV4, "IP", "ip", 1.0, _digit),
+    Detector("ipv4", 4, IPV4, "IP", "ip", 1.0, _like(r"\.[0-9]")),
     Detector("ipv6", 5, IPV6, "IP", "ip", 0.95, _has(":")),
     Detector("email", 6, EMAIL, "EMAIL", "email", 1.0, _has("@")),
     Detector("person_header", 7, PERSON_HEADER.replace("|^|", "|" + LINE_START + "|"), "PERSON", "person", 0.92, _has("@", "<"), 1),
@@ -230,12 +227,12 @@ DETECTORS = (
     Detector("domain_user", 11, DOMAIN_USER, "USER", "domain_user", 0.95, _has("\\")),
     Detector("mac", 12, MAC, "MAC", "mac", 1.0, _pair),
     Detector("guid", 13, GUID, "GUID", "guid", 0.9, _has("-")),
-    Detector("phone", 14, PHONE, "PHONE", "phone", 0.9, _digit),
-    Detector("street", 15, STREET, "ADDR", "address", 0.85, _digit),
-    Detector("card", 16, CARD, "ACCOUNT", "account_number", 0.95, _digit),
+    Detector("phone", 14, PHONE, "PHONE", "phone", 0.9, _like(r"[0-9]\)?[\s.\-][0-9]")),
+    Detector("street", 15, STREET, "ADDR", "address", 0.85, _like(r"[0-9]\s+[A-Z]")),
+    Detector("card", 16, CARD, "ACCOUNT", "account_number", 0.95, _like(r"[0-9]{4}[\s\-]?[0-9]{4}")),
     Detector("url", 17, URL, "URL", "url", 0.9, _has("://")),
-    Detector("fqdn", 18, FQDN, "HOST", "fqdn", 0.85, _has("."), hint=r"(?=[a-zA-Z0-9\-]+\.[a-zA-Z0-9])"),
-    Detector("corp", 19, CORP, "", "customer", 0.6, _any),
+    Detector("fqdn", 18, FQDN, "HOST", "fqdn", 0.85, _like(r"\.[a-zA-Z0-9]"), hint=r"(?=[a-zA-Z0-9\-]+\.[a-zA-Z0-9])"),
+    Detector("corp", 19, CORP, "", "customer", 0.6, _like(r"\s(?=[BCGHILSTU])(?:Corp|Inc|LLC|Ltd|Limited|GmbH|Co|Bank|Hospital|University|College|Health|Holdings|Group|Industries|Systems|Solutions|Technologies)")),
 )
 BY_NAME = {d.name: d for d in DETECTORS}
 BY_RANK = {d.rank: d for d in DETECTORS}
