@@ -116,7 +116,11 @@ def review_rows(spans: DataFrame, docs: DataFrame, source: str, doc: str = "doc_
 
 
 def verdicts(answers: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, suspicious_count, failed, error_reasons): a failed chunk fails its document."""
-    errors = answers.groupBy(doc).agg(F.bool_or(F.col("error_reason").isNotNull()).alias("failed"), F.count(F.col("error_reason")).alias("n_failed"), F.count("*").alias("n_chunks"))
+    """(doc, failed, error_reason, n_failed, n_chunks, suspicious_count): a failed chunk fails
+    its document, and the last one that failed says why."""
+    reason = F.col("error_reason")
+    errors = answers.groupBy(doc).agg(
+        F.bool_or(reason.isNotNull()).alias("failed"), F.max_by(reason, F.when(reason.isNotNull(), F.col("chunk_idx"))).alias("error_reason"),
+        F.count(reason).alias("n_failed"), F.count("*").alias("n_chunks"))
     n = spans.groupBy(doc).agg(F.count("*").alias("suspicious_count"))
     return errors.join(n, doc, "left").withColumn("suspicious_count", F.coalesce("suspicious_count", F.lit(0).cast("long")))

@@ -708,8 +708,12 @@ def judge_review(spark, sf_dir):
     return judge.review_rows(spans, texts, "post").select("doc_id", "span", "surrounding", "source_event")
 
 
-@query("judge_verdicts", """SELECT user_id AS doc_id, CAST(count(*) FILTER (WHERE event_id % 11 <> 0) AS BIGINT) AS suspicious_count, bool_or(event_id % 11 = 0) AS failed FROM events GROUP BY 1""")
+@query("judge_verdicts", """SELECT user_id AS doc_id, CAST(count(*) FILTER (WHERE event_id % 11 > 1) AS BIGINT) AS suspicious_count, bool_or(event_id % 11 <= 1) AS failed,
+  CASE max(event_id) FILTER (WHERE event_id % 11 <= 1) % 11 WHEN 0 THEN 'parse_failed: not JSON' WHEN 1 THEN 'llm_failed: timeout' END AS error_reason,
+  count(*) FILTER (WHERE event_id % 11 <= 1) AS n_failed, count(*) AS n_chunks FROM events GROUP BY 1""")
 def judge_verdicts(spark, sf_dir):
     answer = """CASE WHEN event_id % 11 = 0 THEN 'no json' ELSE '[{"text":"Jane Doe","category":"person","confidence":0.9,"reason":"name"}]' END AS response"""
-    rows = judge.parsed(table(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "event_id AS chunk_idx", answer, "CAST(NULL AS STRING) AS error"))
-    return judge.verdicts(rows, judge.valid_spans(rows, vocabulary(spark, sf_dir))).select("doc_id", "suspicious_count", "failed")
+    error = "CASE WHEN event_id % 11 = 1 THEN 'timeout' END AS error"
+    rows = judge.parsed(table(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "event_id AS chunk_idx", answer, error))
+    found = judge.valid_spans(rows, vocabulary(spark, sf_dir))
+    return judge.verdicts(rows, found).select("doc_id", "suspicious_count", "failed", "error_reason", "n_failed", "n_chunks")

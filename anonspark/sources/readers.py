@@ -6,20 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anonspark.operators.gate import event_kind
+from anonspark.plans.storage import small
 
 #: Extensions that count as text, and the size limit of a file.
-TEXT_EXTENSIONS = "txt md markdown csv tsv json jsonl yaml yml xml html htm log ini cfg conf toml env sql py js ts tsx jsx java go rs rb php c h cpp hpp cs sh ps1 bat eml".split()
+TEXT_EXTENSIONS = "txt md log json csv yaml yml conf config env ini toml xml html htm tsv sql sh bash zsh".split()
 MAX_FILE = 5 * 1024 * 1024
 EVENTS = "session_id string, hook_event_name string, prompt string, tool_name string, tool_input string, tool_response string, tool_result string, _corrupt string"
 
 
-def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_text_corpus(spark: SparkSession, path: str, kinds: DataFrame | None = None) -> DataFrame:
     """(name, size, text, error): the files under a path; one that is too large, of another
-    kind or binary is a row with an error and no text."""
+    kind or binary is a row with an error and no text. A file is text by its extension, or by
+    its MIME type where kinds (name, mime) has one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    files = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    if kinds is None:
+        files = files.withColumn("mime", F.lit(None).cast("string"))
+    else:
+        files = files.join(small(kinds.groupBy("name").agg(F.min("mime").alias("mime"))), "name", "left")
+    name = F.col("name")
     kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    error = F.when(F.col("length") > MAX_FILE, "file too large").when(~kind.isin(TEXT_EXTENSIONS), "unsupported file type")
+    text_like = kind.isin(TEXT_EXTENSIONS) | F.coalesce(F.col("mime").startswith("text/") | (F.col("mime") == "application/json"), F.lit(False))
+    error = F.when(F.col("length") > MAX_FILE, "file too large").when(~text_like, "unsupported file type")
     error = F.coalesce(error, F.when(F.hex(F.substring("content", 1, 8192)).rlike("^(?:..)*?00"), "binary file"))
     text = F.when(error.isNull(), F.try_validate_utf8(F.col("content").cast("string")))
     rows = files.select(name.alias("name"), F.col("length").alias("size"), text.alias("text"), error.alias("error"))

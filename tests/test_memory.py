@@ -196,5 +196,7 @@ def test_second_opinion(spark, words):
     assert [(r["doc_id"], r["text"], r["category"]) for r in spans.collect()] == [(1, "Jane Doe", "person")]
     got = {r["doc_id"]: (r["suspicious_count"], r["failed"]) for r in judge.verdicts(answers, spans).collect()}
     assert got == {1: (1, False), 2: (0, True), 3: (0, True)}
+    why = {r["doc_id"]: (r["error_reason"], r["n_failed"], r["n_chunks"]) for r in judge.verdicts(answers, spans).collect()}
+    assert why == {1: (None, 0, 2), 2: ("parse_failed: not JSON", 1, 1), 3: ("llm_failed: timeout", 1, 1)}
     rows = judge.review_rows(spans, spark.createDataFrame([(1, "see Jane Doe there")], "doc_id long, scrubbed string"), "scrub").collect()
     assert rows[0]["surrounding"] == "see Jane Doe there" and rows[0]["source_event"] == "judge:scrub"

@@ -62,6 +62,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "in/d.csv").write_text('Email,Notes\na@x.org,"two\nlines"\n')
     rows = {r["name"]: (r["text"], r["error"]) for r in readers.read_text_corpus(spark, str(tmp_path / "in")).collect()}
     assert rows["a.txt"] == ("héllo", None) and rows["b.png"][1] == "unsupported file type" and rows["c.log"] == (None, "binary file")
+    (tmp_path / "in/e.txt").write_bytes(b"0\nabc\x00def")  # a NUL byte that no odd place of the hex digits shows first
+    (tmp_path / "in/f.note").write_text("typed")
+    kinds = spark.createDataFrame([("f.note", "text/plain"), ("b.png", "image/png")], "name string, mime string")
+    rows = {r["name"]: (r["text"], r["error"]) for r in readers.read_text_corpus(spark, str(tmp_path / "in"), kinds).collect()}
+    assert rows["e.txt"] == (None, "binary file") and rows["f.note"] == ("typed", None) and rows["b.png"][1] == "unsupported file type"
     table = readers.read_table(spark, str(tmp_path / "in/d.csv"))
     assert [tuple(r) for r in table.collect()] == [("a@x.org", "two\nlines")]
     out = readers.write_scrubbed(table, str(tmp_path / "in/d.csv"))
