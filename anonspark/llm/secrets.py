@@ -99,11 +99,30 @@ def _walk(nodes, states: set) -> set | None:
     return states
 
 
-def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams, in the shared folder."""
+#: Letters of prose from frequent to rare.
+_LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
+
+
+def rarest(trigrams: frozenset[str]) -> str:
+    """The trigram that prose is least likely to hold; a guess, on which only time depends."""
+    weight = lambda t: (len(set(t)), sum(_LETTERS.find(c) % 27 for c in t), t)
+    return max(trigrams, key=weight)
+
+
+def build_index(docs: DataFrame, alternatives: list[frozenset[str]]) -> DataFrame:
+    """Postings (trigram, doc_id) of the alternatives' trigrams, in the shared folder. A text
+    that lacks the rarest trigram of an alternative is not looked through for its others, as it
+    can't answer it."""
     low = docs.select("doc_id", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.col("low").contains(t), t) for t in trigrams]))
-    return saved(low.select("doc_id", F.explode(held).alias("trigram")), "postings")
+    by_first: dict[str, set[str]] = {}
+    for a in alternatives:
+        by_first.setdefault(rarest(a), set()).update(a)
+    none = F.array().cast("array<string>")
+    held = [
+        F.when(F.col("low").contains(first), F.array_compact(F.array(F.lit(first), *[F.when(F.col("low").contains(t), t) for t in sorted(others - {first})]))).otherwise(none)
+        for first, others in sorted(by_first.items())
+    ]
+    return saved(low.select("doc_id", F.explode(F.array_distinct(F.concat(*held))).alias("trigram")), "postings")
 
 
 def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
@@ -136,13 +155,14 @@ def match_spans(text: Column, rule: Rule) -> Column:
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the column secrets: array of (start, kind, stop, text), kind being the rule's
-    number, sorted. A null text has none. Rows that repeat a doc_id, or have none, share their
+    number, sorted. A null text has none, a very long one is read whole; matches of one start come
+    in the order of the rules. Rows that repeat a doc_id, or have none, share their
     candidates, which only means that more rules are tried on them."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     kinds, key, name, text = fresh(docs.columns, "_kinds", "_key", "secrets", "_text")
     rows = docs.withColumn(text, F.coalesce("text", F.lit("")))
     if queries:
-        near = candidates(build_index(docs, sorted(set().union(*(t for q in queries.values() for t in q)))), queries)
+        near = candidates(build_index(docs, [a for q in queries.values() for a in q]), queries)
         near = near.withColumnsRenamed({"doc_id": key, "kinds": kinds})
         rows = rows.join(small(near, near.count()), F.col("doc_id").eqNullSafe(F.col(key)), "left").drop(key)
     every = []
