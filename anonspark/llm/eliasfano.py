@@ -184,17 +184,15 @@ def restore(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) / (CODES - 1) * LOWEST - LOWEST), 0.0)
 
 
-_HALF = _U(32)
-
-
 @dataclass
 class Trie:
     """Level one: contexts v. Level two: the words w that follow each of them, with the
     quantised smoothed probability of w after v. Level three: the words u before each pair v w,
-    with that of w after u v. Words are 32-bit hashes. A level's entries lie by their parents,
-    which point to them by a monotone sequence; adding parent << 32 makes the level monotone,
-    and the successor of parent << 32 | word is looked up in it."""
+    with that of w after u v. Words are hashes of some bits. A level's entries lie by their
+    parents, which point to them by a monotone sequence; adding parent << bits makes the level
+    monotone, and the successor of parent << bits | word is looked up in it."""
 
+    bits: int
     contexts: EliasFano
     pointers2: EliasFano
     words: EliasFano
@@ -204,29 +202,29 @@ class Trie:
     codes3: np.ndarray
 
     @classmethod
-    def of(cls, pairs: np.ndarray, codes2: np.ndarray, parent: np.ndarray, before: np.ndarray, codes3: np.ndarray) -> Trie:
-        """pairs: sorted v << 32 | w; parent, before: the place in pairs and the hash of u of
+    def of(cls, bits: int, pairs: np.ndarray, codes2: np.ndarray, parent: np.ndarray, before: np.ndarray, codes3: np.ndarray) -> Trie:
+        """pairs: sorted v << bits | w; parent, before: the place in pairs and the hash of u of
         each triple, sorted by both."""
-        contexts, first = np.unique(pairs >> _HALF, return_inverse=True)
+        shift, mask = _U(bits), _U((1 << bits) - 1)
+        contexts, first = np.unique(pairs >> shift, return_inverse=True)
         ends = lambda places, n: np.concatenate([[0], np.cumsum(np.bincount(places, minlength=n))]).astype(_U)
-        level = lambda places, low: (places.astype(_U) << _HALF) | low
+        level = lambda places, low: (places.astype(_U) << shift) | low
         return cls(
-            EliasFano.of(contexts), EliasFano.of(ends(first, len(contexts))), EliasFano.of(level(first, pairs & _U(0xFFFFFFFF))), codes2.astype(np.uint16),
+            bits, EliasFano.of(contexts), EliasFano.of(ends(first, len(contexts))), EliasFano.of(level(first, pairs & mask)), codes2.astype(np.uint16),
             EliasFano.of(ends(parent, len(pairs))), EliasFano.of(level(parent, before.astype(_U))), codes3.astype(np.uint16))
 
-    @staticmethod
-    def _child(parents: np.ndarray, low: np.ndarray, pointers: EliasFano, level: EliasFano) -> np.ndarray:
+    def _child(self, parents: np.ndarray, low: np.ndarray, pointers: EliasFano, level: EliasFano) -> np.ndarray:
         """The place of each parent's child with the given hash; -1 if there is none."""
         if not level.n:
             return np.full(len(parents), -1)
         known = np.maximum(parents, 0)
-        at, hit = level.locate((known.astype(_U) << _HALF) | low)
+        at, hit = level.locate((known.astype(_U) << _U(self.bits)) | low)
         ends = pointers.all().astype(np.int64)
         return np.where(hit & (parents >= 0) & (at >= ends[known]) & (at < ends[known + 1]), at, -1)
 
     def find_pairs(self, pairs: np.ndarray) -> np.ndarray:
-        """The place of v << 32 | w in level two, or -1."""
-        return self._child(self.contexts.find(pairs >> _HALF), pairs & _U(0xFFFFFFFF), self.pointers2, self.words)
+        """The place of v << bits | w in level two, or -1."""
+        return self._child(self.contexts.find(pairs >> _U(self.bits)), pairs & _U((1 << self.bits) - 1), self.pointers2, self.words)
 
     def find(self, places: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Codes of the triples of pairs (places in level two) with the words before them; 0 for unknown ones."""
@@ -235,7 +233,7 @@ class Trie:
 
     def pack(self) -> bytes:
         parts = [s for e in (self.contexts, self.pointers2, self.words, self.pointers3, self.before) for s in e.sections()]
-        parts += [self.codes2, self.codes3]
+        parts += [np.array([self.bits], _U), self.codes2, self.codes3]
         raw = [np.ascontiguousarray(p).tobytes() for p in parts]
         sizes = np.array([len(raw), *map(len, raw)], _U).tobytes()
         return sizes + b"".join(r + b"\0" * (-len(r) % 8) for r in raw)
@@ -250,7 +248,7 @@ class Trie:
             parts.append(np.frombuffer(buffer, kind, size // np.dtype(kind).itemsize, at))
             at += size + -size % 8
         contexts, pointers2, words, pointers3, before = (EliasFano.mapped(*parts[i : i + 3]) for i in range(0, 15, 3))
-        return cls(contexts, pointers2, words, parts[15], pointers3, before, parts[16])
+        return cls(int(parts[15][0]), contexts, pointers2, words, parts[16], pointers3, before, parts[17])
 
     @classmethod
     def mapped(cls, packed: bytes) -> Trie:

@@ -8,10 +8,10 @@ blocks and the shards:
 1. A block sends each shard its distinct words and pairs there with their counts in the
    training documents, and is told the totals. From these it knows the smoothed probability
    of every pair in it.
-2. Of a pair that occurs in other blocks as well, a block sends the probability and the
-   counts of its triples. The shard sums them, builds its trie of smoothed, quantised
-   probabilities, looks the triples up in it and answers. Pairs of one block alone, most of
-   all, have their triples there too, and make up that block's own trie.
+2. Of triples whose two pairs both occur in other blocks as well, a block sends the counts,
+   and the probability of the pair. The shard sums them, builds its trie of smoothed, quantised
+   probabilities, looks the triples up in it and answers. A triple with a pair of one block
+   alone, as most are, is in no other block either, and is part of that block's own trie.
 
 What moves are distinct n-grams of blocks, not tokens; all memory is bounded by the block and
 the shard, and the driver learns two numbers: the training tokens and their distinct words.
@@ -22,7 +22,9 @@ p(w) = (c(w) + 1) / (N + V + 1). Before a document stand two end tokens.
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +46,14 @@ BLOCK_TOKENS = 750_000
 SHARD_TEXT = 12 << 20
 _SLICE = 500
 #: Bits of the words' hashes from which pairs are told apart: the shard by all of them, and in
-#: a shard each word by 32. Words by themselves have 64.
+#: a shard each word by 24, as the words before a pair; in a block by 32. A successor in a shard
+#: shares the count of one of a thousand others of its context in six of 100,000 cases. Words by
+#: themselves have 64.
 _WORD_BITS = 48
 _U = np.uint64
 _RANK = 0x7FFFFFFF
-_LOW = _U(0xFFFFFFFF)
+_LOW = _U(0xFFFFFF)
+_NARROW = _U(24)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -85,13 +90,13 @@ def _deltas(sorted_values: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- blocks
 def pair_parts(hashes: np.ndarray, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, v << 32 | w in hashes) of pairs of words, given as v << 31 | w in ranks."""
+    """(shard, v << 24 | w in hashes) of pairs of words, given as v << 31 | w in ranks."""
     v, w = hashes[keys >> 31], hashes[keys & _RANK]
     x = (v * _U(0x9E3779B97F4A7C15)) ^ (w * _U(0xC2B2AE3D27D4EB4F) + _U(0x165667B19E3779F9))
     x = (x ^ (x >> _U(31))) * _U(0xD6E8FEB86659FD93)
     x ^= x >> _U(32)
     part = (x * _U(0xA0761D6478BD642F)) >> _U(64 - bits) if bits else np.zeros(len(x), _U)
-    return part.astype(np.int64), ((v & _LOW) << _U(32)) | (w & _LOW)
+    return part.astype(np.int64), ((v & _LOW) << _NARROW) | (w & _LOW)
 
 
 class Block:
@@ -145,6 +150,10 @@ class Block:
         opens = np.isin(first, self.starts)
         self.context = np.where(opens, self.count[self.end], self.total[self.pair[np.maximum(first - 1, 0)]])
         self.older = (self.hashes[self.triples & _RANK] & _LOW).astype(_U)
+        known = self.total > 0
+        met = known & self.elsewhere
+        self.shared = met[self.parent] & (opens | met[self.pair[np.maximum(first - 1, 0)]])
+        self.own = known[self.parent] & ~self.shared
 
     def _checked(self, data: bytes) -> list[np.ndarray]:
         *out, check = _unpack(data)
@@ -152,33 +161,29 @@ class Block:
             raise RuntimeError("an answer meets another block of documents; read docs from storage")
         return out
 
-    def chosen(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pairs, triples, the place among those pairs of each triple) of the chosen pairs, by
-        shard and key, and of a pair by the word before."""
-        pairs = self.order[which[self.order]]
+    def under(self, triples: np.ndarray, order: np.ndarray, older: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, triples, the place among those pairs of each) of the chosen triples: their pairs
+        in the given order of all pairs, those of a pair by the word before."""
+        which = np.zeros(len(self.pairs), bool)
+        which[self.parent[triples]] = True
+        pairs = order[which[order]]
         place = np.empty(len(self.pairs), np.int64)
         place[pairs] = np.arange(len(pairs))
-        triples = np.flatnonzero(which[self.parent])
-        triples = triples[np.lexsort((self.older[triples], place[self.parent[triples]]))]
-        return pairs, triples, place[self.parent[triples]]
-
-    def shared(self) -> np.ndarray:
-        """Pairs of the training text that other blocks have as well."""
-        return (self.total > 0) & self.elsewhere
-
-    def own_trie(self) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray]:
-        """The trie of the pairs that no other block has, and what to look up in it: the keys
-        of the pairs, the triples, and the place among those keys of each triple."""
-        pairs = np.flatnonzero((self.total > 0) & ~self.elsewhere)
-        pairs = pairs[np.argsort(self.key[pairs], kind="stable")]
-        place = np.full(len(self.pairs), -1)
-        place[pairs] = np.arange(len(pairs))
-        asked = np.flatnonzero(place[self.parent] >= 0)
-        asked = asked[np.lexsort((self.older[asked], place[self.parent[asked]]))]
-        known = asked[self.seen3[asked] > 0]
-        p3 = (self.seen3[known] + PRIOR * self.p2[self.parent[known]]) / (self.context[known] + PRIOR)
-        trie = Trie.of(self.key[pairs], quantise(self.p2[pairs]), place[self.parent[known]], self.older[known], quantise(p3))
-        return trie, self.key[pairs], asked, place[self.parent[asked]]
+        at = np.flatnonzero(triples)
+        at = at[np.lexsort((older[at], place[self.parent[at]]))]
+        return pairs, at, place[self.parent[at]]
+
+    def own_trie(self) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The trie of the triples that no other block has, and what to look up in it: the keys
+        of their pairs, the words before; the triples, and the place among those keys of each."""
+        low = self.hashes & _U(0xFFFFFFFF)
+        keys = (low[self.pairs >> 31] << _U(32)) | low[self.pairs & _RANK]
+        older = low[self.triples & _RANK]
+        pairs, asked, place = self.under(self.own, np.argsort(keys, kind="stable"), older)
+        known = self.seen3[asked] > 0
+        p3 = (self.seen3[asked] + PRIOR * self.p2[self.parent[asked]]) / (self.context[asked] + PRIOR)
+        trie = Trie.of(32, keys[pairs], quantise(self.p2[pairs]), place[known], older[asked[known]], quantise(p3[known]))
+        return trie, keys[pairs], older[asked], asked, place
 
 
 _ENCODED = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.string())), ("data", pa.binary())])
@@ -272,7 +277,18 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
 def counted(encoded: DataFrame) -> DataFrame:
     """The blocks' documents (part -1) and the totals that the shards tell each block, in the
     shared folder: (block, part, n, types, ids, data)."""
-    return saved(encoded.groupBy("part").applyInPandas(_count, _COUNTED), "counted")
+    return _stored(encoded.groupBy("part").applyInPandas(_count, _COUNTED), "counted")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """saved(df). The shuffle files behind it are of no more use; Spark removes them once the
+    driver has collected its garbage, first Python's and then the JVM's, so it is asked to."""
+    out = saved(df, name)
+    for _ in range(2):  # what Python lets go of is the JVM's garbage only a moment later
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+    return out
 
 
 # ---------------------------------------------------------------- the shards: probabilities
@@ -286,7 +302,7 @@ def _met(pdf: pd.DataFrame, n: int, types: int, bits: int) -> Block:
 def _ask(n: int, types: int, bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block = _met(pdf, n, types, bits)
-        pairs, triples, parents = block.chosen(block.shared())
+        pairs, triples, parents = block.under(block.shared, block.order, block.older)
         number, check, rows = int(pdf["block"].iloc[0]), np.array([block.check()]), []
         cuts = np.searchsorted(block.part[pairs], np.arange((1 << bits) + 1))
         cuts3 = np.searchsorted(parents, cuts)
@@ -313,7 +329,7 @@ def build(messages: list[list[np.ndarray]]) -> tuple[Trie, np.ndarray, np.ndarra
     known = seen > 0
     above = (triples >> _U(32)).astype(np.int64)
     p3 = (seen + PRIOR * restore(codes[above])) / (context + PRIOR)
-    return Trie.of(pairs, codes, above[known], triples[known] & _LOW, quantise(p3[known])), pairs, triples, place
+    return Trie.of(24, pairs, codes, above[known], triples[known] & _U(0xFFFFFFFF), quantise(p3[known])), pairs, triples, place
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -321,7 +337,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     trie, pairs, triples, place = build(messages)
     trie = Trie.mapped(trie.pack())
     at = trie.find_pairs(pairs)
-    codes = np.split(trie.find(at[(triples >> _U(32)).astype(np.int64)], triples & _LOW)[place], np.cumsum([len(m[3]) for m in messages])[:-1])
+    codes = np.split(trie.find(at[(triples >> _U(32)).astype(np.int64)], triples & _U(0xFFFFFFFF))[place], np.cumsum([len(m[3]) for m in messages])[:-1])
     out = pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "data": [_pack(c, m[6]) for c, m in zip(codes, messages)]})
     del messages, trie
     release()
@@ -330,7 +346,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def answers(told: DataFrame, n: int, types: int, bits: int) -> DataFrame:
     """What the shards' tries tell each block about its triples, in the shared folder: (block, part, data)."""
-    return saved(asked(told, n, types, bits).groupBy("part").applyInPandas(_answer, "block long, part long, data binary"), "answers")
+    return _stored(asked(told, n, types, bits).groupBy("part").applyInPandas(_answer, "block long, part long, data binary"), "answers")
 
 
 def asked(told: DataFrame, n: int, types: int, bits: int) -> DataFrame:
@@ -359,10 +375,10 @@ def _scorer(n: int, types: int, bits: int):
         codes = np.zeros(len(block.triples), np.uint16)
         told = [block._checked(d)[0] for p, d in sorted(zip(pdf["part"][pdf["answer"]], pdf["data"][pdf["answer"]]))]
         if told:
-            codes[block.chosen(block.shared())[1]] = np.concatenate(told)
-        trie, keys, own, place = block.own_trie()
+            codes[block.under(block.shared, block.order, block.older)[1]] = np.concatenate(told)
+        trie, keys, older, own, place = block.own_trie()
         trie = Trie.mapped(trie.pack())
-        codes[own] = trie.find(trie.find_pairs(keys)[place], block.older[own])
+        codes[own] = trie.find(trie.find_pairs(keys)[place], older)
         less = PRIOR / (block.context + PRIOR) * block.p2[block.parent]  # of a triple that training has not
         p = np.where(codes > 0, restore(codes), np.minimum(less, 1.0))
         ids = pdf.loc[pdf["part"] == -1, "ids"].iloc[0]

@@ -22,19 +22,19 @@ def test_elias_fano(n, top):
 
 def test_trie_round_trip():
     r = np.random.default_rng(5)
-    v, w = r.integers(0, 2**32, 300).astype(np.uint64), r.integers(0, 2**32, 200).astype(np.uint64)
-    pairs = np.unique((r.choice(v, 2000) << np.uint64(32)) | r.choice(w, 2000))
-    triples = np.unique((r.integers(0, len(pairs), 5000).astype(np.uint64) << np.uint64(32)) | r.choice(w, 5000))
-    parent, before, p2, p3 = (triples >> np.uint64(32)).astype(int), triples & np.uint64(2**32 - 1), r.random(len(pairs)), r.random(len(triples))
-    trie = Trie.mapped(Trie.of(pairs, quantise(p2), parent, before, quantise(p3)).pack())
-    every = np.unique(np.concatenate([pairs, (np.repeat(v, 20) << np.uint64(32)) | np.tile(w[:20], 300), np.array([0, 2**64 - 1], np.uint64)]))
+    v, w = r.integers(0, 2**24, 300).astype(np.uint64), r.integers(0, 2**24, 200).astype(np.uint64)
+    pairs = np.unique((r.choice(v, 2000) << np.uint64(24)) | r.choice(w, 2000))
+    triples = np.unique((r.integers(0, len(pairs), 5000).astype(np.uint64) << np.uint64(24)) | r.choice(w, 5000))
+    parent, before, p2, p3 = (triples >> np.uint64(24)).astype(int), triples & np.uint64(2**24 - 1), r.random(len(pairs)), r.random(len(triples))
+    trie = Trie.mapped(Trie.of(24, pairs, quantise(p2), parent, before, quantise(p3)).pack())
+    every = np.unique(np.concatenate([pairs, (np.repeat(v, 20) << np.uint64(24)) | np.tile(w[:20], 300), np.array([0, 2**64 - 1], np.uint64)]))
     at = trie.find_pairs(every)
     assert (at == np.where(np.isin(every, pairs), np.searchsorted(pairs, every), -1)).all() and (trie.codes2 == quantise(p2)).all()
     places, words = np.repeat(np.arange(len(pairs)), 30), np.tile(w[:30], len(pairs))
-    key = (places.astype(np.uint64) << np.uint64(32)) | words
+    key = (places.astype(np.uint64) << np.uint64(24)) | words
     want = np.where(np.isin(key, triples), quantise(p3)[np.minimum(np.searchsorted(triples, key), len(triples) - 1)], 0)
     assert (trie.find(places, words) == want).all() and (trie.find(np.full(5, -1), w[:5]) == 0).all()
-    none = Trie.of(*(np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, np.uint16)))
+    none = Trie.of(32, *(np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, np.uint16)))
     none = Trie.mapped(none.pack())
     assert (none.find(none.find_pairs(pairs), np.zeros(len(pairs), np.uint64)) == 0).all()
     assert np.allclose(restore(quantise(p3)), p3, rtol=3e-4)
