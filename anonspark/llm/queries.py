@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, lm, mixing, pii, quality_gbt, quality_knn, secrets, sharding, simhash
+from . import decontam, html_extract, lm, mixing, pii, quality_gbt, quality_knn, secrets, sharding, simhash, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_mixing, op4_lm_scores, op5_quality, op6_quality_rules, op7_secrets, op8_html_text, op9_pii, op10_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_mixing, op4_lm_scores, op5_quality, op6_quality_rules, op7_secrets, op8_html_text, op9_pii, op10_decontamination, op13_vector_codes)
 }
-ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL, "op3_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL, "op3_mixing": mixing.SQL, "op13_vector_codes": vector_codes.SQL}
