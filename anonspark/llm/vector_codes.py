@@ -98,7 +98,7 @@ def updated_books(rows: DataFrame, vector: str, books: np.ndarray) -> np.ndarray
                     np.add.at(total[p], code[:, p], block[:, p * width : (p + 1) * width])
                     count[p] += np.bincount(code[:, p], minlength=entries)
         p, e = np.nonzero(count)
-        yield pd.DataFrame({"part": p, "entry": e, "n": count[p, e], "total": list(total[p, e])})
+        yield pd.DataFrame({"part": p, "entry": e, "n": count[p, e], "total": pd.Series(list(total[p, e]), dtype=object)})
 
     made = rows.select(vector).mapInPandas(sums, "part long, entry long, n long, total array<long>")
     added = made.groupBy("part", "entry").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(width)])
@@ -128,7 +128,7 @@ def encode(rows: DataFrame, books: np.ndarray, vector: str = "embedding", code:
             c, d = nearest(block, books)
             codes += list(c.astype(np.int32))
             errors.append(d.sum(axis=1))
-        return pd.DataFrame({"code": codes, "error": np.concatenate(errors) if errors else np.zeros(0, np.int64)})
+        return pd.DataFrame({"code": pd.Series(codes, dtype=object), "error": np.concatenate(errors) if errors else np.zeros(0, np.int64)})
 
     (both,) = fresh([*rows.columns, code, error], "_coded")
     done = rows.withColumn(both, of(vector))
