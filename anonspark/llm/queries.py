@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, lm, mixing, pii, quality_gbt, quality_knn, runs, secrets, sharding, simhash, vector_codes
+from . import decontam, html_extract, lm, mixing, partenum, pii, quality_gbt, quality_knn, runs, secrets, sharding, simhash, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.classes(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_mixing, op4_lm_scores, op5_quality, op6_quality_rules, op7_secrets, op8_html_text, op9_pii, op10_decontamination, op12_periodic_runs, op13_vector_codes)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_mixing, op4_lm_scores, op5_quality, op6_quality_rules, op7_secrets, op8_html_text, op9_pii, op10_decontamination, op11_jaccard_join, op12_periodic_runs, op13_vector_codes)
 }
-ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL, "op3_mixing": mixing.SQL, "op12_periodic_runs": runs.SQL, "op13_vector_codes": vector_codes.SQL}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL, "op3_mixing": mixing.SQL, "op11_jaccard_join": partenum.SQL, "op12_periodic_runs": runs.SQL, "op13_vector_codes": vector_codes.SQL}
