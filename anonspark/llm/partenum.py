@@ -426,6 +426,25 @@ def apart_pairs(members: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> Data
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInPandas(_apart_batches, "a long, b long")
 
 
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sketches don't rule out."""
+    @F.pandas_udf("boolean")
+    def fits(n: pd.Series, m: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
+        if not len(n):
+            return pd.Series([], dtype=bool)
+        n, m, apart = n.to_numpy(), m.to_numpy(), np.empty(len(n), np.int64)
+        for a in range(0, len(n), 4096):
+            rows = slice(a, a + 4096)
+            apart[rows] = np.abs(_stacked(one.iloc[rows]).astype(np.int16) - _stacked(other.iloc[rows]).astype(np.int16)).sum(axis=1, dtype=np.int64)
+        return pd.Series((OF * np.minimum(n, m) >= LEAST * np.maximum(n, m)) & ((LEAST + OF) * apart <= (OF - LEAST) * (n + m)))
+
+    rows = pairs
+    count = sets.count()
+    for c in "ab":
+        rows = rows.join(small(sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), count), c)
+    return rows.filter(fits("na", "nb", "sa", "sb")).select("a", "b")
+
+
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     now, one = None, None
     for pdf in batches:
@@ -463,7 +482,8 @@ def links(docs: DataFrame, rows: DataFrame, star_chunk: int = STAR_CHUNK, chunk:
     wanted = few.select(F.explode("members").alias("node")).unionByName(heavy.select("node")).distinct()
     sets = wanted_sets(docs, rows, saved(wanted, "nodes"))
     least = few.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a <> b")
-    first = saved(least.unionByName(star_pairs(heavy, sets, star_chunk)).distinct(), "stars")
+    stars = plausible(least.distinct(), sets).unionByName(star_pairs(heavy, sets, star_chunk))
+    first = saved(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")  # one link of each set, before the others are looked at
     near = verified(first, sets)
     roots = components(near)
 
@@ -474,7 +494,7 @@ def links(docs: DataFrame, rows: DataFrame, star_chunk: int = STAR_CHUNK, chunk:
     split = rooted(heavy)
     open_ = saved(split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "open")
     split = unlike(split.join(small(open_, open_.count()), "key").select("key", "node"))
-    rest = rest.unionByName(apart_pairs(rooted(split), sets, chunk)).distinct().join(first, ["a", "b"], "left_anti")
+    rest = plausible(rest.distinct(), sets).unionByName(apart_pairs(rooted(split), sets, chunk)).distinct().join(first, ["a", "b"], "left_anti")
     return components(near.unionByName(verified(saved(rest, "rest"), sets)))
 
 
