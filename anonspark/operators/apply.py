@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anonspark.functions.automaton import low as _low
 from anonspark.functions.patterns import CREDENTIAL, SENSITIVE_KV, TOKEN_ANYWHERE, java, may_have_credential, may_have_pair
 from anonspark.plans.storage import saved, small
 
@@ -19,12 +20,6 @@ MAP_KEYS, MAP_BYTES = 200_000, 16 << 20
 _PIECE = re.compile(r"\w+|\W")
 
 
-def _low(s: str) -> str:
-    """Lower case, one character for each."""
-    out = s.lower()
-    return out if len(out) == len(s) else "".join(x if len(x := c.lower()) == 1 else c for c in s)
-
-
 def _wordy(c: str) -> bool:
     return c.isalnum() or c == "_"
 

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from anonspark.config import ScrubConfig
+from anonspark.functions.automaton import Strings
 from anonspark.functions.patterns import (
     BY_RANK, DETECTORS, Detector, fqdn_allowed, java, java_column, looks_like_date, looks_like_identifier, url_host, valid_person,
 )
+from anonspark.functions.regexes import mandatory
 from anonspark.plans.storage import saved, small
 
 HIT = "struct<rank:int,match_idx:int,value:string,type:string,category:string,confidence:double,source:bigint>"
 _PERSON = (7, 8, 9)
-#: Distinct values that one task holds against the regexes of an allowlist.
+#: Distinct values that one task holds against the regexes that have no mandatory string.
 GROUP = 20_000
 
 
@@ -58,18 +64,74 @@ def detect(docs: DataFrame, text: str = "text", config: ScrubConfig | None = Non
         _as_hits(hits_of(t, d), d.rank, F.lit(d.type), F.lit(d.category), d.confidence, null)
         for d in DETECTORS if names is None or d.name in names
     ]
-    if names is None:
-        for value, category in config.literals:
-            quoted = "(?i)" + "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in value)
-            found.append(_as_hits(F.regexp_extract_all(t, F.lit(quoted), F.lit(0)), 3, label(category), F.lit(category.lower()), 1.2, null))
-        for number, category, regex, confidence in patterns:
-            hits = F.regexp_extract_all(t, F.lit(java(regex)), F.lit(0))
-            found.append(_as_hits(F.filter(hits, lambda v: v != ""), 20, F.upper(F.lit(category)), F.lit(category), confidence, F.lit(number).cast("long")))
+    if names is None and config.literals:
+        found.append(literal_hits(docs, config.literals)(t))
+    if names is None and patterns:
+        found.append(_as_pattern_hits(t, candidate_patterns(docs, patterns)(t)))
     hits = F.concat(*found) if len(found) > 1 else found[0]
     rows = docs.filter(t.isNotNull()).select(*[c for c in docs.columns if c != text], F.explode(hits).alias("_h")).select("*", "_h.*").drop("_h")
     return rows.filter(accepted(config))
 
 
+def _once(docs: DataFrame, make: Callable[[], Strings], use: Callable[[Strings, str | None], list], kind: str) -> Callable[[Column], Column]:
+    """A function of texts that asks an automaton, which each worker makes once."""
+    made: list[Strings] = []
+
+    @F.pandas_udf(kind)
+    def of(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(make())
+        return pd.Series([use(made[0], t) for t in texts], dtype=object)
+
+    return of
+
+
+def literal_hits(docs: DataFrame, literals: Sequence[tuple[str, str]]) -> Callable[[Column], Column]:
+    """Hits (an array of HIT) of literals (text, category), letters in either case and without
+    boundaries: all literals by one pass over a text, in the order of the literals, then of places."""
+    shared = docs.sparkSession.sparkContext.broadcast(list(literals))
+
+    def use(automaton: Strings, text: str | None) -> list:
+        out = []
+        for i, (n, a, b) in enumerate(automaton.places(text)):
+            category = shared.value[n][1]
+            out.append((3, i, text[a:b], re.sub("[^A-Z0-9_]", "_", category.upper()), category.lower(), 1.2, None))
+        return out
+
+    return _once(docs, lambda: Strings((v, i) for i, (v, _) in enumerate(shared.value)), use, f"array<{HIT}>")
+
+
+def candidate_patterns(docs: DataFrame, patterns: Sequence[tuple[int, str, str, float]]) -> Callable[[Column], Column]:
+    """The patterns (id, category, regex, confidence) that can match in a text, in order of
+    ids: those of whose mandatory strings it holds one of each clause. A pattern without any
+    can match everywhere."""
+    ordered = sorted(patterns, key=lambda p: p[0])
+    clauses = [mandatory(regex) for _, _, regex, _ in ordered]
+    shared = docs.sparkSession.sparkContext.broadcast(([(i, c, java(r), float(w)) for i, c, r, w in ordered], clauses))
+
+    def use(automaton: Strings, text: str | None) -> list:
+        if not text:
+            return []
+        met = Counter(n >> 3 for n in automaton.numbers(text))  # clauses met of each pattern
+        chosen = sorted({*always, *(n for n, k in met.items() if k == len(shared.value[1][n]))})
+        return [shared.value[0][n] for n in chosen]
+
+    always = [n for n, c in enumerate(clauses) if not c]
+    kind = "array<struct<id:bigint,category:string,regex:string,confidence:double>>"
+    return _once(docs, lambda: Strings((s, n << 3 | k) for n, c in enumerate(shared.value[1]) for k, strings in enumerate(c) for s in strings), use, kind)
+
+
+def _as_pattern_hits(text: Column, patterns: Column) -> Column:
+    """Hits of each text's own candidate patterns."""
+    def of(p: Column) -> Column:
+        values = F.filter(F.regexp_extract_all(text, p["regex"], F.lit(0)), lambda v: v != "")
+        return F.transform(values, lambda v, i: F.struct(
+            F.lit(20).alias("rank"), i.cast("int").alias("match_idx"), v.alias("value"), F.upper(p["category"]).alias("type"), p["category"].alias("category"),
+            p["confidence"].alias("confidence"), p["id"].alias("source")))
+
+    return F.coalesce(F.flatten(F.transform(patterns, of)), F.array().cast(f"array<{HIT}>"))
+
+
 def premint(spark, config: ScrubConfig) -> DataFrame:
     """The configured names as rows (rank, match_idx, value, type, category, confidence); a
     handful, from the configuration."""
@@ -84,22 +146,60 @@ def premint(spark, config: ScrubConfig) -> DataFrame:
 
 def drop_allowlisted(rows: DataFrame, allow: DataFrame, value: str = "value") -> DataFrame:
     """Rows whose value no allowlist entry (pattern, is_regex) covers: literals by equality
-    without case, regexes by a search without case. Every regex meets every distinct value:
-    values are dealt out to groups of bounded size, and each group takes one regex after the
-    other, so a regex is compiled once for each group."""
+    without case, regexes by a search without case. A regex only meets the distinct values that
+    hold one of its mandatory strings; one without such strings meets all of them."""
     literal = allow.filter("NOT is_regex").select(F.lower("pattern").alias("_k")).distinct()
     out = rows.join(literal, F.lower(F.col(value)) == F.col("_k"), "left_anti")
-    regexes = allow.filter("is_regex").select(F.concat(F.lit("(?i)"), java_column(F.col("pattern"))).alias("_p")).distinct()
-    regexes = saved(regexes, "regexes")
+    regexes = saved(allow.filter("is_regex").select(_clauses("pattern").alias("_f"), F.concat(F.lit("(?i)"), java_column(F.col("pattern"))).alias("_p")).distinct(), "regexes")
     if regexes.isEmpty():
         return out
     values = saved(out.select(F.col(value).alias("_k")).distinct(), "values")
+    some = candidates(values, regexes.filter(F.size("_f") > 0)).filter(F.rlike("_k", F.col("_p"))).select("_k")
+    covered = some.unionByName(_scanned(values, regexes.filter(F.size("_f") == 0).select("_p"))).distinct()
+    return out.join(small(saved(covered, "covered")), F.col(value) == F.col("_k"), "left_anti")
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _clauses(patterns: pd.Series) -> pd.Series:
+    return pd.Series([[list(c) for c in mandatory(p or "")] for p in patterns], dtype=object)
+
+
+def grams(text: Column) -> Column:
+    """The distinct three-character pieces of a text in lower case."""
+    low = F.lower(text)
+    places = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(low, i, F.lit(3))))
+
+
+def candidates(values: DataFrame, regexes: DataFrame) -> DataFrame:
+    """(_k, _p): the values (_k) that hold a string of a clause (of _f) of a regex (_p). Postings of
+    the values by three-character pieces; a string is looked up by the piece that fewest values
+    have, a regex by the clause whose strings have the fewest postings, and the strings are
+    compared as a whole."""
+    strings = regexes.select("_p", F.posexplode("_f").alias("_c", "_s")).select("_p", "_c", F.explode("_s").alias("_s"))
+    pieces = saved(strings.select("*", F.explode(grams(F.col("_s"))).alias("_g")), "strings")
+    asked = saved(pieces.select("_g").distinct(), "pieces")
+    held = values.select("_k", F.explode(grams(F.col("_k"))).alias("_g"))
+    postings = saved(held.join(small(asked), "_g", "left_semi"), "postings")
+    often = saved(postings.groupBy("_g").agg(F.count("*").alias("_n")), "often")
+    of = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))
+    least = pieces.join(small(often), "_g", "left").groupBy("_p", "_c", "_s").agg(F.min(of).alias("_l"))
+    clause = least.groupBy("_p", "_c").agg(F.sum("_l.n").alias("n"), F.collect_list(F.struct("_s", F.col("_l.g").alias("_g"))).alias("s"))  # MOST_STRINGS at most
+    best = clause.groupBy("_p").agg(F.min_by("s", F.struct("n", "_c")).alias("s")).select("_p", F.explode("s").alias("s")).select("_p", "s._s", "s._g")
+    pairs = postings.join(small(saved(best, "asked")), "_g")
+    return pairs.filter(F.contains(F.lower("_k"), F.col("_s"))).select("_k", "_p").distinct()
+
+
+def _scanned(values: DataFrame, regexes: DataFrame) -> DataFrame:
+    """(_k): the values that one of the regexes (_p) matches. Values are dealt out to groups of
+    bounded size, and each takes one regex after the other, which is compiled once for a group."""
+    if regexes.isEmpty():
+        return values.limit(0)
     n = values.count()
     groups = max(1, math.ceil(n / GROUP), min(values.sparkSession.sparkContext.defaultParallelism, n // 200))
     dealt = values.withColumn("_g", F.pmod(F.xxhash64("_k"), F.lit(groups)))
     every = regexes.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    covered = every.hint("merge").join(dealt, "_g").filter(F.rlike("_k", F.col("_p"))).select("_k").distinct()
-    return out.join(small(saved(covered, "covered")), F.col(value) == F.col("_k"), "left_anti")
+    return every.hint("merge").join(dealt, "_g").filter(F.rlike("_k", F.col("_p"))).select("_k")
 
 
 def counts(hits: DataFrame) -> DataFrame:

@@ -10,13 +10,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anonspark.functions.patterns import java
+from anonspark.functions.regexes import fault
 from anonspark.operators.mint import number_by_type
-from anonspark.operators.vocab import categories_above, regex_fault
+from anonspark.operators.vocab import categories_above
+from anonspark.plans.storage import saved, small
 
 MIN_EXAMPLES, MIN_SPECIFICITY, MAX_PATTERN = 3, 0.3, 200
 _RUNS = "[A-Z]+|[a-z]+|[0-9]+|."
@@ -124,30 +126,30 @@ def suggest_by_category(vocab: DataFrame) -> DataFrame:
     return induce(vocab.select("category", F.col("real_value").alias("value")), ["category"])
 
 
-#: Examples that are stored with a pattern; examples_of has them all.
-MOST_EXAMPLES = 20
-
-
-def persist(patterns: DataFrame, found: DataFrame, now: Column, values: DataFrame) -> DataFrame:
-    """patterns and the found ones as pending, but for those whose category and skeleton are
-    there and not rejected, each with the least of the values (category, value) that it
-    comes from as examples."""
+def persist(patterns: DataFrame, found: DataFrame, now: Column, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patterns, examples): patterns and the found ones as pending, but for those whose category
+    and skeleton are there and not rejected; and of the new ones all values (category, value) that
+    they come from, as rows (id, example), since a cluster has no bound."""
     known = patterns.filter("status <> 'rejected'").select("category", "skeleton")
     new = found.join(known, ["category", "skeleton"], "left_anti")
     base = patterns.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     new = number_by_type(new.withColumn("type", F.lit("")), ["category", "skeleton", "regex_source"]).withColumn("id", F.col("n") + 1 + base)
-    least = F.row_number().over(Window.partitionBy("id").orderBy("example"))
-    some = examples_of(new, values).distinct().withColumn("_n", least).filter(F.col("_n") <= MOST_EXAMPLES)
-    some = some.groupBy("id").agg(F.array_sort(F.collect_list("example")).alias("source_examples"))
-    rows = new.join(some, "id", "left").select("id", "category", "regex_source", "skeleton", F.coalesce("source_examples", F.array().cast("array<string>")).alias("source_examples"), F.lit("pending").alias("status"), "confidence", now.alias("created_at"), F.lit(0).cast("long").alias("hit_count"))
-    return patterns.unionByName(rows)
+    rows = new.select("id", "category", "regex_source", "skeleton", F.lit("pending").alias("status"), "confidence", now.alias("created_at"), F.lit(0).cast("long").alias("hit_count"))
+    return patterns.unionByName(rows), examples_of(new, values)
+
+
+@F.pandas_udf(T.StringType())
+def _fault(patterns: pd.Series) -> pd.Series:
+    return patterns.map(fault)
 
 
 def admitted(patterns: DataFrame, regex: str = "regex_source") -> DataFrame:
-    """patterns with reason: null, or why the regex may not run."""
+    """patterns with reason: null, or why the regex may not run: too long, a quantified group
+    that holds a quantifier, no regex, one that matches nothing at all, or one whose backtracking
+    grows exponentially or by more than one power of the text."""
     r = F.col(regex)
-    nested = r.rlike(r"\([^)]*[+*][^)]*\)[+*{]")
-    return patterns.withColumn("reason", F.when(F.length(r) > MAX_PATTERN, "pattern too long").when(nested, "nested quantifier").otherwise(regex_fault(r)))
+    nested = r.rlike(r"\([^)]*[+*{][^)]*\)[+*{]")
+    return patterns.withColumn("reason", F.when(F.length(r) > MAX_PATTERN, "pattern too long").when(nested, "nested quantifier").otherwise(_fault(r)))
 
 
 def _spelled(regex: str) -> Column:
@@ -156,27 +158,27 @@ def _spelled(regex: str) -> Column:
 
 
 def examples_of(patterns: DataFrame, values: DataFrame) -> DataFrame:
-    """(id, example): the values (category, value) from which a pattern can have come. A table
-    of rows, as a cluster has no bound."""
-    rx = patterns.select("id", "category", _spelled("regex_source").alias("_rx"))
-    return values.select("category", F.col("value").alias("example")).join(rx, "category").filter(F.expr("example RLIKE _rx")).select("id", "example")
-
-
-def decide(patterns: DataFrame, decisions: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+    """(id, example): the distinct values (category, value) of the clusters that patterns were
+    made of, or of their categories if these are not clustered. Without a cluster column in
+    patterns that were stored, the values of a category that the pattern matches."""
+    rows = values.select("category", F.col("value").alias("example"))
+    if "cluster" in patterns.columns:
+        rows = rows.withColumn("cluster", cluster_key(F.col("example"))).distinct()
+        return rows.join(small(saved(patterns.select("id", "category", "cluster"), "clusters")), ["category", "cluster"]).select("id", "example")
+    rx = saved(patterns.select("id", "category", _spelled("regex_source").alias("_rx")), "patterns")
+    return rows.distinct().join(small(rx), "category").filter(F.expr("example RLIKE _rx")).select("id", "example")
+
+
+def decide(patterns: DataFrame, decisions: DataFrame, examples: DataFrame) -> DataFrame:
     """Applies decisions (id, action: activate, reject, delete or edit, regex): an edit must
-    be admitted and match all examples of its pattern, of which there must be one, else nothing
-    changes. examples: (id, example), the stored ones if not given. Rejected patterns can't be
-    edited."""
+    be admitted and match all examples (id, example) of its pattern, of which there must be one,
+    else nothing changes. Rejected patterns can't be edited."""
     d = admitted(decisions.select("id", F.col("action").alias("_a"), F.col("regex").alias("_r")), "_r").withColumnRenamed("reason", "_bad")
-    d = d.withColumn("_rx", F.when(F.col("_bad").isNull() & (F.col("_a") == "edit"), _spelled("_r")))
-    if examples is None:
-        each = patterns.select("id", F.explode("source_examples").alias("example"))
-    else:
-        each = examples.select("id", "example")
-    missed = each.join(d.filter("_rx IS NOT NULL").select("id", "_rx"), "id").filter(~F.expr("example RLIKE _rx")).select("id", F.lit(True).alias("_missed")).distinct()
-    shown = each.select("id", F.lit(True).alias("_shown")).distinct()
-    rows = patterns.join(d, "id", "left").join(missed, "id", "left").join(shown, "id", "left").filter(~F.coalesce(F.col("_a") == "delete", F.lit(False)))
-    fits = F.col("_rx").isNotNull() & F.col("_missed").isNull() & F.col("_shown").isNotNull() & (F.col("status") != "rejected")
+    d = saved(d.withColumn("_rx", F.when(F.col("_bad").isNull() & (F.col("_a") == "edit"), _spelled("_r"))), "decisions")
+    edits = small(d.filter("_rx IS NOT NULL").select("id", "_rx"))  # so that a pattern's examples stay where they are
+    seen = examples.join(edits, "id").groupBy("id").agg(F.bool_and(F.expr("example RLIKE _rx")).alias("_all"))
+    rows = patterns.join(d, "id", "left").join(seen, "id", "left").filter(~F.coalesce(F.col("_a") == "delete", F.lit(False)))
+    fits = F.coalesce("_all", F.lit(False)) & (F.col("status") != "rejected")
     status = F.when(F.col("_a") == "activate", "active").when(F.col("_a") == "reject", "rejected").otherwise(F.col("status"))
     return rows.withColumns({"status": status, "regex_source": F.when(fits, F.col("_r")).otherwise(F.col("regex_source"))}).select(*patterns.columns)
 

@@ -535,17 +535,21 @@ def auto_approve(spark, sf_dir):
     return gate.auto_approve(docs(spark, sf_dir).select("doc_id", F.lit(False).alias("modified")), judged, True)
 
 
-@query("rate_limit", """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i
-  FROM (SELECT user_id % 20 AS user_id, epoch_ns(ts) // 1000000 // 10000 AS ms, event_id FROM events)),
-r AS (SELECT user_id, ms, event_id, i, true AS accepted, [ms] AS kept FROM e WHERE i = 1
+_HOT_KEY = "CASE WHEN event_id % 3 = 0 THEN 1 WHEN user_id % 20 = 0 THEN NULL ELSE user_id % 20 END"
+
+
+@query("rate_limit", f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms, event_id) AS i
+  FROM (SELECT {_HOT_KEY} AS k, epoch_ns(ts) // 1000000 // 2000 AS ms, event_id FROM events)),
+r AS (SELECT k, ms, event_id, i, true AS accepted, [ms] AS kept FROM e WHERE i = 1
   UNION ALL
-  SELECT user_id, ms, event_id, i, len(k) < 10, CASE WHEN len(k) < 10 THEN list_append(k, ms) ELSE k END FROM (
-    SELECT e.user_id, e.ms, e.event_id, e.i, list_filter(list_transform(r.kept, lambda x: {'t': x, 'now': e.ms}), lambda y: y.t > y.now - 10000) AS l,
-      list_transform(l, lambda y: y.t) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
-SELECT user_id, ms, event_id, accepted FROM r""")
+  SELECT k, ms, event_id, i, len(l) < 10, CASE WHEN len(l) < 10 THEN list_append(l, ms) ELSE l END FROM (
+    SELECT e.k, e.ms, e.event_id, e.i, list_transform(list_filter(list_transform(r.kept, lambda x: {{'t': x, 'now': e.ms}}), lambda y: y.t > y.now - 10000), lambda y: y.t) AS l
+      FROM r JOIN e ON e.k IS NOT DISTINCT FROM r.k AND e.i = r.i + 1))
+SELECT k AS user_id, ms, event_id, accepted FROM r""")
 def rate_limit(spark, sf_dir):
-    """Twenty users whose events come ten thousand times as fast, so that many are refused."""
-    rows = table(spark, sf_dir, "events").selectExpr("user_id % 20 AS user_id", "unix_millis(CAST(ts AS TIMESTAMP)) DIV 10000 AS ms", "event_id")
+    """Users whose events come two thousand times as fast, so that many are refused; one has a third
+    of all events, some events have no user."""
+    rows = table(spark, sf_dir, "events").selectExpr(f"{_HOT_KEY} AS user_id", "unix_millis(CAST(ts AS TIMESTAMP)) DIV 2000 AS ms", "event_id")
     return gate.rate_limit(rows, "user_id", "ms", "event_id")
 
 
@@ -620,22 +624,36 @@ def _patterns(spark, sf_dir):
     return induce.persist(none, induce.suggest(names), F.lit(0).cast("long"), names.withColumnRenamed("real_value", "value"))
 
 
-@query("pattern_store", r"""SELECT 1::BIGINT AS id, 'customer' AS category, '\bCustomer#\d{9}\b' AS regex_source, 'pending' AS status, (SELECT string_agg(c_name, ',' ORDER BY c_name) FROM (SELECT DISTINCT c_name FROM customer ORDER BY 1 LIMIT 20)) AS examples
-UNION ALL SELECT 2, 'supplier', '\bSupplier#\d{9}\b', 'pending', (SELECT string_agg(s_name, ',' ORDER BY s_name) FROM (SELECT DISTINCT s_name FROM supplier ORDER BY 1 LIMIT 20))""")
+@query("pattern_store", r"""SELECT 1::BIGINT AS id, 'customer' AS category, '\bCustomer#\d{9}\b' AS regex_source, 'pending' AS status, c_name AS example FROM (SELECT DISTINCT c_name FROM customer)
+UNION ALL SELECT 2, 'supplier', '\bSupplier#\d{9}\b', 'pending', s_name FROM (SELECT DISTINCT s_name FROM supplier)""")
 def pattern_store(spark, sf_dir):
-    return _patterns(spark, sf_dir).select("id", "category", "regex_source", "status", F.array_join("source_examples", ",").alias("examples"))
+    """The stored patterns with all the values that they come from."""
+    patterns, examples = _patterns(spark, sf_dir)
+    return patterns.join(examples, "id").select("id", "category", "regex_source", "status", "example")
 
 
-@query("pattern_decisions", r"""SELECT 'customer' AS category, '\bCustomer#\d+\b' AS regex_source, 'pending' AS status FROM (SELECT count(*) AS n FROM customer) WHERE n > 0
-UNION ALL SELECT 'supplier', '\bSupplier#\d{9}\b', 'pending' FROM (SELECT count(*) AS n FROM supplier) WHERE n > 0""")
+@query("pattern_decisions", r"""SELECT CASE WHEN n = 'customer' THEN 1 ELSE 2 END::BIGINT AS id, CASE WHEN hit = total THEN edit ELSE concat('\b', made, '\d{9}\b') END AS regex_source, 'pending' AS status
+FROM (SELECT 'customer' AS n, 'Customer#' AS made, '\bCustomer#\d+\b' AS edit, count(*) AS total, count(*) FILTER (WHERE regexp_matches(c_name, '\bCustomer#\d+\b')) AS hit FROM customer
+  UNION ALL SELECT 'supplier', 'Supplier#', '\bSupplier#0+[0-9]{1,2}\b', count(*), count(*) FILTER (WHERE regexp_matches(s_name, '\bSupplier#0+[0-9]{1,2}\b')) FROM supplier)""")
 def pattern_decisions(spark, sf_dir):
-    """An edit that matches all examples holds, one that doesn't changes nothing."""
-    p = saved(_patterns(spark, sf_dir), "patterns")
-    regex = F.when(F.col("category") == "customer", r"\bCustomer#\d+\b").otherwise(r"\bSupplier#1\d+\b")
-    values = table(spark, sf_dir, "customer").select(F.lit("customer").alias("category"), F.col("c_name").alias("value"))
-    values = values.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("category"), F.col("s_name").alias("value")))
-    done = induce.decide(p, p.select("id", F.lit("edit").alias("action"), regex.alias("regex")), induce.examples_of(p, values))
-    return done.select("category", "regex_source", "status")
+    """An edit that matches all examples holds; one that misses any, the hundredth say, changes nothing."""
+    p, examples = (saved(t, "patterns") for t in _patterns(spark, sf_dir))
+    regex = F.when(F.col("category") == "customer", r"\bCustomer#\d+\b").otherwise(r"\bSupplier#0+[0-9]{1,2}\b")
+    done = induce.decide(p, p.select("id", F.lit("edit").alias("action"), regex.alias("regex")), examples)
+    return done.select("id", "regex_source", "status")
+
+
+_SHAPES = ["(a|a)*b", "([a-z]|[a-y])*#", "a{1,50}a{1,50}a{1,50}b", "(a{2,5})+", "(?:a|ab)*c", "x*", "INC-[0-9]{4,}", "(?:[a-z]+[.])*com", "(", ".*a.*b"]
+_REASONS = ["exponential backtracking", "exponential backtracking", "backtracking of degree 2", "nested quantifier", None, "pattern matches empty string", None, "nested quantifier", "invalid regex pattern", None]
+_pick = lambda words, key: "CASE " + " ".join(f"WHEN {key} % {len(words)} = {i} THEN {'NULL' if w is None else quoted(w)}" for i, w in enumerate(words)) + " END"
+
+
+@query("regex_admission", f"SELECT p_partkey, {_pick(_REASONS, 'p_partkey')} AS reason FROM part")
+def regex_admission(spark, sf_dir):
+    """Which regexes of users may run, by what their automata tell."""
+    ends = F.when(F.col("p_partkey") % 10 == 5, "").otherwise(F.concat(F.lit("k"), "p_partkey"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.expr(_pick(_SHAPES, "p_partkey")), ends).alias("regex_source"))
+    return induce.admitted(rows).select("p_partkey", "reason")
 
 
 @query("pattern_hits", "SELECT 1::BIGINT AS id, count(*) FILTER (WHERE c_custkey % 3 > 0) AS hit_count FROM customer UNION ALL SELECT 2, 0")
@@ -643,21 +661,53 @@ def pattern_hits(spark, sf_dir):
     """A pattern's hits count once for each text."""
     text = F.when(F.col("c_custkey") % 3 > 0, F.concat("c_name", F.lit(" or "), "c_name")).otherwise("nobody")
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
-    p = saved(_patterns(spark, sf_dir), "patterns")
+    p = saved(_patterns(spark, sf_dir)[0], "patterns")
     hits = detect(rows, patterns=[(r["id"], r["category"], r["regex_source"], r["confidence"]) for r in p.collect()])  # two patterns
     return induce.bump_hits(p, hits).select("id", "hit_count")
 
 
+_ALLOW = """CASE o_orderkey % 4 WHEN 0 THEN concat('^customer#', lpad(concat(o_custkey, ''), 9, '0'), CASE WHEN o_custkey % 3 = 0 THEN '$' ELSE 'z' END)
+  WHEN 1 THEN concat('(?:clerk|customer)#0+', 100 + o_custkey % 900, '[0-4]$') WHEN 2 THEN concat('#[0-9]{6}', 900 + o_custkey * 7 % 100, '\\\\b') ELSE concat('^[x-z]', o_orderkey % 5, '$') END"""
+
+
+@query("allowlist_regexes", """WITH a AS (SELECT DISTINCT o_orderkey % 4 AS k, o_custkey AS c FROM orders)
+SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM a WHERE k = 0 AND c % 3 = 0 AND c = c_custkey)
+  AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT 100 + c % 900 AS n FROM a WHERE k = 1) x WHERE x.n = c_custkey // 10 AND c_custkey % 10 < 5)
+  AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT 900 + c * 7 % 100 AS n FROM a WHERE k = 2) y WHERE y.n = c_custkey % 1000)""")
+def allowlist_regexes(spark, sf_dir):
+    """A regex of one of four shapes from every order against every customer's name."""
+    allow = table(spark, sf_dir, "orders").select(F.expr(_ALLOW).alias("pattern"), F.lit(True).alias("is_regex"))
+    return drop_allowlisted(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), allow, "c_name")
+
+
+@query("active_pattern_set", r"""SELECT c_custkey AS doc_id, c_name AS value, c_custkey AS source FROM customer
+UNION ALL SELECT c_custkey, substr(c_name, 9), 0 FROM customer UNION ALL SELECT c_custkey, concat('ask ', c_name), -c_custkey FROM customer WHERE c_custkey % 2 = 0""")
+def active_pattern_set(spark, sf_dir):
+    """A learned regex for every customer, some with two mandatory strings, and one with none."""
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    rows = names.select(F.col("c_custkey").alias("doc_id"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "ask ").otherwise("tell "), "c_name", F.lit(" now")).alias("text"))
+    regexes = [p for r in names.collect() for p in ((r["c_custkey"], "customer", rf"\b{r['c_name']}\b", 0.5), (-r["c_custkey"], "customer", rf"ask\sCustomer#\d*{r['c_name'][-4:]}\b", 0.5))]
+    found = detect(rows, patterns=[*regexes, (0, "number", r"#\d+", 0.4)]).filter("rank = 20")
+    own = (F.col("source") == 0) | (F.abs("source") == F.col("doc_id"))  # others end in the same digits
+    return found.filter(own).select("doc_id", "value", "source")
+
+
 @query("active_patterns", r"SELECT c_custkey AS doc_id, c_name AS value, 9::BIGINT AS source FROM customer")
 def active_patterns(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("ask "), "c_name", F.lit(" now")).alias("text"))
     return detect(rows, patterns=[(9, "customer", r"\bCustomer#\d{9}\b", 0.5)]).filter("rank = 20").select("doc_id", "value", "source")
 
 
-@query("literal_patterns", "SELECT event_id AS doc_id, 'SEE' AS type, 'see' AS value FROM events")
+@query("literal_patterns", """SELECT l_orderkey * 8 + l_linenumber AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 'EVEN_ONES' ELSE 'ODD' END AS type, concat('SUPPLIER#', lpad(concat(l_suppkey, ''), 9, '0')) AS value
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'WORD', 'er#' FROM lineitem UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'WORD', 'ER#' FROM lineitem""")
 def literal_patterns(spark, sf_dir):
-    rows = detect(notes(spark, sf_dir), config=ScrubConfig(literals=(("SEE", "see"),)))
-    return rows.filter("rank = 3").select("doc_id", "type", "value")
+    """Every supplier's name as a literal, and one that others hold."""
+    names = [(r["s_name"], "even ones" if r["s_suppkey"] % 2 == 0 else "odd") for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()]
+    text = "concat('to SUPPLIER#', lpad(concat(l_suppkey, ''), 9, '0'), '; other#1')"
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS doc_id", f"{text} AS text")
+    hits = detect(rows, config=ScrubConfig(literals=(*names, ("eR#", "word"))))
+    return hits.filter("rank = 3").select("doc_id", "type", "value")
 
 
 # ---------------------------------------------------------------- second opinion

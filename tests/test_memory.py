@@ -147,23 +147,24 @@ def test_induction(spark, examples, want):
 
 
 def test_pattern_life(spark):
-    known = spark.createDataFrame([("t", f"INC-{i:05d}") for i in range(5)] + [("u", "x")], "category string, real_value string")
+    known = spark.createDataFrame([("t", f"INC-{i:05d}") for i in range(40)] + [("u", "x")], "category string, real_value string")
     values = known.withColumnRenamed("real_value", "value")
     found = induce.suggest(known)
-    table = induce.persist(spark.createDataFrame([], SCHEMAS["induced_patterns"]), found, now(), values)
+    table, stored = induce.persist(spark.createDataFrame([], SCHEMAS["induced_patterns"]), found, now(), values)
     rows = [tuple(r) for r in table.collect()]
+    stored = spark.createDataFrame([tuple(r) for r in stored.collect()], SCHEMAS["pattern_examples"])
     table = spark.createDataFrame(rows, SCHEMAS["induced_patterns"])
-    assert table.count() == 1 and induce.persist(table, found, now(), values).count() == 1
-    assert rows[0][4] == [f"INC-{i:05d}" for i in range(5)]
-    for regex, want in (("zzz", rows[0][2]), (r"\bINC-\d+\b", r"\bINC-\d+\b")):  # the stored examples decide
-        assert induce.decide(table, spark.createDataFrame([(rows[0][0], "edit", regex)], "id long, action string, regex string")).first()["regex_source"] == want
-    bare = table.withColumn("source_examples", F.array().cast("array<string>"))
-    assert induce.decide(bare, spark.createDataFrame([(rows[0][0], "edit", "zzz")], "id long, action string, regex string")).first()["regex_source"] == rows[0][2]
+    again = induce.persist(table, found, now(), values)
+    assert table.count() == 1 and again[0].count() == 1 and again[1].count() == 0
+    assert sorted(r["example"] for r in stored.collect()) == [f"INC-{i:05d}" for i in range(40)]
+    for regex, want in (("zzz", rows[0][2]), (r"\bINC-000[0-2]\d\b", rows[0][2]), (r"\bINC-\d+\b", r"\bINC-\d+\b")):  # all examples decide
+        assert induce.decide(table, spark.createDataFrame([(rows[0][0], "edit", regex)], "id long, action string, regex string"), stored).first()["regex_source"] == want
+    assert induce.decide(table, spark.createDataFrame([(rows[0][0], "edit", "zzz")], "id long, action string, regex string"), stored.limit(0)).first()["regex_source"] == rows[0][2]
     i = rows[0][0]
-    done = induce.decide(table, spark.createDataFrame([(i, "activate", None)], "id long, action string, regex string"))
+    done = induce.decide(table, spark.createDataFrame([(i, "activate", None)], "id long, action string, regex string"), stored)
     assert done.first()["status"] == "active"
-    assert induce.decide(table, spark.createDataFrame([(i, "delete", None)], "id long, action string, regex string")).count() == 0
-    assert induce.decide(table, spark.createDataFrame([(i, "edit", "(a+)+")], "id long, action string, regex string")).first()["regex_source"] == rows[0][2]
+    assert induce.decide(table, spark.createDataFrame([(i, "delete", None)], "id long, action string, regex string"), stored).count() == 0
+    assert induce.decide(table, spark.createDataFrame([(i, "edit", "(a+)+")], "id long, action string, regex string"), stored).first()["regex_source"] == rows[0][2]
     examples = induce.examples_of(table, spark.createDataFrame([("t", "INC-00001"), ("t", "other"), ("v", "INC-00002")], "category string, value string"))
     assert [tuple(r) for r in examples.collect()] == [(i, "INC-00001")]
     for regex, want in ((r"\bINC-\d+\b", r"\bINC-\d+\b"), (r"\bINC-2\d*\b", rows[0][2])):
