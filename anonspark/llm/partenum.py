@@ -45,14 +45,15 @@ ENUMERATED = 24
 #: Hash functions of partitions that a set can have.
 SEEDS = 4
 #: Most sets of a signature of which all pairs are looked at.
-GROUP = 16
+GROUP = 8
 #: Signatures of a bucket, and entries that a task holds before it looks for hot signatures.
 BUCKET, HELD = 1 << 17, 1 << 22
 #: Members of a hot signature that are compared with typical ones, and turns of this; members of a block.
 STAR_CHUNK, TURNS, CHUNK = 65_536, 32, 2048
 #: Pairs with one set that one task compares.
 CENTER = 1024
-COUNTS = 128
+#: Counts of a sketch.
+COUNTS = 512
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _ENTRY = np.dtype([("sig", "<u4"), ("node", "<i8"), ("mark", "u1")])
 
@@ -97,13 +98,18 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % COUNTS, minlength=COUNTS), 255).astype(np.uint8)
 
 
-def may_link(sketches: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
-    """Whether sets can be linked with one: their counts differ by no more than linked sets may."""
-    fit = OF * np.minimum(sizes, size) >= LEAST * np.maximum(sizes, size)
-    at = np.flatnonzero(fit)
-    apart = np.abs(sketches[at].astype(np.int16) - one.astype(np.int16)).sum(axis=1, dtype=np.int64)
-    fit[at] = (LEAST + OF) * apart <= (OF - LEAST) * (sizes[at] + size)
-    return fit
+def apart(sketches: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """By how much counts differ, which is no more than the sets do."""
+    return np.abs(sketches.astype(np.int16) - other.astype(np.int16)).sum(axis=1, dtype=np.int64)
+
+
+def may_link(sketches: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets that can be linked with one, as their counts differ by no more than linked sets may,
+    and by how much."""
+    at = np.flatnonzero(OF * np.minimum(sizes, size) >= LEAST * np.maximum(sizes, size))
+    by = apart(sketches[at], one)
+    fit = (LEAST + OF) * by <= (OF - LEAST) * (sizes[at] + size)
+    return at[fit], by[fit]
 
 
 # ---------------------------------------------------------------- partitions
@@ -236,29 +242,48 @@ class _Bucket:
         self.parts.append(rows)
         self.size += len(rows)
         if self.size > HELD:
-            yield from self.sift()
-
-    def sift(self) -> Iterator[tuple]:
-        """Gives the entries of hot signatures out and keeps the others, sorted."""
+            rows = self._sorted()
+            sig, count = np.unique(rows["sig"], return_counts=True)
+            self.hot = np.union1d(self.hot, sig[count > GROUP])
+            gone = np.isin(rows["sig"], self.hot)
+            yield from self._given_out(rows[gone])
+            yield from self._counted(rows[gone])
+            self.parts, self.size = [rows[~gone]], 0
+
+    def _sorted(self) -> np.ndarray:
         rows = np.concatenate(self.parts)
         rows = rows[np.lexsort((rows["node"], rows["sig"]))]
-        rows = rows[np.concatenate([[True], rows[1:] != rows[:-1]])]
-        sig, count = np.unique(rows["sig"], return_counts=True)
-        self.hot = np.union1d(self.hot, sig[count > GROUP])
-        is_hot = np.isin(rows["sig"], self.hot)
-        out = rows[is_hot]
-        for part in np.split(out, np.flatnonzero(np.diff(out["sig"])) + 1) if len(out) else ():
+        return rows[np.concatenate([[True], rows[1:] != rows[:-1]])]
+
+    def _given_out(self, rows: np.ndarray, had: set[int] | None = None) -> Iterator[tuple]:
+        """The members of hot signatures; where these are all there, those of equal members once."""
+        for part in np.split(rows, np.flatnonzero(np.diff(rows["sig"])) + 1) if len(rows) else ():
+            key = int(part["sig"][0]) | self.number << 32
+            if had is not None:
+                key = int(mixed(part["node"].copy().view(np.uint64), 23).sum(dtype=np.uint64).view(np.int64))
+                if key in had:
+                    continue
+                had.add(key)
             for a in range(0, len(part), 4096):
-                yield int(part["sig"][0]) | self.number << 32, True, part["node"][a : a + 4096], part["mark"][a : a + 4096].astype(np.int16)
-        self.parts, self.size = [rows[~is_hot]], 0
+                yield key, "hot", part["node"][a : a + 4096].copy(), None, None
+
+    def _counted(self, rows: np.ndarray) -> Iterator[tuple]:
+        if len(rows):
+            own, times = np.unique(rows[["node", "mark"]], return_counts=True)
+            for a in range(0, len(own), 4096):
+                part = own[a : a + 4096]
+                yield 0, "count", part["node"].copy(), part["mark"].astype(np.int16), times[a : a + 4096].astype(np.int32)
 
     def close(self, had: set[int]) -> Iterator[tuple]:
-        yield from self.sift()
-        rows = self.parts[0]
+        rows = self._sorted()
         first = np.flatnonzero(np.concatenate([[True], rows["sig"][1:] != rows["sig"][:-1]])) if len(rows) else np.zeros(0, int)
         sizes = np.diff(np.append(first, len(rows)))
-        shared = np.repeat(sizes > 1, sizes)
-        node, sizes = rows["node"][shared], sizes[sizes > 1]
+        known = np.isin(rows["sig"][first], self.hot)
+        yield from self._given_out(rows[np.repeat(known, sizes)])
+        yield from self._given_out(rows[np.repeat((sizes > GROUP) & ~known, sizes)], had)
+        yield from self._counted(rows[np.repeat((sizes > GROUP) | known, sizes)])
+        few = (sizes > 1) & (sizes <= GROUP) & ~known
+        node, sizes = rows["node"][np.repeat(few, sizes)], sizes[few]
         if not len(node):
             return
         first = np.cumsum(sizes) - sizes
@@ -267,12 +292,12 @@ class _Bucket:
         for g in some.tolist():
             if (number := int(group[g])) not in had:
                 had.add(number)
-                yield number, False, node[first[g] : first[g] + sizes[g]], np.zeros(0, np.int16)
+                yield number, "few", node[first[g] : first[g] + sizes[g]], None, None
 
 
 def _group_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     now, had, out = None, set(), []
-    frame = lambda rows: pd.DataFrame(rows, columns=["key", "hot", "members", "marks"])
+    frame = lambda rows: pd.DataFrame(rows, columns=["key", "kind", "members", "marks", "times"])
     for pdf in batches:
         for bucket, packed in zip(pdf["bucket"], pdf["packed"]):
             if now is None or now.number != bucket:
@@ -291,21 +316,21 @@ def _group_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def groups(docs: DataFrame, total: int) -> DataFrame:
-    """(key, hot, members, marks): the sets that share a signature. Of few sets, each group
-    once for each task; of a hot signature, parts of its members with their marks."""
+    """The sets that share a signature, as (key, kind, members, marks, times): few, each group once for
+    each task; the members of a hot one, in parts; and of each set how many hot ones it has in a
+    bucket (count)."""
     packed = entries(docs, max(1, -(-total * 5 // (BUCKET * 8))))
     rows = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return saved(rows.mapInPandas(_group_batches, "key long, hot boolean, members array<long>, marks array<short>"), "groups")
+    return saved(rows.mapInPandas(_group_batches, "key long, kind string, members array<long>, marks array<short>, times array<int>"), "groups")
 
 
-def heavy_members(hot: DataFrame) -> DataFrame:
-    """(key, node) of hot (key, node, mark): of the sets that may have no other signature left to be found by."""
-    rows = saved(hot.distinct(), "hot")
-    spare = F.col("mark").bitwiseAND(31)
-    heavy = rows.groupBy("node", F.shiftright("mark", 5).alias("which")).agg(F.count("*").alias("n"), F.min(spare).alias("spare")).filter("n >= spare").select("node", "which")
-    heavy = saved(heavy, "heavy")
-    rows = rows.select("key", "node", F.shiftright("mark", 5).alias("which"))
-    return rows.join(small(heavy, heavy.count()), ["node", "which"]).select("key", "node").distinct()
+def heavy_members(found: DataFrame) -> DataFrame:
+    """(key, node) of hot signatures: of the sets that may have no other signature left to be found by."""
+    one = found.filter("kind = 'count'").select(F.explode(F.arrays_zip("members", "marks", "times")).alias("m")).select("m.members", F.col("m.marks").cast("int").alias("mark"), "m.times")
+    per = one.groupBy(F.col("members").alias("node"), F.shiftright("mark", 5).alias("which")).agg(F.sum("times").alias("n"), F.min(F.col("mark").bitwiseAND(31)).alias("spare"))
+    heavy = saved(per.filter("n >= spare").select("node").distinct(), "heavy")
+    rows = found.filter("kind = 'hot'").select("key", F.explode("members").alias("node"))
+    return rows.join(small(heavy, heavy.count()), "node").select("key", "node").distinct()
 
 
 def unlike(members: DataFrame) -> DataFrame:
@@ -359,12 +384,13 @@ def _runs(batches: Iterable[pd.DataFrame], keys: int) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def _as_pairs(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pd.DataFrame]:
+def _as_rows(found: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """(a, b, apart) of sets, others and how far they are apart."""
     held, size = [], 0
-    frame = lambda parts: pd.DataFrame(np.unique(np.concatenate(parts), axis=0), columns=["a", "b"])
-    for one, others in found:
+    frame = lambda parts: pd.DataFrame(np.concatenate(parts), columns=["a", "b", "apart"])
+    for one, others, apart in found:
         if others.size:
-            held.append(np.stack([np.minimum(one, others), np.maximum(one, others)], axis=1))
+            held.append(np.stack([np.full(others.size, one), others, apart], axis=1))
             size += others.size
             if size > 200_000:
                 yield frame(held)
@@ -377,72 +403,69 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
-def _stars(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+def _stars(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Typical members, each with the members that it may be linked with and none before was."""
     node, n, rows = group["node"].to_numpy(), group["n"].to_numpy(), _stacked(group["sketch"])
     for _ in range(TURNS):
         if len(node) < 2:
             return
         center = int(np.abs(rows - np.median(rows, axis=0)).sum(axis=1).argmin())
-        near = may_link(rows, n, rows[center], int(n[center]))
-        near[center] = False
-        yield int(node[center]), node[near]
-        near[center] = True
-        node, n, rows = node[~near], n[~near], rows[~near]
+        near, by = may_link(rows, n, rows[center], int(n[center]))
+        other = near != center
+        yield int(node[center]), node[near[other]], by[other]
+        left = np.ones(len(node), bool)
+        left[near] = left[center] = False
+        node, n, rows = node[left], n[left], rows[left]
 
 
-def _apart(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs of members of different roots that may be linked; part tells the two blocks apart."""
+def _apart(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pairs of members of different roots that may be linked."""
     node, n, root, rows = group["node"].to_numpy(), group["n"].to_numpy(), group["root"].to_numpy(), _stacked(group["sketch"])
     for i in range(len(node) - 1):
         other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        yield int(node[i]), node[other[may_link(rows[other], n[other], rows[i], int(n[i]))]]
+        near, by = may_link(rows[other], n[other], rows[i], int(n[i]))
+        yield int(node[i]), node[other[near]], by
 
 
 def _star_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from _as_pairs(p for group in _runs(batches, 2) for p in _stars(group))
+    yield from _as_rows(p for group in _runs(batches, 2) for p in _stars(group))
     release()
 
 
 def _apart_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from _as_pairs(p for group in _runs(batches, 3) for p in _apart(group))
+    yield from _as_rows(p for group in _runs(batches, 3) for p in _apart(group))
     release()
 
 
 def star_pairs(members: DataFrame, sets: DataFrame, chunk: int = STAR_CHUNK) -> DataFrame:
-    """(a, b) of members (key, n, node): candidates around typical members."""
+    """(a, b, apart) of members (key, n, node): typical members, and those around them."""
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk).cast("long")).alias("part")
     rows = members.select("key", part, "node").join(sets.select("node", "n", "sketch"), "node").select("key", "part", "node", "n", "sketch")
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(_star_batches, "a long, b long")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(_star_batches, "a long, b long, apart long")
 
 
 def apart_pairs(members: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) of members (key, n, node, root): candidates of different roots, by pairs of blocks."""
+    """(a, b, apart) of members (key, n, node, root): candidates of different roots, by pairs of blocks."""
     blocks = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
     rows = members.select("key", F.explode(pair).alias("p"), "node", "root").select("key", "p.i", "p.j", "node", "root")
     rows = rows.join(sets.select("node", "n", "sketch"), "node").select("key", "i", "j", "node", "root", "n", "sketch")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInPandas(_apart_batches, "a long, b long")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInPandas(_apart_batches, "a long, b long, apart long")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sketches don't rule out."""
-    @F.pandas_udf("boolean")
-    def fits(n: pd.Series, m: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
-        if not len(n):
-            return pd.Series([], dtype=bool)
-        n, m, apart = n.to_numpy(), m.to_numpy(), np.empty(len(n), np.int64)
-        for a in range(0, len(n), 4096):
-            rows = slice(a, a + 4096)
-            apart[rows] = np.abs(_stacked(one.iloc[rows]).astype(np.int16) - _stacked(other.iloc[rows]).astype(np.int16)).sum(axis=1, dtype=np.int64)
-        return pd.Series((OF * np.minimum(n, m) >= LEAST * np.maximum(n, m)) & ((LEAST + OF) * apart <= (OF - LEAST) * (n + m)))
-
-    rows = pairs
-    count = sets.count()
+    """(a, b, apart): the pairs (a, b) that sketches don't rule out."""
+    @F.pandas_udf("long")
+    def by(one: pd.Series, other: pd.Series) -> pd.Series:
+        parts = [apart(_stacked(one.iloc[a : a + 4096]), _stacked(other.iloc[a : a + 4096])) for a in range(0, len(one), 4096)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+    rows, count = pairs, sets.count()
     for c in "ab":
-        rows = rows.join(small(sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), count), c)
-    return rows.filter(fits("na", "nb", "sa", "sb")).select("a", "b")
+        rows = rows.join(small(sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), count, 1 << 16), c)
+    rows = rows.filter(OF * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")).withColumn("apart", by("sa", "sb"))
+    return rows.filter((LEAST + OF) * F.col("apart") <= (OF - LEAST) * (F.col("na") + F.col("nb"))).select("a", "b", "apart")
 
 
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -476,25 +499,32 @@ def links(docs: DataFrame, rows: DataFrame, star_chunk: int = STAR_CHUNK, chunk:
     """(node, root) of the sets that links connect with another one; the least node is the root."""
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     found = groups(docs.filter("text IS NOT NULL"), total)
-    few = saved(found.filter("NOT hot").select("key", "members").dropDuplicates(["key"]), "few")
-    hot = found.filter("hot").select("key", F.explode(F.arrays_zip("members", "marks")).alias("m")).select("key", F.col("m.members").alias("node"), F.col("m.marks").cast("int").alias("mark"))
-    heavy = unlike(heavy_members(hot))
-    wanted = few.select(F.explode("members").alias("node")).unionByName(heavy.select("node")).distinct()
+    few = found.filter("kind = 'few'").dropDuplicates(["key"]).select(F.array_sort("members").alias("m"))
+    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, GROUP), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    few = saved(few.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct(), "few")
+    heavy = unlike(heavy_members(found))
+    wanted = few.select(F.explode(F.array("a", "b")).alias("node")).unionByName(heavy.select("node")).distinct()
     sets = wanted_sets(docs, rows, saved(wanted, "nodes"))
-    least = few.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a <> b")
-    stars = plausible(least.distinct(), sets).unionByName(star_pairs(heavy, sets, star_chunk))
-    first = saved(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")  # one link of each set, before the others are looked at
+
+    # Each set is first linked with the one that it seems nearest to; pairs that this leaves apart come after.
+    few = saved(plausible(few, sets), "plausible")
+    stars = star_pairs(heavy, sets, star_chunk).unionByName(few).unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.least("b", "m.a").alias("a"), F.greatest("b", "m.a").alias("b"))
+    first = saved(nearest.filter("a <> b").distinct(), "first")
     near = verified(first, sets)
-    roots = components(near)
+    roots = saved(components(near), "roots")
+    count = roots.count()
+
+    def rooted(pairs: DataFrame, node: str, root: str) -> DataFrame:
+        named = pairs.join(small(roots.select(F.col("node").alias(node), F.col("root").alias("_r")), count), node, "left")
+        return named.withColumn(root, F.coalesce("_r", node)).drop("_r")
 
-    rooted = lambda members: members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted(few.select("key", F.explode("members").alias("node"))).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("m"))  # GROUP at most
-    pair = F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["node"] < y["node"]) & (x["root"] != y["root"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))))
-    rest = several.filter(F.exists("m", lambda x: x["root"] != F.col("m")[0]["root"])).select(pair.alias("p")).select("p.a", "p.b")
-    split = rooted(heavy)
+    rest = rooted(rooted(few.select("a", "b"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
+    split = rooted(heavy.select("key", "node"), "node", "root")
     open_ = saved(split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "open")
     split = unlike(split.join(small(open_, open_.count()), "key").select("key", "node"))
-    rest = plausible(rest.distinct(), sets).unionByName(apart_pairs(rooted(split), sets, chunk)).distinct().join(first, ["a", "b"], "left_anti")
+    across = apart_pairs(rooted(split, "node", "root"), sets, chunk).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.unionByName(across).distinct().join(first, ["a", "b"], "left_anti")
     return components(near.unionByName(verified(saved(rest, "rest"), sets)))
 
 
