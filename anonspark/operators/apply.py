@@ -5,18 +5,26 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from anonspark.functions.automaton import low as _low
+from anonspark.functions.bloom import BITS, Bloom, hash_of, made
 from anonspark.functions.patterns import CREDENTIAL, SENSITIVE_KV, TOKEN_ANYWHERE, java, may_have_credential, may_have_pair
-from anonspark.plans.storage import saved, small
+from anonspark.plans.storage import fresh, saved, small, spread
 
 CREDENTIAL_MARK = "[CREDENTIAL-REDACTED]"
 #: A map of at most so many values, and bytes of them and their tokens, travels to the workers;
 #: beyond, texts meet only the values they may hold.
 MAP_KEYS, MAP_BYTES = 200_000, 16 << 20
+#: Largest filter of the beginnings of values that travels to the workers.
+FILTER_BYTES = 64 << 20
+#: Characters of a value's beginning that the automaton knows.
+HEAD = 6
 _PIECE = re.compile(r"\w+|\W")
 
 
@@ -27,8 +35,9 @@ def _wordy(c: str) -> bool:
 class Substitution:
     """Leftmost, longest, without case, and never next to a letter, digit or underscore.
 
-    Values are looked up whole, by the lengths that values of the same first piece have, so
-    a text costs the same for any number of values.
+    An automaton finds the beginnings of values, of up to HEAD characters, in one pass over the
+    text; where one stands, values are looked up whole by the lengths that values of this
+    beginning have. So a text costs the same for any number of values.
     """
 
     def __init__(self, pairs):
@@ -38,8 +47,12 @@ class Substitution:
             low = _low(value)
             if low:
                 self.tokens.setdefault(low, token)
-                sizes.setdefault(_PIECE.match(low)[0], set()).add(len(low))
-        self.sizes = {head: sorted(n, reverse=True) for head, n in sizes.items()}
+                sizes.setdefault(low[:HEAD], set()).add(len(low))
+        self.heads = ahocorasick.Automaton()
+        for head, n in sizes.items():
+            self.heads.add_word(head, (len(head), sorted(n, reverse=True)))
+        if sizes:
+            self.heads.make_automaton()
 
     def whole(self, cell: str | None) -> str | None:
         """The token of a cell that is a value, else the cell."""
@@ -49,14 +62,17 @@ class Substitution:
         if not text or not self.tokens:
             return text
         low = _low(text)
-        heads = self.sizes.keys() & set(_PIECE.findall(low))
-        if not heads:
-            return text
+        found = []
+        for last, (size, lengths) in self.heads.iter(low):
+            at = last + 1 - size
+            if not at or not _wordy(low[at - 1]):
+                found.append((at, -size, lengths))
+        found.sort()  # at one place the longer beginning has the longer values
         out, done = [], 0
-        for at, head in sorted(found for h in heads for found in _places(low, h)):
+        for at, _, lengths in found:
             if at < done:
                 continue
-            for size in self.sizes[head]:
+            for size in lengths:
                 end = at + size
                 token = self.tokens.get(low[at:end]) if end <= len(low) else None
                 if token is not None and (end == len(low) or not _wordy(low[end])):
@@ -66,16 +82,6 @@ class Substitution:
         return "".join([*out, text[done:]]) if done else text
 
 
-def _places(low: str, head: str) -> Iterator[tuple[int, str]]:
-    """Where a piece stands in a text with no word character before it."""
-    at = low.find(head)
-    while at >= 0:
-        end = at + len(head)
-        if not (at and _wordy(low[at - 1])) and not (_wordy(head[-1]) and end < len(low) and _wordy(low[end])):
-            yield at, head
-        at = low.find(head, end)
-
-
 def worker_map(tokens: DataFrame, most_keys: int = MAP_KEYS, most_bytes: int = MAP_BYTES) -> list[tuple[str, str]] | None:
     """The pairs of tokens (real_value, token), if they are few enough to travel; else None."""
     size = F.coalesce(F.sum(F.octet_length("real_value") + F.octet_length("token")), F.lit(0))
@@ -92,7 +98,7 @@ def apply_map(docs: DataFrame, tokens: DataFrame, text: str = "text", out: str =
     pairs = worker_map(tokens, most_keys)
     if pairs is None:
         return apply_by_candidates(docs, tokens, text, out)
-    return _apply_pairs(docs, pairs, [(text, out, False)])
+    return _apply_pairs(spread(docs), pairs, [(text, out, False)])
 
 
 def _apply_pairs(docs: DataFrame, pairs: list[tuple[str, str]], columns: list[tuple[str, str, bool]]) -> DataFrame:
@@ -110,8 +116,9 @@ def _apply_pairs(docs: DataFrame, pairs: list[tuple[str, str]], columns: list[tu
         one = made[0]
         return pd.DataFrame({f"c{i}": cells.iloc[:, i].map(one.whole if whole else one, na_action="ignore").astype(object) for i, whole in enumerate(use)})
 
-    done = docs.withColumn("_cells", of(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, (c, _, _) in enumerate(columns)])))
-    return done.withColumns({to: F.col(f"_cells.c{i}") for i, (_, to, _) in enumerate(columns)}).drop("_cells")
+    (cells_,) = fresh([*docs.columns, *(to for _, to, _ in columns)], "_cells")
+    done = docs.withColumn(cells_, of(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, (c, _, _) in enumerate(columns)])))
+    return done.withColumns({to: F.col(f"{cells_}.c{i}") for i, (_, to, _) in enumerate(columns)}).drop(cells_)
 
 
 def apply_columns(df: DataFrame, tokens: DataFrame, columns: list[tuple[str, str, bool]]) -> DataFrame:
@@ -132,51 +139,92 @@ def apply_columns(df: DataFrame, tokens: DataFrame, columns: list[tuple[str, str
     return df
 
 
-def candidate_keys(text: str | None, most: int) -> set[str]:
-    """All stretches of a text that a value of up to `most` pieces could cover."""
+def _cuts(low: str) -> list[tuple[int, int]]:
+    return [(m.start(), m.end()) for m in _PIECE.finditer(low)]
+
+
+def _key_hashes(key: str) -> Iterator[int]:
+    """What a value adds to the filter: itself, and what it begins with, piece by piece."""
+    yield hash_of(key, 1)
+    for _, end in _cuts(key):
+        yield hash_of(key[:end], 0)
+
+
+def candidate_keys(text: str | None, most: int, held: Bloom | None = None) -> set[str]:
+    """The stretches of a text that a value of up to `most` pieces could cover; with a filter, those
+    that it holds, read on from a place only while a value may begin so."""
     if not text:
         return set()
     low = _low(text)
-    pieces = [(m.start(), m.end()) for m in _PIECE.finditer(low)]
+    pieces = _cuts(low)
+    starts = [i for i, (a, _) in enumerate(pieces) if not (a and _wordy(low[a - 1]))]
+    if held is not None:
+        begun = held.has(hash_of(low[pieces[i][0] : pieces[i][1]], 0) for i in starts)
+        starts = [i for i, b in zip(starts, begun.tolist()) if b]
     out = set()
-    for i, (a, _) in enumerate(pieces):
-        if a and _wordy(low[a - 1]):
-            continue
-        for _, b in pieces[i : i + most]:
+    for i in starts:
+        a, run = pieces[i][0], pieces[i : i + most]
+        if held is not None and len(run) > 1:
+            going = held.has(hash_of(low[a:b], 0) for _, b in run)
+            run = run[: int(np.argmin(going)) if not going.all() else len(run)]
+        for _, b in run:
             if b == len(low) or not _wordy(low[b]):
                 out.add(low[a:b])
+    if held is not None and out:
+        keys = sorted(out)
+        out = {k for k, h in zip(keys, held.has(hash_of(k, 1) for k in keys).tolist()) if h}
     return out
 
 
-def apply_by_candidates(docs: DataFrame, tokens: DataFrame, text: str = "text", out: str = "scrubbed") -> DataFrame:
-    """As apply_map for vocabularies of any size: a text's stretches are joined with the
-    values, and each text is rewritten with its own few pairs. Texts are known by a hash: two
-    of one hash would share their pairs, which are right for both."""
-    @F.pandas_udf("string")
-    def low(part: pd.Series) -> pd.Series:  # as the stretches are, one character for each
-        return part.map(_low)
+@F.pandas_udf(T.StringType())
+def _lowered(part: pd.Series) -> pd.Series:
+    """As the stretches are: one character for each."""
+    return part.map(_low, na_action="ignore")
+
 
-    named = tokens.select(low("real_value").alias("_key"), "real_value", "token")
-    size = F.size(F.regexp_extract_all("real_value", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"), F.lit(0)))
-    most = named.agg(F.coalesce(F.max(size), F.lit(0)).alias("m")).first()["m"]
+def stretches(docs: DataFrame, tokens: DataFrame, text: str = "text", most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """(_h, _key): the stretches of the texts, known by a hash, that the values (_key) of tokens may
+    cover. What no value begins with is left out by a filter, which travels to the workers if its
+    bytes, by count, allow that; without it all stretches of up to the longest value's pieces go on."""
+    size = F.size(F.regexp_extract_all("_key", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"), F.lit(0)))
+    row = tokens.agg(F.coalesce(F.max(size), F.lit(0)).alias("most"), F.coalesce(F.sum(size + 1), F.lit(0)).alias("n")).first()
+    most, shared = row["most"], None
+    if row["n"] * BITS // 8 <= most_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast(made(tokens.select("_key"), _key_hashes, row["n"]).words)
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Bloom(shared.value) if shared is not None else None
         for pdf in batches:
+            hashes, keys = [], []
             for h, t in zip(pdf["_h"], pdf["_text"]):
-                keys = sorted(candidate_keys(t, most))
-                if keys:
-                    yield pd.DataFrame({"_h": h, "_key": keys})
+                own = candidate_keys(t, most, held)
+                keys += own
+                hashes += [h] * len(own)
+                if len(keys) > 100_000:
+                    yield pd.DataFrame({"_h": hashes, "_key": keys})
+                    hashes, keys = [], []
+            if keys:
+                yield pd.DataFrame({"_h": hashes, "_key": keys})
+
+    return docs.select(F.xxhash64(text).alias("_h"), F.col(text).alias("_text")).mapInPandas(run, "_h long, _key string")
+
 
-    texts = docs.select(F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
-    held = texts.mapInPandas(spread, "_h long, _key string").join(named, "_key")
+def apply_by_candidates(docs: DataFrame, tokens: DataFrame, text: str = "text", out: str = "scrubbed") -> DataFrame:
+    """As apply_map for vocabularies of any size: a text's stretches are joined with the
+    values, and each text is rewritten with its own few pairs. Texts are known by a hash: two
+    of one hash would share their pairs, which are right for both."""
+    named = saved(tokens.select(_lowered("real_value").alias("_key"), "real_value", "token"), "named")
+    docs = spread(docs)
+    held = stretches(docs, named, text).join(named, "_key")
     pairs = saved(held.groupBy("_h").agg(F.collect_set(F.struct("real_value", "token")).alias("_pairs")), "pairs")
 
     @F.pandas_udf("string")
     def of(part: pd.Series, own: pd.Series) -> pd.Series:
         return pd.Series([t if p is None else Substitution(sorted((x["real_value"], x["token"]) for x in p))(t) for t, p in zip(part, own)], dtype=object)
 
-    rows = docs.withColumn("_h", F.xxhash64(text)).join(small(pairs), "_h", "left")
-    return rows.withColumn(out, of(F.col(text), F.col("_pairs"))).drop("_h", "_pairs")
+    h, p = fresh([*docs.columns, out], "_h", "_pairs")
+    rows = docs.withColumn(h, F.xxhash64(text)).join(small(pairs.withColumnsRenamed({"_h": h, "_pairs": p})), h, "left")
+    return rows.withColumn(out, of(F.col(text), F.col(p))).drop(h, p)
 
 
 def restore(docs: DataFrame, vocab: DataFrame, text: str = "text", out: str = "restored") -> DataFrame:
@@ -187,11 +235,13 @@ def restore(docs: DataFrame, vocab: DataFrame, text: str = "text", out: str = "r
     wanted = docs.select(F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(found)).alias("token")).distinct()
     one = vocab.groupBy("token").agg(F.min("real_value").alias("real_value"))
     maps = wanted.join(one, "token").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("token", "real_value"))).alias("_map"))
-    tokens = F.transform(found, lambda t: F.coalesce(F.col("_map")[t], t))
+    h, m = fresh([*docs.columns, out], "_h", "_map")
+    maps = saved(maps, "maps").withColumnsRenamed({"_h": h, "_map": m})
+    rows = spread(docs).withColumn(h, F.xxhash64(text)).join(small(maps), h, "left")
+    tokens = F.transform(found, lambda t: F.coalesce(F.col(m)[t], t))
     gaps = F.split(text, TOKEN_ANYWHERE, -1)
     spliced = F.array_join(F.flatten(F.zip_with(gaps, F.concat(tokens, F.array(F.lit(""))), lambda g, t: F.array(g, t))), "")
-    rows = docs.withColumn("_h", F.xxhash64(text)).join(small(saved(maps, "maps")), "_h", "left")
-    return rows.withColumn(out, F.when(F.col("_map").isNull(), F.col(text)).otherwise(spliced)).drop("_h", "_map")
+    return rows.withColumn(out, F.when(F.col(m).isNull(), F.col(text)).otherwise(spliced)).drop(h, m)
 
 
 def redact_credentials(text: Column) -> Column:

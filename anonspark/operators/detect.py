@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 from anonspark.config import ScrubConfig
 from anonspark.functions.automaton import Strings
 from anonspark.functions.patterns import (
-    BY_RANK, DETECTORS, Detector, fqdn_allowed, java, java_column, looks_like_date, looks_like_identifier, url_host, valid_person,
+    BY_RANK, DETECTORS, NUMBERED, Detector, anchored, fqdn_allowed, java, java_column, looks_like_date, looks_like_identifier, may_have_number, url_host, valid_person,
 )
 from anonspark.functions.regexes import mandatory
-from anonspark.plans.storage import saved, small
+from anonspark.plans.storage import fresh, saved, small
 
 HIT = "struct<rank:int,match_idx:int,value:string,type:string,category:string,confidence:double,source:bigint>"
 _PERSON = (7, 8, 9)
@@ -44,6 +44,19 @@ def hits_of(text: Column, d: Detector) -> Column:
     return F.coalesce(F.when(d.gate(text), F.regexp_extract_all(text, F.lit(d.regex), F.lit(d.group))), none)
 
 
+def all_hits(text: Column, anchors: Column, numbers: Column, chosen: Sequence[Detector]) -> list[Column]:
+    """Arrays of HIT, one for each detector. anchors: the text's tokens with an anchor; numbers:
+    whether a number in groups can be in it."""
+    none, null = F.array().cast("array<string>"), F.lit(None).cast("long")
+    out = []
+    for d in chosen:
+        values = hits_of(anchors if d.within_token else text, d)
+        if d.name in NUMBERED:
+            values = F.when(numbers, values).otherwise(none)
+        out.append(_as_hits(values, d.rank, F.lit(d.type), F.lit(d.category), d.confidence, null))
+    return out
+
+
 def accepted(config: ScrubConfig) -> Column:
     """Whether a hit (columns rank, value) passes the filters of its kind."""
     person = valid_person(F.col("value"), config.name_allowlist)
@@ -58,18 +71,19 @@ def detect(docs: DataFrame, text: str = "text", config: ScrubConfig | None = Non
     (id, category, regex, confidence), whose id is the source of their hits; they must have passed admission.
     """
     config = config or ScrubConfig()
-    t = F.col(text)
-    null = F.lit(None).cast("long")
-    found = [
-        _as_hits(hits_of(t, d), d.rank, F.lit(d.type), F.lit(d.category), d.confidence, null)
-        for d in DETECTORS if names is None or d.name in names
-    ]
+    chosen = [d for d in DETECTORS if names is None or d.name in names]
+    kept = [c for c in docs.columns if c != text]
+    t_, a_, n_, h_ = fresh(kept, "_text", "_anchored", "_numbers", "_hits")
+    t = F.col(t_)
+    rows = docs.filter(F.col(text).isNotNull()).select(*kept, F.col(text).alias(t_)).withColumns({
+        a_: anchored(t) if any(d.within_token for d in chosen) else F.lit(""), n_: may_have_number(t) if any(d.name in NUMBERED for d in chosen) else F.lit(False)})
+    found = all_hits(t, F.col(a_), F.col(n_), chosen)
     if names is None and config.literals:
         found.append(literal_hits(docs, config.literals)(t))
     if names is None and patterns:
         found.append(_as_pattern_hits(t, candidate_patterns(docs, patterns)(t)))
     hits = F.concat(*found) if len(found) > 1 else found[0]
-    rows = docs.filter(t.isNotNull()).select(*[c for c in docs.columns if c != text], F.explode(hits).alias("_h")).select("*", "_h.*").drop("_h")
+    rows = rows.select(*kept, F.explode(hits).alias(h_)).select(*kept, f"{h_}.*")
     return rows.filter(accepted(config))
 
 

@@ -45,12 +45,20 @@ def token_text(type_: Column, n: Column) -> Column:
     return F.concat(F.lit("{"), type_, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit("}"))
 
 
+#: Up to so many rows, places are numbered by one window for each type.
+FEW = 100_000
+
+
 def number_by_type(new: DataFrame, order: list[str]) -> DataFrame:
     """new with n, the row's place among those of its type in the given order, from 0.
 
+    Few rows, by count, are numbered by a window; the places are the same either way.
     A sort over ranges of (type, order) puts each task in charge of a run of places; the
     runs' lengths, a few rows for each task, give each run its start. No task sees a type whole.
     """
+    new = saved(new, "to_number")
+    if new.count() <= FEW:
+        return new.withColumn("n", (F.row_number().over(Window.partitionBy("type").orderBy(*order)) - 1).cast("long"))
     placed = new.repartitionByRange("type", *order).sortWithinPartitions("type", *order)
     placed = saved(placed.withColumn("_m", F.monotonically_increasing_id()), "numbered")
     task = F.shiftright("_m", 33)
@@ -80,7 +88,7 @@ def assign_tokens(firsts: DataFrame, vocab: DataFrame | None, order: list[str])
 
 def minted_tokens(hits: DataFrame, tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Per document its minted values: one struct per key in order of sight, new only in the
-    first document that has it."""
+    first document that has it. doc: what tells documents apart, in hits and in tokens."""
     order = ["rank", "match_idx"]
     seen = mintable(hits).withColumn("key", key_of("value")).groupBy(doc, "key").agg(F.min(F.struct(*order)).alias("_at"), F.min_by(F.struct("category", "confidence"), F.struct(*order)).alias("_c"))
     named = seen.join(small(tokens.select("key", "token", "real_value", "type", "is_new", F.col(doc).alias("_first"))), "key")

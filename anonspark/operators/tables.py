@@ -104,9 +104,31 @@ def inspect_table(df: DataFrame, name: str, row: str, config: ScrubConfig | None
     return one.select(F.explode(F.array(*items)).alias("c")).select("c.*")
 
 
-def _cells(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+def _dictionary(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """(row, col, cell): each distinct non-empty cell of each column, at its first row. One scan of
+    the table, whatever the number of columns; repeated cells go before the shuffle."""
     parts = [F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("cell")) for i, c in enumerate(columns)]
-    return df.select(F.col(row).alias("row"), F.explode(F.array(*parts)).alias("c")).select("row", "c.*").filter("cell IS NOT NULL AND trim(cell) <> ''")
+    cells = df.select(F.col(row).alias("row"), F.explode(F.array(*parts)).alias("c")).select("row", "c.*").filter("cell IS NOT NULL AND trim(cell) <> ''")
+    return saved(cells.groupBy("col", "cell").agg(F.min("row").alias("row")), "cells")
+
+
+def _forced(cells: DataFrame, plan: list[tuple[str, str | None]]) -> DataFrame:
+    """The values of the columns with a pattern or a label of their own: the matches in a cell, or the
+    whole cell if there are none."""
+    values = F.lit(None).cast("array<string>")
+    type_ = F.lit(None).cast("string")
+    for i, (action, what) in enumerate(plan):
+        if action == "regex":
+            continue
+        name, detector = PATTERNS[what] if action == "pattern" else (what, None)
+        own = F.array("cell")
+        if detector:
+            found = F.regexp_extract_all("cell", F.lit(BY_NAME[detector].regex), F.lit(0))
+            own = F.when(F.size(found) > 0, found).otherwise(own)
+        values = F.when(F.col("col") == i, own).otherwise(values)
+        type_ = F.when(F.col("col") == i, F.lit(name)).otherwise(type_)
+    rows = cells.select("row", "col", type_.alias("type"), F.posexplode(values).alias("match_idx", "value"))
+    return rows.select("row", "col", "match_idx", "value", "type", F.lower("type").alias("category"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rank"))
 
 
 def scrub_tables(tables: dict[str, tuple[DataFrame, str]], config: ScrubConfig | None = None, overrides: dict[str, dict[str, dict]] | None = None, vocab: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
@@ -114,7 +136,8 @@ def scrub_tables(tables: dict[str, tuple[DataFrame, str]], config: ScrubConfig |
 
     Columns of a pattern have their matches replaced whatever their type, or the whole cell
     if nothing in it matches; custom columns the whole cell; text columns what a scrub of
-    text finds. Numbers and dates stay as they are in text columns. Order of sight: table, row, column, match."""
+    text finds. Numbers and dates stay as they are in text columns. Order of sight: table, row, column, match; of rows that share an
+    ordering value, the value."""
     config, overrides = config or ScrubConfig(), overrides or {}
     hits, plans = None, {}
     for t, (name, (df, row)) in enumerate(tables.items()):
@@ -123,26 +146,15 @@ def scrub_tables(tables: dict[str, tuple[DataFrame, str]], config: ScrubConfig |
         columns = [c for c in plan if plan[c][0] in ("pattern", "custom") or plan[c][0] == "regex" and kinds[c] == "string"]
         if not columns:
             continue
-        cells = _cells(df, row, columns)
-        forced = None
-        for i, c in enumerate(columns):
-            action, what = plan[c]
-            if action == "regex":
-                continue
-            type_, detector = PATTERNS[what] if action == "pattern" else (what, None)
-            values = F.array("cell")
-            if detector:
-                found = F.regexp_extract_all("cell", F.lit(BY_NAME[detector].regex), F.lit(0))
-                values = F.when(F.size(found) > 0, found).otherwise(values)
-            part = cells.filter(F.col("col") == i).select("row", "col", F.posexplode(values).alias("match_idx", "value")).withColumns({"type": F.lit(type_), "category": F.lit(type_.lower()), "confidence": F.lit(1.0), "rank": F.lit(0)})
-            forced = part if forced is None else forced.unionByName(part)
+        cells = _dictionary(df, row, columns)
+        forced = _forced(cells, [plan[c] for c in columns])
         loose = [i for i, c in enumerate(columns) if plan[c][0] == "regex"]
         if loose:
             part = detect(cells.filter(F.col("col").isin(loose)), "cell", config).filter("rank <> 19").select("row", "col", "match_idx", "value", "type", "category", "confidence", "rank")
-            forced = part if forced is None else forced.unionByName(part)
+            forced = forced.unionByName(part)
         part = forced.withColumn("tab", F.lit(t))
         hits = part if hits is None else hits.unionByName(part)
-    order = ["tab", "row", "col", "rank", "match_idx"]
+    order = ["tab", "row", "col", "rank", "match_idx", "value"]
     tokens = saved(assign_tokens(first_by_key(hits, order), vocab, order), "cell_tokens")
     named = tokens.select("real_value", "token")
     if vocab is not None:

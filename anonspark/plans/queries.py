@@ -6,10 +6,12 @@ row of a table by an expression that Spark and the SQL engine read alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from anonspark.config import ColumnRule, ScrubConfig
 from anonspark.functions import patterns as P
@@ -19,9 +21,10 @@ from anonspark.operators.detect import detect, drop_allowlisted
 from anonspark.operators.mint import assign_tokens, first_by_key
 from anonspark.operators.nested import scrub_json
 from anonspark.plans import scrub
-from anonspark.plans.storage import saved
-from anonspark.plans.store import SCHEMAS
-from anonspark.streaming.jobs import daily_counts
+from anonspark.plans.storage import saved, shared_dir
+from anonspark.plans.store import SCHEMAS, VocabStore
+from anonspark.sources.readers import read_events, read_table, read_text_corpus, write_scrubbed
+from anonspark.streaming.jobs import daily_counts, rate_limit_stream, scrub_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,10 +327,12 @@ _quoted_sql = lambda c: f"concat('\"', replace({c}, chr(92), concat(chr(92), chr
 
 
 @query("scrub_nested", f"""WITH RECURSIVE {mint_cte('notes', NOTED_KINDS)}, {apply_cte('notes')}
-SELECT doc_id, concat('{{"new_string": ', {_quoted_sql('text')}, ', "old_string": ', {_quoted_sql('text')}, ', "meta": {{"lines": [', {_quoted_sql(REDACTED)}, ']}}}}') AS updated,
-  true AS has_credentials, true AS modified FROM applied a""")
+SELECT doc_id, concat('{{"id" : ', doc_id, '.10, "new_string":', {_quoted_sql('text')}, ',"old_string":', {_quoted_sql('text')}, ',"meta":{{"lines":[', {_quoted_sql(REDACTED)}, ']}}}}') AS updated,
+  regexp_matches(text, {CRED_SQL}) OR regexp_matches(text, {KV_SQL}) AS has_credentials, {REDACTED} <> text AS modified FROM applied a""")
 def scrub_nested(spark, sf_dir):
+    """Records whose fields are scrubbed, skipped or no strings; what is no scrubbed string stays as it was written."""
     record = F.to_json(F.struct(F.col("text").alias("new_string"), F.col("text").alias("old_string"), F.struct(F.array("text").alias("lines")).alias("meta")))
+    record = F.concat(F.lit('{"id" : '), F.col("doc_id").cast("string"), F.lit(".10, "), F.substring(record, F.lit(2), F.length(record)))
     rows = notes(spark, sf_dir).select("doc_id", record.alias("record"), F.lit("Edit").alias("tool"))
     done = scrub_json(rows, "doc_id", "record", "tool")
     return done.select("doc_id", "updated", "has_credentials", "modified")
@@ -363,6 +368,22 @@ def vocab_upsert(spark, sf_dir):
     return vocab.upsert(vocabulary(spark, sf_dir), again, F.lit(7).cast("long")).select("real_value", "token", "hit_count", "last_seen")
 
 
+@query("vocab_changes", f"""WITH {MINT_CTE}, a AS (SELECT DISTINCT value AS real_value, 4 AS day FROM hits WHERE rank = 4 UNION SELECT DISTINCT value, 5 FROM hits WHERE rank IN (4, 6) UNION SELECT concat('new ', value), 6 FROM hits WHERE rank = 14),
+c AS (SELECT real_value, count(*) AS n, max(day) AS last FROM a GROUP BY 1)
+SELECT COALESCE(m.real_value, c.real_value) AS real_value, COALESCE(m.token, concat('day ', (SELECT min(day) FROM a WHERE a.real_value = c.real_value))) AS token, CAST(COALESCE(c.n, 0) + CASE WHEN m.real_value IS NULL THEN 0 ELSE 1 END AS BIGINT) AS hit_count, CAST(COALESCE(c.last, 0) AS BIGINT) AS last_seen
+FROM minted m FULL JOIN c USING (real_value)""")
+def vocab_changes(spark, sf_dir):
+    """A stored vocabulary, read after three days of changes to it."""
+    store = VocabStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", part_rows=100)
+    store.write("vocab", vocabulary(spark, sf_dir))
+    hits = saved(detect(docs(spark, sf_dir), names=["ipv4", "email", "phone"]).select("rank", F.col("value").alias("real_value"), "category", "confidence"), "hits")
+    days = {4: hits.filter("rank = 4"), 5: hits.filter("rank IN (4, 6)"), 6: hits.filter("rank = 14").withColumn("real_value", F.concat(F.lit("new "), "real_value"))}
+    for day, rows in days.items():
+        seen = saved(rows.select("real_value", F.lit(f"day {day}").alias("token"), "category", "confidence").distinct(), "seen")
+        store.merge("vocab", saved(vocab.upsert(store.look_up("vocab", seen), seen, F.lit(day).cast("long")), "changed"))
+    return store.read("vocab").select("real_value", "token", "hit_count", "last_seen")
+
+
 @query("vocab_forget", f"WITH {MINT_CTE} SELECT real_value AS value, 'kept' AS state FROM minted WHERE category <> 'phone' UNION ALL SELECT real_value, 'allowed' FROM minted WHERE category = 'phone'")
 def vocab_forget(spark, sf_dir):
     v = vocabulary(spark, sf_dir)
@@ -553,6 +574,113 @@ def rate_limit(spark, sf_dir):
     return gate.rate_limit(rows, "user_id", "ms", "event_id")
 
 
+# ---------------------------------------------------------------- sources
+@query("source_texts", """SELECT CASE b WHEN 0 THEN 'file too large' WHEN 1 THEN 'binary file' WHEN 2 THEN 'not UTF-8' END AS error, CASE WHEN b > 2 THEN text END AS text,
+  strlen(text) + CASE WHEN b = 0 THEN 6000000 WHEN b < 3 THEN 1 ELSE 0 END AS size
+FROM (SELECT page_id % 16 AS b, concat(string_agg(concat(page_id, ' ', url), chr(10) ORDER BY page_id), chr(10)) AS text FROM pages GROUP BY 1)
+UNION ALL SELECT 'unsupported file type', NULL, 0""")
+def source_texts(spark, sf_dir):
+    """Files of the pages' addresses, one of which is too large, one binary, one no UTF-8, and one of another kind."""
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    line = F.array_sort(F.collect_list(F.struct("page_id", F.concat_ws(" ", "page_id", "url").alias("l"))))
+    per = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 16).alias("b")).agg(F.array_join(F.transform(line, lambda x: x["l"]), "\n").alias("t"))
+    more = F.when(F.col("b") == 0, F.repeat(F.lit("x"), F.lit(6_000_000))).when(F.col("b") == 1, F.lit("\x00")).when(F.col("b") == 2, F.unhex(F.lit("FF")).cast("string")).otherwise("")
+    per.select("b", F.concat(more, "t").alias("value")).write.partitionBy("b").text(f"{path}/a")
+    table(spark, sf_dir, "region").coalesce(1).write.parquet(f"{path}/b")
+    rows = read_text_corpus(spark, path)
+    other = F.col("error") == "unsupported file type"
+    return rows.select("error", "text", F.when(other, 0).otherwise(F.col("size")).alias("size"))
+
+
+@query("source_events", """SELECT concat('s', user_id) AS session_id, CASE event_id % 3 WHEN 0 THEN 'UserPromptSubmit' WHEN 1 THEN 'PreToolUse' ELSE 'PostToolUse' END AS kind, concat('say "', event_id, '"') AS said
+FROM events WHERE event_id % 7 > 0""")
+def source_events(spark, sf_dir):
+    """Events from lines of JSON, of which every seventh breaks off; their kinds are told by their fields."""
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    field = F.element_at(F.array(F.lit("prompt"), F.lit("tool_input"), F.lit("tool_result")), (F.col("event_id") % 3 + 1).cast("int"))
+    line = F.concat(F.lit('{"session_id":"s'), "user_id", F.lit('","'), field, F.lit('":"say \\"'), "event_id", F.lit('\\""'), F.when(F.col("event_id") % 7 > 0, "}").otherwise(""))
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    return read_events(spark, path).select("session_id", "kind", F.coalesce("prompt", "tool_input", "tool_result").alias("said"))
+
+
+_CELL = "concat('line \"', c_custkey, '\"', chr(10), 'next, line ', c_name, chr(10))"
+
+
+@query("source_tables", f"SELECT CAST(c_custkey AS VARCHAR) AS id, {_CELL} AS notes, c_mktsegment AS segment FROM customer")
+def source_tables(spark, sf_dir):
+    """A table of cells with quotes, commas and line breaks, written and read again as CSV."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{_CELL} AS notes", "c_mktsegment AS segment")
+    return read_table(spark, write_scrubbed(rows, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}.csv"))
+
+
+# ---------------------------------------------------------------- streams
+_SPAN = "SELECT *, epoch_ns(ts) // 1000000 AS ms, min(epoch_ns(ts) // 1000000) OVER () + (max(epoch_ns(ts) // 1000000) OVER () - min(epoch_ns(ts) // 1000000) OVER ()) // 3 AS third FROM events"
+
+
+def _in_three_runs(spark, sf_dir: str, start: Callable[[DataFrame, str], DataStreamWriter], by: str = "ms", late: int | None = None) -> str:
+    """Runs a stream of the events three times from one checkpoint, each time over all files that are
+    there: the thirds by a column, and with the last one the tenth of the events of the first that are
+    late by `late` or more. The folder of what the stream keeps."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").withColumn("ms", F.expr("unix_millis(CAST(ts AS TIMESTAMP))"))
+    span = events.agg(F.min(by).alias("a"), F.max(by).alias("b")).first()
+    step = (span["b"] - span["a"]) // 3
+    one, two = span["a"] + step, span["a"] + 2 * step
+    behind = (F.col("event_id") % 10 == 0) & (F.col(by) < one - late) if late is not None else F.lit(False)
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")  # else batches without rows go on to look for idle keys
+    try:
+        for some in ((F.col(by) < one) & ~behind, (F.col(by) >= one) & (F.col(by) < two), (F.col(by) >= two) | behind):
+            events.filter(some).write.mode("append").parquet(f"{folder}/in")
+            query = start(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), folder).trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.set(empty, before)
+    return folder
+
+
+@query("stream_daily_counts", f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS events, CAST(sum(tokens_minted) AS BIGINT) AS minted, CAST(sum(tokens_reused) AS BIGINT) AS reused, CAST(sum(blocked) AS BIGINT) AS blocked
+FROM (SELECT ts, {', '.join(_LOG)} FROM ({_SPAN}) WHERE NOT (event_id % 10 = 0 AND ms < third - 259200000)) GROUP BY 1""")
+def stream_daily_counts(spark, sf_dir):
+    """Counts by day as a stream keeps them, without the events that come three days late."""
+    def start(stream: DataFrame, folder: str) -> DataStreamWriter:
+        days = daily_counts(stream.selectExpr("CAST(ts AS TIMESTAMP) AS ts", *_LOG))
+        write = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/out")
+        return days.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/check")
+
+    rows = spark.read.parquet(f"{_in_three_runs(spark, sf_dir, start, late=259_200_000)}/out")
+    last = rows.groupBy("day").agg(F.max_by(F.struct("events", "minted", "reused", "blocked"), "batch").alias("r"))
+    return last.select(F.col("day").cast("string").alias("day"), "r.*")
+
+
+@query("stream_rate_limit", f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms, event_id) AS i
+  FROM (SELECT user_id % 20 AS k, ms // 2000 AS ms, event_id FROM ({_SPAN}) WHERE NOT (event_id % 10 = 0 AND ms < third - 600000000))),
+r AS (SELECT k, ms, i, true AS accepted, [ms] AS kept FROM e WHERE i = 1
+  UNION ALL
+  SELECT k, ms, i, len(l) < 10, CASE WHEN len(l) < 10 THEN list_append(l, ms) ELSE l END FROM (
+    SELECT e.k, e.ms, e.i, list_transform(list_filter(list_transform(r.kept, lambda x: {{'t': x, 'now': e.ms}}), lambda y: y.t > y.now - 10000), lambda y: y.t) AS l
+      FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1))
+SELECT k AS user_id, ms, accepted FROM r""")
+def stream_rate_limit(spark, sf_dir):
+    """The rate limit as a stream keeps it over a restart, without the events that come late."""
+    def start(stream: DataFrame, folder: str) -> DataStreamWriter:
+        rows = rate_limit_stream(stream.selectExpr("user_id % 20 AS user_id", "ms DIV 2000 AS ms"), "user_id", "ms")
+        return rows.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check")
+
+    return spark.read.parquet(f"{_in_three_runs(spark, sf_dir, start, late=600_000_000)}/out")
+
+
+@query("stream_scrub", f"WITH RECURSIVE {mint_cte('notes', NOTED_KINDS)}, {apply_cte('notes')} SELECT doc_id, {REDACTED} AS scrubbed FROM applied a")
+def stream_scrub(spark, sf_dir):
+    """The notes scrubbed as they arrive, in three runs with one stored vocabulary."""
+    def start(stream: DataFrame, folder: str) -> DataStreamWriter:
+        store = VocabStore(spark, f"{folder}/store")
+        return scrub_stream(stream.selectExpr("event_id AS doc_id", f"{NOTE} AS text"), store, f"{folder}/out", f"{folder}/check")
+
+    return spark.read.parquet(f"{_in_three_runs(spark, sf_dir, start, by="event_id")}/out").select("doc_id", "scrubbed")
+
+
 @query("overall_counts", f"WITH {MINT_CTE} SELECT 'vocab_size' AS name, count(*) AS n FROM minted UNION ALL SELECT 'pending', count(*) FROM ({_queue_sql}) WHERE span NOT IN (SELECT {VENDOR} FROM supplier WHERE s_nationkey = 3)")
 def overall_counts(spark, sf_dir):
     return gate.overall_counts(vocabulary(spark, sf_dir), _queue(spark, sf_dir)[0])
@@ -588,6 +716,19 @@ def scrub_table(spark, sf_dir):
     return tables.scrub_table(contacts(spark, sf_dir), "contacts", "c_custkey")[0]
 
 
+_ITEM = {"l_id": "l_orderkey * 8 + l_linenumber", "Email": "concat('user', l_suppkey, '@mail.example.com')", "Phone": "concat('+1 555 ', lpad(concat(l_partkey % 1000, ''), 3, '0'), ' ', lpad(concat(l_suppkey % 10000, ''), 4, '0'))", "Host": "concat('db', l_partkey % 300, '.corp.example.org')", "Quantity": "l_quantity"}
+
+
+@query("scrub_lineitem", f"""WITH c AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _ITEM.items())} FROM lineitem),
+e AS (SELECT v, row_number() OVER (ORDER BY r, v) - 1 AS n FROM (SELECT Email AS v, min(l_id) AS r FROM c GROUP BY 1)), p AS (SELECT v, row_number() OVER (ORDER BY r, v) - 1 AS n FROM (SELECT Phone AS v, min(l_id) AS r FROM c GROUP BY 1)),
+h AS (SELECT v, row_number() OVER (ORDER BY r, v) - 1 AS n FROM (SELECT Host AS v, min(l_id) AS r FROM c GROUP BY 1))
+SELECT l_id, {_token('EMAIL', 'e.n')} AS Email, {_token('PHONE', 'p.n')} AS Phone, {_token('HOST', 'h.n')} AS Host, Quantity FROM c JOIN e ON e.v = Email JOIN p ON p.v = Phone JOIN h ON h.v = Host""")
+def scrub_lineitem(spark, sf_dir):
+    """Many rows of few values: tokens are found on the columns' dictionaries."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _ITEM.items()])
+    return tables.scrub_table(rows, "items", "l_id")[0]
+
+
 @query("scrub_tables_shared", f"""WITH c AS ({_CONTACTS_SQL}), x AS (SELECT s_suppkey, s_name, concat('user', s_suppkey, '@mail', s_nationkey, '.example.com') AS mail, c_email FROM supplier LEFT JOIN (SELECT c_custkey, Email AS c_email FROM c) ON c_custkey = s_suppkey)
 SELECT s_suppkey, concat('{{VENDOR', CASE WHEN n > 0 THEN concat('_', n) ELSE '' END, '}}') AS Vendor, mail AS Kept, mail_token AS Mail
 FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM x)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anonspark.config import ScrubConfig
@@ -12,7 +14,7 @@ from anonspark.functions.patterns import BY_NAME, TOKEN_ANYWHERE
 from anonspark.operators.apply import apply_map, context, credential_snippets, has_credentials, redact_credentials, redact_kv, Substitution
 from anonspark.operators.detect import detect, drop_allowlisted, premint
 from anonspark.operators.mint import assign_tokens, first_by_key, key_of, minted_tokens, mintable, token_text
-from anonspark.plans.storage import saved, small
+from anonspark.plans.storage import fresh, saved, small, spread
 
 ORDER = ["doc_order", "rank", "match_idx"]
 UNSURE = "array<struct<span:string,surrounding:string,suggested_category:string,confidence:double>>"
@@ -28,47 +30,65 @@ class ScrubResult:
     hits: DataFrame
 
 
-def ordered_hits(docs: DataFrame, doc: str, text: str, config: ScrubConfig, allow: DataFrame | None, patterns=(), names=None) -> DataFrame:
-    hits = detect(docs.select(doc, text), text, config, names, patterns).withColumn("doc_order", F.col(doc))
+#: Columns that a scrub adds; columns of the input that bear these names give way.
+ADDED = ("scrubbed", "credential_snippets", "minted", "unsure", "has_credentials", "modified")
+
+
+def ordered_hits(docs: DataFrame, doc: str, text: str, config: ScrubConfig, allow: DataFrame | None, patterns=(), names=None, keep: Sequence[str] = ()) -> DataFrame:
+    """The hits of docs with doc, the columns `keep`, and doc_order, in which documents are read."""
+    hits = detect(spread(docs.select(doc, *keep, text)), text, config, names, patterns).withColumn("doc_order", F.col(doc))
     return drop_allowlisted(hits, allow) if allow is not None else hits
 
 
-def corpus_tokens(hits: DataFrame, doc: str, config: ScrubConfig, vocab: DataFrame | None, allow: DataFrame | None = None) -> DataFrame:
+def corpus_tokens(hits: DataFrame, doc: str, config: ScrubConfig, vocab: DataFrame | None, allow: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """The tokens of all values that hits and the configuration name, numbered as if the
-    documents had been read one after another. Suspected companies are not minted."""
-    rows = hits.filter("rank <> 19").select(doc, *ORDER, "value", "type", "category", "confidence")
+    documents had been read one after another. Suspected companies are not minted. keep: columns
+    of the hits that tell documents of one id apart."""
+    rows = hits.filter("rank <> 19").select(doc, *keep, *ORDER, "value", "type", "category", "confidence")
     names = premint(hits.sparkSession, config)
     names = drop_allowlisted(names, allow) if allow is not None else names
-    before = names.select(F.lit(None).cast(hits.schema[doc].dataType).alias(doc), F.lit(None).cast(hits.schema["doc_order"].dataType).alias("doc_order"), "rank", "match_idx", "value", "type", "category", "confidence")
-    return assign_tokens(first_by_key(rows.unionByName(before), ORDER), vocab, ORDER)
+    missing = [c for c in rows.columns if c not in names.columns]
+    before = names.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in missing], *names.columns)
+    order = [*ORDER, *keep]
+    return assign_tokens(first_by_key(rows.unionByName(before), order), vocab, order)
+
+
+def _keyed(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, str, str]:
+    """docs without the columns that a scrub adds, with a hash of id and text that tells rows apart
+    (of equal rows the same), and the names of that column and of a free one."""
+    docs = docs.drop(*[c for c in ADDED if c not in (doc, text)])
+    row, free = fresh([*docs.columns, *ADDED, *ORDER, "value", "type", "category", "confidence", "source", "key"], "_row", "_applied")
+    return docs.withColumn(row, F.xxhash64(F.col(doc), F.col(text))), row, free
 
 
 def scrub_corpus(docs: DataFrame, doc: str = "doc_id", text: str = "text", config: ScrubConfig | None = None, vocab: DataFrame | None = None, allow: DataFrame | None = None, patterns=()) -> ScrubResult:
     """One vocabulary over all documents. It is closed over the batch before it is applied,
-    so a value is also replaced in documents before the one in which it was detected."""
+    so a value is also replaced in documents before the one in which it was detected. A null text
+    stays null; rows without an id, or with the id of another, have lists of their own."""
     config = config or ScrubConfig()
-    hits = saved(ordered_hits(docs, doc, text, config, allow, patterns), "hits")
-    tokens = saved(corpus_tokens(hits, doc, config, vocab, allow), "tokens")
+    keyed, row, applied = _keyed(docs, doc, text)
+    hits = saved(ordered_hits(keyed, doc, text, config, allow, patterns, keep=[row]), "hits")
+    tokens = saved(corpus_tokens(hits, doc, config, vocab, allow, [row]), "tokens")
     named = tokens.select("real_value", "token")
     if vocab is not None:
         named = named.unionByName(vocab.select("real_value", "token")).distinct()
-    base = apply_map(docs, named, text, "_applied")
-    per = minted_tokens(hits.filter("rank <> 19"), tokens, doc)
-    doubt = unsure_spans(docs, hits, tokens, doc, text)
-    return ScrubResult(_finish(_with_lists(base, per, doubt, doc), text), tokens, hits)
+    base = apply_map(keyed, named, text, applied)
+    per = minted_tokens(hits.filter("rank <> 19"), tokens, row)
+    doubt = unsure_spans(keyed, hits, tokens, row, text)
+    return ScrubResult(_finish(_with_lists(base, per, doubt, row), text, applied).drop(row), tokens.drop(row), hits.drop(row))
 
 
-def _with_lists(docs: DataFrame, per: DataFrame, doubt: DataFrame, doc: str) -> DataFrame:
+def _with_lists(docs: DataFrame, per: DataFrame, doubt: DataFrame, row: str) -> DataFrame:
     """docs with their minted and unsure lists. The lists are stored, so that texts stay where
     they are if few documents have any, and move once if many have."""
-    lists = saved(per.join(doubt, doc, "full_outer"), "lists")
-    return docs.join(small(lists), doc, "left")
+    lists = saved(per.join(doubt, row, "full_outer"), "lists")
+    return docs.join(small(lists), row, "left")
 
 
-def _finish(rows: DataFrame, text: str) -> DataFrame:
+def _finish(rows: DataFrame, text: str, applied: str) -> DataFrame:
     """Redacts what the map has been applied to, and derives the flags."""
     t = F.col(text)
-    rows = rows.withColumn("scrubbed", redact_kv(redact_credentials(F.col("_applied")))).drop("_applied")
+    rows = rows.withColumn("scrubbed", redact_kv(redact_credentials(F.col(applied)))).drop(applied)
     rows = rows.withColumns({
         "credential_snippets": F.coalesce(F.when(has_credentials(t), credential_snippets(t)), F.array().cast("array<string>")),
         "minted": F.coalesce("minted", F.array().cast(MINTED)), "unsure": F.coalesce("unsure", F.array().cast(UNSURE)),
@@ -78,13 +98,13 @@ def _finish(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumns({"has_credentials": found, "modified": F.coalesce(changed, F.lit(False))})
 
 
-def unsure_spans(docs: DataFrame, hits: DataFrame, tokens: DataFrame, doc: str, text: str) -> DataFrame:
-    """Per document its suspected companies that no token names, with their surroundings."""
-    left = hits.filter("rank = 19").join(tokens.select("key"), key_of("value") == F.col("key"), "left_anti")
-    spans = left.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("match_idx", "value"))).alias("_spans"))
-    rows = docs.select(doc, text).join(small(saved(spans, "spans")), doc)
-    return rows.select(doc, F.transform("_spans", lambda s: F.struct(
-        s["value"].alias("span"), context_of(F.col(text), BY_NAME["corp"].regex, s["match_idx"], s["value"]).alias("surrounding"),
+def unsure_spans(docs: DataFrame, hits: DataFrame, tokens: DataFrame, row: str, text: str) -> DataFrame:
+    """Per row (a key that hits have as well) its suspected companies that no token names, with their surroundings."""
+    left = hits.filter("rank = 19").join(small(tokens.select("key")), key_of("value") == F.col("key"), "left_anti")
+    spans = left.select(row, "match_idx", "value").distinct().groupBy(row).agg(F.array_sort(F.collect_list(F.struct("match_idx", "value"))).alias("_spans"))
+    rows = docs.select(F.col(row), F.col(text).alias("_t")).join(small(saved(spans, "spans")), row).groupBy(row, "_spans").agg(F.min("_t").alias("_t"))
+    return rows.select(row, F.transform("_spans", lambda s: F.struct(
+        s["value"].alias("span"), context_of(F.col("_t"), BY_NAME["corp"].regex, s["match_idx"], s["value"]).alias("surrounding"),
         F.lit("customer").alias("suggested_category"), F.lit(0.6).alias("confidence"))).alias("unsure"))
 
 
@@ -99,27 +119,24 @@ def context_of(text: Column, regex: str, index: Column, value: Column, reach: in
 
 def scrub_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", config: ScrubConfig | None = None) -> DataFrame:
     """Each document with a vocabulary of its own: as scrub_corpus, but tokens start anew."""
-    from pyspark.sql import Window
-
     config = config or ScrubConfig()
-    hits = saved(ordered_hits(docs, doc, text, config, None), "hits")
-    rows = hits.filter("rank <> 19").select(doc, *ORDER, "value", "type", "category", "confidence")
-    firsts = first_by_key(rows, ORDER, [doc])
-    place = F.row_number().over(Window.partitionBy(doc, "type").orderBy(*ORDER)) - 1
+    keyed, row, applied = _keyed(docs, doc, text)
+    hits = saved(ordered_hits(keyed, doc, text, config, None, keep=[row]), "hits")
+    rows = hits.filter("rank <> 19").select(row, *ORDER, "value", "type", "category", "confidence")
+    firsts = first_by_key(rows, ORDER, [row])
+    place = F.row_number().over(Window.partitionBy(row, "type").orderBy(*ORDER)) - 1
     tokens = firsts.withColumns({"token": token_text(F.col("type"), place), "real_value": F.col("value"), "is_new": F.lit(True)})
     one = F.struct("rank", "match_idx", F.struct("type", "real_value", "token", "is_new", "category", "confidence").alias("m"))
-    per = tokens.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["m"]).alias("minted"))
-    left = hits.join(tokens.select(doc, "key"), (hits[doc] == tokens[doc]) & (key_of("value") == F.col("key")), "left_anti")
-    spans = unsure_spans(docs, left, tokens.limit(0), doc, text)
+    per = tokens.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["m"]).alias("minted"))
+    left = hits.join(tokens.select(row, "key"), (hits[row] == tokens[row]) & (key_of("value") == F.col("key")), "left_anti")
+    spans = unsure_spans(keyed, left, tokens.limit(0), row, text)
 
     @F.pandas_udf("string")
-    def of(part, own):
-        import pandas as pd
-
+    def of(part: pd.Series, own: pd.Series) -> pd.Series:
         return pd.Series([t if m is None else Substitution([(x["real_value"], x["token"]) for x in m])(t) for t, m in zip(part, own)], dtype=object)
 
-    joined = _with_lists(docs, per, spans, doc)
-    return _finish(joined.withColumn("_applied", of(F.col(text), F.col("minted"))), text)
+    joined = _with_lists(keyed, per, spans, row)
+    return _finish(joined.withColumn(applied, of(F.col(text), F.col("minted"))), text, applied).drop(row)
 
 
 def review_rows(result: ScrubResult, doc: str = "doc_id", source: str = "scrub") -> DataFrame:

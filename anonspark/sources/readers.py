@@ -48,7 +48,7 @@ def write_scrubbed(df: DataFrame, path: str, kind: str = "csv") -> str:
     if kind == "parquet":
         df.write.mode("overwrite").parquet(target)
     else:
-        df.write.mode("overwrite").csv(target, header=True, escape='"')
+        df.write.mode("overwrite").csv(target, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return target
 
 

@@ -83,3 +83,27 @@ def test_context(spark):
     t = "x" * 50 + "HIT" + "y" * 50
     one = spark.createDataFrame([(t,)], "t string").select(A.context(F.col("t"), F.lit(51), F.lit(3)), A.context(F.lit("HIT"), F.lit(1), F.lit(3)), A.context(F.col("t"), F.lit(51), F.lit(3), 40, False)).first()
     assert one[0] == "…" + "x" * 32 + "HIT" + "y" * 32 + "…" and one[1] == "HIT" and one[2] == "x" * 40 + "HIT" + "y" * 40
+
+
+def test_stretches_that_travel_are_hits(spark):
+    from anonspark.operators.apply import _lowered, apply_by_candidates, stretches
+
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('we told acme customer ', id, ' and acme client 7 that other customer ', id, ' of Acme Customer ', id * 3, ' left; plain prose goes on and on here') AS text")
+    tokens = spark.range(5000).selectExpr("concat('Acme Customer ', id, ' left') AS real_value", "concat('{T_', id, '}') AS token").unionByName(spark.createDataFrame([("plain prose", "{P}"), ("İd x", "{I}")], "real_value string, token string"))
+    named = tokens.select(_lowered("real_value").alias("_key"), "real_value", "token")
+    found = stretches(docs, named)
+    hits = found.join(named, "_key").count()
+    assert hits == 600 and found.count() <= 2 * hits
+    every = stretches(docs, named, most_bytes=0)
+    assert every.count() > 40 * hits and every.join(named, "_key").count() == hits
+    got = {r["doc_id"]: r["scrubbed"] for r in apply_by_candidates(docs, tokens).collect()}
+    assert got[5] == "we told acme customer 5 and acme client 7 that other customer 5 of {T_15}; {P} goes on and on here"
+
+
+def test_filter_forgets_nothing(spark):
+    from anonspark.functions.bloom import hash_of, made
+
+    rows = [f"value {i}" for i in range(20_000)]
+    held = made(spark.createDataFrame([(r,) for r in [*rows, None]], "v string").repartition(3), lambda s: [hash_of(s, 0)], len(rows))
+    assert held.has(hash_of(r, 0) for r in rows).all()
+    assert held.has(hash_of(f"other {i}", 0) for i in range(20_000)).mean() < 0.005

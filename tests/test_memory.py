@@ -68,13 +68,38 @@ def test_envelope(spark, words):
 def test_store_after_a_dead_writer(spark, words, tmp_path):
     store = VocabStore(spark, f"file://{tmp_path}")
     store.write("vocab", words)
-    n = words.count()
-    (tmp_path / "vocab" / "v=2").mkdir()  # a writer that died left no _SUCCESS
-    (tmp_path / "vocab" / "v=2" / "part-0.parquet").write_bytes(b"half")
-    for _ in range(3):
-        store.append("vocab", words)
-    assert store.read("vocab").count() == 4 * n
-    assert len(list((tmp_path / "vocab").iterdir())) == 2
+    (tmp_path / "vocab" / "m=2").mkdir()  # a writer that died left no _SUCCESS
+    (tmp_path / "vocab" / "m=2" / "part-0.parquet").write_bytes(b"half")
+    (tmp_path / "vocab" / "d=dead").mkdir()
+    for i in range(3):
+        store.append("vocab", words.withColumn("real_value", F.concat("real_value", F.lit(f" {i}"))))
+    assert store.read("vocab").count() == 4 * words.count()
+    names = [p.name for p in (tmp_path / "vocab").iterdir()]
+    assert len([n for n in names if n.startswith("m=")]) == 2 and "d=dead" not in names
+
+
+def test_changes_touch_few_files(spark, tmp_path):
+    from anonspark.plans import store as plans
+
+    store = VocabStore(spark, f"file://{tmp_path}", part_rows=500)
+    base = spark.range(100_000).selectExpr("concat('v', id) AS real_value", "concat('{T_', id, '}') AS token", "'t' AS category", "1.0D AS confidence", "1L AS first_seen", "1L AS last_seen", "1L AS hit_count", "CAST(NULL AS STRING) AS project", "'auto' AS confirmed_by")
+    store.write("vocab", base)
+    before = {f["path"] for f in store.files("vocab")}
+    assert len(before) == 200
+    want = {}
+    for n in range(1, plans.MOST_CHANGES + 3):
+        minted = spark.createDataFrame([(v, f"{{NEW_{n}}}", "t", 0.5) for v in ("v7", "v77777", f"new {n}")], "real_value string, token string, category string, confidence double")
+        store.merge("vocab", vocab.upsert(store.look_up("vocab", minted), minted, F.lit(10 + n).cast("long")))
+        want |= {"v7": (n + 1, 10 + n, "{T_7}"), "v77777": (n + 1, 10 + n, "{T_77777}"), f"new {n}": (1, 10 + n, f"{{NEW_{n}}}")}
+        files = {f["path"] for f in store.files("vocab")}
+        gone = before - files
+        assert len(gone) <= 3 and len(files - before) < 20  # base files put together anew, and changes
+        got = {r["real_value"]: (r["hit_count"], r["last_seen"], r["token"]) for r in store.look_up("vocab", minted).collect()}
+        assert got == {k: v for k, v in want.items() if k in got} and len(got) == 3
+    rows = store.read("vocab")
+    assert rows.count() == 100_000 + plans.MOST_CHANGES + 2 == rows.select("real_value").distinct().count()
+    assert {r["real_value"]: (r["hit_count"], r["last_seen"], r["token"]) for r in rows.filter("last_seen > 1").collect()} == want
+    assert gone  # of the parts with many changes
 
 
 def test_an_allowlist_of_thousands_of_regexes(spark):
@@ -88,6 +113,24 @@ def test_an_allowlist_of_thousands_of_regexes(spark):
     assert left == sorted([f"HOST-{i}.lan" for i in range(5000, 5010)] + ["other", "x host-1.lan"])
 
 
+def test_regexes_meet_few_values(spark):
+    from anonspark.operators import detect
+
+    shapes = [lambda i: f"^host-{i}\\.(?:corp|lan)$", lambda i: f"(?:db|web){i:04d}x?\\d", lambda i: f"[Uu]ser\\s{i:04d}\\b", lambda i: f"id={i}[a-c]+;$"]
+    regexes = [shapes[i % 4](i) for i in range(5000)]
+    values = [v for i in range(0, 6000, 3) for v in (f"HOST-{i}.corp", f"web{i:04d}7", f"user {i:04d}", f"id={i}AB;", f"nothing {i}")]
+    allow = spark.createDataFrame([(r, True) for r in [*regexes, "^..$"]], "pattern string, is_regex boolean")
+    rows = spark.createDataFrame([(v,) for v in [*values, "xy"]], "value string")
+    left = {r["value"] for r in detect.drop_allowlisted(rows, allow).collect()}
+    by_shape = [{i for i in range(5000) if i % 4 == s} for s in range(4)]
+    want = {v for i in range(0, 6000, 3) for s, v in enumerate((f"HOST-{i}.corp", f"web{i:04d}7", f"user {i:04d}", f"id={i}AB;")) if i not in by_shape[s]} | {f"nothing {i}" for i in range(0, 6000, 3)}
+    slow = {v for v in values[:200] if not any(re.search(r, v, re.I) for r in regexes)}
+    assert left == want and slow == want & set(values[:200])
+    found = allow.select(detect._clauses("pattern").alias("_f"), F.concat(F.lit("(?i)"), "pattern").alias("_p")).filter("size(_f) > 0")
+    pairs = detect.candidates(rows.select(F.col("value").alias("_k")), found).count()
+    assert pairs < len(values) * 5000 / 1000  # regexes that are run, of all pairs
+
+
 def test_store(spark, words, tmp_path):
     store = VocabStore(spark, f"file://{tmp_path}")
     assert store.read("vocab").count() == 0
@@ -132,6 +175,64 @@ def test_rate_limit(spark):
     assert got == want
 
 
+def test_rate_limit_in_pieces(spark):
+    rng = random.Random(2)
+    rows, t = [], 0
+    for i in range(900):
+        t += rng.choice([0, 1, 300, 900, 2000, 25_000])
+        rows.append((rng.choice([None, 1, 1, 1, 2]), t - 3_000_000, i))
+    df = spark.createDataFrame(rows, "k long, ms long, i long").repartition(3)
+    cut = gate.pieces(df, "k", "ms")
+    assert cut.filter("_key = 1").select("_piece").distinct().count() > 20
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    used = gate.rate_limit(df, "k", "ms", "i").withColumn("task", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["task"] for r in used if r["k"] == 1}) == 4
+    want = {}
+    for key in (None, 1, 2):
+        kept = []
+        for _, ms, i in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            kept = [x for x in kept if x > ms - 10_000]
+            want[i] = len(kept) < 10
+            kept += [ms] * want[i]
+    assert {r["i"]: r["accepted"] for r in used} == want and not all(want.values())
+
+
+@pytest.mark.parametrize(("regex", "reason"), [
+    ("(a|a)*b", "exponential backtracking"), ("([a-z]|[a-y])*#", "exponential backtracking"), ("(a+)+$", "nested quantifier"), ("(a{2,5})+", "nested quantifier"), ("a{1,50}a{1,50}a{1,50}b", "backtracking of degree 2"),
+    (".*a.*b.*c", "backtracking of degree 2"), ("(?:ab|a|b)*c", "exponential backtracking"), ("(a?){30}a{30}", "pattern too complex"), (r"(a)\1*\1*\1*b", "backtracking of degree 2"), ("x*", "pattern matches empty string"), ("(", "invalid regex pattern"), ("a" * 201, "pattern too long"),
+    ("(?:a|ab)*c", None), (r"\bCustomer#\d{9}\b", None), ("foo.{3,60}bar", None), (r"\w+@\w+\.com", None), ("a*a*b", None), ("[A-Z]{3}-[0-9]{4,}", None), ("(?:foo|bar)[0-9]", None),
+])
+def test_regexes_are_admitted_by_their_ambiguity(spark, regex, reason):
+    df = spark.createDataFrame([(regex,)], "regex_source string")
+    assert induce.admitted(df).first()["reason"] == reason
+
+
+def test_mandatory_strings():
+    from anonspark.functions.regexes import mandatory
+
+    for regex, want in ((r"foo(?:bar|baz)\d", (("foobar", "foobaz"),)), (r"[Aa]cme\s+Corp", (("acme",), ("corp",))), ("x{3,}y", (("xxx",),)), ("(?:abc|d)x", ()), ("a|bcd", ()), ("(?:abc)?", ()), ("(?!abc)d", ()), ("Éabc", (("abc",),)), ("(?:abcd|efgh)+z", (("abcd", "efgh"),)), ("[^a]bcd", (("bcd",),))):
+        assert mandatory(regex) == want, regex
+    rng = random.Random(3)
+    for _ in range(400):  # every match holds a string of each clause
+        piece = lambda: rng.choice(["ab", "c", "[cd]", "(?:ab|cd)", "d+", "(?:abc){2}", "a?", ".", r"\w", "(?:b|cc)d", "ba{2,3}"])  # noqa: B023, E731
+        regex = "".join(piece() for _ in range(rng.randint(2, 7)))
+        text = "".join(rng.choice("aabbccdd") for _ in range(60))
+        for m in re.finditer(regex, text, re.I):
+            assert all(any(s in m[0] for s in clause) for clause in mandatory(regex)), (regex, m[0])
+
+
+def test_one_pass_over_many_literals():
+    from anonspark.functions.automaton import Strings, low
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abAB") for _ in range(rng.randint(1, 4))) for _ in range(30)]
+    text = "".join(rng.choice("abAB ") for _ in range(300))
+    want = [(n, m.start(), m.end()) for n, w in enumerate(words) for m in re.finditer(re.escape(low(w)), low(text))]
+    assert Strings((w, n) for n, w in enumerate(words)).places(text) == want
+    assert Strings([]).places("x") == [] and Strings([("x", 0)]).numbers(None) == []
+
+
 @pytest.mark.parametrize(("examples", "want"), [
     (["INC-12345", "INC-99001", "INC-00007"], r"\bINC-\d{5}\b"), (["INC-1", "INC-22"], None), (["a", "b", "c"], None),
     (["host01.corp", "host02.corp", "host11.corp"], r"\bhost\d{2}\.corp\b"), (["12345", "99001", "11111"], None),

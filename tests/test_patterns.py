@@ -83,3 +83,22 @@ def test_java_column_equals_java(spark):
     cases = [r"\bA\s+[\s,][^\s]\\b\\s", "plain", ""]
     got = spark.createDataFrame([(c,) for c in cases], "p string").select(java_column(F.col("p"))).collect()
     assert [r[0] for r in got] == [java(c) for c in cases]
+
+
+def test_one_scan_finds_what_the_regexes_find(spark, sf):
+    """Detection from anchors equals each regex run over the whole text."""
+    import random
+
+    rng = random.Random(9)
+    pieces = [t for _, t, _ in CASES] + [v for _, _, vs in CASES for v in vs] + ["a.b", "x-f", "::1", "fe80::1", "-", ".", "\\", " ", "　", "\x85", "é", "1.2.3.4", "(555)", "123-4567", "+1", "555 123 4567", "4111 1111 1111 1111", "x4111-1111-1111-1111", "a@b.cd", "co.uk", "https://a.bc/d", "Co", "Acme Co", "12 Main St", "\n", "\t", ":"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "  ", "\n", " ", ","]) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    plain = docs.select("doc_id", F.map_from_entries(F.array(*[F.struct(F.lit(d.name), F.regexp_extract_all("text", F.lit(d.regex), F.lit(d.group))) for d in P.DETECTORS])).alias("m"))
+    want = {(r["doc_id"], n): v for r in plain.collect() for n, v in r["m"].items() if v}
+    from anonspark.operators.detect import all_hits
+
+    arrays = all_hits(F.col("text"), P.anchored(F.col("text")), P.may_have_number(F.col("text")), P.DETECTORS)
+    rows = docs.select("doc_id", *[a["value"].alias(d.name) for a, d in zip(arrays, P.DETECTORS)]).collect()
+    got = {(r["doc_id"], d.name): r[d.name] for r in rows for d in P.DETECTORS if r[d.name]}
+    assert got == want and len({n for _, n in want}) == len(P.DETECTORS)

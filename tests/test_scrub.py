@@ -147,3 +147,29 @@ def test_nested_records_are_numbered_in_their_order(spark):
 
 def test_patterns_read_in_both_dialects():
     assert P.java(r"a\\b") == r"a\\b" and P.java(r"\bx") == P.BOUNDARY + "x" and P.java(r"[^\s@]").startswith("[^\\t")
+
+
+def test_bytes_outside_of_the_edits_stay(spark):
+    record = '{ "n" : 12345678901234567.123456,"u":"\\u00e9\\/x" , "t":"at 10.0.0.1 \\"q\\"", "k 10.0.0.1":[1e5, "10.0.0.1"], "t":"again 10.0.0.1"}'
+    got = scrub_json(spark.createDataFrame([(1, record, "Bash"), (2, '"10.0.0.1"', "Bash")], "id long, rec string, tool string"), "id", "rec", "tool")
+    got = {r["id"]: r["updated"] for r in got.collect()}
+    assert got[1] == record.replace('"at 10.0.0.1 ', '"at {IP} ').replace('"10.0.0.1"]', '"{IP}"]').replace("again 10.0.0.1", "again {IP}") and got[2] == '"{IP}"'
+
+
+def test_rows_without_an_id_and_clashing_columns(spark):
+    rows = [(None, "at 10.0.0.1", "a", 1), (None, "at 10.0.0.2", "b", 2), (5, "at 10.0.0.1", "c", 3), (5, "Fabrikam Holdings, 10.0.0.3", "d", 4), (None, None, "e", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, minted string, _row long").withColumns({n: F.lit("x") for n in ("unsure", "scrubbed", "_h", "_hits", "_applied", "_cells", "value", "rank", "_text", "_anchored", "key")})
+    for run in (lambda: scrub.scrub_corpus(docs).documents, lambda: scrub.scrub_documents(docs)):
+        got = run().collect()
+        assert len(got) == 5 and all(r["_h"] == "x" and r["value"] == "x" and r["rank"] == "x" for r in got)
+        lists = {r["_row"]: ([m["real_value"] for m in r["minted"]], [u["span"] for u in r["unsure"]], r["scrubbed"]) for r in got}
+        assert [lists[i][0] for i in range(1, 6)] == [["10.0.0.1"], ["10.0.0.2"], ["10.0.0.1"], ["10.0.0.3"], []]
+        assert lists[4][1] == ["Fabrikam Holdings"] and lists[5][2] is None and "{IP" in lists[1][2] and "10.0.0" not in "".join(lists[i][2] for i in range(1, 5))
+
+
+def test_large_tables_are_not_broadcast(spark):
+    from anonspark.plans.storage import small
+
+    hinted = lambda df, **bounds: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "broadcast" in small(df, **bounds)._jdf.queryExecution().analyzed().toString()
+    lists = spark.range(100).selectExpr("id", "transform(sequence(1, 100), x -> named_struct('a', repeat('y', 100), 'b', x)) AS l")
+    assert hinted(lists) and not hinted(lists, most_bytes=500_000) and not hinted(lists, bound=99)
