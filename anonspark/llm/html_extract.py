@@ -1,13 +1,12 @@
 """Main text of web pages by a minimum cut.
 
-A page becomes blocks of text in page order and marks: the elements that say something
-about what they hold (an article, a menu, a class name). A linear classifier over a
-block's length, its links and its form gives its cost of being content or boilerplate, a
-mark has a cost of its own; these are the capacities to the two terminals. Smoothness
-edges join neighbours in page order, blocks under one parent, and each block with the
-nearest mark around it. The minimum cut is the labelling of least total cost: short or
-doubtful blocks go the way of what is around them, and long prose may outweigh a mark
-that only hints at boilerplate.
+A page becomes blocks of text in page order. A linear classifier over a block's length, its
+links, its form, its wording, its share of the page's text, and the marks around it (an
+article, a menu, a class name) gives the cost of calling it content or boilerplate: the
+capacities to the two terminals. Smoothness edges join neighbours in page order and blocks
+under one parent, weaker ones across a mark. The minimum cut is the labelling of least total
+cost. No mark decides by itself: long prose outweighs a name that may be wrong, a list of links
+in an article goes, and short or doubtful blocks go the way of what is around them.
 """
 
 from __future__ import annotations
@@ -37,6 +36,8 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPES = frozenset("ul ol dl table article section div body html nav aside footer main header select td th".split())
 _NO_P = _BLOCK - frozenset("body html button option select".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are parts of the text of what holds them.
+_PARTS = frozenset("p li dt dd pre blockquote figcaption td th h1 h2 h3 h4 h5 h6".split())
 
 # Words of class names, ids and roles.
 #: Boilerplate wherever it stands.
@@ -61,29 +62,41 @@ _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 #: Fixed weights of the classifier (evidence for content, negative for boilerplate).
 BIAS, LENGTH, SENTENCE, HEADING, LINKS, NAMED_GOOD = -1.0, 2.5, 0.5, 0.5, -2.0, 1.0
 FULL_LENGTH = 150
-#: Costs of the marks; the first is more than all edges of a page.
-SURE, HINT = 1e6, -2.0
-#: Edges: neighbours in page order, more under one parent, and to the mark around a block.
-ADJACENT, SIBLING = 0.5, 0.75
-TO_BOILER, TO_ARTICLE, TO_MAIN, TO_HINT, TO_OUTSIDE, TO_PAGE, HINT_TO_OUTER = 6.0, 4.0, 2.5, 3.0, 4.0, 1.5, 1.0
+#: A share of the page's text, in a block's parent, that speaks for it in full; a short block that is
+#: alone in a lesser one; the wording of notices in a short block; a short text that comes again elsewhere.
+PARENT, FULL_SHARE, ALONE, NOTICE, AGAIN, SHORT = 1.2, 0.3, -2.0, -2.0, -0.75, 200
+#: The marks: hidden elements; names that are boilerplate anywhere; elements of menus, footers and
+#: forms; names of the layout and headers; hints; articles, main parts, and what lies outside of these.
+MARKS = {"hidden": -6.0, "always": -4.5, "boiler": -3.5, "form": -2.5, "layout": -1.75, "hint": -1.5, "article": 2.5, "main": 1.5, "outside": -3.0, "page": 0.0}
+#: Edges: neighbours in page order, and more under one parent; across a mark a part of it.
+ADJACENT, SIBLING, ACROSS = 0.5, 0.75, 0.1
 _UNIT = 1000
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)\s*(=\s*)?")
 _UNQUOTED = re.compile(r"[^\s>]*")
+#: The wording of notices.
+_NOTICE = re.compile(r"©|\(c\)\s|\b(?:copyright|all rights reserved|privacy|cookies|terms of (?:use|service)|newsletter|subscribe|advertisement|sponsored)\b", re.I)
 
 
 @dataclass(eq=False)
 class Mark:
     """Evidence that an element gives for all that it holds."""
 
-    kind: str  # page, outside, article, main, boiler, form, hint
+    kind: str  # page, outside, article, main, boiler (and what kind of), form, hint
     outer: Mark | None = None
     yields: bool = False  # no mark if an article or main element is in it
     wraps: bool = False  # there is one in it
+    cost: str = ""  # which of MARKS, if not the kind
 
     def gain(self) -> float:
-        return HINT if self.kind == "hint" else -SURE if self.kind in ("boiler", "form", "outside") else SURE
+        """Its own evidence and that of the marks around it; an article or a main part speaks for
+        what is in it whatever is around, but not for boilerplate in it."""
+        own = MARKS[self.cost or self.kind]
+        if self.outer is None or self.kind in ("article", "main"):
+            return own
+        around = self.outer.gain()
+        return own + (min(0.0, around) if self.kind in ("boiler", "form") else around)
 
 
 @dataclass
@@ -93,18 +106,20 @@ class Block:
     score: float
     mark: Mark
     good: bool = False  # a container's name speaks for it
+    linked: int = 0  # characters in links
 
 
 class _Open:
     """An open element: its number, the nearest mark, and the nearest block element."""
 
-    __slots__ = ("good", "link", "mark", "media", "name", "number", "owner")
+    __slots__ = ("good", "link", "mark", "media", "name", "number", "owner", "within")
 
     def __init__(self, name: str, number: int, outer: _Open | None, mark: Mark, good: bool = False):
         self.name, self.number, self.mark, self.good = name, number, mark, good
         self.link = name == "a" or bool(outer and outer.link)
         self.media = outer.media if outer else 0
         self.owner = self if outer is None or name in _BLOCK else outer.owner
+        self.within = outer.owner.number if outer and name in _PARTS else number  # what its text is a part of
 
 
 # ---------------------------------------------------------------- tokens
@@ -212,11 +227,13 @@ def mark_of(name: str, attributes: dict[str, str], outer: Mark) -> Mark:
     sure = outer.kind == "boiler"
     if name in ("html", "body"):
         return outer
-    if attributes and _hidden(attributes) or name in _BOILER:
+    if attributes and _hidden(attributes):
+        return Mark("boiler", outer, cost="hidden")
+    if name in _BOILER:
         return Mark("boiler", outer)
     says = named(attributes, inside or outer.kind == "hint") if attributes else ""
     if says == "boiler":
-        return Mark("boiler", outer)
+        return Mark("boiler", outer, cost="always")
     if name in ("article", "main") and not (sure and not outer.yields):
         mark, around = Mark(name, outer), outer
         while around is not None and not around.wraps:
@@ -225,7 +242,7 @@ def mark_of(name: str, attributes: dict[str, str], outer: Mark) -> Mark:
     if sure:
         return outer
     if says == "layout" or name == "header" and not inside and outer.kind != "hint":
-        return Mark("boiler", outer, yields=True)
+        return Mark("boiler", outer, yields=True, cost="layout")
     if name == "form":
         return outer if outer.kind == "form" else Mark("form", outer, yields=True)
     return Mark("hint", outer) if says == "hint" else outer
@@ -256,7 +273,7 @@ def blocks(page: str | None) -> list[Block]:
                 size = len(text)
                 score = BIAS + LENGTH * min(1.0, size / FULL_LENGTH) + LINKS * min(1.0, linked / size)
                 score += HEADING * (owner.name in _HEADINGS) + SENTENCE * (text[-1] in ".!?…\"'»”’:;")
-                out.append(Block(text, owner.number, score + NAMED_GOOD * good, owner.mark, good))
+                out.append(Block(text, owner.within, score + NAMED_GOOD * good, owner.mark, good, min(size, linked)))
                 media.append(owner.media)
             parts.clear()
         linked = 0
@@ -379,35 +396,39 @@ def _resolved(page: list[Block]) -> list[Block]:
     if own:  # names of containers tell the content only where no element does
         for b in page:
             b.score -= NAMED_GOOD * b.good
+    _weigh(page)
     return page
 
 
+def _weigh(page: list[Block]) -> None:
+    """Adds what a block's surroundings and wording tell to its score, and its marks."""
+    gains = {b.mark: b.mark.gain() for b in page}
+    prose: Counter[int] = Counter()
+    blocks_of = Counter(b.parent for b in page)
+    texts = Counter(text for _, text in {(b.parent, b.text) for b in page})
+    for b in page:
+        prose[b.parent] += (len(b.text) - b.linked) * (gains[b.mark] >= 0)
+    whole = sum(prose.values())
+    for b in page:
+        share = prose[b.parent] / whole if whole else 1.0
+        b.score += gains[b.mark] + PARENT * min(1.0, share / FULL_SHARE)
+        if len(b.text) < SHORT:
+            b.score += ALONE * (blocks_of[b.parent] == 1 and share < FULL_SHARE) + AGAIN * (texts[b.text] > 1) + NOTICE * bool(_NOTICE.search(b.text))
+
+
 # ---------------------------------------------------------------- the cut
 def graph(page: list[Block]) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """(gains, edges): the blocks' gains and then those of the marks, and edges (i, j,
-    capacity) between neighbours in page order, successive blocks of a parent, and blocks and
-    marks with the marks around them."""
+    """(gains, edges): the blocks' gains, and edges (i, j, capacity) between neighbours in page
+    order and successive blocks of a parent."""
     gains = [round(b.score * _UNIT) for b in page]
     last: dict[int, int] = {}
-    places: dict[Mark, int] = {}
     out = []
-
-    def place(mark: Mark) -> int:
-        if mark not in places:
-            places[mark] = len(gains)
-            gains.append(round(mark.gain() * _UNIT))
-            if mark.kind == "hint":
-                out.append((places[mark], place(mark.outer), int(HINT_TO_OUTER * _UNIT)))
-        return places[mark]
-
-    to = {"boiler": TO_BOILER, "form": TO_BOILER, "article": TO_ARTICLE, "main": TO_MAIN, "hint": TO_HINT, "outside": TO_OUTSIDE, "page": TO_PAGE}
     for i, b in enumerate(page):
         near = {i - 1: ADJACENT} if i else {}
         if b.parent in last:
             near[last[b.parent]] = near.get(last[b.parent], 0.0) + SIBLING
-        out += [(j, i, int(c * _UNIT)) for j, c in near.items()]
+        out += [(j, i, int(c * _UNIT * (1.0 if page[j].mark is b.mark else ACROSS))) for j, c in near.items()]
         last[b.parent] = i
-        out.append((i, place(b.mark), int(to[b.mark.kind] * _UNIT)))
     return gains, out
 
 
