@@ -50,6 +50,8 @@ GROUP = 8
 BUCKET, HELD = 1 << 17, 1 << 22
 #: Members of a hot signature that are compared with typical ones, and turns of this; members of a block.
 STAR_CHUNK, TURNS, CHUNK = 65_536, 32, 2048
+#: Times that each component is linked with the nearest other, before all that are left are compared.
+ROUNDS = 2
 #: Pairs with one set that one task compares.
 CENTER = 1024
 #: Counts of a sketch.
@@ -506,12 +508,17 @@ def links(docs: DataFrame, rows: DataFrame, star_chunk: int = STAR_CHUNK, chunk:
     wanted = few.select(F.explode(F.array("a", "b")).alias("node")).unionByName(heavy.select("node")).distinct()
     sets = wanted_sets(docs, rows, saved(wanted, "nodes"))
 
-    # Each set is first linked with the one that it seems nearest to; pairs that this leaves apart come after.
+    # Each set is first linked with the typical and the other one that it seems nearest to, then
+    # each component with the nearest other; pairs that this leaves apart come after.
     few = saved(plausible(few, sets), "plausible")
-    stars = star_pairs(heavy, sets, star_chunk).unionByName(few).unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
-    nearest = stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.least("b", "m.a").alias("a"), F.greatest("b", "m.a").alias("b"))
-    first = saved(nearest.filter("a <> b").distinct(), "first")
-    near = verified(first, sets)
+    stars = saved(star_pairs(heavy, sets, star_chunk), "stars")
+    both = few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = None
+    for some in (both, stars):
+        one = some.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.least("b", "m.a").alias("a"), F.greatest("b", "m.a").alias("b"))
+        nearest = one if nearest is None else nearest.unionByName(one)
+    tried = saved(nearest.filter("a <> b").distinct(), "first")
+    near = verified(tried, sets)
     roots = saved(components(near), "roots")
     count = roots.count()
 
@@ -519,12 +526,23 @@ def links(docs: DataFrame, rows: DataFrame, star_chunk: int = STAR_CHUNK, chunk:
         named = pairs.join(small(roots.select(F.col("node").alias(node), F.col("root").alias("_r")), count), node, "left")
         return named.withColumn(root, F.coalesce("_r", node)).drop("_r")
 
+    known = saved(few.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart")).distinct(), "known")
+    for _ in range(ROUNDS):
+        left = rooted(rooted(known, "a", "ra"), "b", "rb").filter("ra <> rb").join(tried, ["a", "b"], "left_anti")
+        ends = left.select(F.explode(F.array("ra", "rb")).alias("r"), F.struct("apart", "a", "b").alias("p"))
+        more = saved(ends.groupBy("r").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct(), "more")
+        if more.isEmpty():
+            break
+        tried, near = tried.unionByName(more), near.unionByName(verified(more, sets))
+        roots = saved(components(near), "roots")
+        count = roots.count()
+
     rest = rooted(rooted(few.select("a", "b"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
     split = rooted(heavy.select("key", "node"), "node", "root")
     open_ = saved(split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "open")
     split = unlike(split.join(small(open_, open_.count()), "key").select("key", "node"))
     across = apart_pairs(rooted(split, "node", "root"), sets, chunk).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.unionByName(across).distinct().join(first, ["a", "b"], "left_anti")
+    rest = rest.unionByName(across).distinct().join(tried, ["a", "b"], "left_anti")
     return components(near.unionByName(verified(saved(rest, "rest"), sets)))
 
 
