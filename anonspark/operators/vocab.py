@@ -6,11 +6,12 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anonspark.functions.patterns import CREDENTIAL, TOKEN_SHAPE, java
+from anonspark.plans.storage import saved
 
 VOCAB_COLUMNS = ["real_value", "token", "category", "confidence", "first_seen", "last_seen", "hit_count", "project", "confirmed_by"]
 
@@ -161,3 +162,28 @@ def import_map(payloads: DataFrame, column: str = "payload") -> DataFrame:
     bad = F.col("e.v").isNull() | (F.col("e.v") != 1) | entries.isNull()
     good = F.when(bad, F.raise_error(F.lit("not a version 1 map envelope")).cast("array<struct<token:string,real:string>>")).otherwise(entries)
     return parsed.select(F.explode(good).alias("p")).select("p.token", "p.real").filter("token IS NOT NULL AND real IS NOT NULL AND real <> ''").filter(F.col("token").rlike(TOKEN_SHAPE))
+
+
+def write_envelope(vocab: DataFrame, path: str) -> None:
+    """The map as a versioned JSON envelope in a folder: its part files, in the order of their names,
+    are one JSON text, with an entry a line in the order of tokens. No row or task holds the map."""
+    entry = F.to_json(F.struct(F.col("token"), F.col("real_value").alias("real")))
+    rows = vocab.select(F.lit(1).alias("_o"), F.col("token").alias("_t"), F.col("real_value").alias("_v"), entry.alias("value"))
+    first = saved(vocab.agg(F.min(F.struct("token", "real_value")).alias("m")).select("m.token", "m.real_value"), "first")
+    rows = rows.join(F.broadcast(first), F.col("_t").eqNullSafe(F.col("token")) & F.col("_v").eqNullSafe(F.col("real_value")), "left")
+    rows = rows.select("_o", "_t", "_v", F.concat(F.when(F.col("token").isNull(), ",").otherwise(""), "value").alias("value"))
+    ends = vocab.sparkSession.createDataFrame([(0, '{"v":1,"entries":['), (2, "]}")], "_o int, value string")
+    every = rows.unionByName(ends.select("_o", F.lit(None).cast("string").alias("_t"), F.lit(None).cast("string").alias("_v"), "value"))
+    every.repartitionByRange("_o", "_t", "_v").sortWithinPartitions("_o", "_t", "_v").select("value").write.text(path)
+
+
+def read_envelope(spark: SparkSession, path: str) -> DataFrame:
+    """(token, real) of an envelope of one entry a line; another version, or a text that breaks off,
+    fails, malformed entries go."""
+    lines = spark.read.text(path)
+    head = F.get_json_object(F.concat(F.regexp_extract("value", r'^\s*(\{"v":\s*[^,]*),\s*"entries":\s*\[\s*$', 1), F.lit("}")), "$.v") == "1"
+    row = lines.agg(F.count_if(head).alias("head"), F.count_if(F.trim("value") == "]}").alias("tail")).first()
+    if (row["head"], row["tail"]) != (1, 1):
+        raise ValueError("not a version 1 map envelope")
+    pairs = lines.select(F.from_json(F.regexp_replace("value", "^,|,$", ""), "token string, real string").alias("p")).select("p.token", "p.real")
+    return pairs.filter("token IS NOT NULL AND real IS NOT NULL AND real <> ''").filter(F.col("token").rlike(TOKEN_SHAPE))

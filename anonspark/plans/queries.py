@@ -228,13 +228,13 @@ def mint_continues(spark, sf_dir):
     return minted(spark, sf_dir, known=known).select("real_value", "token")
 
 
-@query("premint_names", """WITH n AS (SELECT 0 AS rank, s_suppkey AS match_idx, s_name AS value, 'CUSTOMER' AS type FROM supplier WHERE s_suppkey <= 20
-  UNION ALL SELECT 1, s_suppkey, concat('Person ', row_number() OVER (ORDER BY s_suppkey)), 'PERSON' FROM supplier WHERE s_suppkey <= 20)
+@query("premint_names", """WITH n AS (SELECT 0 AS rank, s_suppkey AS match_idx, s_name AS value, 'CUSTOMER' AS type FROM supplier
+  UNION ALL SELECT 1, s_suppkey, concat('Person ', row_number() OVER (ORDER BY s_suppkey)), 'PERSON' FROM supplier)
 SELECT value AS real_value, concat('{', type, CASE WHEN n > 0 THEN concat('_', n) ELSE '' END, '}') AS token
 FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rank, match_idx) - 1 AS n FROM n)""")
 def premint_names(spark, sf_dir):
     """The configured names come before all hits; names shaped like tokens and blank ones are refused."""
-    names = [r["s_name"] for r in table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").orderBy("s_suppkey").select("s_name").collect()]
+    names = [r["s_name"] for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_name").collect()]
     config = ScrubConfig(customer_names=(*names, "{CUSTOMER_3}", " "), person_names=tuple(f"Person {i}" for i in range(1, len(names) + 1)))
     hits = detect(docs(spark, sf_dir), names=["ipv4"]).withColumn("doc_order", F.col("doc_id"))
     return scrub.corpus_tokens(hits, "doc_id", config, None).filter("type <> 'IP'").select("real_value", "token")
@@ -403,6 +403,14 @@ def map_envelope(spark, sf_dir):
     return vocab.import_map(vocab.export_map(vocabulary(spark, sf_dir)))
 
 
+@query("map_files", f"WITH {MINT_CTE} SELECT token, real_value AS real FROM minted")
+def map_files(spark, sf_dir):
+    """The envelope as part files, and read again."""
+    path = f"{shared_dir(spark)}/envelope-{uuid.uuid4().hex}"
+    vocab.write_envelope(vocabulary(spark, sf_dir), path)
+    return vocab.read_envelope(spark, path)
+
+
 @query("allowlist_gate", f"WITH h AS ({hits_sql('documents', 'ipv4')}) SELECT doc_id, value FROM h WHERE NOT regexp_matches(value, '^1') AND lower(value) NOT IN (SELECT DISTINCT value FROM h WHERE doc_id % 2 = 0)")
 def allowlist_gate(spark, sf_dir):
     hits = saved(detect(docs(spark, sf_dir), names=["ipv4"]).select("doc_id", "value"), "hits")
