@@ -39,7 +39,7 @@ NOTE = (
 )
 LETTER = "concat(chr(65 + CAST(c_custkey % 26 AS INT)), repeat(chr(97 + CAST(c_nationkey AS INT)), 3))"
 MAIL = (
-    f"concat('From: Anna {{L}} <anna', c_custkey, '@mail.example.com>', chr(10), 'see you', chr(10), chr(10), 'Best,', chr(10), 'Bob {{L}}', chr(10))"
+    f"concat('From: ', CASE WHEN c_custkey % 5 = 0 THEN 'Monday ' WHEN c_custkey % 5 = 1 THEN concat(repeat('Anna', 20), ' ') ELSE 'Anna ' END, '{{L}} <anna', c_custkey, '@mail.example.com>', chr(10), 'see you', chr(10), chr(10), 'Best,', chr(10), 'Bob {{L}}', chr(10))"
     .replace("{L}", f"', {LETTER}, '")
 )
 CONTACT = {
@@ -111,7 +111,8 @@ HOST_FILTER = f"""NOT ({_ALLOWED.replace('(h)', '(value)')}) AND NOT regexp_matc
     OR string_split(value, '.')[1] IN ({_LISTED(P.CODE_HEADS)}) OR string_split(value, '.')[-1] IN ({_LISTED(P.CODE_TAILS)})
     OR regexp_matches(string_split(value, '.')[-1], '^[A-Z]'))"""
 URL_FILTER = "NOT (" + _ALLOWED.replace("(h)", "(regexp_extract(value, '^https?://([^/]+)', 1))") + ")"
-FILTERS = {"fqdn": HOST_FILTER, "url": URL_FILTER}
+PERSON_FILTER = f"len(value) < 60 AND len(list_filter(string_split(lower(value), ' '), lambda p: p IN ({_LISTED(P.NAME_DENYLIST)}))) = 0"
+FILTERS = {"fqdn": HOST_FILTER, "url": URL_FILTER} | {n: PERSON_FILTER for n in ("person_header", "person_adjacent", "person_sign_off")}
 
 
 def _detector(name: str, source: str, with_sql: bool = True) -> None:
@@ -419,12 +420,34 @@ def allowlist_gate(spark, sf_dir):
     return drop_allowlisted(hits, allow)
 
 
-@query("validate_entries", """SELECT c_custkey, CASE WHEN regexp_matches(c_name, '000001$') THEN 'invalid category' ELSE NULL END AS reason FROM customer""")
+_pick = lambda words, key: "CASE " + " ".join(f"WHEN {key} % {len(words)} = {i} THEN {'NULL' if w is None else quoted(w)}" for i, w in enumerate(words)) + " END"
+#: (value, category, reason) and (pattern, whether a regex, reason), one of each rule.
+_ENTRIES = (
+    (" Customer", "customer", None), (" ", "customer", "value required"), ("x" * 201, "customer", "value too long"), ("a\x01b", "customer", "control characters not allowed"), ("a\u200bb", "customer", "control characters not allowed"),
+    ("Acme", "Bad!", "invalid category"), ("Acme", "1abc", "invalid category"), ("ghp_" + "a1" * 18, "customer", "credential-shape rejected"), ("\uff21cme", "org_2", None),
+)
+_ALLOWED_ENTRIES = (
+    ("abc", False, "pattern too short"), ("abcde", True, "pattern too short"), ("abcd", False, None), ("(abcde", True, "invalid regex pattern"), ("x*y*z*", True, "pattern matches empty string"), ("x" * 201, False, "pattern too long"),
+    ("ab\x02cd", False, "control characters not allowed"), ("ghp_" + "a1" * 18, False, "credential-shape rejected"), ("abc.+d", True, None),
+)
+
+
+@query("validate_entries", f"SELECT c_custkey, {_pick([e[2] for e in _ENTRIES], 'c_custkey')} AS reason FROM customer")
 def validate_entries(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" "), "c_name").alias("value"), F.when(F.col("c_name").rlike("000001$"), "Bad!").otherwise("customer").alias("category"))
+    """Every rule for a value of the vocabulary."""
+    part = lambda i: F.expr(_pick([e[i] for e in _ENTRIES], "c_custkey"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", part(0).alias("value"), part(1).alias("category"))
     return vocab.validated(rows).select("c_custkey", "reason")
 
 
+@query("validate_allowlist", f"SELECT c_custkey, {_pick([e[2] for e in _ALLOWED_ENTRIES], 'c_custkey')} AS reason FROM customer")
+def validate_allowlist(spark, sf_dir):
+    """Every rule for an entry of the allowlist."""
+    regex = F.expr(_pick(["yes" if e[1] else "no" for e in _ALLOWED_ENTRIES], "c_custkey")) == "yes"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_pick([e[0] for e in _ALLOWED_ENTRIES], "c_custkey")).alias("value"), regex.alias("is_regex"))
+    return vocab.validated(rows, allowlist=True).select("c_custkey", "reason")
+
+
 @query("vocab_confirmed", f"WITH {MINT_CTE} SELECT real_value, token FROM minted WHERE doc_id % 3 <> 0")
 def vocab_confirmed(spark, sf_dir):
     """Rows without a confirmation, and values shaped like tokens, are not applied."""
@@ -533,14 +556,15 @@ def conversation_gate(spark, sf_dir):
     return gate.conversation_gate(rows).select("conv_id", "turn", "role", "rejected")
 
 
-@query("event_gate", """SELECT event_id, CASE WHEN k = 0 AND (c OR p) THEN 'block' WHEN c THEN 'block' WHEN k = 1 AND p THEN 'mutate' WHEN k = 2 AND p THEN 'warn' ELSE 'pass' END AS decision,
-CASE WHEN k = 0 AND (c OR p) OR c THEN 1 ELSE 0 END AS blocked
-FROM (SELECT event_id, event_id % 3 AS k, event_id % 10 = 0 AS c, user_id % 4 = 0 AS p FROM events)""")
+@query("event_gate", """SELECT event_id, CASE WHEN big THEN 'warn' WHEN small THEN 'pass' WHEN k = 0 AND (c OR p) THEN 'block' WHEN c THEN 'block' WHEN k = 1 AND p THEN 'mutate' WHEN k = 2 AND p THEN 'warn' ELSE 'pass' END AS decision,
+CASE WHEN NOT big AND NOT small AND (k = 0 AND (c OR p) OR c) THEN 1 ELSE 0 END AS blocked
+FROM (SELECT event_id, event_id % 3 AS k, event_id % 10 = 0 AS c, user_id % 4 = 0 AS p, event_id % 17 = 0 AS big, event_id % 3 = 0 AND event_id % 7 < 4 AS small FROM events)""")
 def event_gate(spark, sf_dir):
+    """Events of all kinds and modes of content, some too large and some prompts too short."""
     kind = F.element_at(F.array(F.lit("UserPromptSubmit"), F.lit("PreToolUse"), F.lit("PostToolUse")), (F.col("event_id") % 3 + 1).cast("int"))
     pii = F.col("user_id") % 4 == 0
     rows = table(spark, sf_dir, "events").select(
-        "event_id", kind.alias("kind"), F.lit(100).alias("size"), F.lit(100).alias("payload_size"), (F.col("event_id") % 10 == 0).alias("has_credentials"),
+        "event_id", kind.alias("kind"), (F.col("event_id") % 7).alias("size"), F.when(F.col("event_id") % 17 == 0, gate.MAX_INPUT + 1).otherwise(gate.MAX_INPUT).alias("payload_size"), (F.col("event_id") % 10 == 0).alias("has_credentials"),
         pii.alias("modified"), F.when(pii, 1).otherwise(0).alias("n_minted"), F.lit(0).alias("n_reused"))
     return gate.decide(rows).select("event_id", "decision", "blocked")
 
@@ -794,7 +818,6 @@ def pattern_decisions(spark, sf_dir):
 
 _SHAPES = ["(a|a)*b", "([a-z]|[a-y])*#", "a{1,50}a{1,50}a{1,50}b", "(a{2,5})+", "(?:a|ab)*c", "x*", "INC-[0-9]{4,}", "(?:[a-z]+[.])*com", "(", ".*a.*b"]
 _REASONS = ["exponential backtracking", "exponential backtracking", "backtracking of degree 2", "nested quantifier", None, "pattern matches empty string", None, "nested quantifier", "invalid regex pattern", None]
-_pick = lambda words, key: "CASE " + " ".join(f"WHEN {key} % {len(words)} = {i} THEN {'NULL' if w is None else quoted(w)}" for i, w in enumerate(words)) + " END"
 
 
 @query("regex_admission", f"SELECT p_partkey, {_pick(_REASONS, 'p_partkey')} AS reason FROM part")
