@@ -509,7 +509,7 @@ def review_pending(spark, sf_dir):
 
 
 @query("review_triage", f"""WITH q AS (SELECT DISTINCT span FROM ({_queue_sql}) WHERE span NOT IN (SELECT {VENDOR} FROM supplier WHERE s_nationkey = 3))
-SELECT CASE WHEN regexp_matches(span, '[a-m] Holdings$') THEN 'confirmed' ELSE 'allowlisted' END AS state, count(*) AS n FROM q GROUP BY 1""")
+SELECT CASE WHEN regexp_matches(span, '[a-m] Holdings$') THEN 'confirmed' ELSE 'allowlisted' END AS state, span AS value FROM q""")
 def review_triage(spark, sf_dir):
     queue, allow = _queue(spark, sf_dir)
     queue = saved(queue, "queue")
@@ -518,8 +518,7 @@ def review_triage(spark, sf_dir):
     empty = vocabulary(spark, sf_dir).limit(0)
     none = spark.createDataFrame([], "pattern string, is_regex boolean, added_by string, added_at long, reason string")
     _, words, listed, _ = review.triage(queue, decisions, empty, none, F.lit(6).cast("long"))
-    states = words.select(F.lit("confirmed").alias("state")).unionByName(listed.select(F.lit("allowlisted").alias("state")))
-    return states.groupBy("state").agg(F.count("*").alias("n"))
+    return words.select(F.lit("confirmed").alias("state"), F.col("real_value").alias("value")).unionByName(listed.select(F.lit("allowlisted").alias("state"), F.col("pattern").alias("value")))
 
 
 @query("review_origin", f"SELECT span, CASE WHEN s % 3 = 0 THEN 'judge' ELSE 'scrub' END AS origin FROM (SELECT {VENDOR} AS span, s_suppkey AS s FROM supplier)")

@@ -180,6 +180,13 @@ def test_decisions(spark):
     assert {r["decision"] for r in gate.decide(df, "observe").collect()} == {"pass", "warn"} and {r["decision"] for r in gate.decide(df, "disabled").collect()} == {"pass"}
 
 
+def test_conversations_without_an_id_stay(spark):
+    rows = [(1, "user", True, "x"), (1, "bot", False, "y"), (2, "system", False, "z"), (None, "assistant", None, "w"), (None, "user", True, "v")]
+    df = spark.createDataFrame(rows, "conv_id long, role string, has_credentials boolean, _bad string")
+    got = sorted((str(r["conv_id"]), r["role"], r["rejected"], r["_bad"]) for r in gate.conversation_gate(df).collect())
+    assert got == [("1", "user", True, "x"), ("1", "user", True, "y"), ("2", "system", False, "z"), ("None", "assistant", True, "w"), ("None", "user", True, "v")]
+
+
 def test_rate_limit(spark):
     rng = random.Random(1)
     rows = [(k, rng.randint(0, 60_000), i) for i in range(600) for k in ("a", "b") if rng.random() < 0.7]
