@@ -47,7 +47,7 @@ SEEDS = 4
 #: Most sets of a signature of which all pairs are looked at.
 GROUP = 8
 #: Signatures of a bucket, and entries that a task holds before it looks for hot signatures.
-BUCKET, HELD = 1 << 17, 1 << 22
+BUCKET, HELD = 1 << 17, 1 << 21
 #: Members of a hot signature that are compared with typical ones, and turns of this; members of a block.
 STAR_CHUNK, TURNS, CHUNK = 65_536, 32, 2048
 #: Times that each component is linked with the nearest other, before all that are left are compared.
@@ -211,7 +211,7 @@ def entries(docs: DataFrame, buckets: int) -> DataFrame:
                 for sig, mark in signatures(s):
                     held.append((sig, node, mark))
                     size += len(sig)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield _packed(held, buckets)
                     held, size = [], 0
         if held:
@@ -298,20 +298,28 @@ class _Bucket:
 
 
 def _group_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    now, had, out = None, set(), []
+    def found() -> Iterator[tuple]:
+        now, had = None, set()
+        for pdf in batches:
+            for bucket, packed in zip(pdf["bucket"], pdf["packed"]):
+                if now is None or now.number != bucket:
+                    if now is not None:
+                        yield from now.close(had)
+                    now = _Bucket(int(bucket))
+                yield from now.add(np.frombuffer(packed, _ENTRY))
+                if len(had) > 1 << 20:
+                    had.clear()
+        if now is not None:
+            yield from now.close(had)
+
+    out, held = [], 0
     frame = lambda rows: pd.DataFrame(rows, columns=["key", "kind", "members", "marks", "times"])
-    for pdf in batches:
-        for bucket, packed in zip(pdf["bucket"], pdf["packed"]):
-            if now is None or now.number != bucket:
-                out += now.close(had) if now else ()
-                now = _Bucket(int(bucket))
-            out += now.add(np.frombuffer(packed, _ENTRY))
-            if len(had) > 1 << 20:
-                had.clear()
-            if len(out) > 1 << 14:
-                yield frame(out)
-                out = []
-    out += now.close(had) if now else ()
+    for row in found():
+        out.append(row)
+        held += len(row[2]) + 8
+        if held > 1 << 18:
+            yield frame(out)
+            out, held = [], 0
     if out:
         yield frame(out)
     release()
