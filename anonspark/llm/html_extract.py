@@ -89,14 +89,23 @@ class Mark:
     wraps: bool = False  # there is one in it
     cost: str = ""  # which of MARKS, if not the kind
 
-    def gain(self) -> float:
+    def gain(self, known: dict[Mark, float]) -> float:
         """Its own evidence and that of the marks around it; an article or a main part speaks for
-        what is in it whatever is around, but not for boilerplate in it."""
-        own = MARKS[self.cost or self.kind]
-        if self.outer is None or self.kind in ("article", "main"):
-            return own
-        around = self.outer.gain()
-        return own + (min(0.0, around) if self.kind in ("boiler", "form") else around)
+        what is in it whatever is around, but not for boilerplate in it. known: what has been told of
+        other marks, so that nested ones cost no more than their number."""
+        chain, mark = [], self
+        while mark not in known:
+            chain.append(mark)
+            if mark.outer is None or mark.kind in ("article", "main"):
+                break
+            mark = mark.outer
+        for m in reversed(chain):
+            own = MARKS[m.cost or m.kind]
+            if m.outer is not None and m.kind not in ("article", "main"):
+                around = known[m.outer]
+                own += min(0.0, around) if m.kind in ("boiler", "form") else around
+            known[m] = own
+        return known[self]
 
 
 @dataclass
@@ -402,7 +411,9 @@ def _resolved(page: list[Block]) -> list[Block]:
 
 def _weigh(page: list[Block]) -> None:
     """Adds what a block's surroundings and wording tell to its score, and its marks."""
-    gains = {b.mark: b.mark.gain() for b in page}
+    gains: dict[Mark, float] = {}
+    for b in page:
+        b.mark.gain(gains)
     prose: Counter[int] = Counter()
     blocks_of = Counter(b.parent for b in page)
     texts = Counter(text for _, text in {(b.parent, b.text) for b in page})

@@ -89,7 +89,7 @@ def test_attributes_are_read_as_browsers_do():
 
 
 def test_time_is_linear_in_odd_pages():
-    for odd in ('<p title="x>abc', "<b>", "<video>", "<a href='", "<article>", "<form>", "<b><h1>", "<i></b>", "<p><table><td>", "<div><p>x</p>", "<script>", "<svg><p>x"):
+    for odd in ('<p title="x>abc', "<b>", "<video>", "<a href='", "<article>", "<form>", "<b><h1>", "<i></b>", "<p><table><td>", "<div><p>x</p>", "<script>", "<svg><p>x", "<div class=share>x", "<div class=sidebar>x", "<div class='ad'>x", "<form>x"):
         began = time.perf_counter()
         H.main_text(odd * 8000)
         assert time.perf_counter() - began < 3, odd
