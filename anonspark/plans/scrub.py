@@ -13,7 +13,7 @@ from anonspark.config import ScrubConfig
 from anonspark.functions.patterns import BY_NAME, TOKEN_ANYWHERE
 from anonspark.operators.apply import apply_map, context, credential_snippets, has_credentials, redact_credentials, redact_kv, Substitution
 from anonspark.operators.detect import detect, drop_allowlisted, premint
-from anonspark.operators.mint import assign_tokens, first_by_key, key_of, minted_tokens, mintable, token_text
+from anonspark.operators.mint import assign_tokens, first_by_key, key_of, minted_tokens, token_text
 from anonspark.plans.storage import fresh, saved, small, spread
 
 ORDER = ["doc_order", "rank", "match_idx"]
