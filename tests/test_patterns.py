@@ -102,3 +102,25 @@ def test_one_scan_finds_what_the_regexes_find(spark, sf):
     rows = docs.select("doc_id", *[a["value"].alias(d.name) for a, d in zip(arrays, P.DETECTORS)]).collect()
     got = {(r["doc_id"], d.name): r[d.name] for r in rows for d in P.DETECTORS if r[d.name]}
     assert got == want and len({n for _, n in want}) == len(P.DETECTORS)
+
+
+def test_scan_for_anchors_costs_as_much_as_another_scan(spark):
+    import time
+
+    docs = spark.range(0, 8, 1, 4).select(F.concat(F.repeat(F.lit("a sentence of prose, and its end. "), 40_000), F.col("id")).alias("t")).persist()
+    docs.count()
+
+    def seconds(c):
+        begun = time.perf_counter()
+        docs.select(c).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begun
+
+    both = {n: min(seconds(c) for _ in range(3)) for n, c in (("anchors", P.anchored(F.col("t"))), ("numbers", P.may_have_number(F.col("t"))))}
+    docs.unpersist()
+    assert both["anchors"] < 5 * both["numbers"] + 0.2, both
+
+
+def test_scan_for_anchors_of_long_tokens(spark):
+    long = [".-" * 500_000, "x" * 1_000_000, "y-" * 500_000 + "@z", ""]
+    got = spark.createDataFrame([(t,) for t in long], "t string").select(F.length(P.anchored(F.col("t")))).collect()
+    assert [r[0] for r in got] == [0, 0, 1_000_003, 0]
