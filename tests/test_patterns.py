@@ -124,3 +124,26 @@ def test_scan_for_anchors_of_long_tokens(spark):
     long = [".-" * 500_000, "x" * 1_000_000, "y-" * 500_000 + "@z", ""]
     got = spark.createDataFrame([(t,) for t in long], "t string").select(F.length(P.anchored(F.col("t")))).collect()
     assert [r[0] for r in got] == [0, 0, 1_000_003, 0]
+
+
+def test_active_patterns_of_customers_whose_last_digits_are_equal(spark, tmp_path):
+    from anonspark.plans.queries import QUERIES
+
+    rows = [(i, f"Customer#{i:09d}") for i in (0, 4, 7, 10_000, 20_000, 20_004)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["active_pattern_set"](spark, str(tmp_path)).collect())
+    want = [(i, n, i) for i, n in rows] + [(i, n[8:], 0) for i, n in rows] + [(i, f"ask {n}", -i) for i, n in rows if i % 2 == 0]
+    assert got == sorted(want)
+
+
+def test_a_string_that_all_patterns_share_costs_nothing(spark):
+    import time
+
+    from anonspark.operators.detect import candidate_patterns
+
+    docs = spark.range(0, 1500, 1, 2).select("id", F.concat(F.lit("ask for name#"), F.col("id"), F.lit(" of all")).alias("t"))
+    patterns = [(i, "c", rf"ask\sfor\sname#{i:04d}\b", 0.5) for i in range(8000)]
+    begun = time.perf_counter()
+    got = docs.select("id", candidate_patterns(docs, patterns)(F.col("t"))["id"].alias("p")).filter("size(p) > 0").collect()
+    assert {r["id"]: r["p"] for r in got} == {i: [i] for i in range(1000, 1500)}
+    assert time.perf_counter() - begun < 8
