@@ -18,7 +18,7 @@ from anonspark.functions.patterns import java
 from anonspark.functions.regexes import fault
 from anonspark.operators.mint import number_by_type
 from anonspark.operators.vocab import categories_above
-from anonspark.plans.storage import saved, small
+from anonspark.plans.storage import saved, small, spread
 
 MIN_EXAMPLES, MIN_SPECIFICITY, MAX_PATTERN = 3, 0.3, 200
 _RUNS = "[A-Z]+|[a-z]+|[0-9]+|."
@@ -149,7 +149,7 @@ def admitted(patterns: DataFrame, regex: str = "regex_source") -> DataFrame:
     grows exponentially or by more than one power of the text."""
     r = F.col(regex)
     nested = r.rlike(r"\([^)]*[+*{][^)]*\)[+*{]")
-    return patterns.withColumn("reason", F.when(F.length(r) > MAX_PATTERN, "pattern too long").when(nested, "nested quantifier").otherwise(_fault(r)))
+    return spread(patterns).withColumn("reason", F.when(F.length(r) > MAX_PATTERN, "pattern too long").when(nested, "nested quantifier").otherwise(_fault(r)))
 
 
 def _spelled(regex: str) -> Column:

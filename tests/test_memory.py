@@ -328,3 +328,14 @@ def test_second_opinion(spark, words):
     assert why == {1: (None, 0, 2), 2: ("parse_failed: not JSON", 1, 1), 3: ("llm_failed: timeout", 1, 1)}
     rows = judge.review_rows(spans, spark.createDataFrame([(1, "see Jane Doe there")], "doc_id long, scrubbed string"), "scrub").collect()
     assert rows[0]["surrounding"] == "see Jane Doe there" and rows[0]["source_event"] == "judge:scrub"
+
+
+def test_admission_looks_at_a_shape_once_and_in_many_tasks(spark, tmp_path):
+    from anonspark.functions import regexes
+
+    seen = regexes._growth.cache_info().misses
+    assert {regexes.fault(f"[p-t]+[p-t]+v{i}") for i in range(50)} == {regexes.fault("[p-t]+[p-t]+")}
+    assert regexes._growth.cache_info().misses == seen + 1
+    assert regexes.growth(r"(?:a|a\x61k1)*b1") == 0 and regexes.growth("(?:a|a)*k1") == -1 and regexes.growth(".*a.*k") == regexes.growth(".*a.*")
+    spark.createDataFrame([("a+b",)] * 8, "regex_source string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    assert induce.admitted(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() > 1
