@@ -9,6 +9,10 @@ that a large group of copies costs as many comparisons as it has texts; only tex
 these leave in different components are compared in pairs. As such texts may all be about
 as alike as 0.7, these pairs must also agree in a finer sketch of 1,024 minima, which is made
 for them alone; a pair at 0.8 exactly fails it in one of 3e6 cases.
+
+Sketches are compared as operator 2 compares fingerprints: as vertical bit planes, 64 sketches to
+a word, whose differing bytes carry-save counters add up, and blocks of lanes are given up once all
+of them differ in too many.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import keep_first, release, saved, small, text_key
 from .graph import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, byte_planes, lanes, packed, shifted, shingle_hashes, whole_words, within
 
 WORDS = 5
 BANDS, ROWS = 32, 4
+MINIMA = BANDS * ROWS
 #: Equal bytes of two sketches that make a candidate; 102 of 128 are expected at 0.8.
 AGREE = 72
 #: Minima of the finer sketch, and equal bytes that make a candidate: 820 are expected at 0.8, with a deviation of 12.8.
@@ -61,7 +66,7 @@ def fine_sketches(groups: list[list[int]]) -> np.ndarray:
 
 def sketches(groups: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (n x 32) and sketches (n x 128 bytes) of non-empty sets of hashes."""
-    least = np.stack(list(minima(groups, BANDS * ROWS)))
+    least = np.stack(list(minima(groups, MINIMA)))
     keys = np.empty((len(groups), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(groups), _ODD[b])
@@ -94,33 +99,55 @@ def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 # ---------------------------------------------------------------- candidates
-def agreement(sketch: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.count_nonzero(sketch == one, axis=1)
+def alike(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, out: np.ndarray, differ: int) -> np.ndarray:
+    """Lanes whose sketches differ in at most so many bytes, by operator 2's comparison: bit planes,
+    carry-save counters, and blocks of 64 lanes given up once all of them differ in more."""
+    return within(left, i, right, j, out, differ, 8, range(differ | 15, len(left) // 8, 32))
+
+
+def paired(sketch: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of rows of one group whose sketches agree; rows sorted by groups of at
+    most PAIRED. All groups at once: the lanes meet themselves, shifted by one, two and so on."""
+    p, n, found = byte_planes(sketch), len(sketch), []
+    word = np.arange(p.shape[1])
+    for s in range(1, PAIRED):
+        inside = np.zeros(n, bool)
+        inside[: n - s] = group[s:] == group[: n - s]
+        if not inside.any():
+            break
+        near = alike(p, word, shifted(p, s), word, ~packed(inside), MINIMA - AGREE)
+        i = np.flatnonzero(lanes(near, n))
+        found.append((i, i + s))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return i, j
 
 
 def stars(sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(center, members) until every row is in a star; all pairs of a small group."""
-    n = len(sketch)
-    if n <= PAIRED:
-        for i in range(n - 1):
-            yield i, i + 1 + np.flatnonzero(agreement(sketch[i + 1 :], sketch[i]) >= AGREE)
-        return
-    left, turn = np.arange(n), 0
+    """(center, members) until every row is in a star."""
+    left, turn = np.arange(len(sketch)), 0
     while left.size > 1:
-        rows, center = sketch[left], 0
+        rows, some = sketch[left], np.arange(min(64, left.size))
         if turn < 8:  # the row next to what most rows have
             flat = rows.astype(np.int64) + 256 * np.arange(rows.shape[1])
             usual = np.bincount(flat.ravel(), minlength=256 * rows.shape[1]).reshape(-1, 256).argmax(axis=1)
-            center = int(agreement(rows, usual.astype(np.uint8)).argmax())
-        near = agreement(rows, rows[center]) >= AGREE
-        near[center] = False
-        yield int(left[center]), left[near]
-        near[center] = True
-        left, turn = left[~near], turn + 1
+            some = np.array([np.count_nonzero(rows == usual.astype(np.uint8), axis=1).argmax()])
+        p = byte_planes(rows)
+        word, query = np.tile(np.arange(p.shape[1]), some.size), np.repeat(np.arange(some.size), p.shape[1])
+        out = np.tile(~packed(np.ones(left.size, bool)), some.size)
+        near = lanes(alike(p, word, whole_words(rows[some]), query, out, MINIMA - AGREE).reshape(some.size, -1), left.size)
+        free = np.ones(left.size, bool)
+        for center, own in zip(some.tolist(), near):
+            if free[center]:
+                free[center] = False
+                yield int(left[center]), left[own & free]
+                free &= ~own
+        left, turn = left[free], turn + 1
 
 
 def _grouped(batches: Iterator[pd.DataFrame], keys: int, use) -> Iterator[pd.DataFrame]:
-    """use(group) for every run of rows that agree in the first `keys` columns."""
+    """use(rows, edges) for whole runs of rows that agree in the first `keys` columns."""
     rest = None
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
@@ -137,36 +164,58 @@ def _grouped(batches: Iterator[pd.DataFrame], keys: int, use) -> Iterator[pd.Dat
 def _used(pdf: pd.DataFrame, edges: np.ndarray, use) -> Iterator[pd.DataFrame]:
     node = pdf["node"].to_numpy()
     found, held = [], 0
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        for center, near in use(pdf.iloc[a:b]):
-            if near.size:
-                one, other = node[a + center], node[a + near]
-                found.append(np.stack([np.maximum(one, other), np.minimum(one, other)], axis=1))
-                held += near.size
-                if held > 200_000:
-                    yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
-                    found, held = [], 0
+    for i, j in use(pdf, edges) if len(edges) > 1 else ():
+        if len(j):
+            one, other = np.broadcast_to(node[i], len(j)), node[j]
+            found.append(np.stack([np.maximum(one, other), np.minimum(one, other)], axis=1))
+            held += len(j)
+            if held > 200_000:
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+                found, held = [], 0
     if found:
         yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
 
-def _star_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from _grouped(batches, 2, lambda group: stars(_stacked(group["sketch"])))
-
-
 def _stacked(sketches_: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches_), np.uint8).reshape(len(sketches_), -1)
 
 
-def _across(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs of different roots, each in the bucket of the first band that it shares."""
-    sketch, fine, root = _stacked(group["sketch"]), _stacked(group["fine"]), group["root"].to_numpy()
-    before = np.stack(group["bands"].to_list())[:, : int(group["band"].iloc[0])]
-    for i in range(len(sketch) - 1):
-        other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        other = other[agreement(sketch[other], sketch[i]) >= AGREE]
-        other = other[~(before[other] == before[i]).any(axis=1)]
-        yield i, other[agreement(fine[other], fine[i]) >= FINE_AGREE]
+def _starred(pdf: pd.DataFrame, edges: np.ndarray) -> Iterator[tuple]:
+    """Pairs of rows: all of the small groups, stars of the large ones."""
+    sketch, sizes = _stacked(pdf["sketch"].iloc[: edges[-1]]), np.diff(edges)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    few = np.flatnonzero(np.repeat(sizes <= PAIRED, sizes))
+    i, j = paired(sketch[few], group[few])
+    yield few[i], few[j]
+    for g in np.flatnonzero(sizes > PAIRED):
+        for center, near in stars(sketch[edges[g] : edges[g + 1]]):
+            yield edges[g] + center, edges[g] + near
+
+
+def _star_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield from _grouped(batches, 2, _starred)
+
+
+def _across(pdf: pd.DataFrame, edges: np.ndarray) -> Iterator[tuple]:
+    """Pairs of different roots, each in the bucket of the first band that it shares: 64 rows at a
+    time against all from their own block of lanes on, by the sketch and then by the finer one."""
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        group = pdf.iloc[a:b]
+        sketch, fine, root = _stacked(group["sketch"]), _stacked(group["fine"]), group["root"].to_numpy()
+        before = np.stack(group["bands"].to_list())[:, : int(group["band"].iloc[0])]
+        p, q, n = byte_planes(sketch), byte_planes(fine), b - a
+        for first in range(0, n, 64):
+            rows = np.arange(first, min(first + 64, n))
+            words = np.arange(first // 64, p.shape[1])
+            other = (root[rows, None] != root[None, first:]) & (rows[:, None] < np.arange(first, n))
+            out = np.concatenate([~packed(o) for o in other])
+            word, query = np.tile(words, rows.size), np.repeat(np.arange(rows.size), words.size)
+            near = alike(p, word, whole_words(sketch[rows]), query, out, MINIMA - AGREE)
+            near = alike(q, word, whole_words(fine[rows]), query, ~near, FINE - FINE_AGREE)
+            i, j = np.nonzero(lanes(near.reshape(rows.size, -1), n - first))
+            i, j = i + first, j + first
+            once = ~(before[i] == before[j]).any(axis=1)
+            yield a + i[once], a + j[once]
 
 
 def _pair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -95,44 +95,54 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- bit-sliced comparison
 def planes(fp: np.ndarray) -> np.ndarray:
     """64 bit planes of the fingerprints, 64 lanes to a word."""
-    width = -(-len(fp) // 64)
-    padded = np.zeros(width * 64, np.uint64)
-    padded[: len(fp)] = fp
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+    return byte_planes(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8))
 
 
-def within(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, out: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose distance is at most `radius`. left, right: 64 planes, 64 lanes to a word;
+def byte_planes(rows: np.ndarray) -> np.ndarray:
+    """The bit planes of rows of bytes, 64 lanes to a word."""
+    out = np.zeros((8 * rows.shape[1], -(-len(rows) // 64)), np.uint64)
+    for a in range(0, len(rows), 4096):  # few bits at a time lie one to a byte
+        bits = np.unpackbits(rows[a : a + 4096], axis=1, bitorder="little")
+        part = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+        out.view(np.uint8)[:, a // 8 : a // 8 + part.shape[1]] = part
+    return out
+
+
+def within(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, out: np.ndarray, radius: int, digit: int = 1, looks=_LOOKS) -> np.ndarray:
+    """Lanes whose distance is at most `radius`. left, right: bit planes, 64 lanes to a word;
     word i[k] of left meets word j[k] of right in block k; out: lanes of the blocks that don't
-    count. Counters are carry-save: ones, twos, fours, and a sticky bit for eight or more.
-    Every few planes the blocks whose lanes all exceed the radius are given up, and only the
+    count. The distance is that of digits of so many bits, a bit by itself or a byte. Counters are
+    carry-save: ones, twos, fours and so on, and a sticky bit for what they can't hold. Behind the
+    digits of `looks` the blocks whose lanes all exceed the radius are given up, and only the
     others go on."""
     result = np.zeros(out.shape, np.uint64)
     live = np.flatnonzero(out != _ONES)
     i, j, over = i[live], j[live], out[live]
-    ones, twos, fours = (np.zeros(live.size, np.uint64) for _ in range(3))
-    for b in range(64):
-        carry = left[b][i] ^ right[b][j]
-        carry, ones = ones & carry, ones ^ carry
-        carry, twos = twos & carry, twos ^ carry
-        carry, fours = fours & carry, fours ^ carry
+    counts = [np.zeros(live.size, np.uint64) for _ in range(max(1, radius.bit_length()))]
+    for d in range(len(left) // digit):
+        carry = left[d * digit][i] ^ right[d * digit][j]
+        for b in range(d * digit + 1, (d + 1) * digit):
+            carry |= left[b][i] ^ right[b][j]
+        for k, plane in enumerate(counts):
+            carry, counts[k] = plane & carry, plane ^ carry
         over |= carry
-        if b in _LOOKS:
-            stay = np.flatnonzero((over | _more(ones, twos, fours, radius)) != _ONES)
+        if d in looks:
+            stay = np.flatnonzero((over | _more(*counts, radius)) != _ONES)
             if 4 * stay.size < 3 * live.size:
-                live, i, j, over, ones, twos, fours = (x[stay] for x in (live, i, j, over, ones, twos, fours))
+                live, i, j, over, *counts = (x[stay] for x in (live, i, j, over, *counts))
                 if not stay.size:
                     break
-    result[live] = ~(over | _more(ones, twos, fours, radius))
+    result[live] = ~(over | _more(*counts, radius))
     return result
 
 
-def _more(ones, twos, fours, radius: int) -> np.ndarray:
-    """Lanes whose three-bit counter is over the radius."""
-    above, equal = np.zeros_like(ones), np.full_like(ones, _ONES)
-    for digit, plane in ((4, fours), (2, twos), (1, ones)):
-        if radius & digit:
+def _more(*rest) -> np.ndarray:
+    """Lanes whose counter is over the radius: the counter's planes, ones first, and the radius."""
+    *counts, radius = rest
+    above, equal = np.zeros_like(counts[0]), np.full_like(counts[0], _ONES)
+    for k in reversed(range(len(counts))):
+        plane = counts[k]
+        if radius >> k & 1:
             equal &= plane
         else:
             above |= equal & plane
@@ -140,7 +150,12 @@ def _more(ones, twos, fours, radius: int) -> np.ndarray:
     return above
 
 
-def _shift(p: np.ndarray, s: int) -> np.ndarray:
+def whole_words(rows: np.ndarray) -> np.ndarray:
+    """Bit b of each of the rows of bytes, as a whole word."""
+    return np.where(np.unpackbits(rows, axis=1, bitorder="little").T.astype(bool), _ONES, np.uint64(0))
+
+
+def shifted(p: np.ndarray, s: int) -> np.ndarray:
     """Lane i of the result is lane i + s."""
     w, r = divmod(s, 64)
     out = np.zeros_like(p)
@@ -152,11 +167,11 @@ def _shift(p: np.ndarray, s: int) -> np.ndarray:
     return out
 
 
-def _lanes(words: np.ndarray, n: int) -> np.ndarray:
+def lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
 
 
-def _pack(flags: np.ndarray) -> np.ndarray:
+def packed(flags: np.ndarray) -> np.ndarray:
     padded = np.zeros(-(-flags.size // 64) * 64, np.uint8)
     padded[: flags.size] = flags
     return np.packbits(padded, bitorder="little").view(np.uint64)
@@ -186,8 +201,8 @@ def link_groups(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.n
         for s in range(1, int(sizes[sizes <= _SHIFTED].max())):
             inside = place + s < size  # the row s further on is of the same group
             word = np.arange(p.shape[1])
-            lane = within(p, word, _shift(p, s), word, ~_pack(inside), radius)
-            i = np.flatnonzero(_lanes(lane, rows.size))
+            lane = within(p, word, shifted(p, s), word, ~packed(inside), radius)
+            i = np.flatnonzero(lanes(lane, rows.size))
             _merge(root, rows[i], rows[np.minimum(i + s, rows.size - 1)])
     for g in np.flatnonzero(sizes > _SHIFTED):
         own = slice(starts[g], starts[g] + sizes[g])
@@ -200,15 +215,15 @@ def _link_large(fp: np.ndarray, root: np.ndarray, base: int, radius: int) -> Non
     their own block of lanes on. root: a view whose entries count from base."""
     n, p = len(fp), planes(fp)
     local = root - base
-    out = ~_pack(np.ones(n, bool))
+    out = ~packed(np.ones(n, bool))
     for first in range(p.shape[1]):
         q = fp[64 * first : 64 * first + 64]
-        bits = np.where((q[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), _ONES, np.uint64(0))  # bit b of each, as a whole word
+        bits = whole_words(q.view(np.uint8).reshape(-1, 8))
         width = p.shape[1] - first
         word, query = np.tile(np.arange(first, p.shape[1]), len(q)), np.repeat(np.arange(len(q)), width)
         near = within(p, word, bits, query, np.tile(out[first:], len(q)), radius)
         hit = np.flatnonzero(near)
-        lane, bit = np.nonzero(_lanes(near[hit, None], 64))
+        lane, bit = np.nonzero(lanes(near[hit, None], 64))
         _merge(local, query[hit[lane]] + 64 * first, word[hit[lane]] * 64 + bit)
     root[:] = local + base
 

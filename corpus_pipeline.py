@@ -23,8 +23,8 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (a Jaccard similarity of 0.8 or more over
     five-word shingles, by chains): the least doc_id, of its rows the least text. Null and empty
-    texts are alike. A row without a doc_id stays if its group has no other. Operator 2 by
-    MinHash candidates, as SimHash doesn't reach 0.8; see the README."""
+    texts are alike. A row without a doc_id stays if its group has no other. Operator 2's
+    comparison of bit planes over the minima of MinHash, as fingerprints of 64 bits don't reach 0.8."""
     return neardup.keep_one(docs)
 
 

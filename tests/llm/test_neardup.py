@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pandas as pd
+
 import corpus_pipeline
 from anonspark.llm import neardup
 
@@ -60,3 +63,33 @@ def test_rows_of_one_id_are_told_apart(spark):
     docs = spark.createDataFrame([(1, "copy"), (5, "x"), (5, "copy"), (None, "y"), (None, "y"), (None, "copy"), (6, "z"), (6, "w")], "doc_id long, text string")
     kept = sorted((str(r["doc_id"]), r["text"]) for r in neardup.keep_one(docs).collect())
     assert kept == [("1", "copy"), ("5", "x"), ("6", "w"), ("6", "z"), ("None", "y")]
+
+
+def test_sketches_are_compared_as_bit_planes():
+    """Small groups, stars and pairs across roots are those of a comparison byte by byte."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, neardup.MINIMA), np.uint8)
+    sketch = base[rng.integers(0, 6, 300)]
+    sketch = np.where(rng.random(sketch.shape) < rng.uniform(0.1, 0.4, (300, 1)), rng.integers(0, 256, sketch.shape, np.uint8), sketch)
+    agree = np.count_nonzero(sketch[:, None] == sketch[None], axis=2)
+    group = np.repeat(np.arange(100), rng.integers(1, 6, 100))[:300]
+    group = np.concatenate([group, np.full(300 - len(group), 99)]) if len(group) < 300 else group
+    few = np.isin(group, np.flatnonzero(np.bincount(group) <= neardup.PAIRED))
+    i, j = neardup.paired(sketch[few], group[few])
+    rows = np.flatnonzero(few)
+    want = {(a, b) for a in rows for b in rows if a < b and group[a] == group[b] and agree[a, b] >= neardup.AGREE}
+    assert set(zip(rows[i], rows[j])) == want and want
+    seen = np.zeros(300, int)
+    for center, near in neardup.stars(sketch):
+        assert set(near) == set(np.flatnonzero((agree[center] >= neardup.AGREE) & (seen == 0))) - {center}
+        seen[[center, *near]] += 1
+    assert seen.max() == 1 and (seen == 0).sum() <= 1
+    fine = rng.integers(0, 256, (2, neardup.FINE), np.uint8)[rng.integers(0, 2, 300)]
+    fine = np.where(rng.random(fine.shape) < rng.uniform(0.05, 0.2, (300, 1)), rng.integers(0, 256, fine.shape, np.uint8), fine)
+    root, bands = rng.integers(0, 3, 300), rng.integers(0, 20, (300, 32))
+    pdf = pd.DataFrame({"key": 1, "band": 2, "node": np.arange(300), "root": root, "bands": list(bands), "sketch": [x.tobytes() for x in sketch], "fine": [x.tobytes() for x in fine]})
+    close = np.count_nonzero(fine[:, None] == fine[None], axis=2)
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if root[a] != root[b] and agree[a, b] >= neardup.AGREE
+            and close[a, b] >= neardup.FINE_AGREE and not (bands[a, :2] == bands[b, :2]).any()}
+    found = [(a, b) for i, j in neardup._across(pdf, np.array([0, 300])) for a, b in zip(i, j)]
+    assert set(found) == want and len(found) == len(want) > 0
