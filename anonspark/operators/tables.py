@@ -105,10 +105,10 @@ def inspect_table(df: DataFrame, name: str, row: str, config: ScrubConfig | None
 
 
 def _dictionary(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
-    """(row, col, cell): each distinct non-empty cell of each column, at its first row. One scan of
-    the table, whatever the number of columns; repeated cells go before the shuffle."""
+    """(row, col, cell): each distinct cell of each column, at its first row. One scan of the table,
+    whatever the number of columns; repeated cells go before the shuffle."""
     parts = [F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("cell")) for i, c in enumerate(columns)]
-    cells = df.select(F.col(row).alias("row"), F.explode(F.array(*parts)).alias("c")).select("row", "c.*").filter("cell IS NOT NULL AND trim(cell) <> ''")
+    cells = df.select(F.col(row).alias("row"), F.explode(F.array(*parts)).alias("c")).select("row", "c.*").filter("cell IS NOT NULL")
     return saved(cells.groupBy("col", "cell").agg(F.min("row").alias("row")), "cells")
 
 
@@ -139,14 +139,15 @@ def scrub_tables(tables: dict[str, tuple[DataFrame, str]], config: ScrubConfig |
     text finds. Numbers and dates stay as they are in text columns. Order of sight: table, row, column, match; of rows that share an
     ordering value, the value."""
     config, overrides = config or ScrubConfig(), overrides or {}
-    hits, plans = None, {}
+    hits, plans, held = None, {}, {}
     for t, (name, (df, row)) in enumerate(tables.items()):
         plans[name] = plan = plan_columns([c for c in df.columns if c != row], config, overrides.get(name))
         kinds = dict(df.dtypes)
         columns = [c for c in plan if plan[c][0] in ("pattern", "custom") or plan[c][0] == "regex" and kinds[c] == "string"]
         if not columns:
             continue
-        cells = _dictionary(df, row, columns)
+        held[name] = _dictionary(df, row, columns)
+        cells = held[name].filter("trim(cell) <> ''")
         forced = _forced(cells, [plan[c] for c in columns])
         loose = [i for i, c in enumerate(columns) if plan[c][0] == "regex"]
         if loose:
@@ -161,18 +162,18 @@ def scrub_tables(tables: dict[str, tuple[DataFrame, str]], config: ScrubConfig |
         named = named.unionByName(vocab.select("real_value", "token")).distinct()
     out, summary = {}, None
     for name, (df, row) in tables.items():
-        done, per = _apply_table(df, row, name, plans[name], named)
+        done, per = _apply_table(df, held.get(name), name, plans[name], named)
         out[name] = done
         summary = per if summary is None else summary.unionByName(per)
     return out, tokens, summary
 
 
-def _apply_table(df: DataFrame, row: str, name: str, plan: dict, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every column that is not skipped takes the shared map, all of them in one pass."""
+def _apply_table(df: DataFrame, cells: DataFrame | None, name: str, plan: dict, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every column that is not skipped takes the shared map by way of its dictionary."""
     kinds = dict(df.dtypes)
     touched = [c for c in plan if plan[c][0] in ("pattern", "custom") or plan[c][0] == "regex" and kinds[c] == "string"]
     whole = lambda c: plan[c][0] == "custom" or plan[c][0] == "pattern" and PATTERNS[plan[c][1]][1] is None
-    done = apply_columns(df, tokens, [(c, f"_new{i}", whole(c)) for i, c in enumerate(touched)])
+    done = apply_columns(df, cells, tokens, [(c, f"_new{i}", whole(c)) for i, c in enumerate(touched)])
     for i, c in enumerate(touched):
         if plan[c][0] == "regex":
             done = done.withColumn(f"_new{i}", redact_kv(redact_credentials(F.col(f"_new{i}"))))

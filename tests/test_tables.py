@@ -74,3 +74,23 @@ def test_files(spark, tmp_path):
     (tmp_path / "ev").mkdir()
     (tmp_path / "ev/e.json").write_text('{"prompt":"hi"}\n{"tool_name":"Bash","tool_input":{"c":1}}\nnot json\n{"tool_result":"x","hook_event_name":"PostToolUse"}\n')
     assert sorted(r["kind"] for r in readers.read_events(spark, str(tmp_path / "ev")).collect()) == ["PostToolUse", "PreToolUse", "UserPromptSubmit"]
+
+
+def test_columns_are_rewritten_by_their_dictionary(spark, monkeypatch):
+    """Each distinct cell meets the map once; cells that are values don't, and rows are as cell by cell."""
+    from pyspark.sql import functions as F
+
+    from anonspark.operators import apply
+
+    words = ["Ann", "ann lee", "x Ann Lee y", "ANN", " ", "", None, "annex", "b", "b Ann"]
+    rows = [(i, words[i % 10], words[i * 7 % 10]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    pairs = [("Ann", "{P}"), ("ann Lee", "{P_1}"), ("b", "{P_2}"), (" ", "{P_3}")]
+    tokens = spark.createDataFrame(pairs, "real_value string, token string")
+    parts = F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).alias("cell")) for i, c in enumerate("ab")])
+    cells = df.select(F.explode(parts).alias("c")).select("c.*").filter("cell IS NOT NULL").distinct()
+    searched, one = [], apply.Substitution(pairs)
+    monkeypatch.setattr(apply, "apply_map", lambda docs, *rest, run=apply.apply_map: searched.extend(r["cell"] for r in docs.collect()) or run(docs, *rest))
+    done = apply.apply_columns(df, cells, tokens, [("a", "na", False), ("b", "nb", True)]).collect()
+    assert sorted(searched) == ["", "annex", "b Ann", "x Ann Lee y"]
+    assert len(done) == 200 and all(r["na"] == one(r["a"]) and r["nb"] == one.whole(r["b"]) for r in done)
