@@ -339,3 +339,18 @@ def test_admission_looks_at_a_shape_once_and_in_many_tasks(spark, tmp_path):
     assert regexes.growth(r"(?:a|a\x61k1)*b1") == 0 and regexes.growth("(?:a|a)*k1") == -1 and regexes.growth(".*a.*k") == regexes.growth(".*a.*")
     spark.createDataFrame([("a+b",)] * 8, "regex_source string").coalesce(1).write.parquet(str(tmp_path / "one"))
     assert induce.admitted(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() > 1
+
+
+def test_literal_hits_travel_as_whole_numbers(spark, monkeypatch):
+    """No structs come back from the workers; hits are those of the literals' places."""
+    from anonspark.config import ScrubConfig
+    from anonspark.operators import detect as D
+
+    docs = spark.createDataFrame([(1, "\U0001f600 Ab ab-x ABC"), (2, None), (3, ""), (4, "none")], "doc_id long, text string")
+    literals = (("ab", "My kind"), ("x abc", "odd"))
+    kinds, once = [], D._once
+    monkeypatch.setattr(D, "_once", lambda docs, make, use, kind: kinds.append(kind) or once(docs, make, use, kind))
+    got = D.detect(docs, config=ScrubConfig(literals=literals)).filter("rank = 3")
+    assert kinds == ["array<int>"]
+    rows = sorted((r["doc_id"], r["match_idx"], r["value"], r["type"], r["category"], r["confidence"]) for r in got.collect())
+    assert rows == [(1, 0, "Ab", "MY_KIND", "my kind", 1.2), (1, 1, "ab", "MY_KIND", "my kind", 1.2), (1, 2, "AB", "MY_KIND", "my kind", 1.2), (1, 3, "x ABC", "ODD", "odd", 1.2)]
