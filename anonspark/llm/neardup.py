@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_first, release, saved, small, text_key
-from .graph import components
+from .graph import components, joined
 from .simhash import SEED, byte_planes, lanes, packed, shifted, shingle_hashes, whole_words, within
 
 WORDS = 5
@@ -38,6 +38,8 @@ AGREE = 72
 FINE, FINE_AGREE = 1024, 756
 #: Up to so many members of a bucket, all pairs are candidates.
 PAIRED = 24
+#: Words of lanes, over all shifts, that small buckets are compared in at once (8 MB of planes).
+SHIFTED_WORDS = 1024
 #: Members of a bucket that one task compares with stars, and in pairs.
 STAR_CHUNK, CHUNK = 65_536, 4096
 _R = np.random.default_rng(SEED)
@@ -108,18 +110,21 @@ def alike(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, out
 def paired(sketch: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i, j) of rows of one group whose sketches agree; rows sorted by groups of at
     most PAIRED. All groups at once: the lanes meet themselves, shifted by one, two and so on."""
-    p, n, found = byte_planes(sketch), len(sketch), []
-    word = np.arange(p.shape[1])
+    p, n = byte_planes(sketch), len(sketch)
+    out = []
     for s in range(1, PAIRED):
         inside = np.zeros(n, bool)
         inside[: n - s] = group[s:] == group[: n - s]
         if not inside.any():
             break
-        near = alike(p, word, shifted(p, s), word, ~packed(inside), MINIMA - AGREE)
-        i = np.flatnonzero(lanes(near, n))
-        found.append((i, i + s))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out.append(~packed(inside))
+    found, word, at_once = [(np.zeros(0, np.int64),) * 2], np.arange(p.shape[1]), max(1, SHIFTED_WORDS // max(1, p.shape[1]))
+    for a in range(0, len(out), at_once):  # few rows: several shifts in one comparison
+        part = out[a : a + at_once]
+        right = np.concatenate([shifted(p, a + 1 + k) for k in range(len(part))], axis=1)
+        near = alike(p, np.tile(word, len(part)), right, np.arange(right.shape[1]), np.concatenate(part), MINIMA - AGREE)
+        k, i = np.nonzero(lanes(near.reshape(len(part), -1), n))
+        found.append((i, i + a + 1 + k))
     i, j = (np.concatenate(x) for x in zip(*found))
     return i, j
 
@@ -300,9 +305,10 @@ def linked(docs: DataFrame, star_chunk: int = STAR_CHUNK, chunk: int = CHUNK) ->
     if n := open_.count():
         members = saved(named.join(small(open_, n), "key"), "crossed")
         fine = texts_of(docs, nodes, members).mapInPandas(_fine_batches, "node long, fine binary")
-        rest = cross_pairs(members.join(nodes.select("node", "bands", "sketch"), "node").join(saved(fine, "fine"), "node"), chunk)
+        rows = nodes.select("node", "bands", "sketch").join(small(members, members.count()), "node")
+        rest = cross_pairs(rows.join(saved(fine, "fine"), "node"), chunk)
         rest = saved(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        roots = components(found.unionByName(similar(docs, nodes, rest)))
+        roots = joined(roots, similar(docs, nodes, rest))
     rooted = prints.select("doc_id", "text_key", "node").join(roots, "node", "left")
     return rooted.select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 

@@ -31,6 +31,8 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Planes after which blocks are looked at: 64 random lanes are mostly beyond four bits after 24.
 _LOOKS = frozenset((15, 19, 23, 27, 31, 39, 47, 55))
 _BYTE_LOW = np.uint64(0x0101010101010101)
+#: Words of planes that are compared at once where digits have several bits.
+_TOGETHER = 1 << 17
 #: Largest group that is compared by shifting all lanes of a batch at once.
 _SHIFTED = 24
 
@@ -117,12 +119,21 @@ def within(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, ou
     others go on."""
     result = np.zeros(out.shape, np.uint64)
     live = np.flatnonzero(out != _ONES)
+    if not live.size:
+        return result
     i, j, over = i[live], j[live], out[live]
     counts = [np.zeros(live.size, np.uint64) for _ in range(max(1, radius.bit_length()))]
+    ahead = iter(())
     for d in range(len(left) // digit):
-        carry = left[d * digit][i] ^ right[d * digit][j]
-        for b in range(d * digit + 1, (d + 1) * digit):
-            carry |= left[b][i] ^ right[b][j]
+        if digit == 1:
+            carry = left[d][i] ^ right[d][j]
+        else:
+            carry = next(ahead, None)
+            if carry is None:  # few blocks: several digits at a time
+                upto = min(len(left), (d + max(1, min(16, _TOGETHER // (digit * live.size)))) * digit)
+                differ = np.take(left[d * digit : upto], i, axis=1) ^ np.take(right[d * digit : upto], j, axis=1)
+                ahead = iter(np.bitwise_or.reduce(differ.reshape(-1, digit, live.size), axis=1))
+                carry = next(ahead)
         for k, plane in enumerate(counts):
             carry, counts[k] = plane & carry, plane ^ carry
         over |= carry
@@ -130,6 +141,7 @@ def within(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, ou
             stay = np.flatnonzero((over | _more(*counts, radius)) != _ONES)
             if 4 * stay.size < 3 * live.size:
                 live, i, j, over, *counts = (x[stay] for x in (live, i, j, over, *counts))
+                ahead = iter([x[stay] for x in ahead])
                 if not stay.size:
                     break
     result[live] = ~(over | _more(*counts, radius))

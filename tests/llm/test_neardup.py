@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 import corpus_pipeline
-from anonspark.llm import neardup
+from anonspark.llm import graph, neardup, simhash
 
 
 def shingles(text):
@@ -93,3 +93,29 @@ def test_sketches_are_compared_as_bit_planes():
             and close[a, b] >= neardup.FINE_AGREE and not (bands[a, :2] == bands[b, :2]).any()}
     found = [(a, b) for i, j in neardup._across(pdf, np.array([0, 300])) for a, b in zip(i, j)]
     assert set(found) == want and len(found) == len(want) > 0
+
+
+def test_components_end_without_a_round_that_changes_nothing(spark, monkeypatch):
+    """More edges are joined to known roots as if all had come at once."""
+    written = []
+    monkeypatch.setattr(graph, "saved", lambda df, name, real=graph.saved: written.append(name) or real(df, name))
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = lambda df: sorted((r["node"], r["root"]) for r in df.collect())
+    roots = graph.components(edges([(3, 2), (2, 1), (2, 1), (6, 5), (9, 8)]))
+    assert got(roots) == [(2, 1), (3, 1), (6, 5), (9, 8)]
+    assert len(written) == 5  # the edges, and one round
+    more = [(6, 3), (9, 9), (5, 2), (20, 10), (9, 7), (4, 4)]
+    want = [(2, 1), (3, 1), (5, 1), (6, 1), (8, 7), (9, 7), (20, 10)]
+    assert got(graph.joined(roots, edges(more))) == want
+    assert got(graph.joined(graph.components(edges([])), edges([]))) == []
+
+
+def test_blocks_without_a_lane_cost_no_planes(monkeypatch):
+    """Where no lane counts, no plane is read; small buckets are compared in few passes."""
+    none = np.full(3, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    assert not simhash.within(None, np.arange(3), None, np.arange(3), none, 56, 8, ()).any()
+    passes = []
+    monkeypatch.setattr(neardup, "alike", lambda *a, real=neardup.alike: passes.append(1) or real(*a))
+    sketch = np.random.default_rng(1).integers(0, 256, (200, neardup.MINIMA), np.uint8)
+    i, j = neardup.paired(np.repeat(sketch, 10, axis=0)[:200], np.repeat(np.arange(10), 20))
+    assert len(passes) == 1 and len(i) == 10 * 2 * 45
