@@ -145,6 +145,14 @@ def test_nested_records_are_numbered_in_their_order(spark):
     assert got[13] == rows[12][1] and got[14] == rows[13][1]
 
 
+def test_nested_fields_are_scrubbed_once(spark):
+    """Flags, lists and edits of a record come from one pass over its fields."""
+    rows = spark.createDataFrame([(1, '{"x": "at 10.0.0.1"}', "Bash")], "id long, rec string, tool string")
+    done = scrub_json(rows, "id", "rec", "tool")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("[of(") == 1
+    assert done.first()["updated"] == '{"x": "at {IP}"}'
+
+
 def test_patterns_read_in_both_dialects():
     assert P.java(r"a\\b") == r"a\\b" and P.java(r"\bx") == P.BOUNDARY + "x" and P.java(r"[^\s@]").startswith("[^\\t")
 
