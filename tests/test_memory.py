@@ -330,6 +330,18 @@ def test_second_opinion(spark, words):
     assert rows[0]["surrounding"] == "see Jane Doe there" and rows[0]["source_event"] == "judge:scrub"
 
 
+def test_answers_are_parsed_once_and_in_many_tasks(spark, words, tmp_path):
+    answer = '[{"text":"Jane Doe","category":"person","confidence":0.9,"reason":"r"}]'
+    texts = [answer, "```json\n" + answer + "\n```", " " + answer + "\n```  ", "```JSON" + answer, "[]", "{}", "nope", None]
+    spark.createDataFrame([(i, 0, t, None) for i, t in enumerate(texts)], "doc_id long, chunk_idx int, response string, error string").coalesce(1).write.parquet(str(tmp_path / "answers"))
+    answers = judge.parsed(spark.read.parquet(str(tmp_path / "answers")))
+    spans = judge.valid_spans(answers, words)
+    assert sorted(r["doc_id"] for r in spans.collect()) == [0, 1, 2, 3]
+    assert [r["doc_id"] for r in answers.filter("error_reason IS NOT NULL").collect()] in ([6, 7], [7, 6])
+    assert answers.rdd.getNumPartitions() > 1
+    assert spans._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_admission_looks_at_a_shape_once_and_in_many_tasks(spark, tmp_path):
     from anonspark.functions import regexes
 
