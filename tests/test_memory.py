@@ -330,6 +330,21 @@ def test_second_opinion(spark, words):
     assert rows[0]["surrounding"] == "see Jane Doe there" and rows[0]["source_event"] == "judge:scrub"
 
 
+def test_spans_are_made_once_for_the_queue(spark, words):
+    made = spark.sparkContext.accumulator(0)
+
+    def make(span):
+        made.add(1)
+        return span.title()
+
+    allow = spark.createDataFrame([("^Quiet", True)], "pattern string, is_regex boolean")
+    rows = spark.createDataFrame([("new corp",), ("acme",), ("quiet inc",)], "span string")
+    spans = rows.select(F.udf(make)("span").alias("span"), F.lit("ctx").alias("surrounding"), F.lit("customer").alias("suggested_cat"), F.lit(0.6).alias("confidence"), F.lit("scrub").alias("source_event"))
+    queue = review.enqueue(spark.createDataFrame([], SCHEMAS["review_queue"]), spans, words, allow, now())
+    assert [(r["span"], r["surrounding"]) for r in queue.collect()] == [("New Corp", "ctx")]
+    assert made.value == 3
+
+
 def test_answers_are_parsed_once_and_in_many_tasks(spark, words, tmp_path):
     answer = '[{"text":"Jane Doe","category":"person","confidence":0.9,"reason":"r"}]'
     texts = [answer, "```json\n" + answer + "\n```", " " + answer + "\n```  ", "```JSON" + answer, "[]", "{}", "nope", None]

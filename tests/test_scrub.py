@@ -106,6 +106,18 @@ def test_numbering_over_many_tasks(spark):
         n[t] += 1
 
 
+def test_a_text_is_searched_once_for_its_doubtful_spans(spark):
+    text = "Fabrikam Holdings, " + "then " * 12 + "Contoso Bank and again Fabrikam Holdings " + "more " * 12
+    docs = spark.createDataFrame([(1, text), (2, "Contoso Bank")], "doc_id long, text string")
+    hits = detect(docs, names=["corp"])
+    doubt = scrub.unsure_spans(docs, hits, hits.limit(0).selectExpr("lower(value) AS key"), "doc_id", "text")
+    got = {r["doc_id"]: [(u["span"], u["surrounding"]) for u in r["unsure"]] for r in doubt.collect()}
+    first, second, third = (text.index("Fabrikam"), text.index("Contoso"), text.rindex("Fabrikam"))
+    around = lambda at, n: ("…" if at > 32 else "") + text[max(0, at - 32) : at + n + 32] + "…"
+    assert got == {1: [("Fabrikam Holdings", around(first, 17)), ("Contoso Bank", around(second, 12)), ("Fabrikam Holdings", around(third, 17))], 2: [("Contoso Bank", "Contoso Bank")]}
+    assert doubt._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_previews_runs_and_payload(spark, result):
     by = {r["doc_id"]: r["findings"] for r in scrub.findings_preview(result.documents).collect()}
     assert by[5] == "none" and by[2] == "IP×2, EMAIL×1, FQDN×1"
