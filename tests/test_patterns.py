@@ -147,3 +147,19 @@ def test_a_string_that_all_patterns_share_costs_nothing(spark):
     got = docs.select("id", candidate_patterns(docs, patterns)(F.col("t"))["id"].alias("p")).filter("size(p) > 0").collect()
     assert {r["id"]: r["p"] for r in got} == {i: [i] for i in range(1000, 1500)}
     assert time.perf_counter() - begun < 8
+
+
+def test_a_table_of_patterns_has_the_hits_of_a_list(spark):
+    from anonspark.operators.detect import detect
+
+    texts = ["ask for Name#0001 or NAME#0002", "mail a@b.example.com, name#0001 name#0001", None, "", "nothing", "tell İ cat-77 or dog-77", "x1"]
+    docs = spark.createDataFrame([(i % 5, t, "k") for i, t in enumerate([*texts, texts[0]])], "doc_id long, t string, _hash string")
+    patterns = [(i, f"c{i % 2}", r"(?i)\bname#0001\b", 0.5) for i in range(40)]  # many of one regex
+    patterns += [(100, "d", r"for\sname#000[12]\b", 0.5), (101, "d", r"for\sName#000[12]\b", 0.7), (102, "e", r"(?:cat|dog)-\d+", 0.4), (103, "e", r"\d+", 0.3), (104, "e", r"x?", 0.3), (105, "e", r"unseen#\d+", 0.3)]
+    listed = detect(docs, "t", patterns=patterns)
+    tabled = detect(docs, "t", patterns=spark.createDataFrame(patterns, "id long, category string, regex string, confidence double"))
+    assert tabled.columns == listed.columns
+    want = sorted(map(repr, listed.collect()))
+    assert sorted(map(repr, tabled.collect())) == want and sum("source=7," in r or "source=7)" in r for r in want) == 4
+    none = detect(docs, "t", patterns=spark.createDataFrame([], "id long, category string, regex string, confidence double"))
+    assert none.filter("rank = 20").count() == 0
