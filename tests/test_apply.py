@@ -107,3 +107,23 @@ def test_filter_forgets_nothing(spark):
     held = made(spark.createDataFrame([(r,) for r in [*rows, None]], "v string").repartition(3), lambda s: [hash_of(s, 0)], len(rows))
     assert held.has(hash_of(r, 0) for r in rows).all()
     assert held.has(hash_of(f"other {i}", 0) for i in range(20_000)).mean() < 0.005
+
+
+def test_stretches_are_found_by_the_values_beginnings(spark, monkeypatch):
+    """At any length of the beginnings, and at less than a tenth of a millisecond for each text."""
+    import time
+
+    from anonspark.functions import automaton
+    from anonspark.operators.apply import begun_keys
+
+    tokens = spark.range(3000).selectExpr("concat('Acme Customer ', id, CASE WHEN id % 2 = 0 THEN ' left' ELSE '' END) AS real_value", "concat('{T_', id, '}') AS token")
+    tokens = tokens.unionByName(spark.createDataFrame([("é", "{E}"), ("a", "{A}"), ("İd x", "{I}"), ("", "{N}"), ("$5", "{S}")], "real_value string, token string"))
+    docs = spark.createDataFrame([(1, "é a acme customer 7 acme customer 8 left, İD X xé $5"), (2, None), (3, ""), (4, "acme customer 70 leftacme")], "doc_id long, text string")
+    want = {1: "{E} {A} {T_7} {T_8}, {I} xé {S}", 2: None, 3: "", 4: "acme customer 70 leftacme"}
+    for most in (200_000, 20, 0):
+        monkeypatch.setattr(automaton, "MOST_HEADS", most)
+        assert {r["doc_id"]: r["scrubbed"] for r in A.apply_by_candidates(docs, tokens).collect()} == want, most
+    begun = automaton.Beginnings([(f"acme {i}", [9, 12]) for i in range(1000)])
+    begins = time.perf_counter()
+    found = [begun_keys("plain prose goes on, and on here; " * 100 + "acme 7 of", begun) for _ in range(500)]
+    assert time.perf_counter() - begins < 0.5 and found[0] == {"acme 7 of"}
