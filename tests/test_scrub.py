@@ -193,3 +193,18 @@ def test_large_tables_are_not_broadcast(spark):
     hinted = lambda df, **bounds: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "broadcast" in small(df, **bounds)._jdf.queryExecution().analyzed().toString()
     lists = spark.range(100).selectExpr("id", "transform(sequence(1, 100), x -> named_struct('a', repeat('y', 100), 'b', x)) AS l")
     assert hinted(lists) and not hinted(lists, most_bytes=500_000) and not hinted(lists, bound=99)
+
+
+def test_a_derived_text_is_made_once_for_detection(spark):
+    """Nor is a null text a fault: detectors and patterns find nothing in it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def derived(i: int):
+        made.add(1)
+        return f"see 10.0.0.{i} and a{i}@b.example.com" if i % 3 else None
+
+    rows = spark.range(30).repartition(2).withColumn("text", derived("id"))
+    got = detect(rows, config=ScrubConfig(literals=(("see", "word"),)), patterns=[(1, "c", r"\band\b", 0.5), (2, "c", r"x?e+", 0.5)]).groupBy("id").count().collect()
+    # an address, a mail, its host, the literal, "and", three times "e"
+    assert len(got) == 20 and {r["count"] for r in got} == {8} and made.value == 30, (got[:3], made.value)
