@@ -208,3 +208,19 @@ def test_a_derived_text_is_made_once_for_detection(spark):
     got = detect(rows, config=ScrubConfig(literals=(("see", "word"),)), patterns=[(1, "c", r"\band\b", 0.5), (2, "c", r"x?e+", 0.5)]).groupBy("id").count().collect()
     # an address, a mail, its host, the literal, "and", three times "e"
     assert len(got) == 20 and {r["count"] for r in got} == {8} and made.value == 30, (got[:3], made.value)
+
+
+def test_nested_records_are_cut_once(spark):
+    """Their strings are read four times; a record is made for these once, and once for its edits."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def record(i: int):
+        made.add(1)
+        return '{"a": "10.0.0.%d", "old_string": "x", "b": ["%s"]}' % (i, KEY) if i % 5 else None if i else "no JSON, 10.0.0.1"
+
+    rows = spark.range(20).repartition(2).select(F.when(F.col("id") < 19, F.col("id")).alias("id"), record("id").alias("record"), F.lit("Edit").alias("tool"))
+    got = {r["id"]: r for r in scrub_json(rows, "id", "record", "tool").collect()}
+    assert made.value <= 40, made.value
+    assert got[1]["updated"] == '{"a": "{IP_1}", "old_string": "x", "b": ["[CREDENTIAL-REDACTED]"]}' and got[1]["has_credentials"]
+    assert got[0]["updated"] == "no JSON, 10.0.0.1" and got[5]["updated"] is None and len(got) == 20
